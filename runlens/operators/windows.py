@@ -1,0 +1,22 @@
+"""Order-dependent per-key operators.
+
+Anything that needs "the rows of a key in order" goes through
+``plans.ordered.ordered_scan`` (range slices + offsets) so a hot run or
+thread never lands in one task.  Top-n per key uses ``row_number() <= n``,
+which Spark plans with a partial WindowGroupLimit before the shuffle.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..plans.ordered import ordered_scan
+
+
+def assign_seq(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
+               name: str = "seq") -> DataFrame:
+    """Gapless position from 1 per key, in ``order``."""
+    return ordered_scan(df, keys, order, index=name)
