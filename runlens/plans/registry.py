@@ -33,5 +33,5 @@ def register(name: str, sql: str | None = None, section: str = ""):
 def load_all() -> None:
     """Import every query module so their ``register`` calls run."""
     from . import (queries_flow, queries_graph, queries_joins, queries_payload,  # noqa: F401
-                   queries_reports, queries_state, queries_streaming, queries_udf,
+                   queries_eval, queries_reports, queries_state, queries_streaming, queries_udf,
                    queries_windows)
