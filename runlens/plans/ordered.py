@@ -129,3 +129,34 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     if total:
         out.append(F.col("_rl_total").cast("long").alias(total))
     return joined.select(*df.columns, *out)
+
+
+def asof_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, is_source: Column,
+              out: str, slices: int | None = None) -> DataFrame:
+    """For every row, the ``value`` of the latest source row at or before it (same keys).
+
+    Skew-safe as-of: inside each (key, slice) a running ``last(ignorenulls)``;
+    across slices the last source value of every earlier slice is carried
+    forward on a table with at most one row per (key, slice), then joined back.
+    """
+    keys = list(keys)
+    order = list(order)
+    spark = df.sparkSession
+    n = slices or min(MAX_SLICES, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    base = df.select("*", F.when(is_source, value).alias("_rl_val"))
+    sliced = with_slice(base, order[0], slice_bounds(df, order[0], n))
+    w = Window.partitionBy(*keys, _SLICE).orderBy(*[F.col(c) for c in order]) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = sliced.withColumn("_rl_local", F.last("_rl_val", ignorenulls=True).over(w))
+    # one row per (key, slice) that has rows: the slice's last source value (or null)
+    marks = sliced.groupBy(*keys, _SLICE).agg(
+        F.max_by("_rl_val", F.when(F.col("_rl_val").isNotNull(), F.struct(*[F.col(c) for c in order])))
+        .alias("_rl_slice_last"))
+    ws = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    prev = marks.select(*[F.col(k).alias(f"_rl_k{i}") for i, k in enumerate(keys)],
+                        F.col(_SLICE).alias("_rl_kslice"),
+                        F.last("_rl_slice_last", ignorenulls=True).over(ws).alias("_rl_prev"))
+    cond = [F.col(k).eqNullSafe(F.col(f"_rl_k{i}")) for i, k in enumerate(keys)]
+    cond.append(F.col(_SLICE) == F.col("_rl_kslice"))
+    j = local.join(prev, cond, "left")
+    return j.select(*df.columns, F.coalesce(F.col("_rl_local"), F.col("_rl_prev")).alias(out))
