@@ -115,6 +115,8 @@ def with_views(body: str, *names: str) -> str:
         return body.strip()
     ctes = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in _order(names))
     body = body.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
