@@ -577,3 +577,52 @@ def q_word_fanout(spark, sf):
                                    F.sum(F.length("word")).cast("long").alias("chars"),
                                    F.min_by("word", "pos").alias("first_word"),
                                    F.max_by("word", "pos").alias("last_word"))
+
+
+CRON_SPARK = """CASE pmod(p_partkey, 8)
+    WHEN 0 THEN concat(CAST(p_size % 60 AS STRING), ' ', CAST(p_partkey % 24 AS STRING), ' * * *')
+    WHEN 4 THEN concat(CAST(p_size % 60 AS STRING), ' ', CAST(p_partkey % 24 AS STRING), ' * * *')
+    WHEN 1 THEN concat('*/15 ', CAST(p_partkey % 24 AS STRING), ' * * *')
+    WHEN 5 THEN concat('*/15 ', CAST(p_partkey % 24 AS STRING), ' * * *')
+    WHEN 2 THEN '0 9 * * 1-5'
+    WHEN 6 THEN '30 6 1,15 * 0'
+    ELSE concat('bad ', p_name) END"""
+CRON_START, CRON_END, CRON_NOW = "2024-01-01 00:00:00", "2024-01-08 00:00:00", "2024-01-03 10:20:00"
+
+CRON_FIRES_SQL = """
+WITH p AS (SELECT p_partkey, p_size, p_partkey % 8 AS t FROM part),
+d AS (SELECT CAST(range AS TIMESTAMP) AS day FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-08', INTERVAL 1 DAY)),
+q AS (SELECT * FROM (VALUES (0), (15), (30), (45)) x(q)),
+f AS (
+    SELECT p_partkey, day + to_hours(p_partkey % 24) + to_minutes(p_size % 60) AS fire_at FROM p, d WHERE t IN (0, 4)
+    UNION ALL SELECT p_partkey, day + to_hours(p_partkey % 24) + to_minutes(q) FROM p, d, q WHERE t IN (1, 5)
+    UNION ALL SELECT p_partkey, day + to_hours(9) FROM p, d WHERE t = 2 AND dayofweek(day) BETWEEN 1 AND 5
+    UNION ALL SELECT p_partkey, day + to_hours(6) + to_minutes(30) FROM p, d
+        WHERE t = 6 AND (day(day) IN (1, 15) OR dayofweek(day) = 0))
+"""
+
+
+def _cron(spark, sf):
+    from ..functions import cron as C
+    p = table(spark, sf, "part").select("p_partkey", F.expr(CRON_SPARK).alias("cron"))
+    return C.cron_expand(p, "p_partkey", "cron", CRON_START, CRON_END)
+
+
+@register("cron_expand", CRON_FIRES_SQL + "SELECT p_partkey, fire_at FROM f", "F18")
+def q_cron_expand(spark, sf):
+    return _cron(spark, sf)[0]
+
+
+@register("cron_next", CRON_FIRES_SQL + f"""
+SELECT p_partkey, min(fire_at) AS next_fire,
+    (epoch_us(min(fire_at)) - epoch_us(TIMESTAMP '{CRON_NOW}')) / 1e6 AS delay_s
+FROM f WHERE fire_at > TIMESTAMP '{CRON_NOW}' GROUP BY p_partkey""", "F18")
+def q_cron_next(spark, sf):
+    from ..functions import cron as C
+    return C.next_delay(_cron(spark, sf)[0], "p_partkey", CRON_NOW)
+
+
+@register("cron_invalid", "SELECT p_partkey, concat('bad ', p_name) AS cron FROM part WHERE p_partkey % 8 IN (3, 7)",
+          "F18")
+def q_cron_invalid(spark, sf):
+    return _cron(spark, sf)[1]
