@@ -1 +1,175 @@
-"""Queries (registered below)."""
+"""Registered queries: streaming operators.
+
+Each query stages the events table as a sequence of file drops, runs the
+streaming query to completion (availableNow) with a checkpoint in the
+shared folder, and returns the landed table.  The batch SQL is the oracle
+where the final result of the stream equals a batch query.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..sources.tables import table
+from ..streaming import streams as T
+from .registry import register
+
+N_FILES = 4
+EVENTS_K = "(SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events)"
+RUN_ID_SQL = "concat('t', CAST(user_id AS VARCHAR), '-w', CAST(CAST(floor((day(ts) - 1) / 7) AS INT) AS VARCHAR))"
+
+
+def _events(spark, sf):
+    return table(spark, sf, "events")
+
+
+def _stream(spark, sf, df=None, name="stream-in"):
+    ev = df if df is not None else _events(spark, sf)
+    path = T.stage_files(ev, "event_id", N_FILES, name)
+    return T.file_stream(spark, path, ev.schema)
+
+
+def _ntz(df, *cols):
+    for c in cols:
+        df = df.withColumn(c, F.col(c).cast("timestamp_ntz"))
+    return df
+
+
+@register("live_run_report", f"""
+SELECT {RUN_ID_SQL} AS run_id, count(*) AS events, min(ts) AS started, max(ts) AS last_seen,
+    count_if(event_type = 'error') AS errors, count_if(event_type = 'purchase') AS finished_nodes,
+    CAST(sum(k * 10) AS BIGINT) AS tokens, arg_max(event_type, event_id) AS last_type
+FROM {EVENTS_K} e GROUP BY 1""", "T1")
+def q_live_run_report(spark, sf):
+    out, _ = T.run_to_table(T.live_run_report(_stream(spark, sf)), "complete", "live-report")
+    return _ntz(T.read_table(spark, out, "complete"), "started", "last_seen")
+
+
+TICKS_SQL = """
+SELECT time_bucket(INTERVAL 15 MINUTES, ts) AS window_start,
+    time_bucket(INTERVAL 15 MINUTES, ts) + INTERVAL 15 MINUTES AS window_end,
+    count(*) AS events, count_if(event_type = 'error') AS errors
+FROM events GROUP BY 1"""
+
+
+@register("interval_ticks", TICKS_SQL, "T2")
+def q_interval_ticks(spark, sf):
+    out, _ = T.run_to_table(T.interval_ticks(_stream(spark, sf)), "complete", "ticks")
+    return _ntz(T.read_table(spark, out, "complete"), "window_start", "window_end")
+
+
+@register("watchdog", f"""
+WITH t AS ({TICKS_SQL})
+SELECT window_start, window_end, events, errors,
+    concat('errors ', CAST(errors AS VARCHAR), ' of ', CAST(events AS VARCHAR)) AS status, 'slack' AS channel,
+    CAST(json_object('text', concat('errors ', CAST(errors AS VARCHAR), ' of ', CAST(events AS VARCHAR))) AS VARCHAR)
+        AS payload
+FROM t WHERE errors / events > 0.3""", "T3")
+def q_watchdog(spark, sf):
+    out, _ = T.run_to_table(T.watchdog(T.interval_ticks(_stream(spark, sf)), 0.3), "complete", "watchdog")
+    return _ntz(T.read_table(spark, out, "complete"), "window_start", "window_end")
+
+
+@register("dedup_replay", "SELECT event_id, user_id, event_type FROM events", "T4")
+def q_dedup_replay(spark, sf):
+    ev = _events(spark, sf)
+    twice = ev.unionByName(ev)
+    s = _stream(spark, sf, twice, "replay-in")
+    d = T.dedup_replay(s, ["event_id"], "3650 days").select("event_id", "user_id", "event_type")
+    out, _ = T.run_to_table(d, "append", "dedup")
+    return T.read_table(spark, out, "append").select("event_id", "user_id", "event_type")
+
+
+WRITES_SQL = f"""
+SELECT concat('t', CAST(user_id AS VARCHAR)) AS thread_id, concat('c', CAST(event_id % 4 AS VARCHAR)) AS channel,
+    event_id AS seq, CAST(k * 10 AS BIGINT) AS value
+FROM {EVENTS_K} e WHERE event_type IN ('click', 'purchase')"""
+
+
+@register("stateful_fold", f"""
+WITH w AS ({WRITES_SQL})
+SELECT thread_id, channel, arg_max(value, seq) AS last_value, CAST(sum(value) AS BIGINT) AS total, count(*) AS n
+FROM w GROUP BY thread_id, channel""", "T5")
+def q_stateful_fold(spark, sf):
+    ev = _events(spark, sf).where(F.col("event_type").isin("click", "purchase"))
+    s = _stream(spark, sf, ev, "fold-in")
+    w = s.select(F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("thread_id"),
+                 F.concat(F.lit("c"), (F.col("event_id") % 4).cast("string")).alias("channel"),
+                 F.col("event_id").alias("seq"),
+                 (F.regexp_extract("props", r"([0-9]+)", 1).cast("long") * 10).alias("value"))
+    out, _ = T.run_to_table(T.stateful_fold(w), "update", "fold")
+    r = T.read_table(spark, out, "update")
+    latest = r.groupBy("thread_id", "channel").agg(F.max_by(F.struct("last_value", "total", "n"), "n").alias("s"))
+    return latest.select("thread_id", "channel", "s.last_value", "s.total", "s.n")
+
+
+def _closing(ev, **over):
+    """One far-future row that moves the watermark past every real event."""
+    far = ev.limit(1).withColumn("ts", F.lit("2100-01-01 00:00:00").cast("timestamp_ntz")) \
+        .withColumn("event_id", F.lit(10 ** 12).cast("long")).withColumn("user_id", F.lit(-1).cast("long"))
+    for k, v in over.items():
+        far = far.withColumn(k, F.lit(v))
+    return far
+
+
+@register("stream_barrier", None, "T6")
+def q_stream_barrier(spark, sf):
+    ev = _events(spark, sf)
+    full = ev.unionByName(_closing(ev))
+    s = _stream(spark, sf, full, "barrier-in")
+    e = T.with_event_time(s)
+    arrivals = e.select(F.col("run_id").alias("thread_id"),
+                        F.concat(F.lit("n"), (F.col("event_id") % 7).cast("string")).alias("source"),
+                        F.when(F.col("event_type").isin("click", "purchase"), "ok")
+                         .when(F.col("event_type") == "error", "failed").otherwise("skipped").alias("state"),
+                        "event_id", "event_time").where(F.col("source").isin(*T.EXPECTED_SOURCES))
+    out, _ = T.run_to_table(T.stream_barrier(arrivals, 6 * 3600 * 1000, "1 hour"), "append", "barrier")
+    return T.read_table(spark, out, "append").where(~F.col("thread_id").startswith("t-1"))
+
+
+@register("deadline_monitor", None, "T7")
+def q_deadline_monitor(spark, sf):
+    ev = _events(spark, sf)
+    full = ev.unionByName(_closing(ev))
+    s = _stream(spark, sf, full, "deadline-in")
+    d = T.deadline_monitor(s, 2 * 86400 * 1000, "1 hour", ["purchase"])
+    out, _ = T.run_to_table(d, "append", "deadline")
+    return T.read_table(spark, out, "append").where(~F.col("run_id").startswith("t-1"))
+
+
+GATE_CHOICES = ["approve", "reject"]
+
+
+@register("gate_join", f"""
+WITH g AS (SELECT event_id AS gate_id, concat('t', CAST(user_id AS VARCHAR)) AS thread_id, ts AS gate_time
+        FROM events WHERE event_type = 'signup'),
+a AS (SELECT event_id AS answer_id, concat('t', CAST(user_id AS VARCHAR)) AS answer_thread, ts AS answer_time,
+        CASE k % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' ELSE 'maybe' END AS answer
+        FROM {EVENTS_K} e WHERE event_type = 'view')
+SELECT gate_id, thread_id, answer_id,
+    CASE WHEN answer IS NULL THEN 'open' WHEN answer IN ('approve', 'reject') THEN 'answered' ELSE 'error' END AS status,
+    CASE WHEN answer IN ('approve', 'reject') THEN answer END AS answer,
+    CASE WHEN answer IS NOT NULL AND answer NOT IN ('approve', 'reject')
+         THEN concat('answer ''', answer, ''' is not one of the allowed choices') END AS error
+FROM g LEFT JOIN a ON g.thread_id = a.answer_thread
+    AND a.answer_time >= g.gate_time AND a.answer_time <= g.gate_time + INTERVAL 1 HOUR""", "T8")
+def q_gate_join(spark, sf):
+    ev = _events(spark, sf)
+    gates_src = ev.where(F.col("event_type") == "signup").unionByName(_closing(ev, event_type="signup"))
+    ans_src = ev.where(F.col("event_type") == "view").unionByName(_closing(ev, event_type="view"))
+    gs = T.with_event_time(_stream(spark, sf, gates_src, "gates-in")).select(
+        F.col("event_id").alias("gate_id"), "thread_id", F.col("event_time").alias("gate_time"))
+    an = T.with_event_time(_stream(spark, sf, ans_src, "answers-in")).select(
+        F.col("event_id").alias("answer_id"), F.col("thread_id").alias("answer_thread"),
+        F.col("event_time").alias("answer_time"),
+        F.when(F.col("k") % 3 == 0, "approve").when(F.col("k") % 3 == 1, "reject").otherwise("maybe").alias("answer"))
+    j = T.gate_join(gs, an, "1 hour", "1 hour", GATE_CHOICES)
+    out, _ = T.run_to_table(j, "append", "gates")
+    return T.read_table(spark, out, "append").where(F.col("thread_id") != "t-1").select(
+        "gate_id", "thread_id", "answer_id", "status", "answer", "error")
+
+
+@register("resumable_run", TICKS_SQL, "T9")
+def q_resumable_run(spark, sf):
+    r = T.resumable_ticks(_events(spark, sf), "event_id", N_FILES)
+    return _ntz(r, "window_start", "window_end")
