@@ -87,14 +87,15 @@ def events_after(events: DataFrame, cursors: DataFrame, thread: str = "thread_id
 
 
 # Patterns masked by ``redact`` (mail address, IPv4 address, 16-digit
-# number, token = "..." assignment) and the mask text.
+# number) and the mask text.  The mail pattern starts only at the beginning of a
+# run of address characters and never backtracks into it (same matches, linear time).
 REDACT_PATTERNS = (
-    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
     r"\b\d{16}\b",
 )
 MASK = "[REDACTED]"
-TOKEN_SPLIT = r"[A-Za-z0-9_\-]+|[^A-Za-z0-9_\-]+"
+TOKEN_CHARS = r"[A-Za-z0-9_\-]"
 
 
 def redact_patterns(text: Column, patterns: Sequence[str] = REDACT_PATTERNS, mask: str = MASK) -> Column:
@@ -109,25 +110,33 @@ def redact(df: DataFrame, key: str, col: str, values: DataFrame | None = None,
     """Mask known sensitive values and patterns in a text column.
 
     Patterns are regex replacements on the whole text.  Known values (a
-    one-column DataFrame ``value``) are matched as whole tokens through a
-    join -- broadcast when the value set is proven small, a shuffle join
-    otherwise -- so the value set may grow with the data.  The text is
-    rebuilt per row from its own tokens (bounded by the row).  An empty or
-    missing value set leaves the pattern result unchanged.
+    one-column DataFrame ``value``, any size) are matched as whole tokens:
+    each text yields only its candidate tokens -- runs of token characters
+    whose length is within the values' length range -- and those are
+    semi-joined to the values (broadcast when proven small, a shuffle join
+    otherwise).  Only texts with a hit are rewritten, each with its own
+    (row-bounded) list of hits.  An empty or missing value set leaves the
+    pattern result unchanged.
     """
     base = df.withColumn(col, redact_patterns(F.col(col), patterns, mask))
     if values is None:
         return base
-    vals = bounded_broadcast(values.select(F.col("value").alias("_v")).distinct()
-                             .withColumn("_hit", F.lit(True)))
-    toks = base.select(key, F.posexplode(F.regexp_extract_all(F.col(col), F.lit(TOKEN_SPLIT), 0))
-                       .alias("_pos", "_tok"))
-    marked = toks.join(vals, toks["_tok"] == vals["_v"], "left").select(
-        key, "_pos", F.when(F.col("_hit"), F.lit(mask)).otherwise(F.col("_tok")).alias("_tok"))
-    rebuilt = marked.groupBy(key).agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("_pos", "_tok"))), lambda s: s["_tok"]), "").alias("_text"))
-    out = base.join(rebuilt, key, "left")
-    return out.withColumn(col, F.coalesce(F.col("_text"), F.col(col))).drop("_text")
+    vals = values.select(F.col("value").alias("_v")).where(
+        (F.col("_v") != "") & F.col("_v").rlike(f"^{TOKEN_CHARS}+$")).distinct()
+    lens = vals.agg(F.min(F.length("_v")).alias("lo"), F.max(F.length("_v")).alias("hi")).first()
+    if lens is None or lens["lo"] is None:
+        return base
+    cand = f"(?<!{TOKEN_CHARS}){TOKEN_CHARS}{{{lens['lo']},{lens['hi']}}}(?!{TOKEN_CHARS})"
+    toks = df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(col), F.lit(cand), 0)))
+                     .alias("_tok"))
+    hits = toks.join(bounded_broadcast(vals), F.col("_tok") == F.col("_v"), "left_semi")
+    per_row = bounded_broadcast(hits.groupBy(key).agg(F.collect_set("_tok").alias("_hits")))
+    out = base.join(per_row, key, "left")
+    masked = F.aggregate(
+        F.coalesce(F.col("_hits"), F.array().cast("array<string>")), F.col(col),
+        lambda acc, v: F.regexp_replace(acc, F.concat(F.lit(f"(?<!{TOKEN_CHARS})\\Q"), v,
+                                                      F.lit(f"\\E(?!{TOKEN_CHARS})")), F.lit(mask)))
+    return out.withColumn(col, masked).drop("_hits")
 
 
 def secret_values(df: DataFrame, col: str) -> DataFrame:

@@ -94,3 +94,11 @@ def test_redact_leaves_no_secret(spark):
     assert all(secret not in t for t in texts)
     assert "a.b@example.com" not in texts[0] and "10.1.2.3" not in texts[0]
     assert texts[1] == "echo [REDACTED] again"
+
+
+def test_redact_whole_tokens_only(spark):
+    df = spark.createDataFrame([(1, 'a token = "abc-123" b abc-123x abc-123'), (2, "no secrets")],
+                               "id long, text string")
+    out = {r.id: r.text for r in P.redact(df, "id", "text", P.secret_values(df, "text")).collect()}
+    assert out[1] == 'a token = "[REDACTED]" b abc-123x [REDACTED]'
+    assert out[2] == "no secrets"
