@@ -4,6 +4,7 @@ F8, F17, F19, F20, F22)."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -156,9 +157,14 @@ def review_pairs(conv: DataFrame, key: str = "conv_id") -> DataFrame:
 
 
 def fresh_only(df: DataFrame, ts: str, now: str, ttl_s: float = 86400.0) -> DataFrame:
-    """Keep rows whose age at ``now`` is at most ``ttl_s`` seconds."""
-    age = (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))) / 1e6
-    return df.where(age <= ttl_s)
+    """Keep rows whose age at ``now`` is at most ``ttl_s`` seconds.
+
+    Written as ``ts >= now - ttl`` with the cut-off computed once on the
+    driver, so the predicate is a plain comparison the parquet scan can push
+    down (row groups older than the cut-off are skipped)."""
+    cutoff = datetime.fromisoformat(now) - timedelta(seconds=ttl_s)
+    dtype = df.schema[ts].dataType.simpleString()
+    return df.where(F.col(ts) >= F.lit(cutoff.isoformat(sep=" ")).cast(dtype))
 
 
 def fill_env(df: DataFrame, key: str, col: str, env: DataFrame) -> DataFrame:
