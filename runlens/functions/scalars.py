@@ -158,6 +158,29 @@ def extract_json(text: str | Column) -> Column:
     return F.struct(F.when(err.isNull(), span).alias("json"), err.alias("error"))
 
 
+def with_extracted_json(df: DataFrame, col: str, out: str) -> DataFrame:
+    """F2 as a DataFrame step: add ``out`` = struct(json, error).
+
+    The fenced body and the brace span are materialised as columns, so the
+    fence regex runs once per row (a fence is only searched for in texts
+    that contain three backticks)."""
+    t = F.col(col)
+    body_c, span_c = f"_{out}_body", f"_{out}_span"
+    d = df.withColumn(body_c, F.when((F.instr(t, "```") > 0) & t.rlike(FENCE_PATTERN),
+                                     F.regexp_extract(t, FENCE_PATTERN, 1)).otherwise(t))
+    body = F.col(body_c)
+    start = F.instr(body, "{")
+    last = F.length(body) - F.instr(F.reverse(body), "}") + 1
+    found = (start > 0) & (F.instr(body, "}") > 0) & (last > start)
+    d = d.withColumn(span_c, F.when(found, F.substring(body, start, last - start + 1)))
+    span = F.col(span_c)
+    err = (F.when(t.isNull(), F.lit("no text"))
+           .when(span.isNull(), F.lit("no JSON object found in response"))
+           .when(F.try_parse_json(span).isNull(), F.lit("invalid JSON")))
+    return d.withColumn(out, F.struct(F.when(err.isNull(), span).alias("json"), err.alias("error"))) \
+        .drop(body_c, span_c)
+
+
 # ------------------------------------------------------------------ F3 validate_schema
 
 # Schema type names a field may declare.

@@ -316,9 +316,8 @@ FROM w GROUP BY item, variant"""
 
 @register("first_valid_attempt", with_views(FIRST_VALID_SQL, "candidates"), "A16")
 def q_first_valid_attempt(spark, sf):
-    c = fx.candidates(spark, sf)
-    x = S.extract_json("response")
-    c = c.select("item", "variant", "attempt", x["json"].isNotNull().alias("ok"), x["error"].alias("err"))
+    c = S.with_extracted_json(fx.candidates(spark, sf), "response", "x")
+    c = c.select("item", "variant", "attempt", F.col("x.json").isNotNull().alias("ok"), F.col("x.error").alias("err"))
     return U.first_valid_attempt(c, ["item", "variant"], "attempt", "ok", "err", reasks=2)
 
 

@@ -252,9 +252,8 @@ SELECT item, attempt, CASE WHEN found AND json_valid(span) THEN span END AS json
     CASE WHEN NOT found THEN 'no JSON object found in response' WHEN NOT json_valid(span) THEN 'invalid JSON' END AS error
 FROM g""", "candidates"), "F2")
 def q_extract_json(spark, sf):
-    c = fx.candidates(spark, sf)
-    x = S.extract_json("response")
-    return c.select("item", "attempt", x["json"].alias("json"), x["error"].alias("error"))
+    c = S.with_extracted_json(fx.candidates(spark, sf), "response", "x")
+    return c.select("item", "attempt", F.col("x.json").alias("json"), F.col("x.error").alias("error"))
 
 
 @register("validate_schema", with_views("""
@@ -271,7 +270,7 @@ SELECT item, attempt, js IS NOT NULL AS valid, CASE WHEN js IS NULL THEN 'not JS
     false AS valid_s, CASE WHEN js IS NULL THEN 'not JSON' ELSE 'k: not a valid str; text: field required' END AS error_s
 FROM j""", "candidates"), "F3")
 def q_validate_schema(spark, sf):
-    c = fx.candidates(spark, sf).withColumn("js", S.extract_json("response")["json"])
+    c = S.with_extracted_json(fx.candidates(spark, sf), "response", "x").withColumn("js", F.col("x.json"))
     c = S.validate_schema(c, "js", {"k": "int"}, "v")
     c = S.validate_schema(c, "js", {"k": "float"}, "vf")
     c = S.validate_schema(c, "js", {"k": "str", "text": "str"}, "vs")
