@@ -44,14 +44,27 @@ def _axis(df: DataFrame, first: str) -> Column:
     return c.cast("double")
 
 
+_BOUNDS_CACHE: dict[tuple[int, str, int], list[float]] = {}
+
+
 def slice_bounds(df: DataFrame, first: str, slices: int) -> list[float]:
-    """Global quantile cut points of the leading order column (driver gets ``slices`` numbers)."""
+    """Global quantile cut points of the leading order column (driver gets ``slices`` numbers).
+
+    Cached per (plan, column, slices) for the session: bounds only balance
+    the work -- offsets are always computed from the data -- so a cached
+    value can never change a result.
+    """
     if slices <= 1:
         return []
-    probs = [i / slices for i in range(1, slices)]
-    q = df.select(_axis(df, first).alias(_AXIS)).where(F.col(_AXIS).isNotNull()) \
-        .approxQuantile(_AXIS, probs, 1.0 / (4 * slices))
-    return sorted({float(b) for b in q})
+    key = (df.semanticHash(), first, slices)
+    if key not in _BOUNDS_CACHE:
+        probs = [i / slices for i in range(1, slices)]
+        q = df.select(_axis(df, first).alias(_AXIS)).where(F.col(_AXIS).isNotNull()) \
+            .approxQuantile(_AXIS, probs, 1.0 / (4 * slices))
+        if len(_BOUNDS_CACHE) > 1024:
+            _BOUNDS_CACHE.clear()
+        _BOUNDS_CACHE[key] = sorted({float(b) for b in q})
+    return _BOUNDS_CACHE[key]
 
 
 def with_slice(df: DataFrame, first: str, bounds: list[float], descending: bool = False) -> DataFrame:

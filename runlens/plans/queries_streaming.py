@@ -37,7 +37,8 @@ def _ntz(df, *cols):
 
 @register("live_run_report", f"""
 SELECT {RUN_ID_SQL} AS run_id, count(*) AS events, min(ts) AS started, max(ts) AS last_seen,
-    count_if(event_type = 'error') AS errors, count_if(event_type = 'purchase') AS finished_nodes,
+    CAST(count_if(event_type = 'error') AS BIGINT) AS errors,
+    CAST(count_if(event_type = 'purchase') AS BIGINT) AS finished_nodes,
     CAST(sum(k * 10) AS BIGINT) AS tokens, arg_max(event_type, event_id) AS last_type
 FROM {EVENTS_K} e GROUP BY 1""", "T1")
 def q_live_run_report(spark, sf):
@@ -48,7 +49,7 @@ def q_live_run_report(spark, sf):
 TICKS_SQL = """
 SELECT time_bucket(INTERVAL 15 MINUTES, ts) AS window_start,
     time_bucket(INTERVAL 15 MINUTES, ts) + INTERVAL 15 MINUTES AS window_end,
-    count(*) AS events, count_if(event_type = 'error') AS errors
+    count(*) AS events, CAST(count_if(event_type = 'error') AS BIGINT) AS errors
 FROM events GROUP BY 1"""
 
 

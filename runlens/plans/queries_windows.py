@@ -30,7 +30,7 @@ def _usage(spark, sf):
 
 
 @register("guard_trip", with_views("WITH " + USAGE_SQL + """,
-g AS (SELECT run_id, step, 0 AS g_no, 'max_steps' AS guard, CAST(step AS DOUBLE) AS used, 12.0 AS lim FROM u
+g AS (SELECT run_id, step, 0 AS g_no, 'max_steps' AS guard, CAST(step AS DOUBLE) AS used, CAST(12.0 AS DOUBLE) AS lim FROM u
   UNION ALL SELECT run_id, step, 1, 'tokens', CAST(tokens_before AS DOUBLE), 2000.0 FROM u
   UNION ALL SELECT run_id, step, 2, 'cost_usd', CAST(tokens_before * 3 AS DOUBLE), 600.0 FROM u
   UNION ALL SELECT run_id, step, 3, 'deadline', elapsed_s, 432000.0 FROM u),
@@ -41,7 +41,7 @@ def q_guard_trip(spark, sf):
 
 
 @register("budget_warnings", with_views("WITH " + USAGE_SQL + """,
-g AS (SELECT run_id, step, 'max_steps' AS guard, CAST(step + 1 AS DOUBLE) AS used, 12.0 AS lim FROM u
+g AS (SELECT run_id, step, 'max_steps' AS guard, CAST(step + 1 AS DOUBLE) AS used, CAST(12.0 AS DOUBLE) AS lim FROM u
   UNION ALL SELECT run_id, step, 'tokens', CAST(tokens_after AS DOUBLE), 2000.0 FROM u
   UNION ALL SELECT run_id, step, 'cost_usd', CAST(tokens_after * 3 AS DOUBLE), 600.0 FROM u
   UNION ALL SELECT run_id, step, 'deadline', elapsed_s, 432000.0 FROM u)
@@ -110,7 +110,7 @@ def q_classify_error(spark, sf):
 @register("retry_schedule", with_views(f"""
 WITH f AS (SELECT run_id, node_id, seq, event_id, {FAIL_SQL_COLS}
   FROM run_log WHERE type IN ('node_failed', 'node_retrying')),
-k AS (SELECT *, {KIND_SQL} AS kind, CASE WHEN status = 429 THEN 1.5 END AS retry_after,
+k AS (SELECT *, {KIND_SQL} AS kind, CASE WHEN status = 429 THEN CAST(1.5 AS DOUBLE) END AS retry_after,
     CAST(row_number() OVER (PARTITION BY run_id, node_id ORDER BY seq) AS BIGINT) AS attempt FROM f),
 d AS (SELECT *, CASE WHEN retry_after IS NOT NULL
         THEN greatest(least(0.5 * pow(2.0, attempt - 1), 60.0), retry_after)

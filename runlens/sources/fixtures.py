@@ -114,7 +114,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(F.col("k") % 4 == 2, F.concat(F.lit("The answer is "), F.col("props"), F.lit(" as asked.")))
             .otherwise(F.concat(F.lit("no object "), F.substring("props", 1, 3))))
     return e.select(F.col("user_id").alias("item"), F.col("event_type").alias("variant"),
-                    F.col("attempt").cast("int").alias("attempt"), resp.alias("response"))
+                    F.col("attempt").cast("long").alias("attempt"), resp.alias("response"))
 
 
 def edges_g(spark: SparkSession, sf_dir: str) -> DataFrame:
