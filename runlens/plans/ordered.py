@@ -44,6 +44,20 @@ def _axis(df: DataFrame, first: str) -> Column:
     return c.cast("double")
 
 
+def materialize_if_shuffled(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder when its plan already shuffles.
+
+    An ordered scan reads its input three times (quantiles, rows, totals).
+    A plain scan plus projections is cheap to read again; an input built by
+    joins or aggregations is written once instead of being recomputed.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(op in plan for op in ("Join ", "Aggregate ", "Window ", "Repartition", "Distinct")):
+        from ..session import cut_lineage
+        return cut_lineage(df)
+    return df
+
+
 _BOUNDS_CACHE: dict[tuple[int, str, int], list[float]] = {}
 
 
@@ -103,8 +117,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
 
     sums = {f"_rl_v{i}": (F.col(v) if isinstance(v, str) else v)
             for i, v in enumerate(list(running.values()) + list(running_before.values()))}
-    base = df.select("*", *[v.alias(k) for k, v in sums.items()])
-    sliced = with_slice(base, order[0], slice_bounds(df, order[0], n), descending)
+    base = materialize_if_shuffled(df.select("*", *[v.alias(k) for k, v in sums.items()]))
+    sliced = with_slice(base, order[0], slice_bounds(base, order[0], n), descending)
 
     ocols = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
     w_local = Window.partitionBy(*keys, _SLICE).orderBy(*ocols)
@@ -113,7 +127,9 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     local_cols += [F.sum(k).over(w_upto).alias(f"{k}_run") for k in sums]
     local = sliced.select("*", *local_cols)
 
-    stats = sliced.groupBy(*keys, _SLICE).agg(
+    # totals come from the windowed rows: same (key, slice) partitioning, so the
+    # input is shuffled once and both branches read that shuffle
+    stats = local.groupBy(*keys, _SLICE).agg(
         F.count(F.lit(1)).alias("_rl_n"), *[F.sum(k).alias(f"{k}_tot") for k in sums])
     w_prev = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy(*keys)
@@ -156,8 +172,8 @@ def asof_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: C
     order = list(order)
     spark = df.sparkSession
     n = slices or min(MAX_SLICES, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    base = df.select("*", F.when(is_source, value).alias("_rl_val"))
-    sliced = with_slice(base, order[0], slice_bounds(df, order[0], n))
+    base = materialize_if_shuffled(df.select("*", F.when(is_source, value).alias("_rl_val")))
+    sliced = with_slice(base, order[0], slice_bounds(base, order[0], n))
     w = Window.partitionBy(*keys, _SLICE).orderBy(*[F.col(c) for c in order]) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = sliced.withColumn("_rl_local", F.last("_rl_val", ignorenulls=True).over(w))
