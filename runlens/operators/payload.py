@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, StructType
 from ..functions import scalars as S
 from ..plans.broadcast import bounded_broadcast
 from ..plans.ordered import ordered_scan
+from ..session import cut_lineage
 
 
 def when_filter(df: DataFrame, pred: str | Column) -> DataFrame:
@@ -122,8 +123,10 @@ def redact(df: DataFrame, key: str, col: str, values: DataFrame | None = None,
     base = df.withColumn(col, redact_patterns(F.col(col), patterns, mask))
     if values is None:
         return base
-    vals = values.select(F.col("value").alias("_v")).where(
-        (F.col("_v") != "") & F.col("_v").rlike(f"^{TOKEN_CHARS}+$")).distinct()
+    # the value set and the per-row hits are small derived tables: written once to the
+    # checkpoint folder, so the size checks and the joins do not rescan the texts
+    vals = cut_lineage(values.select(F.col("value").alias("_v")).where(
+        (F.col("_v") != "") & F.col("_v").rlike(f"^{TOKEN_CHARS}+$")).distinct())
     lens = vals.agg(F.min(F.length("_v")).alias("lo"), F.max(F.length("_v")).alias("hi")).first()
     if lens is None or lens["lo"] is None:
         return base
@@ -131,7 +134,7 @@ def redact(df: DataFrame, key: str, col: str, values: DataFrame | None = None,
     toks = df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(col), F.lit(cand), 0)))
                      .alias("_tok"))
     hits = toks.join(bounded_broadcast(vals), F.col("_tok") == F.col("_v"), "left_semi")
-    per_row = bounded_broadcast(hits.groupBy(key).agg(F.collect_set("_tok").alias("_hits")))
+    per_row = bounded_broadcast(cut_lineage(hits.groupBy(key).agg(F.collect_set("_tok").alias("_hits"))))
     out = base.join(per_row, key, "left")
     masked = F.aggregate(
         F.coalesce(F.col("_hits"), F.array().cast("array<string>")), F.col(col),
