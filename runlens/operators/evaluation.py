@@ -68,19 +68,20 @@ def eval_cases(cases: DataFrame, reports: DataFrame) -> DataFrame:
     dl_chk = F.when(F.col("no_dead_letters"), F.struct(
         F.lit("dead_letters").alias("kind"), F.lit("no dead-letters").alias("detail"),
         F.coalesce(F.col("dead_letters") == 0, F.lit(False)).alias("ok")))
-    a = F.col("_a")
-    ok_expr = F.lit(False)
-    detail = a
-    if good:
-        case = None
-        for t, c in good.items():
-            case = F.when(a == t, F.coalesce(c, F.lit(False))) if case is None \
-                else case.when(a == t, F.coalesce(c, F.lit(False)))
-        ok_expr = case.otherwise(F.lit(False))
-    for t, err in bad.items():
-        detail = F.when(a == t, F.concat(a, F.lit(f"  ({err})"))).otherwise(detail)
-    assert_chks = F.transform(F.col("asserts"), lambda x: F.struct(
-        F.lit("assert").alias("kind"), x.alias("detail"), x.alias("_a")))
+
+    def assert_check(x: Column) -> Column:
+        ok = F.lit(False)
+        if good:
+            case = None
+            for t, c in good.items():
+                case = F.when(x == t, F.coalesce(c, F.lit(False))) if case is None \
+                    else case.when(x == t, F.coalesce(c, F.lit(False)))
+            ok = case.otherwise(F.lit(False))
+        detail = x
+        for t, err in bad.items():
+            detail = F.when(x == t, F.concat(x, F.lit(f"  ({err})"))).otherwise(detail)
+        return F.struct(F.lit("assert").alias("kind"), detail.alias("detail"), ok.alias("ok"))
+
     tok_b = F.col("budget")["tokens"]
     cost_b = F.col("budget")["cost_usd"]
     tok_chk = F.when(tok_b.isNotNull(), F.struct(
@@ -93,22 +94,13 @@ def eval_cases(cases: DataFrame, reports: DataFrame) -> DataFrame:
         F.concat(F.lit("cost "), F.col("cost_usd").cast("string"), F.lit(" <= "),
                  cost_b.cast("string")).alias("detail"),
         F.coalesce(F.col("cost_usd") <= cost_b, F.lit(False)).alias("ok")))
-    fixed = F.array_compact(F.array(status_chk, dl_chk))
-    tail = F.array_compact(F.array(tok_chk, cost_chk))
-    j2 = cases.withColumnRenamed("status", "status_expected").join(reports, "name", "left")
-    j2 = j2.select("*", fixed.alias("_fixed"), assert_chks.alias("_asserts"), tail.alias("_tail"))
-    # explode each list with its position; check_no keeps the reference's order
-    f = j2.select("*", F.posexplode("_fixed").alias("_p", "_c")).select(
-        "name", F.col("_p").alias("check_no"), "_c.kind", "_c.detail", "_c.ok")
-    nfixed = F.size("_fixed")
-    s = j2.select("*", F.posexplode("_asserts").alias("_p", "_c")).select(
-        "*", F.col("_c._a").alias("_a"))
-    s = s.select("name", (nfixed + F.col("_p")).alias("check_no"), F.col("_c.kind").alias("kind"),
-                 detail.alias("detail"), ok_expr.alias("ok"))
-    t = j2.select("*", F.posexplode("_tail").alias("_p", "_c")).select(
-        "name", (nfixed + F.size("_asserts") + F.col("_p")).alias("check_no"),
-        "_c.kind", "_c.detail", "_c.ok")
-    return f.unionByName(s).unionByName(t)
+    # all checks of a case in the reference's order, exploded once
+    checks = F.concat(F.array_compact(F.array(status_chk, dl_chk)), F.transform("asserts", assert_check),
+                      F.array_compact(F.array(tok_chk, cost_chk)))
+    j = cases.withColumnRenamed("status", "status_expected").join(reports, "name", "left")
+    return j.select("name", F.posexplode(checks).alias("check_no", "_c")).select(
+        "name", "check_no", F.col("_c.kind").alias("kind"), F.col("_c.detail").alias("detail"),
+        F.col("_c.ok").alias("ok"))
 
 
 def case_results(checks: DataFrame, reports: DataFrame, cases: DataFrame) -> DataFrame:
