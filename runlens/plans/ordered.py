@@ -52,7 +52,8 @@ def materialize_if_shuffled(df: DataFrame) -> DataFrame:
     joins or aggregations is written once instead of being recomputed.
     """
     plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if any(op in plan for op in ("Join ", "Aggregate ", "Window ", "Repartition", "Distinct")):
+    if any(op in plan for op in ("Join ", "Aggregate ", "Window ", "Repartition", "Distinct", "Deduplicate",
+                                 "Sort [")):
         from ..session import cut_lineage
         return cut_lineage(df)
     return df
