@@ -113,29 +113,51 @@ def _closing(ev, **over):
     return far
 
 
-@register("stream_barrier", None, "T6")
+BARRIER_SQL = """
+WITH e AS (SELECT {RUN_ID_SQL} AS thread_id, concat('n', CAST(event_id % 7 AS VARCHAR)) AS source, event_id,
+        CASE WHEN event_type IN ('click', 'purchase') THEN 'ok' WHEN event_type = 'error' THEN 'failed'
+             ELSE 'skipped' END AS state FROM events),
+l AS (SELECT thread_id, source, arg_max(state, event_id) AS state FROM e WHERE source IN ('n0', 'n1', 'n2')
+    GROUP BY thread_id, source),
+g AS (SELECT thread_id, count(*) AS arrived, sum(CASE WHEN state = 'ok' THEN 1 ELSE 0 END) AS ok,
+        sum(CASE WHEN state = 'failed' THEN 1 ELSE 0 END) AS failed,
+        sum(CASE WHEN state = 'skipped' THEN 1 ELSE 0 END) AS skipped FROM l GROUP BY thread_id)
+SELECT thread_id, CAST(ok AS BIGINT) AS ok, CAST(failed AS BIGINT) AS failed,
+    CAST(skipped + 3 - arrived AS BIGINT) AS skipped,
+    CASE WHEN arrived = 3 THEN 'complete' ELSE 'timeout' END AS fired FROM g"""
+
+
+def _closing_stream(spark, sf, ev, name):
+    """All rows in one drop, then a far-future closing row in a second drop."""
+    path = T.stage_with_close(ev, _closing(ev), name)
+    return T.file_stream(spark, path, ev.schema)
+
+
+@register("stream_barrier", BARRIER_SQL.replace("{RUN_ID_SQL}", RUN_ID_SQL), "T6")
 def q_stream_barrier(spark, sf):
     ev = _events(spark, sf)
-    full = ev.unionByName(_closing(ev))
-    s = _stream(spark, sf, full, "barrier-in")
-    e = T.with_event_time(s)
+    e = T.with_event_time(_closing_stream(spark, sf, ev, "barrier-in"))
     arrivals = e.select(F.col("run_id").alias("thread_id"),
                         F.concat(F.lit("n"), (F.col("event_id") % 7).cast("string")).alias("source"),
                         F.when(F.col("event_type").isin("click", "purchase"), "ok")
                          .when(F.col("event_type") == "error", "failed").otherwise("skipped").alias("state"),
                         "event_id", "event_time").where(F.col("source").isin(*T.EXPECTED_SOURCES))
     out, _ = T.run_to_table(T.stream_barrier(arrivals, 6 * 3600 * 1000, "1 hour"), "append", "barrier")
-    return T.read_table(spark, out, "append").where(~F.col("thread_id").startswith("t-1"))
+    return T.read_table(spark, out, "append").where(~F.col("thread_id").startswith("t-1")).select(
+        "thread_id", "ok", "failed", "skipped", "fired")
 
 
-@register("deadline_monitor", None, "T7")
+@register("deadline_monitor", f"""
+SELECT {RUN_ID_SQL} AS run_id, min(epoch_us(ts) // 1000) AS started_ms,
+    min(epoch_us(ts) // 1000) + 172800000 AS deadline_ms
+FROM events GROUP BY 1 HAVING sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 0""".replace(
+    "{RUN_ID_SQL}", RUN_ID_SQL), "T7")
 def q_deadline_monitor(spark, sf):
     ev = _events(spark, sf)
-    full = ev.unionByName(_closing(ev))
-    s = _stream(spark, sf, full, "deadline-in")
-    d = T.deadline_monitor(s, 2 * 86400 * 1000, "1 hour", ["purchase"])
+    d = T.deadline_monitor(_closing_stream(spark, sf, ev, "deadline-in"), 2 * 86400 * 1000, "1 hour", ["purchase"])
     out, _ = T.run_to_table(d, "append", "deadline")
-    return T.read_table(spark, out, "append").where(~F.col("run_id").startswith("t-1"))
+    return T.read_table(spark, out, "append").where(~F.col("run_id").startswith("t-1")).select(
+        "run_id", "started_ms", "deadline_ms")
 
 
 GATE_CHOICES = ["approve", "reject"]

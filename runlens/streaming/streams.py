@@ -34,6 +34,16 @@ def stage_files(df: DataFrame, order: str, n_files: int, name: str = "stream-in"
     return path
 
 
+def stage_with_close(df: DataFrame, close: DataFrame, name: str = "stream-in") -> str:
+    """Stage ``df`` as one file drop followed by a drop holding ``close`` (rows far in the
+    future that move the watermark past every real event, so every open
+    event-time timer fires)."""
+    path = scratch_path(df.sparkSession, name)
+    df.coalesce(1).write.mode("overwrite").parquet(f"{path}/b0000")
+    close.coalesce(1).write.mode("overwrite").parquet(f"{path}/b0001")
+    return path
+
+
 def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
             .parquet(f"{path}/b*"))
