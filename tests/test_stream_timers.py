@@ -6,19 +6,15 @@ second drop, so every open timer fires once the watermark moves past it.
 
 from pyspark.sql import functions as F
 
-from runlens.sources.sinks import scratch_path
 from runlens.streaming import streams as T
 
 SF = "/root/testdata/sf0.001"
 
 
 def _two_drops(spark, ev):
-    path = scratch_path(spark, "timers-in")
-    ev.coalesce(1).write.parquet(f"{path}/b0000")
     far = ev.limit(1).withColumn("ts", F.lit("2100-01-01 00:00:00").cast("timestamp_ntz")) \
         .withColumn("event_id", F.lit(10 ** 12).cast("long")).withColumn("user_id", F.lit(-1).cast("long"))
-    far.coalesce(1).write.parquet(f"{path}/b0001")
-    return T.file_stream(spark, path, ev.schema)
+    return T.file_stream(spark, T.stage_with_close(ev, far, "timers-in"), ev.schema)
 
 
 def test_stream_barrier_matches_brute_force(spark):
