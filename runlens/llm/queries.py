@@ -10,6 +10,7 @@ from ..sources.tables import table
 from .mixing import mix
 from .pieces import encode_decode
 from .reshard import reshard
+from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
 
 # words: runs of anything but the six ASCII white-space characters
@@ -24,6 +25,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), outputs=())
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"),
                          outputs=("ids_sha256", "decoded_sha256", "span_bytes"))
@@ -43,5 +48,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op7_pieces, op8_reshard, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op4_token_counts, op5_suffix_dedup, op7_pieces, op8_reshard, op9_mixing)}
 ORACLE: dict[str, str] = {}
