@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .mixing import mix
+from .ngram_join import jaccard_classes
 from .pieces import encode_decode
 from .reshard import reshard
 from .suffix_dedup import remove_repeats
@@ -21,6 +22,10 @@ def n_words(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -48,5 +53,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op5_suffix_dedup, op7_pieces, op8_reshard, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op3_ngram_join, op4_token_counts, op5_suffix_dedup, op7_pieces, op8_reshard, op9_mixing)}
 ORACLE: dict[str, str] = {}

@@ -27,17 +27,16 @@ or one bucket of bounded size.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import PACKED, chunk_table, packed_rows, with_answers
 from .common import Scratch
 
 _BASE = 0x9E3779B97F4A7C15   # odd multiplier of the rolling fingerprints
@@ -166,14 +165,6 @@ class Chunk:
         return out
 
 
-def _rows(chunk: int, kind: int, bucket: np.ndarray, values: np.ndarray) -> dict:
-    """Sorted buckets and their values as rows of packed arrays."""
-    nos, at = np.unique(bucket, return_index=True)
-    ends = [*at[1:].tolist(), len(bucket)]
-    return {"chunk": [chunk] * len(nos), "kind": [kind] * len(nos), "bucket": nos.astype(np.int64).tolist(),
-            "packed": [values[a:b].tobytes() for a, b in zip(at.tolist(), ends)]}
-
-
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     """Sort one bucket; for each chunk, which of its names other chunks hold too, and which it holds first."""
     pdf = pdf.sort_values("chunk")
@@ -209,7 +200,7 @@ class _Settled:
         self.chunk = Chunk(row.body, row.sizes, min_len)
         names, back, here = self.chunk.names(buckets)
         tied = (_bits(row.answers, 0, "ties", len(names)) | here)[back]
-        u, bucket, place, here = _digest_rows(self.chunk.digests(), buckets)
+        u, bucket, place, here = _digestpacked_rows(self.chunk.digests(), buckets)
         ties, first = _bits(row.answers, 1, "ties", len(u)), _bits(row.answers, 1, "first", len(u))
         seen, opens = set(), []
         for k in place.tolist():
@@ -221,7 +212,7 @@ class _Settled:
         self.at = self.chunk.suffixes(tied, self.skip)
 
 
-def _digest_rows(digests: np.ndarray, buckets: int):
+def _digestpacked_rows(digests: np.ndarray, buckets: int):
     u, back, n = np.unique(digests, return_inverse=True, return_counts=True)
     bucket = (_mix(u) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
@@ -245,35 +236,12 @@ def remove_repeats(df: DataFrame, min_len: int = 200, id_col: str = "doc_id", te
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = docs.schema["id"].dataType.simpleString()
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base, no, ids, texts, total = TaskContext.get().partitionId() << 33, 0, [], [], 0
-
-        def row():
-            return pd.DataFrame({"chunk": [base + no], "ids": [ids], "sizes": [[len(t) for t in texts]],
-                                 "body": [b"".join(texts)]})
-        for pdf in batches:
-            for i, t in zip(pdf["id"].astype(object).where(pdf["id"].notna(), None), pdf["text"]):
-                t = t.encode()
-                if texts and total + len(t) > chunk_bytes:
-                    yield row()
-                    no, ids, texts, total = no + 1, [], [], 0
-                ids.append(i)
-                texts.append(t)
-                total += len(t)
-        if texts:
-            yield row()
-
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"suffix_chunks_{uuid.uuid4().hex}"
-    docs.mapInPandas(pack, f"chunk long, ids array<{id_type}>, sizes array<long>, body binary") \
-        .write.format("parquet").option("compression", "zstd").option("path", f"{scratch.base}/chunks") \
-        .bucketBy(shards, "chunk").saveAsTable(name)
-    chunks = spark.table(name)
+    chunks = chunk_table(docs, scratch, chunk_bytes)
     total = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b))).first()[0] or 0
     v, cover = difference_cover(min_len)
     few = max(shards, ceil(total * len(cover) / v * 4 / _BUCKET_BYTES))
     many = max(shards, ceil(total * 2 / _BUCKET_BYTES))
-    packed = "chunk long, kind int, bucket long, packed binary"
     answer = "chunk long, kind int, bucket long, ties binary, first binary, n int"
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -281,11 +249,11 @@ def remove_repeats(df: DataFrame, min_len: int = 200, id_col: str = "doc_id", te
             for row in pdf.itertuples(index=False):
                 c = Chunk(row.body, row.sizes, min_len)
                 u, _, _ = c.names(few)
-                yield pd.DataFrame(_rows(row.chunk, 0, u >> np.uint64(32), (u & _U32).astype("<u4")))
-                u, bucket, _, _ = _digest_rows(c.digests(), few)
-                yield pd.DataFrame(_rows(row.chunk, 1, bucket, u))
+                yield pd.DataFrame(packed_rows(row.chunk, 0, u >> np.uint64(32), (u & _U32).astype("<u4")))
+                u, bucket, _, _ = _digestpacked_rows(c.digests(), few)
+                yield pd.DataFrame(packed_rows(row.chunk, 1, bucket, u))
 
-    first = scratch.keep(chunks.select("chunk", "sizes", "body").mapInPandas(sample, packed)
+    first = scratch.keep(chunks.select("chunk", "sizes", "body").mapInPandas(sample, PACKED)
                          .groupBy("kind", "bucket").applyInPandas(_answer, answer), "answers-1")
 
     def suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -293,14 +261,12 @@ def remove_repeats(df: DataFrame, min_len: int = 200, id_col: str = "doc_id", te
             for row in pdf.itertuples(index=False):
                 s = _Settled(row, min_len, few)
                 u, bucket, _, _ = s.chunk.prefixes(s.at, many)
-                yield pd.DataFrame(_rows(row.chunk, 2, bucket, u))
+                yield pd.DataFrame(packed_rows(row.chunk, 2, bucket, u))
 
     def told(answers: DataFrame) -> DataFrame:
-        by = answers.groupBy("chunk").agg(F.collect_list(F.struct("kind", "bucket", "ties", "first", "n"))
-                                          .alias("answers"))
-        return chunks.join(by.hint("shuffle_hash"), "chunk", "left")
+        return with_answers(chunks, answers, "kind", "bucket", "ties", "first", "n")
 
-    second = scratch.keep(told(first).select("chunk", "sizes", "body", "answers").mapInPandas(suffixes, packed)
+    second = scratch.keep(told(first).select("chunk", "sizes", "body", "answers").mapInPandas(suffixes, PACKED)
                           .groupBy("kind", "bucket").applyInPandas(_answer, answer), "answers-2")
 
     kinds = {"spans": "array<struct<start: long, end: long>>", "kept": "binary"}
