@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from .mixing import mix
 from .ngram_join import jaccard_classes
+from .nn_descent import near_classes
 from .pieces import encode_decode
 from .reshard import reshard
 from .suffix_dedup import remove_repeats
@@ -53,5 +54,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_join, op4_token_counts, op5_suffix_dedup, op7_pieces, op8_reshard, op9_mixing)}
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op3_ngram_join, op4_token_counts, op5_suffix_dedup, op7_pieces, op8_reshard, op9_mixing,
+                                op10_embedding_dedup)}
 ORACLE: dict[str, str] = {}
