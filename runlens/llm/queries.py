@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from . import bm25, segments
 from .mixing import mix
 from .nbsvm import fit
 from .ngram_join import jaccard_classes
@@ -42,6 +43,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op2_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages whose id is divisible by 20, whole, against all documents."""
+    asked = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0")
+    return bm25.search(table(spark, sf_dir, "documents"), asked, 10, query_id="item_id", query_text="text")
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
@@ -54,6 +61,24 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), outputs=())
 
 
+def op6_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the rules' spans; ``spans`` also has those that the segment model adds."""
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", segments.spans(F.col("text"), segments.fit(docs)).alias("s"))
+
+    def joined(only_rule: bool):
+        kept = F.filter("s", lambda x: x["rule"]) if only_rule else F.col("s")
+        return F.array_join(F.transform(kept, lambda x: F.concat_ws(
+            ":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    def of(kind: str):
+        return F.filter("s", lambda x: x["rule"] & (x["kind"] == kind))
+
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in segments.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(True), 256).alias("base_sha256"), joined(False).alias("spans"),
+                        F.size(F.filter("s", lambda x: ~x["rule"])).cast("long").alias("n_added"))
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"),
                          outputs=("ids_sha256", "decoded_sha256", "span_bytes"))
@@ -77,6 +102,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_ngram_join, op4_token_counts, op5_suffix_dedup, op7_pieces, op8_reshard, op9_mixing,
+QUERIES = {f.__name__: f for f in (op1_quality, op2_bm25, op3_ngram_join, op4_token_counts, op5_suffix_dedup, op6_private,
+                                op7_pieces, op8_reshard, op9_mixing,
                                 op10_embedding_dedup)}
 ORACLE: dict[str, str] = {}

@@ -1,3 +1,66 @@
-"""Stages of the corpus pipeline: (name, function of (spark, docs, sf_dir))."""
+"""Stages of the corpus pipeline: (name, function of (spark, docs, sf_dir)).
 
-STAGES: list = []
+All but the last return the columns of ``documents``.  Null texts count as
+empty wherever a stage reads them, null sources are a source of their own.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.tables import table
+from . import segments
+from .mixing import mix
+from .nbsvm import fit
+from .ngram_join import jaccard_classes
+from .pieces import encode_decode
+from .queries import held_out, n_words
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores 0.5 or more; it learns from labels outside the held-out third."""
+    labels = table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", "quality")
+    model = fit(docs.where(~held_out()), labels)
+    return docs.where(model.score(F.col("text")) >= 0.5)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every group of linked documents, once.
+
+    Documents without words are in no group and stay, and so do those without an id.
+    """
+    classes = jaccard_classes(docs)
+    goes = classes.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(goes, "doc_id", "left_anti")
+    twice = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return kept
+    # rows that share an id are one vertex; one of them stays
+    once = kept.join(twice, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with every span of personal data replaced by its kind; n_chars follows the text."""
+    text = segments.mask(F.col("text"), segments.spans(F.col("text"), segments.fit(docs)))
+    out = docs.withColumn("text", text)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) \
+        if "n_chars" in docs.columns else out
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: not at all, once or twice."""
+    taken = mix(docs, n_words(F.col("text")))
+    return taken.where("copies > 0").withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).select(*docs.columns)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, ids_sha256, decoded_sha256 of every document."""
+    return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"),
+                         outputs=("ids", "ids_sha256", "decoded_sha256"))
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("private", private), ("mixing", mixing),
+          ("pieces", pieces)]
