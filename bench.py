@@ -21,7 +21,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "run_report", "node_metrics", "fleet_aggregate", "list_runs", "eval_cases", "fold_state",
     "reduce_append", "guard_trip", "retry_schedule", "merge_barrier", "answer_asof", "redact",
-    "validate_schema", "normalize_trace", "word_fanout", "same_attribute_edges", "superstep_iterate",
+    "validate_schema", "normalize_trace", "word_fanout", "same_attribute_edges",
 ]
 
 

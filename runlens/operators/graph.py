@@ -1,68 +1,104 @@
-"""Graph operators over edge tables.
-
-Reachability is a fixpoint of distributed self-joins (path doubling): each
-round joins the known pairs with themselves and stops when nothing new
-appears, after about log2(longest path) rounds.  The driver only sees the
-counts.  Each round's result is written to the cluster's checkpoint folder,
-so a lost executor recomputes at most one round.
+"""Graph operators over edge tables.
+
+Cycles are found without a transitive closure: nodes that cannot lie on a
+cycle are peeled off, then the smallest id that reaches each remaining node
+colours the graph, and the nodes of a colour that reach its root are one
+strongly connected component.  Every round is a join and an aggregate over the
+edge table, whose size bounds all tables in between; two rounds share one
+written table, and the driver reads only counts and check sums.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.broadcast import bounded_broadcast
 from ..session import cut_lineage
 
-MAX_ROUNDS = 10_000
-
-
-def reachability(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """All (src, dst) pairs joined by a path of length >= 1 (transitive closure).
-
-    Path doubling: each round joins the known pairs with themselves, so
-    paths up to length 2^k are known after k rounds and the loop ends after
-    about log2(longest path) rounds.  Every round writes the closure so far
-    to the checkpoint folder and reads one count.
-    """
-    reach = cut_lineage(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct())
-    for _ in range(MAX_ROUNDS):
-        step = reach.alias("a").join(reach.alias("b"), F.col("a.dst") == F.col("b.src")) \
-            .select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        grown = cut_lineage(reach.unionByName(step).distinct())
-        if grown.count() == reach.count():
-            return grown
-        reach = grown
-    return reach
-
-
-def find_cycles(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """G1: (nodes on a cycle, reachability pairs).
-
-    The reference lists one cycle per DFS back edge, which depends on visit
-    order; the order-free answer is the set of nodes that reach themselves.
+ROUNDS_PER_TABLE = 2
+
+
+def peel(edges: DataFrame) -> DataFrame:
+    """Edges left when nodes without an in-edge or without an out-edge are taken away again and again."""
+    e = cut_lineage(edges.select("src", "dst").distinct())
+    n = e.count()
+    while True:
+        leads_on = e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        e = cut_lineage(leads_on.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+                        .select("src", "dst"))
+        m = e.count()
+        if m == n:
+            return e
+        n = m
+
+
+def _colours(e: DataFrame) -> DataFrame:
+    """(id, colour): the smallest id that reaches each node, itself included."""
+    lab = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct().withColumn("colour", F.col("id"))
+    mark = None
+    while True:
+        for _ in range(ROUNDS_PER_TABLE):
+            come = e.join(lab, e["src"] == lab["id"]).select(F.col("dst").alias("id"), "colour")
+            lab = lab.union(come).groupBy("id").agg(F.min("colour").alias("colour"))
+        lab = cut_lineage(lab)
+        seen = lab.agg(F.sum(F.xxhash64("id", "colour").cast("decimal(38,0)"))).first()[0]
+        if seen == mark:
+            return lab
+        mark = seen
+
+
+def _roots_reached(e: DataFrame, lab: DataFrame) -> DataFrame:
+    """(id, colour) of the nodes that reach the root of their colour inside the colour."""
+    inside = e.join(lab.select(F.col("id").alias("src"), F.col("colour").alias("cs")), "src") \
+        .join(lab.select(F.col("id").alias("dst"), F.col("colour").alias("cd")), "dst") \
+        .where(F.col("cs") == F.col("cd")).select("src", "dst", F.col("cs").alias("colour"))
+    inside = cut_lineage(inside)
+    got = lab.where(F.col("id") == F.col("colour"))
+    n = -1
+    while True:
+        for _ in range(ROUNDS_PER_TABLE):
+            back = inside.join(got.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id"), "colour")
+            got = got.union(back).distinct()
+        got = cut_lineage(got)
+        m = got.count()
+        if m == n:
+            return got
+        n = m
+
+
+def cycle_components(edges: DataFrame) -> DataFrame:
+    """(node, component): every node on a cycle with the smallest node of its strongly connected component."""
+    loops = edges.where(F.col("src") == F.col("dst")).select(F.col("src").alias("node")).distinct()
+    found = loops.select("node", F.col("node").alias("component"))
+    e = peel(edges.where(F.col("src") != F.col("dst")))
+    while not e.isEmpty():
+        done = _roots_reached(e, _colours(e))
+        parts = done.groupBy("colour").agg(F.count(F.lit(1)).alias("n"))
+        big = done.join(parts.where("n > 1"), "colour").select(F.col("id").alias("node"), F.col("colour").alias("component"))
+        found = found.unionByName(big)
+        ids = done.select("id")
+        e = peel(e.join(ids, e["src"] == ids["id"], "left_anti").join(ids, F.col("dst") == ids["id"], "left_anti"))
+    # a self-loop inside a larger component belongs to that component
+    return found.groupBy("node").agg(F.min("component").alias("component"))
+
+
+def find_cycles(edges: DataFrame) -> DataFrame:
+    """G1: nodes on a cycle.
+
+    The reference lists one cycle per back edge of a depth-first walk, which
+    depends on visit order; the order-free answer is the set of nodes that
+    reach themselves.
     """
-    reach = reachability(edges)
-    return reach.where(F.col("src") == F.col("dst")).select(F.col("src").alias("node")).distinct(), reach
-
-
-def cycle_components(reach: DataFrame) -> DataFrame:
-    """Strongly connected component of every node on a cycle, named by its smallest member."""
-    r = reach.alias("a").join(reach.alias("b"), (F.col("a.src") == F.col("b.dst"))
-                              & (F.col("a.dst") == F.col("b.src")))
-    return r.groupBy(F.col("a.src").alias("node")).agg(F.min("a.dst").alias("component"))
+    return cycle_components(edges).select("node")
 
 
 def unguarded_loops(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes of loops (components) in which no node has a visit limit."""
-    _, reach = find_cycles(edges)
-    comp = cycle_components(reach)
+    comp = cycle_components(edges)
     guarded = comp.join(nodes.where(F.col("max_iterations").isNotNull()).select(F.col("id").alias("node")),
                         "node", "left_semi").select("component").distinct()
-    return comp.join(guarded, "component", "left_anti")
+    return comp.join(guarded, "component", "left_anti").select("node", "component")
 
 
 def sink_nodes(nodes: DataFrame, edges: DataFrame, branch_col: str = "is_branch") -> DataFrame:
@@ -94,83 +130,3 @@ def failure_route(failed: DataFrame, edges: DataFrame, nodes: DataFrame) -> Data
     fatal = summary.where((F.col("n_error") == 0) & ~((F.col("n_merge") > 0) & (F.col("n_merge") == F.col("n_normal")))) \
         .select("src", F.lit("fatal").alias("outcome"), F.lit(None).cast(edges.schema["dst"].dataType).alias("dst"))
     return on_error.unionByName(tolerated).unionByName(fatal).withColumnRenamed("src", "node")
-
-
-END = "__end__"
-
-
-def superstep_iterate(threads: DataFrame, node_updates: dict[str, dict[str, Column]],
-                      reducers: dict[str, str], edges: Sequence[tuple[str, str, str | None]],
-                      entry: str, max_steps: int = 25, cut_every: int = 5) -> DataFrame:
-    """Advance every thread together, one superstep per round.
-
-    ``threads``: one row per thread with ``thread_id`` and the initial value
-    of every channel in ``reducers`` (channel -> last | sum).
-    ``node_updates``: node -> {channel: expression over the state before the step}.
-    ``edges``: declared (source, target, when) in order; ``when`` is a Spark
-    SQL predicate over the state after the step (None = always); target
-    ``__end__`` ends the branch.
-
-    A thread is one row: its channels plus its frontier (an array of node
-    ids, bounded by the graph).  A step is a pure projection of that row --
-    every frontier node's writes fold into the channels with their reducers
-    (in frontier order), then every declared edge is tested on the new state
-    and the targets form the next frontier -- so a step costs no shuffle and
-    threads never meet.  A thread stops with an empty frontier
-    (``finished``) or after ``max_steps`` steps (``max_steps``).  The state
-    is written to the checkpoint folder every ``cut_every`` steps, where the
-    driver also reads its one termination count.
-    """
-    channels = list(reducers)
-    types = {ch: threads.schema[ch].dataType for ch in channels}
-    state = threads.select("thread_id", *channels, F.lit(0).alias("steps"),
-                           F.array(F.lit(entry)).alias("frontier"))
-    for step in range(max_steps):
-        active = F.size("frontier") > 0
-        new_vals = []
-        for ch in channels:
-            writers = {n: u[ch] for n, u in node_updates.items() if ch in u}
-            if not writers:
-                new_vals.append(F.col(ch))
-                continue
-            if reducers[ch] == "sum":
-                delta = F.aggregate("frontier", F.lit(0).cast(types[ch]), _sum_step(writers, types[ch]))
-                new_vals.append((F.col(ch) + delta).cast(types[ch]).alias(ch))
-            else:
-                last = F.aggregate("frontier", F.lit(None).cast(types[ch]), _last_step(writers, types[ch]))
-                new_vals.append(F.coalesce(last, F.col(ch)).alias(ch))
-        s1 = state.select("thread_id", *new_vals,
-                          F.when(active, F.lit(step + 1)).otherwise(F.col("steps")).alias("steps"), "frontier")
-        decl = F.array(*[F.struct(F.lit(src).alias("src"), F.lit(dst).alias("dst"),
-                                  (F.coalesce(F.expr(when), F.lit(False)) if when else F.lit(True)).alias("ok"))
-                         for src, dst, when in edges])
-        nxt = F.array_distinct(F.flatten(F.transform(
-            "frontier", lambda n: F.transform(F.filter(decl, lambda e: (e["src"] == n) & e["ok"]),
-                                              lambda e: e["dst"]))))
-        state = s1.withColumn("frontier", F.filter(nxt, lambda d: d != END))
-        if (step + 1) % cut_every == 0 or step == max_steps - 1:
-            state = cut_lineage(state)
-            if state.where(F.size("frontier") > 0).limit(1).count() == 0:
-                break
-    return state.select("thread_id", *channels, "steps",
-                        F.when(F.size("frontier") > 0, F.lit("max_steps")).otherwise(F.lit("finished"))
-                        .alias("status"))
-
-
-def _sum_step(writers, dtype):
-    def step(acc, n):
-        return acc + F.coalesce(_node_case(n, writers).cast(dtype), F.lit(0).cast(dtype))
-    return step
-
-
-def _last_step(writers, dtype):
-    def step(acc, n):
-        return F.coalesce(_node_case(n, writers).cast(dtype), acc)
-    return step
-
-
-def _node_case(node: Column, by_node: dict[str, Column]) -> Column:
-    expr = None
-    for n, e in by_node.items():
-        expr = F.when(node == n, e) if expr is None else expr.when(node == n, e)
-    return expr if expr is not None else F.lit(None)

@@ -41,16 +41,14 @@ def step_usage(ckpts: DataFrame) -> DataFrame:
     is still spread over many tasks.
     """
     start = ckpts.groupBy("run_id").agg(F.min("saved_at").alias("_start"))
-    s = ordered_scan(ckpts.select("run_id", "step", "step_tokens", "saved_at"), ["run_id"], ["step"],
-                     running={"tokens_after": "step_tokens"},
-                     running_before={"tokens_before": "step_tokens"})
+    s = ordered_scan(ckpts.select("run_id", "step", "step_tokens", "step_cost_micros", "saved_at"), ["run_id"], ["step"],
+                     running={"tokens_after": "step_tokens", "cost_micros_after": "step_cost_micros"},
+                     running_before={"tokens_before": "step_tokens", "cost_micros_before": "step_cost_micros"})
     s = s.join(start, "run_id")
     el = (F.unix_micros(F.col("saved_at").cast("timestamp"))
           - F.unix_micros(F.col("_start").cast("timestamp"))) / 1e6
     return s.select("run_id", "step", "tokens_before", "tokens_after",
-                    (F.col("tokens_before") * 3).alias("cost_micros_before"),
-                    (F.col("tokens_after") * 3).alias("cost_micros_after"),
-                    el.alias("elapsed_s"))
+                    "cost_micros_before", "cost_micros_after", el.alias("elapsed_s"))
 
 
 def guard_trip(usage: DataFrame, max_steps: int | None = 25, tokens: float | None = None,
@@ -101,12 +99,18 @@ def visit_guard(visits: DataFrame, nodes: DataFrame, keys: Sequence[str] = ("run
 def retry_schedule(failures: DataFrame, keys: Sequence[str] = ("run_id", "node_id"), order: str = "seq",
                    attempts: int = 3, base: float = 0.5, factor: float = 2.0, max_delay: float = 60.0,
                    jitter: bool = False, seed: int = 0) -> DataFrame:
-    """Retry delays.  Attempt n of a (run, node) is its nth failure; only transient
-    failures with attempts left are retried; delay = min(base * factor^(n-1), max_delay),
-    raised to ``retry_after`` when given; ``wait_s`` is the running total of delays.
-    With ``jitter`` the delay is uniform in its upper half, drawn from a seeded hash."""
-    f = ordered_scan(failures, list(keys), [order], index="attempt")
-    f = f.where((F.col("kind") == "transient") & (F.col("attempt") < attempts))
+    """Retry delays.  Attempt n is the nth failure of a visit of a node (``keys`` name the
+    visit); a visit ends at its first deterministic error or when its attempts are used up, and
+    nothing after that is retried; delay = min(base * factor^(n-1), max_delay), raised to
+    ``retry_after`` when given; ``wait_s`` is the running total of the visit's delays.
+    With ``jitter`` the delay is uniform in its upper half, drawn from a seeded hash.
+
+    Only the first ``attempts`` failures of a visit can matter, so the window keeps that many
+    rows per visit before the shuffle."""
+    first = Window.partitionBy(*keys).orderBy(order)
+    f = failures.withColumn("attempt", F.row_number().over(first).cast("long")).where(F.col("attempt") < attempts)
+    ended = F.min(F.when(F.col("kind") != "transient", F.col("attempt"))).over(Window.partitionBy(*keys))
+    f = f.withColumn("_end", ended).where(F.col("_end").isNull() | (F.col("attempt") < F.col("_end"))).drop("_end")
     d = F.least(F.lit(base) * F.pow(F.lit(factor), F.col("attempt") - 1), F.lit(max_delay))
     if jitter:
         u = (F.xxhash64(F.lit(seed), *[F.col(k) for k in keys], F.col("attempt")).bitwiseAND(0xFFFFFF)
@@ -114,7 +118,8 @@ def retry_schedule(failures: DataFrame, keys: Sequence[str] = ("run_id", "node_i
         d = d / 2 + u * d / 2
     d = F.when(F.col("retry_after").isNotNull(), F.greatest(d, F.col("retry_after"))).otherwise(d)
     f = f.withColumn("delay_s", d)
-    return ordered_scan(f, list(keys), [order], running={"wait_s": "delay_s"})
+    upto = first.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return f.withColumn("wait_s", F.sum("delay_s").over(upto))
 
 
 # Event type -> display status of a node.
@@ -160,9 +165,13 @@ def first_success(attempts: DataFrame, order: Sequence[str], item: str = "item",
     """Fallback chain.  Per item the first variant, in declared ``order``, that has a
     successful attempt; attempts are counted up to and including the first success of
     each variant tried.  No success anywhere gives the static fallback row, marked
-    ``degraded``, costing one more attempt."""
+    ``degraded``, costing one more attempt.  Attempts of variants outside ``order`` are not
+    part of the chain; an item with only those gets the static row."""
     rank = F.array_position(F.array(*[F.lit(v) for v in order]), F.col(variant))
-    a = attempts.withColumn("_rank", rank).where(F.col("_rank") > 0)
+    a = attempts.withColumn("_rank", F.when(rank > 0, rank))
+    none = a.groupBy(item).agg(F.count("_rank").alias("_n")).where(F.col("_n") == 0).select(
+        item, F.lit("static").alias("variant"), F.lit(True).alias("degraded"), F.lit(1).cast("long").alias("attempts"))
+    a = a.where(F.col("_rank").isNotNull())
     firsts = a.groupBy(item, variant, "_rank").agg(
         F.min(F.when(F.col(ok), F.col(attempt))).alias("_first_ok"))
     a = a.join(firsts.drop("_rank"), [item, variant], "inner")
@@ -179,7 +188,7 @@ def first_success(attempts: DataFrame, order: Sequence[str], item: str = "item",
     degraded = F.col("_best").isNull()
     return res.select(item, F.when(degraded, F.lit("static")).otherwise(F.col("_var")).alias("variant"),
                       degraded.alias("degraded"),
-                      F.when(degraded, F.col("_att") + 1).otherwise(F.col("_att")).alias("attempts"))
+                      F.when(degraded, F.col("_att") + 1).otherwise(F.col("_att")).alias("attempts")).unionByName(none)
 
 
 def node_budget(usage: DataFrame, budgets: DataFrame, keys: Sequence[str] = ("run_id", "node_id"),

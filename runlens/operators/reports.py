@@ -31,7 +31,8 @@ def _sum_if(cond: Column, value: Column) -> Column:
 
 
 def node_metrics(events: DataFrame) -> DataFrame:
-    """A1: per run and node.  Interrupts and run-level events do not create node rows."""
+    """A1: per run and node.  Interrupts and run-level events do not create node rows; no
+    attempts, or 0 of them, count as one."""
     t = F.col("type")
     fin = t == "node_finished"
     rows = events.where(F.col("node_id").isNotNull() & (t != "interrupt_raised")
@@ -39,7 +40,7 @@ def node_metrics(events: DataFrame) -> DataFrame:
     return rows.groupBy("run_id", "node_id").agg(
         _count_if(fin).alias("runs"),
         _sum_if(fin, F.col("duration_ms")).alias("latency_ms"),
-        _sum_if(fin, F.coalesce(F.col("attempts"), F.lit(1))).alias("attempts"),
+        _sum_if(fin, F.when(F.col("attempts") != 0, F.col("attempts")).otherwise(1)).alias("attempts"),
         _count_if(t == "node_retrying").alias("retries"),
         _count_if(t == "node_fallback").alias("fallbacks"),
         _count_if(t == "node_failed").alias("failures"),
@@ -58,15 +59,18 @@ def run_report(events: DataFrame) -> DataFrame:
     Status is the last terminal event by ``seq`` (``running`` without one);
     a failure preceded by a ``guard_tripped`` event reports ``guard_tripped``.
     Duration is max(ts) - min(ts) in whole microseconds.  Node sums follow A1's rules.
+    ``workflow`` is the graph of the last start event; ``dead_letters`` the largest number
+    that a terminal event carries in ``dead_letters`` (a log without that column has none).
     """
     t = F.col("type")
     node_row = (F.col("node_id").isNotNull() & (t != "interrupt_raised")
                 & ~t.isin(*TERMINAL_STATUS) & (t != "run_started"))
     fin = node_row & (t == "node_finished")
     term = F.when(t.isin(*TERMINAL_STATUS), F.struct(F.col("seq"), t.alias("type")))
+    letters = F.col("dead_letters") if "dead_letters" in events.columns else F.lit(0)
     agg = events.groupBy("run_id").agg(
         F.max("thread_id").alias("thread_id"),
-        F.max(F.when(t == "run_started", F.col("graph"))).alias("workflow"),
+        F.max_by(F.coalesce("graph", F.lit("")), F.when(t == "run_started", F.col("seq"))).alias("workflow"),
         F.max_by(term, F.when(term.isNotNull(), F.col("seq"))).alias("_last_term"),
         F.min(F.when(t == "guard_tripped", F.col("seq"))).alias("_guard_seq"),
         F.coalesce(F.max("step"), F.lit(0)).alias("steps"),
@@ -76,7 +80,7 @@ def run_report(events: DataFrame) -> DataFrame:
         _count_if(fin).alias("nodes_run"),
         _count_if(node_row & (t == "node_retrying")).alias("retries"),
         _count_if(node_row & (t == "node_fallback")).alias("fallbacks"),
-        _count_if(node_row & (t == "node_failed")).alias("dead_letters"),
+        F.coalesce(F.max(F.when(term.isNotNull(), letters)), F.lit(0)).cast("long").alias("dead_letters"),
         _count_if(t == "interrupt_raised").alias("interventions"))
     status = F.coalesce(_terminal_status(F.col("_last_term.type")), F.lit("running"))
     status = F.when((status == "failed") & (F.col("_guard_seq") < F.col("_last_term.seq")),
@@ -90,12 +94,15 @@ def run_report(events: DataFrame) -> DataFrame:
 
 
 def checkpoint_metrics(ckpts: DataFrame) -> DataFrame:
-    """Cumulative metrics of the newest checkpoint per run (what a resume would see)."""
-    return ckpts.groupBy("run_id").agg(
-        F.max("step").alias("ckpt_step"),
-        F.sum("step_tokens").cast("long").alias("ckpt_tokens"),
-        (F.sum("step_tokens") * 3 / 10).cast("long").alias("ckpt_cost_micros"),
-        F.sum("frontier_size").cast("long").alias("ckpt_nodes_run"))
+    """Cumulative metrics of the newest checkpoint per run (what a resume would see).
+
+    ``ckpts`` carries running totals (total_tokens, total_cost_micros, total_nodes_run);
+    the row with the largest ``ckpt_id`` counts, whatever was lost before it."""
+    last = ckpts.groupBy("run_id").agg(F.max_by(F.struct(
+        "step", "total_tokens", "total_cost_micros", "total_nodes_run"), "ckpt_id").alias("c"))
+    return last.select("run_id", F.col("c.step").alias("ckpt_step"), F.col("c.total_tokens").alias("ckpt_tokens"),
+                       F.col("c.total_cost_micros").alias("ckpt_cost_micros"),
+                       F.col("c.total_nodes_run").alias("ckpt_nodes_run"))
 
 
 def metrics_override(report: DataFrame, ckpt_metrics: DataFrame) -> DataFrame:

@@ -1,19 +1,17 @@
-"""User-function surface (X1-X6): item maps, named functions, judges, trace diffs,
-nested graphs and handoff chains.
+"""User-function surface (X1-X4, X6): item maps, named functions, judges, trace
+comparison and handoff chains.
 
-Python runs only inside Arrow-batched pandas UDFs (or ``applyInPandas`` for
-the per-pair diff), on data Spark has already partitioned; everything
-around it -- fan-out, ordering, joins, aggregation -- is built-in.
+Python runs only inside Arrow-batched pandas UDFs, on data Spark has already
+partitioned; everything around it -- ordering, joins, aggregation -- is built-in.
 """
 
 from __future__ import annotations
 
-import difflib
 import importlib
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -44,25 +42,38 @@ def _guarded(fn: Callable, rtype: str):
 
 def map_items(df: DataFrame, key: str, items: str, fn: Callable, rtype: str = "long",
               on_error: str = "skip") -> DataFrame:
-    """Apply ``fn`` to every item of a list column and collect the results in order.
+    """Apply ``fn`` to every item of a list column; results and errors keep the items' order.
 
-    Null outputs are kept; ``count`` is the number of successful items.
+    Null items are items like any other: they are run and counted, and null
+    outputs are kept.  ``count`` is the number of successful items.
     ``on_error='skip'`` records failed items as (index, error, type);
-    ``on_error='fail'`` fails the row with its first error.  Items of a row
-    are gathered back per row (bounded by the row's own list).
+    ``on_error='fail'`` fails the row with its first error.  The function runs
+    over the row's own list inside Arrow batches, so nothing is shuffled and
+    rows with the same key stay rows of their own.
     """
     if on_error not in ("skip", "fail"):
         raise ValueError("on_error must be 'skip' or 'fail'")
-    ex = df.select(key, F.posexplode_outer(items).alias("idx", "item"))
-    ex = ex.withColumn("r", _guarded(fn, rtype)(F.col("item")))
-    ok = F.col("item").isNotNull() & F.col("r.error").isNull()
-    bad = F.col("item").isNotNull() & F.col("r.error").isNotNull()
-    g = ex.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.when(ok, F.struct("idx", F.col("r.value").alias("v"))))),
-                    lambda s: s["v"]).alias("results"),
-        F.array_sort(F.collect_list(F.when(bad, F.struct("idx", F.col("r.error").alias("error"),
-                                                         F.col("r.error_type").alias("error_type"))))).alias("errors"),
-        F.count_if(ok).alias("count"), F.count_if(F.col("item").isNotNull()).alias("items"))
+
+    @pandas_udf(f"array<struct<idx: int, value: {rtype}, error: string, error_type: string>>")
+    def run(lists: pd.Series) -> pd.Series:
+        out = []
+        for row in lists:
+            got = []
+            for idx, item in enumerate(row if row is not None else []):
+                try:
+                    got.append({"idx": idx, "value": fn(item), "error": None, "error_type": None})
+                except Exception as exc:  # noqa: BLE001 - a user function's failure is data
+                    got.append({"idx": idx, "value": None, "error": str(exc), "error_type": type(exc).__name__})
+            out.append(got)
+        return pd.Series(out, dtype=object)
+
+    done = df.select(key, run(F.col(items)).alias("_r"))
+    good = F.filter("_r", lambda r: r["error_type"].isNull())
+    bad = F.filter("_r", lambda r: r["error_type"].isNotNull())
+    g = done.select(key, F.transform(good, lambda r: r["value"]).alias("results"),
+                    F.transform(bad, lambda r: F.struct(r["idx"].alias("idx"), r["error"].alias("error"),
+                                                        r["error_type"].alias("error_type"))).alias("errors"),
+                    F.size(good).cast("long").alias("count"), F.size("_r").cast("long").alias("items"))
     failed = F.size("errors") > 0
     if on_error == "fail":
         return g.select(key, F.when(failed, F.lit("failed")).otherwise("ok").alias("status"),
@@ -115,46 +126,19 @@ def judge_with(fn: Callable, args: Sequence[Column], min_score: float | None = N
 
 
 def trace_fingerprints(lines: DataFrame, key: str, order: str, line: str = "line") -> DataFrame:
-    """Per trace: (lines, order-sensitive hash) -- algebraic, so a long trace is never gathered."""
+    """Per trace: lines and two wide sums of hashes of (position, line) -- algebraic, so a long
+    trace is never gathered."""
     pos = ordered_scan(lines.select(key, order, line), [key], [order], index="_pos")
-    return pos.groupBy(key).agg(F.count(F.lit(1)).alias("n_lines"),
-                                F.sum(F.xxhash64(F.col("_pos"), F.col(line)) % (1 << 40)).alias("fingerprint"))
+    wide = "decimal(38,0)"
+    return pos.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum(F.xxhash64(F.col("_pos"), F.col(line)).cast(wide)).alias("sum_a"),
+        F.sum(F.xxhash64(F.col(line), F.lit("b"), F.col("_pos")).cast(wide)).alias("sum_b"))
 
 
 def trace_equal(a_fp: DataFrame, b_fp: DataFrame, key: str) -> DataFrame:
     j = a_fp.alias("a").join(b_fp.alias("b"), key)
-    return j.select(key, ((F.col("a.n_lines") == F.col("b.n_lines"))
-                          & (F.col("a.fingerprint") == F.col("b.fingerprint"))).alias("equal"))
-
-
-def trace_diff(a: DataFrame, b: DataFrame, key: str, order: str, line: str = "line") -> DataFrame:
-    """Unified line diff (one line of context, headers dropped) of the traces of each
-    case in ``a`` and ``b``.  Equal pairs are removed first by fingerprint, so
-    only differing traces reach ``difflib`` (one case per pandas group)."""
-    eq = trace_equal(trace_fingerprints(a, key, order, line), trace_fingerprints(b, key, order, line), key)
-    differ = eq.where(~F.col("equal")).select(F.col(key).alias("_case"))
-    a2 = a.join(differ, F.col(key) == F.col("_case"), "left_semi").select(key, order, line)
-    b2 = b.join(differ, F.col(key) == F.col("_case"), "left_semi").select(key, order, line)
-    key_type = a.schema[key].dataType.simpleString()
-
-    def diff(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        name = left[key].iloc[0] if len(left) else right[key].iloc[0]
-        la = left.sort_values(order)[line].tolist()
-        lb = right.sort_values(order)[line].tolist()
-        out = [ln for ln in difflib.unified_diff(la, lb, lineterm="", n=1)
-               if not ln.startswith(("---", "+++", "@@"))]
-        return pd.DataFrame({key: [name] * len(out), "diff_no": list(range(len(out))), "diff": out})
-
-    return a2.groupBy(key).cogroup(b2.groupBy(key)).applyInPandas(
-        diff, f"{key} {key_type}, diff_no int, diff string")
-
-
-def run_subgraph(parent: DataFrame, child: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """A named graph as one step of another: the child's final state and step count
-    per thread; any child status but ``finished`` is an error carrying the child's status."""
-    out = parent.transform(child)
-    return out.withColumn("error", F.when(F.col("status") != "finished", F.concat(
-        F.lit(f"subgraph '{name}' ended with status "), F.col("status"))))
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("n_lines", "sum_a", "sum_b")]
+    return j.select(key, (same[0] & same[1] & same[2]).alias("equal"))
 
 
 HANDOFF_PREFIX = "handoff_to_"
@@ -168,5 +152,5 @@ def handoff_chain(calls: DataFrame, keys: Sequence[str], order: str, source: str
     h = calls.select(*keys, order, F.col(source).alias("source"),
                      F.regexp_extract(first, f"^{HANDOFF_PREFIX}(.+)$", 1).alias("target"),
                      reason.alias("reason")).where(F.col("target").isNotNull() & (F.col("target") != ""))
-    v = ordered_scan(h, [*keys, "target"], [order], index="visit")
-    return v.where(F.col("visit") <= max_visits)
+    first_visits = Window.partitionBy(*keys, "target").orderBy(order)
+    return h.withColumn("visit", F.row_number().over(first_visits).cast("long")).where(F.col("visit") <= max_visits)

@@ -32,12 +32,15 @@ SELECT run_id, thread_id, CAST(seq AS BIGINT) AS seq, CAST(floor((seq - 1) / 2)
     CASE WHEN type = 'run_started' THEN concat('wf', CAST(user_id % 5 AS STRING)) END AS graph,
     CAST(floor(value * 10) AS BIGINT) AS duration_ms, CAST(k * 10 AS BIGINT) AS tokens,
     CAST(k * 3 AS BIGINT) AS cost_micros, CAST(1 + k % 3 AS INT) AS attempts,
-    k % 10 = 0 AS cached, event_id FROM t
+    k % 10 = 0 AS cached, event_id,
+    CASE WHEN type IN ('run_finished', 'run_failed', 'run_interrupted', 'run_cancelled') THEN k % 4 END AS dead_letters
+FROM t
 """
 
 VIEWS["checkpoints"] = """
 SELECT thread_id, run_id, step, min(event_id) AS ckpt_id, max(ts) AS saved_at,
     CAST(sum(CASE WHEN type = 'node_finished' THEN tokens ELSE 0 END) AS BIGINT) AS step_tokens,
+    CAST(sum(CASE WHEN type = 'node_finished' THEN cost_micros ELSE 0 END) AS BIGINT) AS step_cost_micros,
     max(CASE WHEN type = 'interrupt_raised' THEN node_id END) AS pending_node,
     count(node_id) AS frontier_size
 FROM run_log GROUP BY thread_id, run_id, step
@@ -82,13 +85,16 @@ FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM even
 """
 
 VIEWS["edges_g"] = """
-SELECT DISTINCT o_custkey % 40 AS src, (o_orderkey * 3) % 40 AS dst FROM orders WHERE o_orderkey < 60
+SELECT o_custkey AS src, o_custkey - o_custkey % 40 + max(o_orderkey) * 7 % 40 AS dst FROM orders GROUP BY o_custkey
 """
 
 VIEWS["nodes_g"] = """
-SELECT DISTINCT o_custkey % 40 AS id, CASE WHEN o_custkey % 40 % 5 = 0 THEN 3 END AS max_iterations FROM orders
+SELECT id, CASE WHEN id % 3 = 0 AND id // 8 % 16 = 0 THEN 3 END AS max_iterations
+FROM (SELECT c_custkey AS id FROM customer UNION SELECT dst FROM edges_g) x
 """
 
+DEPENDS["nodes_g"] = ("edges_g",)
+
 VIEWS["templates"] = """
 SELECT n_nationkey AS id, concat('Hello <nation.name>, region <region.name>: $', '{HOME_DIR} secret://key_',
     CAST(n_regionkey AS STRING)) AS template FROM nation

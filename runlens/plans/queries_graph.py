@@ -1,4 +1,4 @@
-"""Registered queries: graph operators."""
+"""Registered queries: graph operators."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..sources import fixtures as fx
-from ..sources.tables import table
 from .fixture_sql import with_views
 from .registry import register
 
@@ -20,14 +19,7 @@ WITH RECURSIVE reach(src, dst) AS (
 @register("find_cycles", with_views(REACH_SQL + "SELECT DISTINCT src AS node FROM reach WHERE src = dst",
                                     "edges_g"), "G1")
 def q_find_cycles(spark, sf):
-    nodes, _ = G.find_cycles(fx.edges_g(spark, sf))
-    return nodes
-
-
-@register("reachability", with_views(REACH_SQL + "SELECT src, dst FROM reach", "edges_g"), "G1")
-def q_reachability(spark, sf):
-    _, reach = G.find_cycles(fx.edges_g(spark, sf))
-    return reach
+    return G.find_cycles(fx.edges_g(spark, sf))
 
 
 @register("unguarded_loops", with_views(REACH_SQL + """,
@@ -48,7 +40,7 @@ def q_sink_nodes(spark, sf):
 
 @register("failure_route", with_views("""
 WITH e AS (SELECT src, dst, 'normal' AS kind FROM edges_g
-    UNION ALL SELECT id, (id + 1) % 40, 'on_error' FROM nodes_g WHERE id % 7 = 0),
+    UNION ALL SELECT id, id + 1, 'on_error' FROM nodes_g WHERE id % 7 = 0),
 n AS (SELECT id, id % 6 = 0 AS is_merge FROM nodes_g),
 f AS (SELECT DISTINCT id AS src FROM nodes_g WHERE id % 3 = 0),
 fe AS (SELECT f.src, e.dst, e.kind, coalesce(n.is_merge, false) AS is_merge
@@ -63,45 +55,8 @@ UNION ALL SELECT src, 'fatal', NULL FROM s WHERE ne = 0 AND NOT (nm > 0 AND nm =
 def q_failure_route(spark, sf):
     n = fx.nodes_g(spark, sf)
     edges = fx.edges_g(spark, sf).withColumn("kind", F.lit("normal")).unionByName(
-        n.where(F.col("id") % 7 == 0).select(F.col("id").alias("src"), ((F.col("id") + 1) % 40).alias("dst"),
+        n.where(F.col("id") % 7 == 0).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"),
                                             F.lit("on_error").alias("kind")))
     nodes = n.select("id", (F.col("id") % 6 == 0).alias("is_merge"))
     failed = n.where(F.col("id") % 3 == 0).select("id")
     return G.failure_route(failed, edges, nodes)
-
-
-# The counted loop: start -> count (repeats while counter < target) -> report -> end.
-LOOP_EDGES = [("start", "count", None), ("count", "count", "counter < target"),
-              ("count", "report", "counter >= target"), ("report", G.END, None)]
-LOOP_MAX_STEPS = 25
-CUT_EVERY = 5
-
-LOOP_SQL = f"""
-WITH RECURSIVE s(thread_id, node, counter, target, step, nxt) AS (
-    SELECT c_custkey, 'start', CAST(0 AS BIGINT), c_custkey % 30, 0, 'count' FROM customer
-    UNION ALL
-    SELECT thread_id, nxt, counter + CASE WHEN nxt = 'count' THEN 1 ELSE 0 END, target, step + 1,
-        CASE WHEN nxt = 'count' AND counter + 1 < target THEN 'count' WHEN nxt = 'count' THEN 'report' END
-    FROM s WHERE nxt IS NOT NULL AND step + 1 < {LOOP_MAX_STEPS})
-SELECT thread_id, CAST(counter AS BIGINT) AS counter, CAST(target AS BIGINT) AS target, node AS last_node,
-    CAST(step + 1 AS INT) AS steps, CASE WHEN nxt IS NULL THEN 'finished' ELSE 'max_steps' END AS status
-FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY step DESC) AS r FROM s) x WHERE r = 1"""
-
-
-def counted_loop(spark, sf):
-    threads = table(spark, sf, "customer").select(
-        F.col("c_custkey").alias("thread_id"), F.lit(0).cast("long").alias("counter"),
-        (F.col("c_custkey") % 30).cast("long").alias("target"), F.lit(None).cast("string").alias("last_node"))
-    updates = {"start": {"last_node": F.lit("start")},
-               "count": {"counter": F.lit(1).cast("long"), "last_node": F.lit("count")},
-               "report": {"last_node": F.lit("report")}}
-    reducers = {"counter": "sum", "target": "last", "last_node": "last"}
-    out = G.superstep_iterate(threads, updates, reducers, LOOP_EDGES, "start", LOOP_MAX_STEPS, cut_every=CUT_EVERY)
-    return out.select("thread_id", F.col("counter").cast("long").alias("counter"),
-                      F.col("target").cast("long").alias("target"), "last_node",
-                      F.col("steps").cast("int").alias("steps"), "status")
-
-
-@register("superstep_iterate", LOOP_SQL, "G4")
-def q_superstep_iterate(spark, sf):
-    return counted_loop(spark, sf)

@@ -233,7 +233,7 @@ def q_dedup_first(spark, sf):
 
 IMPLIED_SQL = """
 WITH implied AS (SELECT id AS src, id + 1 AS dst, 'goto' AS kind FROM nodes_g WHERE id % 10 = 0
-    UNION ALL SELECT id, (id * 7) % 40, 'goto' FROM nodes_g WHERE id % 4 = 0)
+    UNION ALL SELECT id, id * 7, 'goto' FROM nodes_g WHERE id % 4 = 0)
 SELECT DISTINCT i.src, i.dst, i.kind FROM implied i
 WHERE NOT EXISTS (SELECT 1 FROM edges_g e WHERE e.src = i.src AND e.dst = i.dst)"""
 
@@ -244,7 +244,7 @@ def q_implicit_edges(spark, sf):
     implied = n.where(F.col("id") % 10 == 0).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"),
                                                      F.lit("goto").alias("kind")) \
         .unionByName(n.where(F.col("id") % 4 == 0).select(F.col("id").alias("src"),
-                                                          ((F.col("id") * 7) % 40).alias("dst"),
+                                                          (F.col("id") * 7).alias("dst"),
                                                           F.lit("goto").alias("kind")))
     return U.implicit_edges(implied, fx.edges_g(spark, sf))
 

@@ -20,7 +20,7 @@ NODE_METRICS_SQL = with_views(f"""
 SELECT run_id, node_id,
     CAST(sum(CASE WHEN type = 'node_finished' THEN 1 ELSE 0 END) AS BIGINT) AS runs,
     CAST(sum(CASE WHEN type = 'node_finished' THEN duration_ms ELSE 0 END) AS BIGINT) AS latency_ms,
-    CAST(sum(CASE WHEN type = 'node_finished' THEN coalesce(attempts, 1) ELSE 0 END) AS BIGINT) AS attempts,
+    CAST(sum(CASE WHEN type = 'node_finished' THEN coalesce(nullif(attempts, 0), 1) ELSE 0 END) AS BIGINT) AS attempts,
     CAST(sum(CASE WHEN type = 'node_retrying' THEN 1 ELSE 0 END) AS BIGINT) AS retries,
     CAST(sum(CASE WHEN type = 'node_fallback' THEN 1 ELSE 0 END) AS BIGINT) AS fallbacks,
     CAST(sum(CASE WHEN type = 'node_failed' THEN 1 ELSE 0 END) AS BIGINT) AS failures,
@@ -33,7 +33,7 @@ GROUP BY run_id, node_id
 
 RUN_REPORT_BODY = f"""
 rr AS (SELECT run_id, max(thread_id) AS thread_id,
-    max(CASE WHEN type = 'run_started' THEN graph END) AS wf,
+    arg_max(coalesce(graph, ''), CASE WHEN type = 'run_started' THEN seq END) AS wf,
     arg_max(CASE WHEN type IN {TERMS} THEN type END, CASE WHEN type IN {TERMS} THEN seq END) AS last_term,
     max(CASE WHEN type IN {TERMS} THEN seq END) AS last_term_seq,
     min(CASE WHEN type = 'guard_tripped' THEN seq END) AS guard_seq,
@@ -44,7 +44,7 @@ rr AS (SELECT run_id, max(thread_id) AS thread_id,
     CAST(sum(CASE WHEN {NODE_ROW} AND type = 'node_finished' THEN 1 ELSE 0 END) AS BIGINT) AS nodes_run,
     CAST(sum(CASE WHEN {NODE_ROW} AND type = 'node_retrying' THEN 1 ELSE 0 END) AS BIGINT) AS retries,
     CAST(sum(CASE WHEN {NODE_ROW} AND type = 'node_fallback' THEN 1 ELSE 0 END) AS BIGINT) AS fallbacks,
-    CAST(sum(CASE WHEN {NODE_ROW} AND type = 'node_failed' THEN 1 ELSE 0 END) AS BIGINT) AS dead_letters,
+    CAST(coalesce(max(CASE WHEN type IN {TERMS} THEN dead_letters END), 0) AS BIGINT) AS dead_letters,
     CAST(sum(CASE WHEN type = 'interrupt_raised' THEN 1 ELSE 0 END) AS BIGINT) AS interventions
   FROM run_log GROUP BY run_id),
 run_report AS (SELECT run_id, thread_id, coalesce(wf, '') AS workflow,
@@ -140,10 +140,13 @@ def q_dead_letter_counts(spark, sf):
 
 
 @register("metrics_override", with_views("WITH " + RUN_REPORT_BODY + """,
-cm AS (SELECT run_id, max(step) AS ckpt_step, CAST(sum(step_tokens) AS BIGINT) AS ckpt_tokens,
-    CAST(sum(step_tokens) * 3 / 10 AS BIGINT) AS ckpt_cost_micros,
-    CAST(sum(frontier_size) AS BIGINT) AS ckpt_nodes_run
-  FROM checkpoints WHERE step % 3 <> 2 GROUP BY run_id)
+n AS (SELECT run_id, step, ckpt_id, sum(step_tokens) OVER w AS tok, sum(step_cost_micros) OVER w AS cost,
+        sum((SELECT count(*) FROM run_log l WHERE l.run_id = c.run_id AND l.step = c.step AND l.type = 'node_finished'))
+            OVER w AS nodes, row_number() OVER (PARTITION BY run_id ORDER BY ckpt_id DESC) AS newest
+    FROM checkpoints c WHERE substr(run_id, -1) <> '3'
+    WINDOW w AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+cm AS (SELECT run_id, step AS ckpt_step, CAST(tok AS BIGINT) AS ckpt_tokens, CAST(cost AS BIGINT) AS ckpt_cost_micros,
+    CAST(nodes AS BIGINT) AS ckpt_nodes_run FROM n WHERE newest = 1)
 SELECT r.run_id, thread_id, workflow, status, steps, duration_us,
     CASE WHEN cm.ckpt_step IS NOT NULL THEN ckpt_tokens ELSE tokens END AS tokens,
     CASE WHEN cm.ckpt_step IS NOT NULL THEN ckpt_cost_micros ELSE cost_micros END AS cost_micros,
@@ -152,9 +155,8 @@ SELECT r.run_id, thread_id, workflow, status, steps, duration_us,
 FROM run_report r LEFT JOIN cm ON r.run_id = cm.run_id""", "run_log", "checkpoints"), "J6")
 def q_metrics_override(spark, sf):
     log = _log(spark, sf)
-    # runs whose checkpoints were all lost (only step % 3 == 2 saved) keep event sums
-    ck = fx.checkpoints(log).where(F.col("step") % 3 != 2)
-    return R.metrics_override(R.run_report(log), R.checkpoint_metrics(ck))
+    # runs of which no checkpoint was kept have their event sums
+    return R.metrics_override(R.run_report(log), R.checkpoint_metrics(fx.cumulative_checkpoints(log)))
 
 
 @register("assign_seq", """

@@ -1,4 +1,4 @@
-"""Registered queries: user-function surface."""
+"""Registered queries: user-function surface."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from ..operators import udf as X
 from ..sources import fixtures as fx
 from ..sources.tables import table
 from .fixture_sql import with_views
-from .queries_graph import LOOP_SQL, counted_loop
 from .queries_payload import TRACE_DATA_SQL, WORDS_SQL
 from .registry import register
 
@@ -109,26 +108,6 @@ def q_trace_equal(spark, sf):
     return X.trace_equal(X.trace_fingerprints(a, "name", "seq"), X.trace_fingerprints(b, "name", "seq"), "name")
 
 
-@register("trace_diff", None, "X4")
-def q_trace_diff(spark, sf):
-    a, b = _trace_sides(spark, sf)
-    return X.trace_diff(a, b, "name", "seq")
-
-
-@register("run_subgraph", LOOP_SQL.replace(
-    "CASE WHEN nxt IS NULL THEN 'finished' ELSE 'max_steps' END AS status",
-    "CASE WHEN nxt IS NULL THEN NULL ELSE 'subgraph ''counter'' ended with status max_steps' END AS error")
-    .replace("node AS last_node,", ""), "X5")
-def q_run_subgraph(spark, sf):
-    parent = table(spark, sf, "customer").select("c_custkey")
-
-    def child(_df):
-        return counted_loop(spark, sf)
-
-    out = X.run_subgraph(parent, child, "counter")
-    return out.select("thread_id", "counter", "target", "steps", "error")
-
-
 @register("handoff_chain", with_views("""
 WITH c AS (SELECT run_id, seq, node_id AS source, CAST(tokens // 10 AS INT) AS k FROM run_log WHERE node_id IS NOT NULL),
 h AS (SELECT run_id, seq, source, concat('k=', CAST(k AS VARCHAR)) AS reason,

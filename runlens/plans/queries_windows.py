@@ -20,6 +20,10 @@ u AS (SELECT run_id, step,
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS tokens_before,
     CAST(sum(step_tokens) OVER (PARTITION BY run_id ORDER BY step
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS tokens_after,
+    CAST(coalesce(sum(step_cost_micros) OVER (PARTITION BY run_id ORDER BY step
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cost_before,
+    CAST(sum(step_cost_micros) OVER (PARTITION BY run_id ORDER BY step
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cost_after,
     (epoch_us(saved_at) - epoch_us(min(saved_at) OVER (PARTITION BY run_id))) / 1e6 AS elapsed_s
   FROM checkpoints)
 """
@@ -32,7 +36,7 @@ def _usage(spark, sf):
 @register("guard_trip", with_views("WITH " + USAGE_SQL + """,
 g AS (SELECT run_id, step, 0 AS g_no, 'max_steps' AS guard, CAST(step AS DOUBLE) AS used, CAST(12.0 AS DOUBLE) AS lim FROM u
   UNION ALL SELECT run_id, step, 1, 'tokens', CAST(tokens_before AS DOUBLE), 2000.0 FROM u
-  UNION ALL SELECT run_id, step, 2, 'cost_usd', CAST(tokens_before * 3 AS DOUBLE), 600.0 FROM u
+  UNION ALL SELECT run_id, step, 2, 'cost_usd', CAST(cost_before AS DOUBLE), 600.0 FROM u
   UNION ALL SELECT run_id, step, 3, 'deadline', elapsed_s, 432000.0 FROM u),
 t AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step, g_no) AS r FROM g WHERE used >= lim)
 SELECT run_id, step, guard, used, lim AS limit_value FROM t WHERE r = 1""", "checkpoints"), "W4")
@@ -43,7 +47,7 @@ def q_guard_trip(spark, sf):
 @register("budget_warnings", with_views("WITH " + USAGE_SQL + """,
 g AS (SELECT run_id, step, 'max_steps' AS guard, CAST(step + 1 AS DOUBLE) AS used, CAST(12.0 AS DOUBLE) AS lim FROM u
   UNION ALL SELECT run_id, step, 'tokens', CAST(tokens_after AS DOUBLE), 2000.0 FROM u
-  UNION ALL SELECT run_id, step, 'cost_usd', CAST(tokens_after * 3 AS DOUBLE), 600.0 FROM u
+  UNION ALL SELECT run_id, step, 'cost_usd', CAST(cost_after AS DOUBLE), 600.0 FROM u
   UNION ALL SELECT run_id, step, 'deadline', elapsed_s, 432000.0 FROM u)
 SELECT run_id, step, guard, used, lim AS limit_value FROM g
 WHERE CASE WHEN lim = 0 THEN 0.0 ELSE used / lim END >= 0.8""", "checkpoints"), "W5")
@@ -54,7 +58,7 @@ def q_budget_warnings(spark, sf):
 def _nodes(spark, sf):
     n = fx.nodes_g(spark, sf)
     return n.select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"), "max_iterations",
-                    F.when(F.col("id") % 10 == 0, F.concat(F.lit("n"), (F.col("id") + 1).cast("string")))
+                    F.when(F.col("id") % 2 == 0, F.concat(F.lit("n"), (F.col("id") + 1).cast("string")))
                      .alias("on_exhausted"))
 
 
@@ -63,7 +67,7 @@ WITH v AS (SELECT run_id, node_id, seq,
     CAST(row_number() OVER (PARTITION BY run_id, node_id ORDER BY seq) AS BIGINT) AS visit
   FROM run_log WHERE node_id IS NOT NULL),
 n AS (SELECT concat('n', CAST(id AS VARCHAR)) AS node_id, max_iterations,
-    CASE WHEN id % 10 = 0 THEN concat('n', CAST(id + 1 AS VARCHAR)) END AS on_exhausted FROM nodes_g)
+    CASE WHEN id % 2 = 0 THEN concat('n', CAST(id + 1 AS VARCHAR)) END AS on_exhausted FROM nodes_g)
 SELECT v.run_id, v.node_id, v.seq, v.visit, n.max_iterations,
     CASE WHEN n.on_exhausted IS NOT NULL THEN concat('exhausted->', n.on_exhausted) ELSE 'fatal' END AS outcome
 FROM v JOIN n ON v.node_id = n.node_id
@@ -108,20 +112,23 @@ def q_classify_error(spark, sf):
 
 
 @register("retry_schedule", with_views(f"""
-WITH f AS (SELECT run_id, node_id, seq, event_id, {FAIL_SQL_COLS}
+WITH f AS (SELECT run_id, node_id, seq // 40 AS visit, seq, event_id, {FAIL_SQL_COLS}
   FROM run_log WHERE type IN ('node_failed', 'node_retrying')),
 k AS (SELECT *, {KIND_SQL} AS kind, CASE WHEN status = 429 THEN CAST(1.5 AS DOUBLE) END AS retry_after,
-    CAST(row_number() OVER (PARTITION BY run_id, node_id ORDER BY seq) AS BIGINT) AS attempt FROM f),
+    CAST(row_number() OVER (PARTITION BY run_id, node_id, visit ORDER BY seq) AS BIGINT) AS attempt FROM f),
+s AS (SELECT *, min(CASE WHEN kind <> 'transient' THEN attempt END) OVER (PARTITION BY run_id, node_id, visit) AS stop
+    FROM k),
 d AS (SELECT *, CASE WHEN retry_after IS NOT NULL
         THEN greatest(least(0.5 * pow(2.0, attempt - 1), 60.0), retry_after)
         ELSE least(0.5 * pow(2.0, attempt - 1), 60.0) END AS delay_s
-  FROM k WHERE kind = 'transient' AND attempt < 3)
-SELECT *, sum(delay_s) OVER (PARTITION BY run_id, node_id ORDER BY seq
+  FROM s WHERE attempt < 3 AND (stop IS NULL OR attempt < stop))
+SELECT * EXCLUDE (stop), sum(delay_s) OVER (PARTITION BY run_id, node_id, visit ORDER BY seq
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS wait_s FROM d""", "run_log"), "W7")
 def q_retry_schedule(spark, sf):
-    f = _failures(spark, sf).withColumn(
-        "retry_after", F.when(F.col("status") == 429, F.lit(1.5)))
-    return G.retry_schedule(f)
+    # a visit of a node: a stretch of 40 events of the run
+    f = _failures(spark, sf).withColumn("retry_after", F.when(F.col("status") == 429, F.lit(1.5))) \
+        .withColumn("visit", F.floor(F.col("seq") / 40))
+    return G.retry_schedule(f, ["run_id", "node_id", "visit"])
 
 
 @register("node_status", with_views("""
@@ -186,7 +193,9 @@ b AS (SELECT item, min(CASE WHEN okv THEN rnk END) AS best FROM pv GROUP BY item
 r AS (SELECT pv.item, b.best, sum(used) AS att, arg_max(variant, rnk) AS var
     FROM pv JOIN b ON pv.item = b.item WHERE b.best IS NULL OR pv.rnk <= b.best GROUP BY pv.item, b.best)
 SELECT item, CASE WHEN best IS NULL THEN 'static' ELSE var END AS variant, best IS NULL AS degraded,
-    CAST(CASE WHEN best IS NULL THEN att + 1 ELSE att END AS BIGINT) AS attempts FROM r""", "candidates"), "A15")
+    CAST(CASE WHEN best IS NULL THEN att + 1 ELSE att END AS BIGINT) AS attempts FROM r
+UNION ALL SELECT item, 'static', true, CAST(1 AS BIGINT) FROM c GROUP BY item
+    HAVING count(CASE WHEN rnk > 0 THEN 1 END) = 0""", "candidates"), "A15")
 def q_first_success(spark, sf):
     c = fx.candidates(spark, sf)
     ok = F.coalesce(F.schema_of_variant(F.try_parse_json("response")).startswith("OBJECT"), F.lit(False))

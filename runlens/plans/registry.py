@@ -32,6 +32,6 @@ def register(name: str, sql: str | None = None, section: str = ""):
 
 def load_all() -> None:
     """Import every query module so their ``register`` calls run."""
-    from . import (queries_flow, queries_graph, queries_joins,  # noqa: F401
+    from . import (queries_graph, queries_joins,  # noqa: F401
                    queries_eval, queries_payload, queries_reports, queries_state, queries_streaming, queries_udf,
                    queries_windows)

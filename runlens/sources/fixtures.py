@@ -52,7 +52,8 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("k") * 3).cast("long").alias("cost_micros"),
         (1 + F.col("k") % 3).cast("int").alias("attempts"),
         (F.col("k") % 10 == 0).alias("cached"),
-        "event_id")
+        "event_id", F.when(F.col("type").isin("run_finished", "run_failed", "run_interrupted", "run_cancelled"),
+                           F.col("k") % 4).alias("dead_letters"))
 
 
 def checkpoints(log: DataFrame) -> DataFrame:
@@ -62,10 +63,22 @@ def checkpoints(log: DataFrame) -> DataFrame:
         F.max("ts").alias("saved_at"),
         F.sum(F.when(F.col("type") == "node_finished", F.col("tokens")).otherwise(0))
          .cast("long").alias("step_tokens"),
+        F.sum(F.when(F.col("type") == "node_finished", F.col("cost_micros")).otherwise(0))
+         .cast("long").alias("step_cost_micros"),
         F.max(F.when(F.col("type") == "interrupt_raised", F.col("node_id"))).alias("pending_node"),
         F.count("node_id").alias("frontier_size"))
 
 
+def cumulative_checkpoints(log: DataFrame) -> DataFrame:
+    """Checkpoints as a run saves them: each carries the run's totals up to its step.  Of some
+    runs none was kept."""
+    ck = checkpoints(log).where(F.substring("run_id", -1, 1) != "3")
+    done = log.groupBy("run_id", "step").agg(F.count_if(F.col("type") == "node_finished").alias("step_nodes"))
+    ck = ck.join(done, ["run_id", "step"])
+    return ordered_scan(ck, ["run_id"], ["step"], running={
+        "total_tokens": "step_tokens", "total_cost_micros": "step_cost_micros", "total_nodes_run": "step_nodes"})
+
+
 def writes(log: DataFrame) -> DataFrame:
     """Channel writes: every finished node writes one value to one channel."""
     return log.where(F.col("type") == "node_finished").select(
@@ -118,15 +131,20 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges_g(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graphs of 40 customers each: an edge per customer that has orders, to one that its newest order picks."""
     o = table(spark, sf_dir, "orders")
-    return o.where(F.col("o_orderkey") < 60).select(
-        (F.col("o_custkey") % 40).alias("src"), ((F.col("o_orderkey") * 3) % 40).alias("dst")).distinct()
+    first = F.col("src") - F.col("src") % 40
+    return o.groupBy(F.col("o_custkey").alias("src")).agg(F.max("o_orderkey").alias("newest")) \
+        .select("src", (first + F.col("newest") * 7 % 40).alias("dst"))
 
 
 def nodes_g(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    i = F.col("o_custkey") % 40
-    return o.select(i.alias("id"), F.when(i % 5 == 0, F.lit(3)).alias("max_iterations")).distinct()
+    """A node per customer and per edge target; every third of some stretches of ids has a visit limit."""
+    i = F.col("id")
+    limited = (i % 3 == 0) & (F.floor(i / 8) % 16 == 0)
+    ids = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")) \
+        .union(edges_g(spark, sf_dir).select("dst")).distinct()
+    return ids.select("id", F.when(limited, F.lit(3)).alias("max_iterations"))
 
 
 def templates(spark: SparkSession, sf_dir: str) -> DataFrame:

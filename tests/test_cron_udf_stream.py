@@ -29,6 +29,10 @@ def test_map_items_skip_and_fail(spark):
     assert skip.results == [2, None, 3] and skip["count"] == 3 and skip.errors[0].idx == 2
     fail = X.map_items(df, "id", "items", samples.word_len, "long", "fail").first()
     assert fail.status == "failed" and "digit" in fail.error
+    nulls = spark.createDataFrame([(1, ["ab", None]), (1, ["abc"]), (2, None)], "id int, items array<string>")
+    got = sorted((r.id, r["items"], r["count"], len(r.errors)) for r in X.map_items(
+        nulls, "id", "items", lambda w: len(w), "long", "skip").collect())
+    assert got == [(1, 1, 1, 0), (1, 2, 1, 1), (2, 0, 0, 0)]  # a null item is run; equal keys stay apart
 
 
 def test_resumed_stream_equals_batch(spark):
@@ -37,22 +41,3 @@ def test_resumed_stream_equals_batch(spark):
     batch = ev.groupBy(F.window(F.col("ts").cast("timestamp"), "15 minutes").alias("w")).count()
     exp = {(r.w.start, r["count"]) for r in batch.collect()}
     assert got == exp
-
-
-def test_trace_diff_matches_difflib(spark):
-    import difflib
-
-    from runlens.plans import queries_udf as QU
-    a, b = QU._trace_sides(spark, "/root/testdata/sf0.001")
-    got = {}
-    for r in X.trace_diff(a, b, "name", "seq").collect():
-        got.setdefault(r.name, []).append((r.diff_no, r.diff))
-    pa, pb = a.toPandas(), b.toPandas()
-    exp = {}
-    for name in set(pa.name) & set(pb.name):
-        la = pa[pa.name == name].sort_values("seq").line.tolist()
-        lb = pb[pb.name == name].sort_values("seq").line.tolist()
-        d = [ln for ln in difflib.unified_diff(la, lb, lineterm="", n=1) if not ln.startswith(("---", "+++", "@@"))]
-        if d:
-            exp[name] = list(enumerate(d))
-    assert {k: sorted(v) for k, v in got.items()} == exp

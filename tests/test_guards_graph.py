@@ -1,4 +1,4 @@
-"""Guards, retries, barrier, graph fixpoint and superstep iteration on small tables."""
+"""Guards, retries, barrier, cycles on small tables."""
 
 from pyspark.sql import functions as F
 
@@ -35,18 +35,16 @@ def test_merge_barrier_missing_counts_as_skipped(spark):
     assert got == {"t1": (1, 1, 1, False), "t2": (1, 0, 2, True)}
 
 
-def test_reachability_and_cycles(spark):
-    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "src long, dst long")
-    nodes, reach = G.find_cycles(e)
-    assert sorted(r.node for r in nodes.collect()) == [1, 2, 3]
-    assert (1, 4) in {(r.src, r.dst) for r in reach.collect()}
+def test_cycles_and_components(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 5), (6, 7), (8, 8), (9, 1), (10, 11),
+                               (11, 12), (12, 10), (12, 14), (14, 12)], "src long, dst long")
+    assert sorted(r.node for r in G.find_cycles(e).collect()) == [1, 2, 3, 5, 6, 8, 10, 11, 12, 14]
+    comp = {r.node: r.component for r in G.cycle_components(e).collect()}
+    assert comp == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 8: 8, 10: 10, 11: 10, 12: 10, 14: 10}
+    nodes = spark.createDataFrame([(2, 3), (8, None), (14, 1)], "id long, max_iterations int")
+    assert sorted(r.node for r in G.unguarded_loops(e, nodes).collect()) == [5, 6, 8]
 
 
-def test_superstep_counted_loop(spark):
-    threads = spark.createDataFrame([(1, 0, 3), (2, 0, 40)], "thread_id long, counter long, target long")
-    edges = [("start", "count", None), ("count", "count", "counter < target"),
-             ("count", G.END, "counter >= target")]
-    out = G.superstep_iterate(threads, {"count": {"counter": F.lit(1).cast("long")}},
-                              {"counter": "sum", "target": "last"}, edges, "start", max_steps=10)
-    got = {r.thread_id: (r.counter, r.steps, r.status) for r in out.collect()}
-    assert got == {1: (3, 4, "finished"), 2: (9, 10, "max_steps")}
+def test_graph_without_cycles(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")
+    assert G.find_cycles(e).count() == 0
