@@ -141,23 +141,6 @@ def dig_path(df: DataFrame, col: str, dotted: str, out: str) -> DataFrame:
 
 # ------------------------------------------------------------------ F2 extract_json
 
-def extract_json(text: str | Column) -> Column:
-    """first JSON object in chatty text: a fenced block's body first, then the span
-    from the first ``{`` to the last ``}``.  struct(json, error)."""
-    t = _c(text)
-    body = F.when(t.rlike(FENCE_PATTERN), F.regexp_extract(t, FENCE_PATTERN, 1)).otherwise(t)
-    start = F.instr(body, "{")
-    last = F.length(body) - F.instr(F.reverse(body), "}") + 1
-    has_end = F.instr(body, "}") > 0
-    found = (start > 0) & has_end & (last > start)
-    span = F.when(found, F.substring(body, start, last - start + 1))
-    ok = F.try_parse_json(span).isNotNull()
-    err = (F.when(t.isNull(), F.lit("no text"))
-           .when(~found, F.lit("no JSON object found in response"))
-           .when(~ok, F.lit("invalid JSON")))
-    return F.struct(F.when(err.isNull(), span).alias("json"), err.alias("error"))
-
-
 def with_extracted_json(df: DataFrame, col: str, out: str) -> DataFrame:
     """F2 as a DataFrame step: add ``out`` = struct(json, error).
 
@@ -198,13 +181,14 @@ def _coerce(v: Column, typ: str, k: Column) -> tuple[Column, Column]:
         ok = ((k == "int") | (k == "bool") | ((k == "float") & (d == F.floor(d)))
               | ((k == "str") & F.trim(s).rlike(r"^[+-]?\d+$")))
         val = F.when(k == "bool", F.try_variant_get(v, "$", "boolean").cast("long")) \
-            .when(k == "str", F.trim(s).cast("long")).otherwise(F.try_variant_get(v, "$", "long"))
+            .when(k == "str", F.trim(s).try_cast("long")).otherwise(F.try_variant_get(v, "$", "long"))
+        ok = ok & val.isNotNull()   # a number that does not fit is not a valid int of this engine
         return F.when(ok, val), ok
     if typ == "float":
         ok = k.isin("int", "float", "bool") | ((k == "str") & F.trim(s).rlike(
             r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"))
         val = F.when(k == "bool", F.try_variant_get(v, "$", "boolean").cast("double")) \
-            .when(k == "str", F.trim(s).cast("double")).otherwise(F.try_variant_get(v, "$", "double"))
+            .when(k == "str", F.trim(s).try_cast("double")).otherwise(F.try_variant_get(v, "$", "double"))
         return F.when(ok, val), ok
     if typ == "bool":
         low = F.lower(F.trim(s))
@@ -225,11 +209,14 @@ def _coerce(v: Column, typ: str, k: Column) -> tuple[Column, Column]:
     return F.when(ok, F.to_json(v)), ok
 
 
-def validate_schema(df: DataFrame, col: str, schema: dict[str, str], out: str) -> DataFrame:
+def validate_schema(df: DataFrame, col: str, schema: dict[str, str], out: str,
+                    raw: str | None = None) -> DataFrame:
     """add ``out`` = struct(valid, error, <field>...) for required typed fields under
     lax coercion.  The JSON is parsed once and each field read once (materialised
     columns), so the row expression stays small.
 
+    With ``raw`` the text of that column comes along under ``text`` in valid rows, unless the
+    schema declares a field of that name.
     An unknown type name is an error at once (on the driver), as in the reference.
     """
     for name, typ in schema.items():
@@ -254,6 +241,8 @@ def validate_schema(df: DataFrame, col: str, schema: dict[str, str], out: str) -
                     .when(~F.col(okc), F.lit(f"{name}: not a valid {typ}")))
     err = F.when(F.col(root).isNull(), F.lit("not JSON")).otherwise(F.concat_ws("; ", *errs))
     err = F.when(err == "", F.lit(None)).otherwise(err)
+    if raw is not None and "text" not in schema:
+        fields.append(F.when(err.isNull(), F.col(raw)).alias("text"))
     d = d.withColumn(out, F.struct(err.isNull().alias("valid"), err.alias("error"), *fields))
     return d.drop(*tmp)
 
@@ -265,15 +254,27 @@ def estimate_tokens(text: str | Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(_c(text)) / 4).cast("long"))
 
 
+def ascii_json(text: Column) -> Column:
+    """JSON text with every character beyond ASCII written as \\u escapes (two for those beyond 16 bits)."""
+    def unit(code: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code)), 4, "0"))
+
+    def escape(c: Column) -> Column:
+        code = F.ascii(c)
+        high, low = F.lit(0xD800) + F.floor((code - 0x10000) / 1024), F.lit(0xDC00) + (code - 0x10000) % 1024
+        return F.when(code < 128, c).when(code < 0x10000, unit(code)).otherwise(F.concat(unit(high), unit(low)))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(F.split(text, ""), escape), "")) \
+        .otherwise(text)
+
+
 def canonical_json(struct_col: Column) -> Column:
-    """Canonical JSON text: keys sorted at every level, no spaces, nulls kept.
+    """Canonical JSON text: keys of structs and maps sorted at every level, no spaces, nulls kept, ASCII only.
 
-    Field order of a struct is its sort order, so callers build the struct
-    with sorted field names (``canonical_struct``).  Matches Python's
-    ``json.dumps(sort_keys=True, separators=(',', ':'))`` for ASCII text,
+    Read back as a variant, whose objects hold their keys in order.  Matches
+    Python's ``json.dumps(sort_keys=True, separators=(',', ':'))`` for texts,
     integers, booleans and nulls.
     """
-    return F.to_json(struct_col, {"ignoreNullFields": "false"})
+    return ascii_json(F.to_json(F.parse_json(F.to_json(struct_col, {"ignoreNullFields": "false"}))))
 
 
 def canonical_struct(fields: dict[str, Column]) -> Column:
@@ -291,7 +292,7 @@ def parse_duration(text: str | Column) -> Column:
     """struct(seconds, error) for '500ms', '20s', '15m', '1h', '1d' or a plain number."""
     t = _c(text)
     ok = t.rlike(DURATION_PATTERN)
-    num = F.regexp_extract(t, DURATION_PATTERN, 1).cast("double")
+    num = F.regexp_extract(t, DURATION_PATTERN, 1).try_cast("double")
     unit = F.regexp_extract(t, DURATION_PATTERN, 2)
     factor = F.lit(1.0)
     for u, f in DURATION_FACTORS.items():
@@ -316,16 +317,18 @@ def typed_literal(text: str | Column) -> Column:
 
 def slugify(text: str | Column) -> Column:
     """first four lowercase alphanumeric runs joined by '_', default 'workflow'."""
-    words = F.slice(F.regexp_extract_all(F.lower(_c(text)), F.lit("[a-z0-9]+"), 0), 1, 4)
-    s = F.array_join(words, "_")
+    # one match from the start holds the first four runs, however long the text is
+    head = F.regexp_extract(F.lower(_c(text)), "^[^a-z0-9]*+((?:[a-z0-9]++[^a-z0-9]*+){0,4})", 1)
+    s = F.regexp_replace(F.regexp_replace(head, "[^a-z0-9]+", "_"), "_$", "")
     return F.when((s == "") | s.isNull(), F.lit("workflow")).otherwise(s)
 
 
 def normalize_url(url: str | Column, kind: str = "openai") -> Column:
-    """struct(origin, host, port, alias) from a bare host, host:port or full URL.
+    """struct(origin, host, port, alias, error) from a bare host, host:port or full URL.
 
     The path is dropped; a missing port is 443 for https and 80 otherwise;
-    the alias uses ``local`` for loopback hosts and ``_`` for dots.
+    the alias uses ``local`` for loopback hosts and ``_`` for dots.  A port beyond 65535
+    gives an error and no origin, port or alias.
     """
     raw = F.trim(_c(url))
     raw = F.when(F.instr(raw, "://") > 0, raw).otherwise(F.concat(F.lit("http://"), raw))
@@ -339,14 +342,16 @@ def normalize_url(url: str | Column, kind: str = "openai") -> Column:
     host = F.when(host == "", F.lit("localhost")).otherwise(host)
     port_txt = F.when(v6 != "", F.regexp_extract(hostport, r"^\[[^\]]*\]:(\d+)$", 1)) \
         .otherwise(F.regexp_extract(hostport, r":(\d+)$", 1))
-    explicit = F.when(port_txt != "", port_txt.cast("int"))
+    explicit = F.when(port_txt != "", port_txt.try_cast("int"))
+    bad = (port_txt != "") & (explicit.isNull() | (explicit > 65535))
     port = F.coalesce(explicit, F.when(scheme == "https", F.lit(443)).otherwise(F.lit(80)))
     netloc_out = F.when(explicit.isNotNull(), F.concat(host, F.lit(":"), explicit.cast("string"))).otherwise(host)
     prefix = "ollama" if kind == "ollama" else "openai"
     alias = F.when(host.isin(*LOOPBACK_HOSTS), F.concat(F.lit(f"{prefix}_local_"), port.cast("string"))) \
         .otherwise(F.concat(F.lit(f"{prefix}_"), F.translate(host, ".", "_"), F.lit("_"), port.cast("string")))
-    return F.struct(F.concat(scheme, F.lit("://"), netloc_out).alias("origin"), host.alias("host"),
-                    port.alias("port"), alias.alias("alias"))
+    return F.struct(F.when(~bad, F.concat(scheme, F.lit("://"), netloc_out)).alias("origin"), host.alias("host"),
+                    F.when(~bad, port).alias("port"), F.when(~bad, alias).alias("alias"),
+                    F.when(bad, F.concat(F.lit("bad port "), port_txt)).alias("error"))
 
 
 def parse_ts(text: str | Column) -> Column:
@@ -369,26 +374,45 @@ def secret_names(text: str | Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(_c(text), F.lit(SECRET_PATTERN), 1))
 
 
+def fill_once(template: Column, pattern: str, open_: str, close: str, values: Column) -> Column:
+    """Replace every placeholder of ``template`` that ``values`` (map name -> text) holds, in one pass.
+
+    The template is cut once into literals and names and put together again,
+    so a value that looks like a placeholder stays as it is.
+    """
+    # the number of literals is one more than that of names
+    literals = F.split(template, pattern, -1)
+    names = F.regexp_extract_all(template, F.lit(pattern), 1)
+
+    def piece(literal: Column, name: Column) -> Column:
+        kept = F.concat(F.lit(open_), name, F.lit(close))
+        return F.concat(literal, F.when(name.isNull(), F.lit("")).otherwise(
+            F.coalesce(F.try_element_at(values, name), kept)))
+    return F.array_join(F.zip_with(literals, names, piece), "")
+
+
 def interpolate(template: str | Column, bindings: dict[str, Column]) -> Column:
-    """struct(text, value, unresolved).
+    """struct(text, value, value_type, unresolved).
 
-    ``text``: every ``<ref>`` with a binding replaced by the value as text.
-    ``value``: for a template that is exactly one ref, the bound value as text
-    of its own (the typed value itself is ``bindings[ref]``).
-    ``unresolved``: refs left without a binding (an error in the reference).
+    ``text``: every ``<ref>`` with a binding replaced by the value as text, in one pass.
+    ``value``: for a template that is exactly one ref, the bound value as JSON
+    text, so that its type is kept, and in ``value_type`` the name of that type.
+    ``unresolved``: refs without a binding (an error in the reference).
     """
     t = _c(template)
-    out = t
-    for name, col in bindings.items():
-        out = F.replace(out, F.lit(f"<{name}>"), F.coalesce(col.cast("string"), F.lit("None")))
+    pairs = [x for name, col in bindings.items() for x in (F.lit(name), F.coalesce(col.cast("string"), F.lit("None")))]
+    values = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
     single = F.regexp_extract(F.trim(t), f"^{REF_PATTERN}$", 1)
-    value = None
+    value, kind = F.when(F.lit(False), F.lit("")), F.when(F.lit(False), F.lit(""))
     for name, col in bindings.items():
-        value = F.when(single == name, col.cast("string")) if value is None else \
-            value.when(single == name, col.cast("string"))
-    left = F.array_distinct(F.regexp_extract_all(out, F.lit(REF_PATTERN), 1))
-    return F.struct(out.alias("text"), (value if value is not None else F.lit(None)).alias("value"),
-                    left.alias("unresolved"))
+        # a one-field object keeps the JSON form of the value, whatever its type
+        json = F.to_json(F.struct(col.alias("v")), {"ignoreNullFields": "false"})
+        value = value.when(single == name, F.substring(json, F.lit(6), F.length(json) - 6))
+        kind = kind.when(single == name, F.typeof(col))
+    left = F.array_distinct(F.filter(F.regexp_extract_all(t, F.lit(REF_PATTERN), 1),
+                                     lambda r: ~r.isin(*bindings) if bindings else F.lit(True)))
+    return F.struct(fill_once(t, REF_PATTERN, "<", ">", values).alias("text"), value.alias("value"),
+                    kind.alias("value_type"), left.alias("unresolved"))
 
 
 def summarize_text(text: str | Column, limit: int = 200) -> Column:
@@ -459,14 +483,22 @@ def words(text: str | Column) -> Column:
 
 # ------------------------------------------------------------------ F13 Python semantics
 
-def floordiv(a: Column, b: Column) -> Column:
-    """``a // b``: floor of the quotient (integers stay integral)."""
-    return F.floor(a / b)
+def floordiv(a: Column, b: Column, kind: str = "int") -> Column:
+    """``a // b``: floor of the quotient; null for a zero divisor (an error in Python).
+
+    ``kind='int'`` divides whole numbers exactly, ``'float'`` goes through double.
+    """
+    if kind == "float":
+        return F.when(b != 0, F.floor(a / b).cast("double"))
+    q = F.call_function("div", a, b)
+    down = (a % b != 0) & ((a % b < 0) != (b < 0))
+    return F.when(b != 0, q - F.when(down, 1).otherwise(0))
 
 
 def pymod(a: Column, b: Column) -> Column:
-    """``a % b`` with the sign of the divisor."""
-    return a - b * F.floor(a / b)
+    """``a % b`` with the sign of the divisor; null for a zero divisor."""
+    r = a % b
+    return F.when(b != 0, F.when((r != 0) & ((r < 0) != (b < 0)), r + b).otherwise(r))
 
 
 def round_even(a: Column, digits: int = 0) -> Column:

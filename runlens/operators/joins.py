@@ -102,7 +102,8 @@ def route_webhooks(hooks: DataFrame, triggers: DataFrame) -> tuple[DataFrame, Da
     is_obj = F.coalesce(F.schema_of_variant(F.try_parse_json("body")).startswith("OBJECT"), F.lit(False))
     body_map = F.from_json(F.col("body"), "map<string,string>")
     static = F.coalesce(F.col("t.input"), F.create_map().cast("map<string,string>"))
-    run_input = F.when((F.col("t.input_from") == "body") & is_obj, F.map_concat(static, body_map)).otherwise(static)
+    run_input = F.when((F.col("t.input_from") == "body") & is_obj, F.map_concat(
+        F.map_filter(static, lambda k, v: ~F.map_contains_key(body_map, k)), body_map)).otherwise(static)
     routed = routed.select(*hooks.columns, F.col("t.trigger_id").alias("trigger_id"),
                            F.col("t.workflow").alias("workflow"), run_input.alias("run_input"))
     unmatched = h.join(index, "path_key", "left_anti").drop("path_key")

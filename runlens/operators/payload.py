@@ -3,12 +3,13 @@ F8, F17, F19, F20, F22)."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from ..functions import scalars as S
 from ..plans.broadcast import bounded_broadcast
@@ -97,7 +98,6 @@ REDACT_PATTERNS = (
     r"\b\d{16}\b",
 )
 MASK = "[REDACTED]"
-TOKEN_CHARS = r"[A-Za-z0-9_\-]"
 
 
 def redact_patterns(text: Column, patterns: Sequence[str] = REDACT_PATTERNS, mask: str = MASK) -> Column:
@@ -107,40 +107,66 @@ def redact_patterns(text: Column, patterns: Sequence[str] = REDACT_PATTERNS, mas
     return out
 
 
+VALUE_BLOCK = 50_000   # known values that one automaton holds
+
+
 def redact(df: DataFrame, key: str, col: str, values: DataFrame | None = None,
-           patterns: Sequence[str] = REDACT_PATTERNS, mask: str = MASK) -> DataFrame:
+           patterns: Sequence[str] = REDACT_PATTERNS, mask: str = MASK, block: int = VALUE_BLOCK) -> DataFrame:
     """Mask known sensitive values and patterns in a text column.
 
-    Patterns are regex replacements on the whole text.  Known values (a
-    one-column DataFrame ``value``, any size) are matched as whole tokens:
-    each text yields only its candidate tokens -- runs of token characters
-    whose length is within the values' length range -- and those are
-    semi-joined to the values (broadcast when proven small, a shuffle join
-    otherwise).  Only texts with a hit are rewritten, each with its own
-    (row-bounded) list of hits.  An empty or missing value set leaves the
-    pattern result unchanged.
+    Every occurrence of every known value (a one-column DataFrame ``value``,
+    any characters, any number) is masked, inside longer words too; where
+    occurrences overlap, all their characters go under one mask.  Then the
+    patterns are replaced in what is left between the masks' texts.
+
+    The values are searched for together, by an automaton over at most
+    ``block`` of them.  A larger set is dealt into blocks by hash, and the spans
+    that the blocks find in a row's own text are joined before anything is cut.
     """
-    base = df.withColumn(col, redact_patterns(F.col(col), patterns, mask))
-    if values is None:
-        return base
-    # the value set and the per-row hits are small derived tables: written once to the
-    # checkpoint folder, so the size checks and the joins do not rescan the texts
-    vals = cut_lineage(values.select(F.col("value").alias("_v")).where(
-        (F.col("_v") != "") & F.col("_v").rlike(f"^{TOKEN_CHARS}+$")).distinct())
-    lens = vals.agg(F.min(F.length("_v")).alias("lo"), F.max(F.length("_v")).alias("hi")).first()
-    if lens is None or lens["lo"] is None:
-        return base
-    cand = f"(?<!{TOKEN_CHARS}){TOKEN_CHARS}{{{lens['lo']},{lens['hi']}}}(?!{TOKEN_CHARS})"
-    toks = df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(col), F.lit(cand), 0)))
-                     .alias("_tok"))
-    hits = toks.join(bounded_broadcast(vals), F.col("_tok") == F.col("_v"), "left_semi")
-    per_row = bounded_broadcast(cut_lineage(hits.groupBy(key).agg(F.collect_set("_tok").alias("_hits"))))
-    out = base.join(per_row, key, "left")
-    masked = F.aggregate(
-        F.coalesce(F.col("_hits"), F.array().cast("array<string>")), F.col(col),
-        lambda acc, v: F.regexp_replace(acc, F.concat(F.lit(f"(?<!{TOKEN_CHARS})\\Q"), v,
-                                                      F.lit(f"\\E(?!{TOKEN_CHARS})")), F.lit(mask)))
-    return out.withColumn(col, masked).drop("_hits")
+    vals = None if values is None else cut_lineage(values.select(F.col("value").cast("string").alias("_v"))
+                                                   .where(F.col("_v") != "").distinct())
+    n = 0 if vals is None else vals.count()
+    out = df
+    if n:
+        blocks = -(-n // block)
+        found = []
+        for i in range(blocks):
+            # a block holds about ``block`` values, whatever their number is in all
+            some = [r[0] for r in vals.where(F.pmod(F.xxhash64("_v"), F.lit(blocks)) == i).collect()]
+            found.append(_value_spans(some)(F.col(col)))
+        spans = F.array_sort(F.flatten(F.array(*found)))
+        out = df.withColumn("_spans", spans)
+        out = out.withColumn(col, F.when(F.size("_spans") > 0, _cut_spans(F.col(col), F.col("_spans"), mask))
+                             .otherwise(F.col(col))).drop("_spans")
+    return out.withColumn(col, redact_patterns(F.col(col), patterns, mask))
+
+
+def _value_spans(some: list[str]):
+    """Spans (start, end) of all occurrences of the values in a text; an Arrow-batched search."""
+    @F.pandas_udf("array<struct<a: int, b: int>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+        search = ahocorasick.Automaton()
+        for v in some:
+            search.add_word(v, len(v))
+        search.make_automaton()
+        for texts in batches:
+            yield pd.Series([[{"a": end + 1 - k, "b": end + 1} for end, k in search.iter(t)] if t else []
+                             for t in texts], dtype=object)
+    return run
+
+
+def _cut_spans(text: Column, spans: Column, mask: str) -> Column:
+    """The text with the union of sorted spans masked: what lies between the spans, and a mask for each run."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def step(acc: Column, s: Column) -> Column:
+        fresh = (s["a"] >= acc["at"]) if mask else F.lit(True)
+        between = F.substring(text, acc["at"] + 1, F.greatest(s["a"] - acc["at"], F.lit(0)))
+        return F.struct(F.when(fresh, F.concat(acc["out"], between, F.lit(mask))).otherwise(acc["out"]).alias("out"),
+                        F.greatest(acc["at"], s["b"]).alias("at"))
+    return F.aggregate(spans, start, step, lambda acc: F.concat(
+        acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
 def secret_values(df: DataFrame, col: str) -> DataFrame:
@@ -171,50 +197,66 @@ def fresh_only(df: DataFrame, ts: str, now: str, ttl_s: float = 86400.0) -> Data
 
 
 def fill_env(df: DataFrame, key: str, col: str, env: DataFrame) -> DataFrame:
-    """F8: ``${NAME}`` replaced from an (name, value) table; unknown names stay as they are.
+    """F8: ``${NAME}`` replaced from an (name, value) table, in one pass; unknown names stay as they are.
 
     The names of each row are exploded, joined to the env table (broadcast
-    after a size check) and folded back into the row's text.
+    after a size check) and come back as the row's map of values; a value
+    that looks like a placeholder is not filled again.
     """
     names = df.select(key, F.explode(S.env_names(col)).alias("name"))
-    hit = names.join(bounded_broadcast(env.select("name", "value")), "name", "inner")
-    pairs = hit.groupBy(key).agg(F.collect_list(F.struct("name", "value")).alias("_pairs"))
-    j = df.join(pairs, key, "left")
-    filled = F.aggregate(F.coalesce(F.col("_pairs"), F.array().cast("array<struct<name:string,value:string>>")),
-                         F.col(col), lambda acc, p: F.replace(acc, F.concat(F.lit("${"), p["name"], F.lit("}")),
-                                                              p["value"]))
-    return j.withColumn(col, filled).drop("_pairs")
-
-
-MAX_LEAVES = 8
-MAX_DEPTH = 4
+    known = env.groupBy("name").agg(F.max("value").alias("value"))
+    hit = names.join(bounded_broadcast(known), "name", "inner").distinct()
+    pairs = hit.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("_values"))
+    values = F.coalesce(F.col("_values"), F.create_map().cast("map<string,string>"))
+    return df.join(pairs, key, "left").withColumn(
+        col, S.fill_once(F.col(col), S.ENV_PATTERN, "${", "}", values)).drop("_values")
+
+
+def leaf_paths(schema: DataType) -> list[tuple[tuple[str | int, ...], tuple[int, ...]]]:
+    """Every leaf below a type, in schema order: its steps (field names, 0 for a list's first
+    element) and the positions that order it."""
+    todo: list[tuple[DataType, tuple, tuple]] = [(schema, (), ())]
+    leaves = []
+    for dtype, steps, place in todo:   # grows while it is read: a flat queue, level by level
+        if isinstance(dtype, StructType):
+            todo += [(f.dataType, (*steps, f.name), (*place, n)) for n, f in enumerate(dtype.fields)]
+        elif isinstance(dtype, ArrayType):
+            todo.append((dtype.elementType, (*steps, 0), (*place, 0)))
+        elif steps:
+            leaves.append((steps, place))
+    return sorted(leaves, key=lambda leaf: leaf[1])
+
+
+def leaf_names(paths: Sequence[tuple[str | int, ...]]) -> list[str | None]:
+    """A name per path: its last field; where that is taken, the whole path; None where that is taken too."""
+    given: dict[str, int] = {}
+    out: list[str | None] = []
+    for steps in paths:
+        fields = [s for s in steps if isinstance(s, str)]
+        long = "".join(str(s) if isinstance(s, int) else f"_{s}" for s in steps).lstrip("_")
+        free = [n for n in ([fields[-1]] if fields else []) + [long] if n and n not in given]
+        out.append(free[0] if free else None)
+        if free:
+            given[free[0]] = len(out)
+    return out
 
 
-def flatten_leaves(df: DataFrame, col: str) -> DataFrame:
-    """nested struct column -> leaf columns.  Arrays are followed through their
-    first element; a name clash uses the joined path; at most 8 leaves, 4 levels.
+def flatten_leaves(df: DataFrame, col: str, max_leaves: int | None = None, max_depth: int | None = None) -> DataFrame:
+    """nested struct column -> leaf columns, all of them unless a bound is given.
 
-    The walk is over the schema on the driver; the data is one ``select``.
+    Lists are followed through their first element (null where a list is
+    empty); a name clash uses the joined path.  Only the schema is walked on
+    the driver; the data is one ``select``.
     """
-    out: list[tuple[str, Column]] = []
-    names: set[str] = set()
-
-    def walk(dtype, expr: Column, path: str, name: str, depth: int) -> None:
-        if len(out) >= MAX_LEAVES or depth > MAX_DEPTH:
-            return
-        if isinstance(dtype, StructType):
-            for f in dtype.fields:
-                walk(f.dataType, expr.getField(f.name), f"{path}.{f.name}", f.name, depth + 1)
-        elif isinstance(dtype, ArrayType):
-            walk(dtype.elementType, expr.getItem(0), f"{path}[0]", name, depth + 1)
-        elif path != "$":
-            field = name if name not in names else path[2:].replace(".", "_").replace("[0]", "0")
-            if field and field not in names:
-                names.add(field)
-                out.append((field, expr))
-
-    walk(df.schema[col].dataType, F.col(col), "$", "", 0)
-    return df.select(*[e.alias(n) for n, e in out])
+    paths = [steps for steps, _ in leaf_paths(df.schema[col].dataType) if max_depth is None or len(steps) <= max_depth]
+    named = [(n, steps) for n, steps in zip(leaf_names(paths), paths) if n is not None][:max_leaves]
+    out = []
+    for name, steps in named:
+        value = F.col(col)
+        for s in steps:
+            value = F.get(value, s) if isinstance(s, int) else value.getField(s)
+        out.append(value.alias(name))
+    return df.select(*out)
 
 
 def word_fanout(df: DataFrame, key: str, col: str) -> DataFrame:

@@ -27,8 +27,8 @@ def implicit_edges(implied: DataFrame, declared: DataFrame) -> DataFrame:
 
 
 def set_gap(want: DataFrame, have: DataFrame, key: str) -> DataFrame:
-    """Wanted keys that are not had (anti join), kept in key order."""
-    return want.select(key).distinct().join(have.select(key).distinct(), key, "left_anti").orderBy(key)
+    """Wanted keys that are not had (anti join)."""
+    return want.select(key).distinct().join(have.select(key).distinct(), key, "left_anti")
 
 
 def ref_union(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -46,9 +46,10 @@ def pick_preferred(df: DataFrame, group: str, prefs: Sequence[Column], has_model
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
 
 
-def preferred_order(df: DataFrame, local: Column, latency: str) -> DataFrame:
-    """K2: the full ordering, local first then latency (a range-partitioned sort)."""
-    return df.orderBy((~local).asc(), F.col(latency).asc())
+def preferred_order(df: DataFrame, local: Column, latency: str, tie: str, groups: Sequence[str]) -> DataFrame:
+    """K2: the full ordering per group: local rows first, then by latency, ties by ``tie``; ``place`` from 1."""
+    w = Window.partitionBy(*groups).orderBy((~local).asc(), F.col(latency).asc(), F.col(tie).asc())
+    return df.withColumn("place", F.row_number().over(w))
 
 
 def category_list(df: DataFrame, col: str) -> DataFrame:

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import json_kind
 from ..plans.broadcast import bounded_broadcast
 from ..plans.ordered import ordered_scan
 
@@ -21,12 +22,18 @@ FOLD_KEYS = ("thread_id", "run_id", "channel")
 
 
 def reduce_last(writes: DataFrame, keys: Sequence[str] = FOLD_KEYS, value: str = "value",
-                order: str = "seq", default: Column | None = None) -> DataFrame:
-    """Last write wins; a key without writes keeps ``default``."""
-    out = writes.groupBy(*keys).agg(F.max_by(F.col(value), F.col(order)).alias("value"))
-    if default is not None:
-        out = out.withColumn("value", F.coalesce("value", default))
-    return out
+                order: str = "seq", default: Column | None = None, declared: DataFrame | None = None) -> DataFrame:
+    """Last write wins, a last write of null included.
+
+    With ``declared`` (the keys that exist) keys without any write get a row
+    too; their value is ``default``.
+    """
+    out = writes.groupBy(*keys).agg(F.max_by(F.struct(F.col(value).alias("value")), F.col(order)).alias("_last"))
+    if declared is not None:
+        out = declared.select(*keys).distinct().join(out, list(keys), "left")
+    # presence of a write decides, not its value
+    return out.select(*keys, F.when(F.col("_last").isNotNull(), F.col("_last.value"))
+                      .otherwise(default if default is not None else F.lit(None)).alias("value"))
 
 
 def reduce_sum(writes: DataFrame, keys: Sequence[str] = FOLD_KEYS, value: str = "value",
@@ -65,24 +72,30 @@ def reduce_merge_map(writes: DataFrame, keys: Sequence[str] = FOLD_KEYS, key: st
 
 
 def fold_state(writes: DataFrame, channels: DataFrame, keys: Sequence[str] = ("thread_id", "run_id"),
-               value: str = "value", order: str = "seq") -> DataFrame:
+               value: str = "value", order: str = "seq", elements: str | None = None) -> DataFrame:
     """Fold every channel with its declared reducer; one summary row per (keys, channel).
 
     ``value`` is the scalar state for last/sum; ``size`` the element or key
-    count for list and map channels (their contents are in the long-form folds).
+    count for list and map channels (their contents are in the long-form folds); an
+    ``extend`` write adds the elements of its ``elements`` list, or one element.
+    Writes to channels that are not declared come back with reducer ``undeclared``
+    (an error in the reference) and their number in ``size``.
     Channel declarations are a small dimension, broadcast after a size check.
     """
-    w = writes.join(bounded_broadcast(channels.select("channel", "reducer")), "channel", "inner")
+    w = writes.join(bounded_broadcast(channels.select("channel", "reducer")), "channel", "left") \
+        .withColumn("reducer", F.coalesce("reducer", F.lit("undeclared")))
+    added = F.coalesce(F.size(elements), F.lit(0)) if elements else F.lit(1)
     r = F.col("reducer")
     agg = w.groupBy(*keys, "channel", "reducer").agg(
         F.max_by(F.col(value), F.col(order)).alias("_last"),
         F.sum(F.coalesce(F.col(value), F.lit(0))).alias("_sum"),
-        F.count(F.lit(1)).alias("_n"),
+        F.count(F.lit(1)).alias("_n"), F.sum(added).alias("_elements"),
         F.count_distinct(F.col("map_key")).alias("_nkeys"))
     return agg.select(
         *keys, "channel", "reducer",
         F.when(r == "last", F.col("_last")).when(r == "sum", F.col("_sum")).cast("long").alias("value"),
-        F.when(r.isin("append", "extend"), F.col("_n")).when(r == "merge_dict", F.col("_nkeys"))
+        F.when(r.isin("append", "undeclared"), F.col("_n")).when(r == "extend", F.col("_elements"))
+         .when(r == "merge_dict", F.col("_nkeys"))
          .cast("long").alias("size"))
 
 
@@ -95,20 +108,6 @@ def changed_channels(writes: DataFrame, keys: Sequence[str] = ("run_id", "step")
         F.array_join(F.array_sort(F.collect_set("channel")), ",").alias("changed"))
 
 
-def json_kind(text: Column) -> Column:
-    """Python-like type name of a JSON text: int, float, str, bool, list, dict, null."""
-    t = F.schema_of_variant(F.try_parse_json(text))
-    return (F.when(text.isNull(), F.lit("null"))
-            .when(t == "VOID", "null")
-            .when(t == "BOOLEAN", "bool")
-            .when(t.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "int")
-            .when(t.startswith("DECIMAL") | (t == "DOUBLE") | (t == "FLOAT"), "float")
-            .when(t == "STRING", "str")
-            .when(t.startswith("ARRAY"), "list")
-            .when(t.startswith("OBJECT"), "dict")
-            .otherwise("invalid"))
-
-
 # Which value kinds each declared channel type accepts
 # (a bool is an int, an int or bool is a float; null fits every type).
 TYPE_ACCEPTS = {
@@ -122,15 +121,16 @@ TYPE_ACCEPTS = {
 
 
 def check_channel_type(writes: DataFrame, channels: DataFrame, value_json: str = "value_json") -> DataFrame:
-    """writes whose JSON value does not fit the channel's declared type."""
+    """writes whose JSON value does not fit the channel's declared type, and all writes to
+    channels that are not declared (``declared`` is null)."""
     w = writes.join(bounded_broadcast(channels.select("channel", F.col("type").alias("declared"))),
-                    "channel", "inner").withColumn("actual", json_kind(F.col(value_json)))
+                    "channel", "left").withColumn("actual", json_kind(F.col(value_json)))
     fits = F.lit(False)
     for typ, kinds in TYPE_ACCEPTS.items():
         fits = fits | ((F.col("declared") == typ) & F.col("actual").isin(*kinds))
     fits = fits | (F.col("actual") == "null") | (F.col("declared") == "any") \
         | ~F.col("declared").isin(*TYPE_ACCEPTS)
-    return w.where(~fits)
+    return w.where(F.col("declared").isNull() | ~fits)
 
 
 def latest_checkpoint(ckpts: DataFrame, key: str = "thread_id", order: str = "ckpt_id") -> DataFrame:
@@ -162,4 +162,4 @@ def frontier_order(done: DataFrame, frontier: DataFrame, keys: Sequence[str],
     concurrency); it is exploded with positions and joined to the completions.
     """
     pos = frontier.select(*keys, F.posexplode(frontier_col).alias("pos", task))
-    return done.join(pos, [*keys, task], "inner").orderBy(*keys, "pos")
+    return done.join(pos, [*keys, task], "inner").sortWithinPartitions(*keys, "pos")

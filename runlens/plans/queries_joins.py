@@ -276,6 +276,15 @@ def q_pick_preferred(spark, sf):
     return best.select("s_nationkey", "s_suppkey")
 
 
+@register("preferred_order", """
+SELECT s_suppkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey % 3 <> 0, s_acctbal, s_suppkey) AS INT)
+    AS place FROM supplier""", "K2")
+def q_preferred_order(spark, sf):
+    s = table(spark, sf, "supplier")
+    return U.preferred_order(s, F.col("s_suppkey") % 3 == 0, "s_acctbal", "s_suppkey", ["s_nationkey"]) \
+        .select("s_suppkey", "place")
+
+
 @register("category_list", "SELECT DISTINCT p_brand FROM part WHERE p_brand IS NOT NULL", "A19")
 def q_category_list(spark, sf):
     return U.category_list(table(spark, sf, "part"), "p_brand")
@@ -382,7 +391,8 @@ def _outbox(spark, sf, channel):
               "chat_id": F.col("c_custkey").cast("string"),
               "to": F.concat(F.lower(F.col("c_mktsegment")), F.lit("@example.com")),
               "from_email": F.lit("ops@example.com"), "subject": F.concat(F.lit("Welcome "), F.col("c_name")),
-              "body": F.concat(F.lit("Segment "), F.col("c_mktsegment")), "title": F.col("c_name")}
+              "body": F.concat(F.lit("Segment "), F.col("c_mktsegment")), "title": F.col("c_name"),
+              "comment": F.concat(F.lit("Seen "), F.col("c_name"))}
     return K.outbox_payloads(c, channel, fields).select("c_custkey", "channel", "payload")
 
 
@@ -418,6 +428,24 @@ def q_outbox_gitlab_issue(spark, sf):
     return _outbox(spark, sf, "gitlab_issue")
 
 
+@register("outbox_discord", OUTBOX_SQL.format(ch="discord", payload="""json_object('content',
+    CASE WHEN c_custkey % 9 = 0 THEN '' ELSE concat('New customer ', c_name) END)"""), "S6")
+def q_outbox_discord(spark, sf):
+    return _outbox(spark, sf, "discord")
+
+
+@register("outbox_github_issue", OUTBOX_SQL.format(ch="github_issue", payload="""json_object('title', c_name,
+    'body', concat('Segment ', c_mktsegment))"""), "S6")
+def q_outbox_github_issue(spark, sf):
+    return _outbox(spark, sf, "github_issue")
+
+
+@register("outbox_github_comment", OUTBOX_SQL.format(ch="github_comment", payload="""json_object('body',
+    concat('Seen ', c_name))"""), "S6")
+def q_outbox_github_comment(spark, sf):
+    return _outbox(spark, sf, "github_comment")
+
+
 @register("outbox_webhook", """
 SELECT c_custkey, 'webhook' AS channel, CASE WHEN c_custkey % 9 = 0 THEN NULL
     ELSE CAST(json_object('text', concat('New customer ', c_name)) AS VARCHAR) END AS payload FROM customer""", "S6")
@@ -464,3 +492,23 @@ SELECT concat('not json {{', CAST(event_id AS VARCHAR)) AS raw FROM events WHERE
 def q_read_run_events_quarantine(spark, sf):
     _, bad = _event_lines(spark, sf)
     return bad
+
+
+PARQUET_TYPE_SQL = "CASE event_id % 20 WHEN 0 THEN NULL WHEN 1 THEN 'no such type' ELSE type END"
+
+
+def _event_parquet(spark, sf):
+    """The log with some rows that lack a type or have an unknown one, as a parquet source."""
+    log = fx.run_log(spark, sf).withColumn("type", F.when(F.col("event_id") % 20 == 1, F.lit("no such type"))
+                                           .when(F.col("event_id") % 20 != 0, F.col("type")))
+    path = K.scratch_path(spark, "event-parquet")
+    log.write.parquet(path)
+    return K.read_run_events(spark, path, "parquet")
+
+
+@register("read_run_events_parquet", with_views(f"""
+SELECT run_id, seq, event_id, {PARQUET_TYPE_SQL} AS type, event_id % 20 > 1 AS good FROM run_log""", "run_log"), "S1")
+def q_read_run_events_parquet(spark, sf):
+    good, bad = _event_parquet(spark, sf)
+    return good.select("run_id", "seq", "event_id", "type", F.lit(True).alias("good")).unionByName(
+        bad.select("run_id", "seq", "event_id", "type", F.lit(False).alias("good")))

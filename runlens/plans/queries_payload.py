@@ -54,8 +54,11 @@ def q_resolve_name(spark, sf):
 
 
 @register("interpolate", with_views("""
-SELECT t.id, replace(replace(t.template, '<nation.name>', n.n_name), '<region.name>', r.r_name) AS text,
-    CASE WHEN t.id % 2 = 0 THEN n.n_name END AS single_value
+SELECT t.id, concat('Hello ', n.n_name, ', region <nation.name>', r.r_name, substr(t.template, instr(t.template, ': $')))
+        AS text,
+    CASE WHEN t.id % 3 = 0 THEN concat('"', n.n_name, '"') WHEN t.id % 3 = 1 THEN CAST(n.n_nationkey AS VARCHAR) END
+        AS single_value,
+    CASE WHEN t.id % 3 = 0 THEN 'string' WHEN t.id % 3 = 1 THEN 'int' END AS single_type
 FROM templates t JOIN nation n ON t.id = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey""",
                                      "templates"), "P4")
 def q_interpolate(spark, sf):
@@ -63,10 +66,14 @@ def q_interpolate(spark, sf):
     n = table(spark, sf, "nation")
     r = table(spark, sf, "region")
     j = t.join(n, t["id"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
-    b = {"nation.name": F.col("n_name"), "region.name": F.col("r_name")}
-    single_t = F.when(F.col("id") % 2 == 0, F.lit("<nation.name>")).otherwise(F.lit("x <nation.name>"))
+    # one value looks like a placeholder itself, and must stay as it is
+    b = {"nation.name": F.col("n_name"), "region.name": F.concat(F.lit("<nation.name>"), "r_name"),
+         "nation.key": F.col("n_nationkey")}
+    single_t = F.when(F.col("id") % 3 == 0, F.lit("<nation.name>")).when(F.col("id") % 3 == 1, F.lit(" <nation.key> ")) \
+        .otherwise(F.lit("x <nation.name>"))
+    single = S.interpolate(single_t, b)
     return j.select("id", S.interpolate("template", b)["text"].alias("text"),
-                    S.interpolate(single_t, b)["value"].alias("single_value"))
+                    single["value"].alias("single_value"), single["value_type"].alias("single_type"))
 
 
 NESTED_SQL = """concat('{"k": ', CAST(regexp_extract(props, '([0-9]+)', 1) AS VARCHAR), ', "tags": ["', event_type,
@@ -199,25 +206,25 @@ def q_missing_fields(spark, sf):
 
 
 REDACT_SQL = """
-WITH pat AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text,
+WITH vals AS (SELECT DISTINCT unnest(regexp_extract_all(text, 'token\\s*=\\s*"([^"]*)"', 1)) AS v FROM documents
+    UNION SELECT 'a/b+c==' UNION SELECT 'thea'),
+l AS (SELECT list(v ORDER BY length(v) DESC, v) AS vs FROM vals WHERE v <> ''),
+m AS (SELECT doc_id, list_reduce(list_prepend(text, (SELECT vs FROM l)), lambda acc, v: replace(acc, v, '[REDACTED]')) AS t
+    FROM documents),
+pat AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t,
         '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[REDACTED]', 'g'),
         '\\b(?:\\d{1,3}\\.){3}\\d{1,3}\\b', '[REDACTED]', 'g'),
-        '\\b\\d{16}\\b', '[REDACTED]', 'g') AS t FROM documents),
-vals AS (SELECT DISTINCT unnest(regexp_extract_all(text, 'token\\s*=\\s*"([^"]*)"', 1)) AS v FROM documents),
-toks AS (SELECT doc_id, unnest(regexp_extract_all(t, '[A-Za-z0-9_\\-]+|[^A-Za-z0-9_\\-]+')) AS tok,
-    unnest(range(len(regexp_extract_all(t, '[A-Za-z0-9_\\-]+|[^A-Za-z0-9_\\-]+')))) AS pos FROM pat),
-m AS (SELECT toks.doc_id, toks.pos, CASE WHEN vals.v IS NOT NULL THEN '[REDACTED]' ELSE toks.tok END AS tok
-    FROM toks LEFT JOIN (SELECT v FROM vals WHERE v <> '') vals ON toks.tok = vals.v),
-r AS (SELECT doc_id, string_agg(tok, '' ORDER BY pos) AS t FROM m GROUP BY doc_id)
-SELECT pat.doc_id, sha256(coalesce(r.t, pat.t)) AS text_sha,
-    CAST((length(coalesce(r.t, pat.t)) - length(replace(coalesce(r.t, pat.t), '[REDACTED]', ''))) / 10 AS BIGINT) AS masks
-FROM pat LEFT JOIN r ON pat.doc_id = r.doc_id"""
+        '\\b\\d{16}\\b', '[REDACTED]', 'g') AS t FROM m)
+SELECT doc_id, sha256(t) AS text_sha,
+    CAST((length(t) - length(replace(t, '[REDACTED]', ''))) / 10 AS BIGINT) AS masks FROM pat"""
 
 
 @register("redact", REDACT_SQL, "P11")
 def q_redact(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
-    out = P.redact(d, "doc_id", "text", P.secret_values(d, "text"))
+    # values with any characters, and one that stands inside longer words
+    known = P.secret_values(d, "text").union(spark.createDataFrame([("a/b+c==",), ("thea",)], "value string"))
+    out = P.redact(d, "doc_id", "text", known)
     t = F.col("text")
     return out.select("doc_id", F.sha2(t, 256).alias("text_sha"),
                       ((F.length(t) - F.length(F.replace(t, F.lit(P.MASK), F.lit("")))) / 10)
@@ -263,20 +270,26 @@ WITH b AS (SELECT item, attempt, response,
 s AS (SELECT *, instr(body, '{') AS st, length(body) - instr(reverse(body), '}') + 1 AS la,
     instr(body, '}') > 0 AS has_end FROM b),
 g AS (SELECT *, CASE WHEN st > 0 AND has_end AND la > st THEN substr(body, st, la - st + 1) END AS span FROM s),
-j AS (SELECT item, attempt, CASE WHEN json_valid(span) THEN span END AS js FROM g)
+j AS (SELECT item, attempt, response, CASE WHEN json_valid(span) THEN span END AS js FROM g)
 SELECT item, attempt, js IS NOT NULL AS valid, CASE WHEN js IS NULL THEN 'not JSON' END AS error,
     CAST(json_extract(js, '$.k') AS BIGINT) AS k,
     js IS NOT NULL AS valid_f, CAST(json_extract(js, '$.k') AS DOUBLE) AS kf,
-    false AS valid_s, CASE WHEN js IS NULL THEN 'not JSON' ELSE 'k: not a valid str; text: field required' END AS error_s
+    false AS valid_s, CASE WHEN js IS NULL THEN 'not JSON' ELSE 'k: not a valid str; text: field required' END AS error_s,
+    CASE WHEN js IS NOT NULL THEN response END AS raw_text, false AS valid_big, 'k: not a valid int' AS error_big
 FROM j""", "candidates"), "F3")
 def q_validate_schema(spark, sf):
     c = S.with_extracted_json(fx.candidates(spark, sf), "response", "x").withColumn("js", F.col("x.json"))
-    c = S.validate_schema(c, "js", {"k": "int"}, "v")
+    c = S.validate_schema(c, "js", {"k": "int"}, "v", raw="response")
+    # a number beyond 64 bits is an error row, not an error
+    c = c.withColumn("big", F.concat(F.lit('{"k": "9999999999999999999'), F.col("attempt").cast("string"), F.lit('"}')))
+    c = S.validate_schema(c, "big", {"k": "int"}, "vb")
     c = S.validate_schema(c, "js", {"k": "float"}, "vf")
     c = S.validate_schema(c, "js", {"k": "str", "text": "str"}, "vs")
     return c.select("item", "attempt", F.col("v.valid").alias("valid"), F.col("v.error").alias("error"),
                     F.col("v.k").alias("k"), F.col("vf.valid").alias("valid_f"), F.col("vf.k").alias("kf"),
-                    F.col("vs.valid").alias("valid_s"), F.col("vs.error").alias("error_s"))
+                    F.col("vs.valid").alias("valid_s"), F.col("vs.error").alias("error_s"),
+                    F.col("v.text").alias("raw_text"), F.col("vb.valid").alias("valid_big"),
+                    F.col("vb.error").alias("error_big"))
 
 
 @register("estimate_tokens", """
@@ -289,12 +302,13 @@ def q_estimate_tokens(spark, sf):
 @register("canonical_hash", """
 SELECT o_orderkey, sha256(concat('{"config":{"custkey":', CAST(o_custkey AS VARCHAR), ',"date":"',
     strftime(o_orderdate, '%Y-%m-%d'), '","priority":"', o_orderpriority, '","status":"', o_orderstatus,
-    '"},"item":', CAST(o_orderkey AS VARCHAR), ',"type":"orders"}')) AS input_hash
+    '","tags":{"a":"caf\\u00e9 \\ud83d\\ude00","z":"', o_orderstatus, '"}},"item":', CAST(o_orderkey AS VARCHAR), ',"type":"orders"}')) AS input_hash
 FROM orders""", "F6")
 def q_canonical_hash(spark, sf):
     o = table(spark, sf, "orders")
     cfg = {"status": F.col("o_orderstatus"), "priority": F.col("o_orderpriority"), "custkey": F.col("o_custkey"),
-           "date": F.date_format("o_orderdate", "yyyy-MM-dd")}
+           "date": F.date_format("o_orderdate", "yyyy-MM-dd"),
+           "tags": F.create_map(F.lit("z"), F.col("o_orderstatus"), F.lit("a"), F.lit("caf\u00e9 \U0001f600"))}
     return o.select("o_orderkey", S.canonical_hash("orders", cfg, F.col("o_orderkey")).alias("input_hash"))
 
 
@@ -325,12 +339,13 @@ def q_parse_duration(spark, sf):
     return d.select("event_id", "txt", p["seconds"].alias("seconds"), p["error"].alias("error"))
 
 
-ENV_ROWS = [("HOME_DIR", "/home/runner"), ("WORK_DIR", "/srv/work")]
+# a value may look like a placeholder
+ENV_ROWS = [("HOME_DIR", "${WORK_DIR}/runner"), ("WORK_DIR", "/srv/work")]
 
 
 @register("fill_env", with_views("""
 SELECT id, replace(CASE WHEN id % 3 = 0 THEN concat(template, ' $', '{MISSING_VAR}') ELSE template END,
-    concat('$', '{HOME_DIR}'), '/home/runner') AS filled FROM templates""", "templates"), "F8")
+    concat('$', '{HOME_DIR}'), concat('$', '{WORK_DIR}/runner')) AS filled FROM templates""", "templates"), "F8")
 def q_fill_env(spark, sf):
     t = fx.templates(spark, sf).withColumn(
         "template", F.when(F.col("id") % 3 == 0, F.concat("template", F.lit(" $"), F.lit("{MISSING_VAR}")))
@@ -393,7 +408,9 @@ WITH u0 AS (SELECT page_id, 0 AS form, url AS u FROM pages
     UNION ALL SELECT page_id, 1, regexp_replace(url, '^https?://', '') FROM pages
     UNION ALL SELECT page_id, 2, concat(regexp_extract(url, '://([^/?#]*)', 1), ':', CAST(8000 + page_id % 100 AS VARCHAR),
         '/v1') FROM pages
-    UNION ALL SELECT page_id, 3, concat('HTTPS://LocalHost:', CAST(9000 + page_id % 7 AS VARCHAR)) FROM pages),
+    UNION ALL SELECT page_id, 3, concat('HTTPS://LocalHost:', CAST(9000 + page_id % 7 AS VARCHAR)) FROM pages
+    UNION ALL SELECT page_id, 4, concat(regexp_extract(url, '://([^/?#]*)', 1), ':9999999999', CAST(page_id % 7 AS VARCHAR))
+        FROM pages),
 u1 AS (SELECT page_id, form, CASE WHEN instr(trim(u), '://') > 0 THEN trim(u) ELSE concat('http://', trim(u)) END AS raw
     FROM u0),
 u2 AS (SELECT *, lower(regexp_extract(raw, '^([A-Za-z][A-Za-z0-9+.\\-]*)://', 1)) AS sch,
@@ -401,11 +418,13 @@ u2 AS (SELECT *, lower(regexp_extract(raw, '^([A-Za-z][A-Za-z0-9+.\\-]*)://', 1)
 u3 AS (SELECT *, CASE WHEN sch = '' THEN 'http' ELSE sch END AS scheme,
     lower(regexp_extract(hp, '^([^:]*)', 1)) AS h0, regexp_extract(hp, ':(\\d+)$', 1) AS pt FROM u2),
 u4 AS (SELECT *, CASE WHEN h0 = '' THEN 'localhost' ELSE h0 END AS host,
-    CASE WHEN pt <> '' THEN CAST(pt AS INT) END AS explicit FROM u3),
+    CASE WHEN pt <> '' THEN TRY_CAST(pt AS INT) END AS explicit,
+    form = 4 AS bad FROM u3),
 u5 AS (SELECT *, coalesce(explicit, CASE WHEN scheme = 'https' THEN 443 ELSE 80 END) AS port FROM u4)
-SELECT page_id, form, concat(scheme, '://', CASE WHEN explicit IS NOT NULL THEN concat(host, ':', CAST(explicit AS VARCHAR))
-        ELSE host END) AS origin, host, port,
-    CASE WHEN host IN ('127.0.0.1', 'localhost', '::1') THEN concat('openai_local_', CAST(port AS VARCHAR))
+SELECT page_id, form, CASE WHEN NOT bad THEN concat(scheme, '://', CASE WHEN explicit IS NOT NULL
+        THEN concat(host, ':', CAST(explicit AS VARCHAR)) ELSE host END) END AS origin, host,
+    CASE WHEN NOT bad THEN port END AS port, CASE WHEN bad THEN concat('bad port ', pt) END AS error,
+    CASE WHEN bad THEN NULL WHEN host IN ('127.0.0.1', 'localhost', '::1') THEN concat('openai_local_', CAST(port AS VARCHAR))
          ELSE concat('openai_', replace(host, '.', '_'), '_', CAST(port AS VARCHAR)) END AS alias
 FROM u5"""
 
@@ -419,18 +438,22 @@ def q_normalize_url(spark, sf):
                  F.regexp_extract("url", r"://([^/?#]*)", 1), F.lit(":"),
                  (F.lit(8000) + F.col("page_id") % 100).cast("string"), F.lit("/v1")).alias("u")),
              p.select("page_id", F.lit(3).alias("form"), F.concat(
-                 F.lit("HTTPS://LocalHost:"), (F.lit(9000) + F.col("page_id") % 7).cast("string")).alias("u"))]
+                 F.lit("HTTPS://LocalHost:"), (F.lit(9000) + F.col("page_id") % 7).cast("string")).alias("u")),
+             p.select("page_id", F.lit(4).alias("form"), F.concat(
+                 F.regexp_extract("url", r"://([^/?#]*)", 1), F.lit(":9999999999"),
+                 (F.col("page_id") % 7).cast("string")).alias("u"))]
     u = forms[0]
     for f in forms[1:]:
         u = u.unionByName(f)
     n = S.normalize_url("u")
     return u.select("page_id", "form", n["origin"].alias("origin"), n["host"].alias("host"),
-                    n["port"].alias("port"), n["alias"].alias("alias"))
+                    n["port"].alias("port"), n["alias"].alias("alias"), n["error"].alias("error"))
 
 
 @register("safe_ops", """
 SELECT l_orderkey, l_linenumber,
-    CAST(floor(l_quantity / 7) AS DOUBLE) AS q_floordiv,
+    CAST(floor(l_quantity / 7) AS DOUBLE) AS q_floordiv, CAST(9007199254740993 + l_linenumber * 2 AS BIGINT) AS big_floordiv,
+    CAST(CASE WHEN l_linenumber <> 4 THEN floor(l_linenumber / (l_linenumber - 4)) END AS BIGINT) AS zero_floordiv,
     CAST((l_linenumber - 4) - 3 * floor((l_linenumber - 4) / 3) AS BIGINT) AS mod_pos,
     CAST(l_linenumber - (-3) * floor(l_linenumber / (-3)) AS BIGINT) AS mod_neg,
     CAST(round_even(l_extendedprice / 100, 0) AS DOUBLE) AS price_round,
@@ -445,7 +468,9 @@ def q_safe_ops(spark, sf):
     flags = F.concat("l_returnflag", "l_linestatus")
     return li.select(
         "l_orderkey", "l_linenumber",
-        S.floordiv(F.col("l_quantity"), F.lit(7)).cast("double").alias("q_floordiv"),
+        S.floordiv(F.col("l_quantity"), F.lit(7), "float").alias("q_floordiv"),
+        S.floordiv(F.lit(9007199254740993) + ln * 2, F.lit(1)).cast("long").alias("big_floordiv"),
+        S.floordiv(ln, ln - 4).cast("long").alias("zero_floordiv"),
         S.pymod(ln - 4, F.lit(3)).cast("long").alias("mod_pos"),
         S.pymod(ln, F.lit(-3)).cast("long").alias("mod_neg"),
         S.round_even(F.col("l_extendedprice") / 100, 0).cast("double").alias("price_round"),
@@ -532,7 +557,7 @@ def q_flatten_leaves(spark, sf):
             F.col("o_orderdate").alias("date"), F.struct(F.lit(1).alias("x")).alias("deeper")).alias("deep"))
             .alias("priority")).alias("meta"),
         F.col("o_custkey").alias("a"), F.col("o_orderkey").alias("b")).alias("doc"))
-    return P.flatten_leaves(nested, "doc")
+    return P.flatten_leaves(nested, "doc", max_leaves=8, max_depth=4)
 
 
 @register("secret_refs", with_views("""

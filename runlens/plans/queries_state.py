@@ -16,10 +16,18 @@ def _writes(spark, sf):
 
 
 @register("reduce_last", with_views("""
-SELECT thread_id, run_id, channel, arg_max(value, seq) AS value FROM writes
-GROUP BY thread_id, run_id, channel""", "writes"), "A7")
+WITH w AS (SELECT thread_id, run_id, channel, seq, CASE WHEN seq % 9 <> 0 THEN value END AS value,
+        row_number() OVER (PARTITION BY thread_id, run_id, channel ORDER BY seq DESC) AS newest FROM writes),
+d AS (SELECT DISTINCT thread_id, run_id, unnest(['c0', 'c1', 'c2', 'c3']) AS channel FROM writes)
+SELECT d.thread_id, d.run_id, d.channel, CASE WHEN w.seq IS NULL THEN 0 ELSE w.value END AS value
+FROM d LEFT JOIN w ON d.thread_id = w.thread_id AND d.run_id = w.run_id AND d.channel = w.channel AND w.newest = 1""",
+                                    "writes"), "A7")
 def q_reduce_last(spark, sf):
-    return S.reduce_last(_writes(spark, sf))
+    # some writes are null; channels that a run never wrote keep the default 0
+    w = _writes(spark, sf).withColumn("value", F.when(F.col("seq") % 9 != 0, F.col("value")))
+    declared = w.select("thread_id", "run_id").distinct().withColumn(
+        "channel", F.explode(F.array(*[F.lit(c) for c, _, _ in fx.CHANNEL_ROWS])))
+    return S.reduce_last(w, default=F.lit(0).cast("long"), declared=declared)
 
 
 @register("reduce_sum", with_views("""
@@ -59,15 +67,22 @@ def q_reduce_merge_map(spark, sf):
 
 
 @register("fold_state", with_views("""
-SELECT w.thread_id, w.run_id, w.channel, c.reducer,
+SELECT w.thread_id, w.run_id, w.channel, coalesce(c.reducer, 'undeclared') AS reducer,
     CAST(CASE WHEN c.reducer = 'last' THEN arg_max(w.value, w.seq)
               WHEN c.reducer = 'sum' THEN sum(coalesce(w.value, 0)) END AS BIGINT) AS value,
-    CAST(CASE WHEN c.reducer IN ('append', 'extend') THEN count(*)
+    CAST(CASE WHEN c.reducer IS NULL OR c.reducer = 'append' THEN count(*)
+              WHEN c.reducer = 'extend' THEN sum(CASE WHEN seq % 2 = 0 THEN 2 ELSE 1 END)
               WHEN c.reducer = 'merge_dict' THEN count(DISTINCT w.map_key) END AS BIGINT) AS size
-FROM writes w JOIN channels c ON w.channel = c.channel
+FROM (SELECT * REPLACE (CASE WHEN seq % 11 = 0 THEN 'zz' WHEN seq % 13 = 0 THEN 'c4' ELSE channel END AS channel) FROM writes) w
+LEFT JOIN (SELECT * FROM channels UNION ALL SELECT 'c4', 'list', 'extend') c ON w.channel = c.channel
 GROUP BY w.thread_id, w.run_id, w.channel, c.reducer""", "writes", "channels"), "A7-A11")
 def q_fold_state(spark, sf):
-    return S.fold_state(_writes(spark, sf), fx.channels(spark))
+    # some writes go to a channel that is not declared, some extend a list by one or two elements
+    w = _writes(spark, sf).withColumn("channel", F.when(F.col("seq") % 11 == 0, "zz").when(
+        F.col("seq") % 13 == 0, "c4").otherwise(F.col("channel")))
+    w = w.withColumn("elements", F.when(F.col("seq") % 2 == 0, F.array("value", "value2")).otherwise(F.array("value")))
+    declared = spark.createDataFrame([*fx.CHANNEL_ROWS, ("c4", "list", "extend")], "channel string, type string, reducer string")
+    return S.fold_state(w, declared, elements="elements")
 
 
 @register("changed_channels", with_views("""
@@ -86,13 +101,14 @@ VALUE_JSON_SPARK = """CASE channel
 
 
 @register("check_channel_type", with_views(f"""
-WITH v AS (SELECT thread_id, run_id, seq, channel, {VALUE_JSON_SPARK} AS value_json FROM writes),
+WITH v AS (SELECT thread_id, run_id, seq, CASE WHEN seq % 11 = 0 THEN 'zz' ELSE channel END AS channel,
+    {VALUE_JSON_SPARK} AS value_json FROM writes),
 k AS (SELECT v.*, c.type AS declared,
     CASE json_type(value_json) WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'bool'
         WHEN 'BIGINT' THEN 'int' WHEN 'UBIGINT' THEN 'int' WHEN 'DOUBLE' THEN 'float'
         WHEN 'VARCHAR' THEN 'str' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'dict' END AS actual
-    FROM v JOIN channels c ON v.channel = c.channel)
-SELECT * FROM k WHERE NOT (actual = 'null'
+    FROM v LEFT JOIN channels c ON v.channel = c.channel)
+SELECT * FROM k WHERE declared IS NULL OR NOT (actual = 'null'
     OR (declared = 'int' AND actual IN ('int', 'bool'))
     OR (declared = 'float' AND actual IN ('int', 'float', 'bool'))
     OR (declared = 'str' AND actual = 'str') OR (declared = 'bool' AND actual = 'bool')
@@ -101,6 +117,7 @@ SELECT * FROM k WHERE NOT (actual = 'null'
 def q_check_channel_type(spark, sf):
     w = _writes(spark, sf).select("thread_id", "run_id", "seq", "channel",
                                   F.expr(VALUE_JSON_SPARK).alias("value_json"))
+    w = w.withColumn("channel", F.when(F.col("seq") % 11 == 0, "zz").otherwise(F.col("channel")))
     return S.check_channel_type(w, fx.channels(spark)).select(
         "thread_id", "run_id", "seq", "channel", "value_json", "declared", "actual")
 

@@ -30,8 +30,8 @@ def read_run_events(spark: SparkSession, path: str, fmt: str = "json") -> tuple[
     """
     if fmt == "parquet":
         df = spark.read.parquet(path)
-        ok = F.col("run_id").isNotNull() & F.col("type").isin(*EVENT_TYPES)
-        return df.where(ok), df.where(~ok | F.col("run_id").isNull())
+        ok = F.coalesce(F.col("run_id").isNotNull() & F.col("type").isin(*EVENT_TYPES), F.lit(False))
+        return df.where(ok), df.where(~ok)
     raw = spark.read.text(path).where(F.trim("value") != "")
     parsed = raw.select(F.col("value").alias("raw"), F.from_json("value", EVENT_SCHEMA).alias("e"))
     ok = (F.col("e").isNotNull() & F.col("e.run_id").isNotNull() & F.col("e.seq").isNotNull()
@@ -43,9 +43,10 @@ def read_run_events(spark: SparkSession, path: str, fmt: str = "json") -> tuple[
 
 def append_events(df: DataFrame, path: str, date_col: str = "ts") -> None:
     """S3: append-only write, partitioned by event date (readers prune by date and
-    filter by run or thread through parquet statistics)."""
+    filter by run or thread through parquet statistics).  The rebalance hint brings a date's
+    rows together but splits a date that is too large for one task."""
     (df.withColumn("event_date", F.to_date(F.col(date_col)))
-       .repartition("event_date")
+       .hint("rebalance", "event_date")
        .write.mode("append").partitionBy("event_date").parquet(path))
 
 

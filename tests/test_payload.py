@@ -35,7 +35,7 @@ def test_dig_path_errors(spark):
 def test_extract_json_fenced_chatty_broken(spark):
     df = spark.createDataFrame([("Sure ```json {\"a\": 1} ``` bye",), ("The answer is {\"b\": 2} ok",),
                                 ("nothing here",), ("{broken",)], "x string")
-    got = [tuple(r) for r in df.select(S.extract_json("x").alias("e")).select("e.*").collect()]
+    got = [tuple(r) for r in S.with_extracted_json(df, "x", "e").select("e.*").collect()]
     assert got[0] == ('{"a": 1}', None)
     assert got[1] == ('{"b": 2}', None)
     assert got[2][1] == "no JSON object found in response"
@@ -66,11 +66,57 @@ def test_slugify_and_tokens(spark):
 def test_normalize_url(spark):
     df = spark.createDataFrame([("localhost:8000",), ("https://Api.Example.com/v1/x",), ("10.0.0.5",)], "x string")
     got = [tuple(r) for r in df.select(S.normalize_url("x").alias("u")).select("u.*").collect()]
+    assert all(g[4] is None for g in got)  # no error
+    got = [g[:4] for g in got]
     assert got[0] == ("http://localhost:8000", "localhost", 8000, "openai_local_8000")
     assert got[1] == ("https://api.example.com", "api.example.com", 443, "openai_api_example_com_443")
     assert got[2] == ("http://10.0.0.5", "10.0.0.5", 80, "openai_10_0_0_5_80")
 
 
+def test_bad_numbers_are_error_rows(spark):
+    df = _one(spark, "api.example.com:99999999999")
+    r = df.select(S.normalize_url("x").alias("u")).select("u.*").first()
+    assert r.port is None and r.origin is None and r.error == "bad port 99999999999"
+    big = _one(spark, '{"n": "99999999999999999999"}')
+    v = S.validate_schema(big, "x", {"n": "int"}, "v").select("v.*").first()
+    assert not v.valid and v.error == "n: not a valid int"
+    z = spark.createDataFrame([(2 ** 53 + 1, 1), (-2 ** 53 - 1, 2), (5, 0)], "a long, b long")
+    got = z.select(S.floordiv(F.col("a"), F.col("b")).alias("q"), S.pymod(F.col("a"), F.col("b")).alias("m")).collect()
+    assert [(r.q, r.m) for r in got] == [(2 ** 53 + 1, 0), ((-2 ** 53 - 1) // 2, 1), (None, None)]
+
+
+def test_placeholders_are_filled_once(spark):
+    df = spark.createDataFrame([(1, "<n.a> <n.b> <n.c>", "${A} ${C} ${B}")], "id int, t string, e string")
+    r = df.select(S.interpolate("t", {"n.a": F.lit("<n.b>"), "n.b": F.lit("V")}).alias("i")).first().i
+    assert r.text == "<n.b> V <n.c>" and r.unresolved == ["n.c"]
+    env = spark.createDataFrame([("A", "${B}"), ("B", "x")], "name string, value string")
+    assert P.fill_env(df, "id", "e", env).first().e == "${B} ${C} x"
+
+
+def test_canonical_json_matches_python(spark):
+    import json
+    value = {"b": 1, "a": {"z": "caf\u00e9 \U0001f600", "y": None}}
+    df = spark.createDataFrame([(1, {"z": value["a"]["z"], "y": None})], "b int, a map<string,string>")
+    got = df.select(S.canonical_json(F.struct("b", "a")).alias("j")).first().j
+    assert got == json.dumps(value, sort_keys=True, separators=(",", ":"))
+
+
+def test_redact_any_characters_and_blocks(spark):
+    df = spark.createDataFrame([(1, "x ab/cd+ef== y"), (2, "pretokenXYZ9post tokenXYZ"), (3, "abcd")], "id int, text string")
+    vals = spark.createDataFrame([("ab/cd+ef==",), ("tokenXYZ9",), ("abc",), ("bcd",)], "value string")
+    for block in (100, 1):
+        out = {r.id: r.text for r in P.redact(df, "id", "text", vals, block=block).collect()}
+        assert out == {1: "x [REDACTED] y", 2: "pre[REDACTED]post tokenXYZ", 3: "[REDACTED]"}
+
+
+def test_flatten_leaves_names_and_bounds(spark):
+    df = spark.createDataFrame([((1, (2, [(3, (4,))]), [5]),)],
+                               "d struct<id: int, c: struct<id: int, l: array<struct<id: int, x: struct<y: int>>>>, e: array<int>>")
+    r = P.flatten_leaves(df, "d").first().asDict()
+    assert r == {"id": 1, "c_id": 2, "c_l0_id": 3, "y": 4, "e": 5}
+    assert P.flatten_leaves(df, "d", max_leaves=2).columns == ["id", "c_id"]
+
+
 def test_python_arithmetic(spark):
     df = spark.createDataFrame([(-7, 2, 2.5), (7, -3, 3.5)], "a long, b long, r double")
     got = df.select(S.floordiv(F.col("a"), F.col("b")).alias("fd"), S.pymod(F.col("a"), F.col("b")).alias("m"),
@@ -82,7 +128,7 @@ def test_summarize_and_interpolate(spark):
     df = spark.createDataFrame([("x" * 205, "<a.b>", "v")], "t string, tpl string, v string")
     r = df.select(S.summarize_text("t").alias("s"), S.interpolate("tpl", {"a.b": F.col("v")}).alias("i")).first()
     assert r.s == "x" * 200 + "… (+5 chars)"
-    assert r.i.text == "v" and r.i.value == "v" and r.i.unresolved == []
+    assert r.i.text == "v" and r.i.value == '"v"' and r.i.value_type == "string" and r.i.unresolved == []
 
 
 def test_redact_leaves_no_secret(spark):
@@ -96,9 +142,9 @@ def test_redact_leaves_no_secret(spark):
     assert texts[1] == "echo [REDACTED] again"
 
 
-def test_redact_whole_tokens_only(spark):
+def test_redact_masks_inside_longer_words(spark):
     df = spark.createDataFrame([(1, 'a token = "abc-123" b abc-123x abc-123'), (2, "no secrets")],
                                "id long, text string")
     out = {r.id: r.text for r in P.redact(df, "id", "text", P.secret_values(df, "text")).collect()}
-    assert out[1] == 'a token = "[REDACTED]" b abc-123x [REDACTED]'
+    assert out[1] == 'a token = "[REDACTED]" b [REDACTED]x [REDACTED]'
     assert out[2] == "no secrets"
