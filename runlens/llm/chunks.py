@@ -58,12 +58,14 @@ def chunk_table(docs: DataFrame, scratch: Scratch, chunk_bytes: int) -> DataFram
     return spark.table(name)
 
 
-def packed_rows(chunk: int, kind: int, bucket: np.ndarray, values: np.ndarray) -> dict:
-    """Values that are sorted by bucket, as one packed array per bucket."""
-    nos, at = np.unique(bucket, return_index=True)
-    ends = [*at[1:].tolist(), len(bucket)]
-    return {"chunk": [chunk] * len(nos), "kind": [kind] * len(nos), "bucket": nos.astype(np.int64).tolist(),
-            "packed": [values[a:b].tobytes() for a, b in zip(at.tolist(), ends)]}
+def packed_rows(chunk: int, kind: int, bucket: np.ndarray, *values: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Values that are sorted by bucket, as one packed array per bucket (several value arrays one after the other);
+    nothing where there are none."""
+    if len(bucket):
+        nos, at = np.unique(bucket, return_index=True)
+        ends = [*at[1:].tolist(), len(bucket)]
+        yield pd.DataFrame({"chunk": chunk, "kind": kind, "bucket": nos.astype(np.int64), "packed": [
+            b"".join(v[a:b].tobytes() for v in values) for a, b in zip(at.tolist(), ends)]})
 
 
 def with_answers(chunks: DataFrame, answers: DataFrame, *fields: str) -> DataFrame:

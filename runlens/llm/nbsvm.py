@@ -196,8 +196,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 seen[y, got] += 1
                 if picked:
                     keep.append((order, y, got.astype("<i4").tobytes()))
-            yield pd.DataFrame({"picked": True, "a": [k[0] for k in keep], "b": [k[1] for k in keep], "c": 0,
-                                "found": [k[2] for k in keep]})
+            if keep:
+                yield pd.DataFrame({"picked": True, "a": [k[0] for k in keep], "b": [k[1] for k in keep], "c": 0,
+                                    "found": [k[2] for k in keep]})
         at = np.flatnonzero(seen.any(axis=0))
         yield pd.DataFrame({"picked": False, "a": at, "b": seen[0, at], "c": seen[1, at], "found": None})
 

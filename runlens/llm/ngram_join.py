@@ -154,10 +154,7 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 u, _, n = _names(shingle_sets(row.body, row.sizes, width)[0], buckets)
-                rows = packed_rows(row.chunk, 0, u >> np.uint64(32), (u & _U32).astype("<u4"))
-                times = packed_rows(row.chunk, 0, u >> np.uint64(32), n.astype("<u4"))
-                rows["packed"] = [a + b for a, b in zip(rows["packed"], times["packed"])]
-                yield pd.DataFrame(rows)
+                yield from packed_rows(row.chunk, 0, u >> np.uint64(32), (u & _U32).astype("<u4"), n.astype("<u4"))
 
     levels = scratch.keep(chunks.select("chunk", "sizes", "body").mapInPandas(offer, PACKED).groupBy("bucket")
                           .applyInPandas(_count, "chunk long, kind int, bucket long, levels binary"), "levels")

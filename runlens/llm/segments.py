@@ -290,7 +290,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_doc
             out = []
             for text in pdf["text"]:
                 out += [text[max(0, a - 20):b + 20] for a, b in regions(text) if b - a <= 400]
-            yield pd.DataFrame({"text": out})
+            if out:
+                yield pd.DataFrame({"text": out})
 
     found = some.mapInPandas(stretches, "text string").distinct().orderBy(F.xxhash64("text"), "text").limit(fit_regions)
     scratch = Scratch(docs.sparkSession, "segments")

@@ -249,9 +249,9 @@ def remove_repeats(df: DataFrame, min_len: int = 200, id_col: str = "doc_id", te
             for row in pdf.itertuples(index=False):
                 c = Chunk(row.body, row.sizes, min_len)
                 u, _, _ = c.names(few)
-                yield pd.DataFrame(packed_rows(row.chunk, 0, u >> np.uint64(32), (u & _U32).astype("<u4")))
+                yield from packed_rows(row.chunk, 0, u >> np.uint64(32), (u & _U32).astype("<u4"))
                 u, bucket, _, _ = _digestpacked_rows(c.digests(), few)
-                yield pd.DataFrame(packed_rows(row.chunk, 1, bucket, u))
+                yield from packed_rows(row.chunk, 1, bucket, u)
 
     first = scratch.keep(chunks.select("chunk", "sizes", "body").mapInPandas(sample, PACKED)
                          .groupBy("kind", "bucket").applyInPandas(_answer, answer), "answers-1")
@@ -261,7 +261,7 @@ def remove_repeats(df: DataFrame, min_len: int = 200, id_col: str = "doc_id", te
             for row in pdf.itertuples(index=False):
                 s = _Settled(row, min_len, few)
                 u, bucket, _, _ = s.chunk.prefixes(s.at, many)
-                yield pd.DataFrame(packed_rows(row.chunk, 2, bucket, u))
+                yield from packed_rows(row.chunk, 2, bucket, u)
 
     def told(answers: DataFrame) -> DataFrame:
         return with_answers(chunks, answers, "kind", "bucket", "ties", "first", "n")
