@@ -1,9 +1,8 @@
 """Registered queries: streaming operators.
 
-Each query stages the events table as a sequence of file drops, runs the
-streaming query to completion (availableNow) with a checkpoint in the
-shared folder, and returns the landed table.  The batch SQL is the oracle
-where the final result of the stream equals a batch query.
+Each query gets the events table as several drops in event-time order; after
+each drop it starts from its checkpoint in the shared folder, catches up and
+stops.  The result is the landed table, folded by the operator's batch step.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from ..sources.tables import table
 from ..streaming import streams as T
 from .registry import register
 
-N_FILES = 4
+N_DROPS = 4
 EVENTS_K = "(SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events)"
 RUN_ID_SQL = "concat('t', CAST(user_id AS VARCHAR), '-w', CAST(CAST(floor((day(ts) - 1) / 7) AS INT) AS VARCHAR))"
 
@@ -23,10 +22,8 @@ def _events(spark, sf):
     return table(spark, sf, "events")
 
 
-def _stream(spark, sf, df=None, name="stream-in"):
-    ev = df if df is not None else _events(spark, sf)
-    path = T.stage_files(ev, "event_id", N_FILES, name)
-    return T.file_stream(spark, path, ev.schema)
+def _drops(df, n=N_DROPS):
+    return T.drops(df, "ts", n)
 
 
 def _ntz(df, *cols):
@@ -35,6 +32,15 @@ def _ntz(df, *cols):
     return df
 
 
+def _closing(ev, **over):
+    """A drop with one far-future row, which moves the watermark past every real event."""
+    far = ev.limit(1).withColumn("ts", F.lit("2100-01-01 00:00:00").cast("timestamp_ntz")) \
+        .withColumn("event_id", F.lit(10 ** 12).cast("long")).withColumn("user_id", F.lit(-1).cast("long"))
+    for k, v in over.items():
+        far = far.withColumn(k, F.lit(v))
+    return far
+
+
 @register("live_run_report", f"""
 SELECT {RUN_ID_SQL} AS run_id, count(*) AS events, min(ts) AS started, max(ts) AS last_seen,
     CAST(count_if(event_type = 'error') AS BIGINT) AS errors,
@@ -42,8 +48,8 @@ SELECT {RUN_ID_SQL} AS run_id, count(*) AS events, min(ts) AS started, max(ts) A
     CAST(sum(k * 10) AS BIGINT) AS tokens, arg_max(event_type, event_id) AS last_type
 FROM {EVENTS_K} e GROUP BY 1""", "T1")
 def q_live_run_report(spark, sf):
-    out, _ = T.run_to_table(T.live_run_report(_stream(spark, sf)), "complete", "live-report")
-    return _ntz(T.read_table(spark, out, "complete"), "started", "last_seen")
+    landed = T.replay([_drops(_events(spark, sf))], T.live_run_report, "update", "live-report")
+    return _ntz(T.run_reports(landed), "started", "last_seen")
 
 
 TICKS_SQL = """
@@ -55,8 +61,8 @@ FROM events GROUP BY 1"""
 
 @register("interval_ticks", TICKS_SQL, "T2")
 def q_interval_ticks(spark, sf):
-    out, _ = T.run_to_table(T.interval_ticks(_stream(spark, sf)), "complete", "ticks")
-    return _ntz(T.read_table(spark, out, "complete"), "window_start", "window_end")
+    landed = T.replay([_drops(_events(spark, sf))], T.interval_ticks, "update", "ticks")
+    return _ntz(T.latest(landed, ["window_start", "window_end"]), "window_start", "window_end")
 
 
 @register("watchdog", f"""
@@ -67,97 +73,100 @@ SELECT window_start, window_end, events, errors,
         AS payload
 FROM t WHERE errors / events > 0.3""", "T3")
 def q_watchdog(spark, sf):
-    out, _ = T.run_to_table(T.watchdog(T.interval_ticks(_stream(spark, sf)), 0.3), "complete", "watchdog")
-    return _ntz(T.read_table(spark, out, "complete"), "window_start", "window_end")
+    ev = _events(spark, sf)
+    landed = T.replay([[*_drops(ev), _closing(ev)]], lambda s: T.watchdog(T.interval_ticks(s), 0.3), "append", "watchdog")
+    return _ntz(landed.drop("batch_id"), "window_start", "window_end").where("window_start < '2099-01-01'")
 
 
 @register("dedup_replay", "SELECT event_id, user_id, event_type FROM events", "T4")
 def q_dedup_replay(spark, sf):
     ev = _events(spark, sf)
-    twice = ev.unionByName(ev)
-    s = _stream(spark, sf, twice, "replay-in")
-    d = T.dedup_replay(s, ["event_id"], "3650 days").select("event_id", "user_id", "event_type")
-    out, _ = T.run_to_table(d, "append", "dedup")
-    return T.read_table(spark, out, "append").select("event_id", "user_id", "event_type")
+    landed = T.replay([_drops(ev.unionByName(ev))], lambda s: T.dedup_replay(s, ["event_id"], "1 hour")
+                      .select("event_id", "user_id", "event_type"), "append", "dedup")
+    return landed.select("event_id", "user_id", "event_type")
 
 
 WRITES_SQL = f"""
 SELECT concat('t', CAST(user_id AS VARCHAR)) AS thread_id, concat('c', CAST(event_id % 4 AS VARCHAR)) AS channel,
-    event_id AS seq, CAST(k * 10 AS BIGINT) AS value
+    event_id AS seq, CAST(k * 10 AS BIGINT) AS value, concat('n', CAST(event_id % 7 AS VARCHAR)) AS map_key,
+    CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END AS elements
 FROM {EVENTS_K} e WHERE event_type IN ('click', 'purchase')"""
 
 
 @register("stateful_fold", f"""
-WITH w AS ({WRITES_SQL})
-SELECT thread_id, channel, arg_max(value, seq) AS last_value, CAST(sum(value) AS BIGINT) AS total, count(*) AS n
-FROM w GROUP BY thread_id, channel""", "T5")
+WITH w AS ({WRITES_SQL}),
+m AS (SELECT thread_id, channel, map_key, arg_max(value, seq) AS value FROM w GROUP BY ALL),
+c AS (SELECT thread_id, channel, count(*) AS merged, CAST(sum(value) AS BIGINT) AS merged_sum FROM m GROUP BY ALL)
+SELECT thread_id, channel, arg_max(value, seq) AS last_value, CAST(sum(value) AS BIGINT) AS total, count(*) AS n,
+    CAST(sum(elements) AS BIGINT) AS elements, any_value(merged) AS merged, any_value(merged_sum) AS merged_sum
+FROM w JOIN c USING (thread_id, channel) GROUP BY thread_id, channel""", "T5")
 def q_stateful_fold(spark, sf):
     ev = _events(spark, sf).where(F.col("event_type").isin("click", "purchase"))
-    s = _stream(spark, sf, ev, "fold-in")
-    w = s.select(F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("thread_id"),
-                 F.concat(F.lit("c"), (F.col("event_id") % 4).cast("string")).alias("channel"),
-                 F.col("event_id").alias("seq"),
-                 (F.regexp_extract("props", r"([0-9]+)", 1).cast("long") * 10).alias("value"))
-    out, _ = T.run_to_table(T.stateful_fold(w), "update", "fold")
-    r = T.read_table(spark, out, "update")
-    latest = r.groupBy("thread_id", "channel").agg(F.max_by(F.struct("last_value", "total", "n"), "n").alias("s"))
-    return latest.select("thread_id", "channel", "s.last_value", "s.total", "s.n")
 
+    def fold(stream):
+        value = F.regexp_extract("props", r"([0-9]+)", 1).cast("long") * 10
+        return T.stateful_fold(stream.select(
+            F.col("ts").cast("timestamp").alias("event_time"), F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("thread_id"),
+            F.concat(F.lit("c"), (F.col("event_id") % 4).cast("string")).alias("channel"),
+            F.concat(F.lit("n"), (F.col("event_id") % 7).cast("string")).alias("map_key"), F.col("event_id").alias("seq"),
+            value.alias("value"), F.when(F.col("event_id") % 2 == 0, F.array(value, value)).otherwise(F.array(value)).alias("elements")))
 
-def _closing(ev, **over):
-    """One far-future row that moves the watermark past every real event."""
-    far = ev.limit(1).withColumn("ts", F.lit("2100-01-01 00:00:00").cast("timestamp_ntz")) \
-        .withColumn("event_id", F.lit(10 ** 12).cast("long")).withColumn("user_id", F.lit(-1).cast("long"))
-    for k, v in over.items():
-        far = far.withColumn(k, F.lit(v))
-    return far
+    return T.folded_state(T.replay([_drops(ev)], fold, "update", "fold"))
 
 
+BARRIER_HOURS, RUN_DAYS = 6, 8
 BARRIER_SQL = """
-WITH e AS (SELECT {RUN_ID_SQL} AS thread_id, concat('n', CAST(event_id % 7 AS VARCHAR)) AS source, event_id,
+WITH e AS (SELECT {RUN_ID_SQL} AS thread_id, concat('n', CAST(event_id % 7 AS VARCHAR)) AS source, ts, event_id,
         CASE WHEN event_type IN ('click', 'purchase') THEN 'ok' WHEN event_type = 'error' THEN 'failed'
              ELSE 'skipped' END AS state FROM events),
-l AS (SELECT thread_id, source, arg_max(state, event_id) AS state FROM e WHERE source IN ('n0', 'n1', 'n2')
-    GROUP BY thread_id, source),
-g AS (SELECT thread_id, count(*) AS arrived, sum(CASE WHEN state = 'ok' THEN 1 ELSE 0 END) AS ok,
-        sum(CASE WHEN state = 'failed' THEN 1 ELSE 0 END) AS failed,
-        sum(CASE WHEN state = 'skipped' THEN 1 ELSE 0 END) AS skipped FROM l GROUP BY thread_id)
-SELECT thread_id, CAST(ok AS BIGINT) AS ok, CAST(failed AS BIGINT) AS failed,
-    CAST(skipped + 3 - arrived AS BIGINT) AS skipped,
-    CASE WHEN arrived = 3 THEN 'complete' ELSE 'timeout' END AS fired FROM g"""
+a AS (SELECT *, min(epoch_ms(ts)) OVER (PARTITION BY thread_id) AS t0 FROM e WHERE source IN ('n0', 'n1', 'n2')),
+i AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY epoch_ms(ts), event_id) AS pos
+    FROM a WHERE epoch_ms(ts) <= t0 + 6 * 3600000),
+f AS (SELECT thread_id, source, min(pos) AS first_pos FROM i GROUP BY thread_id, source),
+c AS (SELECT thread_id, count(*) AS arrived, max(first_pos) AS done_pos FROM f GROUP BY thread_id),
+l AS (SELECT i.thread_id, i.source, arg_max(i.state, i.pos) AS state, any_value(c.arrived) AS arrived
+    FROM i JOIN c ON i.thread_id = c.thread_id WHERE c.arrived < 3 OR i.pos <= c.done_pos GROUP BY i.thread_id, i.source)
+SELECT thread_id, CAST(sum(CASE WHEN state = 'ok' THEN 1 ELSE 0 END) AS BIGINT) AS ok,
+    CAST(sum(CASE WHEN state = 'failed' THEN 1 ELSE 0 END) AS BIGINT) AS failed,
+    CAST(sum(CASE WHEN state = 'skipped' THEN 1 ELSE 0 END) + 3 - count(*) AS BIGINT) AS skipped,
+    CASE WHEN any_value(arrived) = 3 THEN 'complete' ELSE 'timeout' END AS fired FROM l GROUP BY thread_id"""
+
+
+def barrier(spark, sf, n_drops=N_DROPS):
+    ev = _events(spark, sf)
+    edges = spark.createDataFrame([("n0", "m"), ("n1", "m"), ("n2", "m")], "source string, merge string")
+    expected = T.merge_sources(edges, "m")
 
+    def build(stream):
+        arrivals = T.with_event_time(stream).select(
+            F.col("run_id").alias("thread_id"), F.concat(F.lit("n"), (F.col("event_id") % 7).cast("string")).alias("source"),
+            F.when(F.col("event_type").isin("click", "purchase"), "ok")
+             .when(F.col("event_type") == "error", "failed").otherwise("skipped").alias("state"), "event_id", "event_time")
+        return T.stream_barrier(arrivals, expected, BARRIER_HOURS * 3_600_000, RUN_DAYS * T.DAY_MS, "1 hour")
 
-def _closing_stream(spark, sf, ev, name):
-    """All rows in one drop, then a far-future closing row in a second drop."""
-    path = T.stage_with_close(ev, _closing(ev), name)
-    return T.file_stream(spark, path, ev.schema)
+    landed = T.replay([[*_drops(ev, n_drops), _closing(ev)]], build, "append", "barrier")
+    return landed.where(~F.col("thread_id").startswith("t-1")).drop("batch_id")
 
 
 @register("stream_barrier", BARRIER_SQL.replace("{RUN_ID_SQL}", RUN_ID_SQL), "T6")
 def q_stream_barrier(spark, sf):
+    return barrier(spark, sf)
+
+
+def deadlines(spark, sf, n_drops=N_DROPS):
     ev = _events(spark, sf)
-    e = T.with_event_time(_closing_stream(spark, sf, ev, "barrier-in"))
-    arrivals = e.select(F.col("run_id").alias("thread_id"),
-                        F.concat(F.lit("n"), (F.col("event_id") % 7).cast("string")).alias("source"),
-                        F.when(F.col("event_type").isin("click", "purchase"), "ok")
-                         .when(F.col("event_type") == "error", "failed").otherwise("skipped").alias("state"),
-                        "event_id", "event_time").where(F.col("source").isin(*T.EXPECTED_SOURCES))
-    out, _ = T.run_to_table(T.stream_barrier(arrivals, 6 * 3600 * 1000, "1 hour"), "append", "barrier")
-    return T.read_table(spark, out, "append").where(~F.col("thread_id").startswith("t-1")).select(
-        "thread_id", "ok", "failed", "skipped", "fired")
+    landed = T.replay([[*_drops(ev, n_drops), _closing(ev)]], lambda s: T.deadline_monitor(
+        s, 2 * T.DAY_MS, RUN_DAYS * T.DAY_MS, "1 hour", ["purchase"]), "append", "deadline")
+    return landed.where(~F.col("run_id").startswith("t-1")).drop("batch_id")
 
 
 @register("deadline_monitor", f"""
-SELECT {RUN_ID_SQL} AS run_id, min(epoch_us(ts) // 1000) AS started_ms,
-    min(epoch_us(ts) // 1000) + 172800000 AS deadline_ms
-FROM events GROUP BY 1 HAVING sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 0""".replace(
-    "{RUN_ID_SQL}", RUN_ID_SQL), "T7")
+WITH r AS (SELECT {RUN_ID_SQL} AS run_id, min(epoch_us(ts) // 1000) AS started_ms,
+    min(CASE WHEN event_type = 'purchase' THEN epoch_us(ts) // 1000 END) AS done_ms FROM events GROUP BY 1)
+SELECT run_id, started_ms, started_ms + 172800000 AS deadline_ms FROM r
+WHERE done_ms IS NULL OR done_ms >= started_ms + 172800000""", "T7")
 def q_deadline_monitor(spark, sf):
-    ev = _events(spark, sf)
-    d = T.deadline_monitor(_closing_stream(spark, sf, ev, "deadline-in"), 2 * 86400 * 1000, "1 hour", ["purchase"])
-    out, _ = T.run_to_table(d, "append", "deadline")
-    return T.read_table(spark, out, "append").where(~F.col("run_id").startswith("t-1")).select(
-        "run_id", "started_ms", "deadline_ms")
+    return deadlines(spark, sf)
 
 
 GATE_CHOICES = ["approve", "reject"]
@@ -168,31 +177,36 @@ WITH g AS (SELECT event_id AS gate_id, concat('t', CAST(user_id AS VARCHAR)) AS
         FROM events WHERE event_type = 'signup'),
 a AS (SELECT event_id AS answer_id, concat('t', CAST(user_id AS VARCHAR)) AS answer_thread, ts AS answer_time,
         CASE k % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' ELSE 'maybe' END AS answer
-        FROM {EVENTS_K} e WHERE event_type = 'view')
+        FROM {EVENTS_K} e WHERE event_type = 'view'),
+j AS (SELECT *, row_number() OVER (PARTITION BY gate_id ORDER BY answer_time, answer_id) AS r
+    FROM g LEFT JOIN a ON g.thread_id = a.answer_thread
+        AND a.answer_time >= g.gate_time AND a.answer_time <= g.gate_time + INTERVAL 48 HOUR)
 SELECT gate_id, thread_id, answer_id,
     CASE WHEN answer IS NULL THEN 'open' WHEN answer IN ('approve', 'reject') THEN 'answered' ELSE 'error' END AS status,
     CASE WHEN answer IN ('approve', 'reject') THEN answer END AS answer,
     CASE WHEN answer IS NOT NULL AND answer NOT IN ('approve', 'reject')
          THEN concat('answer ''', answer, ''' is not one of the allowed choices') END AS error
-FROM g LEFT JOIN a ON g.thread_id = a.answer_thread
-    AND a.answer_time >= g.gate_time AND a.answer_time <= g.gate_time + INTERVAL 1 HOUR""", "T8")
+FROM j WHERE r = 1""", "T8")
 def q_gate_join(spark, sf):
     ev = _events(spark, sf)
-    gates_src = ev.where(F.col("event_type") == "signup").unionByName(_closing(ev, event_type="signup"))
-    ans_src = ev.where(F.col("event_type") == "view").unionByName(_closing(ev, event_type="view"))
-    gs = T.with_event_time(_stream(spark, sf, gates_src, "gates-in")).select(
-        F.col("event_id").alias("gate_id"), "thread_id", F.col("event_time").alias("gate_time"))
-    an = T.with_event_time(_stream(spark, sf, ans_src, "answers-in")).select(
-        F.col("event_id").alias("answer_id"), F.col("thread_id").alias("answer_thread"),
-        F.col("event_time").alias("answer_time"),
-        F.when(F.col("k") % 3 == 0, "approve").when(F.col("k") % 3 == 1, "reject").otherwise("maybe").alias("answer"))
-    j = T.gate_join(gs, an, "1 hour", "1 hour", GATE_CHOICES)
-    out, _ = T.run_to_table(j, "append", "gates")
-    return T.read_table(spark, out, "append").where(F.col("thread_id") != "t-1").select(
-        "gate_id", "thread_id", "answer_id", "status", "answer", "error")
+
+    def build(gates, answers):
+        g = T.with_event_time(gates).select(F.col("event_id").alias("gate_id"), "thread_id", F.col("event_time").alias("gate_time"))
+        a = T.with_event_time(answers).select(
+            F.col("event_id").alias("answer_id"), F.col("thread_id").alias("answer_thread"),
+            F.col("event_time").alias("answer_time"), F.when(F.col("k") % 3 == 0, "approve")
+            .when(F.col("k") % 3 == 1, "reject").otherwise("maybe").alias("answer"))
+        return T.gate_join(g, a, "48 hours", "1 hour")
+
+    # both sources arrive by the same stretches of event time
+    parts = _drops(ev)
+    sides = [[*[p.where(F.col("event_type") == t) for p in parts], _closing(ev, event_type=t)] for t in ("signup", "view")]
+    landed = T.replay(sides, build, "append", "gates").where(F.col("thread_id") != "t-1")
+    return T.gate_results(landed, GATE_CHOICES)
 
 
 @register("resumable_run", TICKS_SQL, "T9")
 def q_resumable_run(spark, sf):
-    r = T.resumable_ticks(_events(spark, sf), "event_id", N_FILES)
-    return _ntz(r, "window_start", "window_end")
+    """The intervals of T2 over input in twice as many drops: restarts do not show in the result."""
+    landed = T.replay([_drops(_events(spark, sf), 2 * N_DROPS)], T.interval_ticks, "update", "resume")
+    return _ntz(T.latest(landed, ["window_start", "window_end"]), "window_start", "window_end")

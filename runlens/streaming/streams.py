@@ -1,87 +1,79 @@
 """Structured Streaming operators.
 
 Sources are file streams (parquet) so every query can be replayed from its
-checkpoint; sinks are idempotent per batch (``foreachBatch`` writes a
-folder per batch id, or overwrites a complete result), so a restarted
-query lands on the same final table.  Event time is the event ``ts`` cast
-to TIMESTAMP (watermarks reject TIMESTAMP_NTZ).
+checkpoint; sinks write a folder per batch id, overwritten if the batch is
+replayed, so a restarted query lands on the same table.  Event time is the
+event ``ts`` cast to TIMESTAMP (watermarks reject TIMESTAMP_NTZ).
+
+State is bounded by event time everywhere: totals are kept per key and day and
+leave the state once the watermark has passed the day; the batch step that
+goes with each operator folds the landed days of a key.  Timers keep what they
+have decided until a run cannot get any more events.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..plans.ordered import slice_bounds, with_slice
 from ..sources.sinks import outbox_payloads, scratch_path
 
+DAY_MS = 86_400_000
 
-# ------------------------------------------------------------------ staging and running
 
-def stage_files(df: DataFrame, order: str, n_files: int, name: str = "stream-in") -> str:
-    """Write ``df`` as ``n_files`` folders b0000.. in ``order`` (written one after another,
-    so file times follow the order) for a file stream that replays it in batches."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    sliced = with_slice(df, order, slice_bounds(df, order, n_files))
-    for i in range(n_files):
-        sliced.where(F.col("_rl_slice") == i).drop("_rl_slice").coalesce(1) \
-            .write.mode("overwrite").parquet(f"{path}/b{i:04d}")
-    return path
+# ------------------------------------------------------------------ drops and tables
 
+def drops(df: DataFrame, order: str, n: int) -> list[DataFrame]:
+    """``df`` cut into ``n`` consecutive stretches of ``order``; rows without a value go last."""
+    sliced = with_slice(df, order, slice_bounds(df, order, n))
+    return [sliced.where(F.least(F.coalesce("_rl_slice", F.lit(n)), F.lit(n - 1)) == i).drop("_rl_slice")
+            for i in range(n)]
 
-def stage_with_close(df: DataFrame, close: DataFrame, name: str = "stream-in") -> str:
-    """Stage ``df`` as one file drop followed by a drop holding ``close`` (rows far in the
-    future that move the watermark past every real event, so every open
-    event-time timer fires)."""
-    path = scratch_path(df.sparkSession, name)
-    df.coalesce(1).write.mode("overwrite").parquet(f"{path}/b0000")
-    close.coalesce(1).write.mode("overwrite").parquet(f"{path}/b0001")
-    return path
 
+def file_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.readStream.schema(schema).parquet(f"{path}/b*")
 
-def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-            .parquet(f"{path}/b*"))
-
-
-def run_to_table(df: DataFrame, mode: str, name: str, checkpoint: str | None = None,
-                 out: str | None = None) -> tuple[str, str]:
-    """Run a streaming DataFrame over everything available and land it in a parquet table.
-
-    ``complete``: each batch overwrites the table with the full result.
-    ``append`` / ``update``: each batch writes its own folder ``batch=<id>``,
-    overwritten if the batch is replayed -- an idempotent sink.
-    Returns (table path, checkpoint path); running again with the same
-    checkpoint resumes where the last run stopped.
-    """
-    spark = df.sparkSession
-    out = out or scratch_path(spark, f"{name}-out")
-    checkpoint = checkpoint or scratch_path(spark, f"{name}-ckpt")
 
+def run_to_table(df: DataFrame, mode: str, out: str, checkpoint: str) -> None:
+    """Process everything that has arrived, then stop.  Each batch writes its own folder of the table."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        if mode == "complete":
-            batch.write.mode("overwrite").parquet(f"{out}/complete")
-        else:
-            batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     q = (df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return out, checkpoint
 
 
-def read_table(spark: SparkSession, out: str, mode: str, schema=None) -> DataFrame:
-    if mode == "complete":
-        return spark.read.parquet(f"{out}/complete")
-    r = spark.read
-    if schema is not None:
-        r = r.schema(schema)
-    return r.parquet(out)
+def replay(inputs: Sequence[Sequence[DataFrame]], build: Callable[..., DataFrame], mode: str, name: str) -> DataFrame:
+    """Input that arrives in drops; after each drop the query starts from its checkpoint, catches
+    up and stops.  ``inputs`` holds the drops of every source, ``build`` makes the query from
+    one stream per source.  Returns the landed rows with their ``batch_id``.
+    """
+    spark = inputs[0][0].sparkSession
+    paths = [scratch_path(spark, f"{name}-in{k}") for k in range(len(inputs))]
+    out, checkpoint = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
+    schema = None
+    for i in range(max(map(len, inputs))):
+        for path, some in zip(paths, inputs):
+            if i < len(some):
+                some[i].write.mode("overwrite").parquet(f"{path}/b{i:04d}")
+        df = build(*[file_stream(spark, p, some[0].schema) for p, some in zip(paths, inputs)])
+        schema = StructType([*df.schema.fields, StructField("batch_id", IntegerType())])
+        run_to_table(df, mode, out, checkpoint)
+    return spark.read.schema(schema).parquet(f"{out}/batch=*")
+
+
+def latest(landed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The newest landed row of every key of an update-mode table."""
+    rest = [c for c in landed.columns if c not in (*keys, "batch_id")]
+    top = landed.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_r"))
+    return top.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
 # ------------------------------------------------------------------ event shaping
@@ -93,35 +85,48 @@ def with_event_time(events: DataFrame) -> DataFrame:
         F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("thread_id"),
         F.concat(F.lit("t"), F.col("user_id").cast("string"), F.lit("-w"),
                  F.floor((F.dayofmonth("ts") - 1) / 7).cast("int").cast("string")).alias("run_id"),
-        F.regexp_extract("props", r"([0-9]+)", 1).cast("int").alias("k"))
+        F.regexp_extract("props", r"([0-9]+)", 1).try_cast("int").alias("k"))
+
+
+def _millis(ts: str) -> Column:
+    return F.floor(F.unix_micros(ts) / 1000).cast("long")
 
 
 # ------------------------------------------------------------------ T1-T4, T8
 
-def live_run_report(stream: DataFrame) -> DataFrame:
-    """Per-run report kept current while events arrive (algebraic aggregates only)."""
-    e = with_event_time(stream)
-    return e.groupBy("run_id").agg(
+def live_run_report(stream: DataFrame, delay: str = "1 day") -> DataFrame:
+    """A report per run and day, kept current while events arrive (algebraic aggregates only)."""
+    e = with_event_time(stream).withWatermark("event_time", delay)
+    return e.groupBy("run_id", F.window("event_time", "1 day").alias("day")).agg(
         F.count(F.lit(1)).alias("events"), F.min("event_time").alias("started"),
         F.max("event_time").alias("last_seen"),
         F.count_if(F.col("event_type") == "error").alias("errors"),
         F.count_if(F.col("event_type") == "purchase").alias("finished_nodes"),
         F.sum(F.col("k") * 10).cast("long").alias("tokens"),
-        F.max_by("event_type", "event_id").alias("last_type"))
+        F.max(F.struct("event_id", "event_type")).alias("last"))
+
 
+def run_reports(landed: DataFrame) -> DataFrame:
+    """The report of each run so far, from the landed days of T1."""
+    d = latest(landed, ["run_id", "day"])
+    return d.groupBy("run_id").agg(
+        F.sum("events").alias("events"), F.min("started").alias("started"), F.max("last_seen").alias("last_seen"),
+        F.sum("errors").cast("long").alias("errors"), F.sum("finished_nodes").cast("long").alias("finished_nodes"),
+        F.sum("tokens").cast("long").alias("tokens"), F.max("last").getField("event_type").alias("last_type"))
 
-def interval_ticks(stream: DataFrame, every: str = "15 minutes", watermark: str | None = None) -> DataFrame:
-    """One row per fixed interval of event time with event and error counts."""
-    e = with_event_time(stream)
-    if watermark:
-        e = e.withWatermark("event_time", watermark)
+
+def interval_ticks(stream: DataFrame, every: str = "15 minutes", delay: str = "1 hour") -> DataFrame:
+    """One row per fixed interval of event time with event and error counts; intervals leave the
+    state once the watermark has passed them."""
+    e = with_event_time(stream).withWatermark("event_time", delay)
     g = e.groupBy(F.window("event_time", every).alias("w")).agg(
         F.count(F.lit(1)).alias("events"), F.count_if(F.col("event_type") == "error").alias("errors"))
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "events", "errors")
 
 
 def watchdog(ticks: DataFrame, max_error_rate: float) -> DataFrame:
-    """Per interval a status: ``ok`` or an alert text; only alerts go to the outbox."""
+    """Per interval a status: ``ok`` or an alert text; only alerts go to the outbox.  In append mode
+    an interval is judged once, when it is over."""
     rate = F.col("errors") / F.col("events")
     alert = F.concat(F.lit("errors "), F.col("errors").cast("string"), F.lit(" of "),
                      F.col("events").cast("string"))
@@ -131,24 +136,28 @@ def watchdog(ticks: DataFrame, max_error_rate: float) -> DataFrame:
 
 
 def dedup_replay(stream: DataFrame, keys: Sequence[str], delay: str) -> DataFrame:
-    """T4: stored and live rows merged without repeats of ``keys`` (within the watermark)."""
+    """T4: stored and live rows merged without repeats of ``keys``; a key is kept for ``delay``."""
     e = with_event_time(stream).withWatermark("event_time", delay)
     return e.dropDuplicatesWithinWatermark(list(keys))
 
 
-def gate_join(gates: DataFrame, answers: DataFrame, within: str, delay: str,
-              choices: Sequence[str]) -> DataFrame:
-    """Pending gates left-joined with answers in the same thread within ``within`` of the
-    gate; answers outside the allowed choices become errors; gates without an
-    answer stay open (emitted once the watermark passes their window)."""
+def gate_join(gates: DataFrame, answers: DataFrame, within: str, delay: str) -> DataFrame:
+    """Pending gates left-joined with the answers in the same thread within ``within`` of the gate;
+    a gate without an answer is emitted once the watermark has passed its window."""
     g = gates.withWatermark("gate_time", delay).alias("g")
     a = answers.withWatermark("answer_time", delay).alias("a")
     cond = ((F.col("g.thread_id") == F.col("a.answer_thread"))
             & (F.col("a.answer_time") >= F.col("g.gate_time"))
             & (F.col("a.answer_time") <= F.col("g.gate_time") + F.expr(f"interval {within}")))
-    j = g.join(a, cond, "leftOuter")
+    return g.join(a, cond, "leftOuter").select("gate_id", "thread_id", "answer_id", "answer_time", "answer")
+
+
+def gate_results(landed: DataFrame, choices: Sequence[str]) -> DataFrame:
+    """The outcome of every landed gate: its first answer wins; one outside the choices is an error."""
+    first = F.min(F.when(F.col("answer_id").isNotNull(), F.struct("answer_time", "answer_id", "answer"))).alias("a")
+    g = landed.groupBy("gate_id", "thread_id").agg(first).select("gate_id", "thread_id", "a.answer_id", "a.answer")
     ok = F.col("answer").isin(*choices)
-    return j.select("gate_id", "thread_id", "answer_id",
+    return g.select("gate_id", "thread_id", "answer_id",
                     F.when(F.col("answer").isNull(), F.lit("open"))
                      .when(ok, F.lit("answered")).otherwise(F.lit("error")).alias("status"),
                     F.when(ok, F.col("answer")).alias("answer"),
@@ -157,128 +166,130 @@ def gate_join(gates: DataFrame, answers: DataFrame, within: str, delay: str,
                      .alias("error"))
 
 
-# ------------------------------------------------------------------ T5-T7: keyed state
+# ------------------------------------------------------------------ T5: reducers
 
-FOLD_OUT = "thread_id string, channel string, last_value long, total long, n long"
-FOLD_STATE = "last_seq long, last_value long, total long, n long"
+def stateful_fold(writes: DataFrame, delay: str = "1 day") -> DataFrame:
+    """T5: the reducers of every (thread, channel, map key) per day as one streaming aggregate: last
+    write, sum, number of writes (append) and of elements (extend).  ``writes`` has event_time,
+    thread_id, channel, map_key, seq, value and elements."""
+    w = writes.withWatermark("event_time", delay)
+    return w.groupBy("thread_id", "channel", "map_key", F.window("event_time", "1 day").alias("day")).agg(
+        F.max(F.struct("seq", "value")).alias("last"), F.sum(F.coalesce("value", F.lit(0))).alias("total"),
+        F.count(F.lit(1)).alias("n"), F.sum(F.size("elements")).alias("elements"))
 
 
-def _fold_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last_seq, last_value, total, n = state.get if state.exists else (-1, None, 0, 0)
-    for pdf in pdfs:
-        pdf = pdf.sort_values("seq")
-        if len(pdf):
-            tail = pdf.iloc[-1]
-            if int(tail["seq"]) > last_seq:
-                last_seq, last_value = int(tail["seq"]), (None if pd.isna(tail["value"]) else int(tail["value"]))
-            total += int(pdf["value"].fillna(0).sum())
-            n += len(pdf)
-    state.update((last_seq, last_value, total, n))
-    yield pd.DataFrame([{"thread_id": key[0], "channel": key[1], "last_value": last_value,
-                         "total": total, "n": n}])
+def folded_state(landed: DataFrame) -> DataFrame:
+    """(thread, channel): last, sum, append, extend and merge_dict states so far, from the landed days of T5.
 
+    ``merged`` is the number of keys of the merged map and ``merged_sum`` the sum of its values (later writes win)."""
+    d = latest(landed, ["thread_id", "channel", "map_key", "day"])
+    keys = d.groupBy("thread_id", "channel", "map_key").agg(
+        F.max("last").alias("last"), F.sum("total").alias("total"), F.sum("n").alias("n"),
+        F.sum("elements").alias("elements"))
+    return keys.groupBy("thread_id", "channel").agg(
+        F.max("last").getField("value").alias("last_value"), F.sum("total").cast("long").alias("total"),
+        F.sum("n").cast("long").alias("n"), F.sum("elements").cast("long").alias("elements"),
+        F.count("map_key").alias("merged"), F.sum("last.value").cast("long").alias("merged_sum"))
 
-def stateful_fold(writes: DataFrame) -> DataFrame:
-    """T5: last / sum / append-size reducers kept per (thread, channel) across batches in
-    keyed state; each batch emits the updated states (a restart resumes from the
-    checkpointed state)."""
-    return writes.groupBy("thread_id", "channel").applyInPandasWithState(
-        _fold_fn, FOLD_OUT, FOLD_STATE, "update", GroupStateTimeout.NoTimeout)
 
+# ------------------------------------------------------------------ T6, T7: timers
 
 BARRIER_OUT = "thread_id string, ok long, failed long, skipped long, fired string"
-BARRIER_STATE = "arrived array<string>, states array<string>"
-EXPECTED_SOURCES = ("n0", "n1", "n2")
+BARRIER_STATE = "deadline long, sources array<string>, states array<string>, fired boolean"
+
 
+def _barrier_fn(expected: Sequence[str], timeout_ms: int, keep_ms: int):
+    def row(key, got: dict[str, str], fired: str) -> pd.DataFrame:
+        states = [got.get(s, "skipped") for s in expected]
+        return pd.DataFrame([{"thread_id": key[0], **{k: states.count(k) for k in ("ok", "failed", "skipped")},
+                              "fired": fired}])
 
-def _barrier_fn(timeout_ms: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        deadline, sources, states, fired = state.get if state.exists else (None, [], [], False)
+        got = dict(zip(sources, states))
+        expiry = None if deadline is None else deadline - timeout_ms + keep_ms
         if state.hasTimedOut:
-            arrived, states = state.get
-            got = dict(zip(arrived, states))
-            state.remove()
-            yield pd.DataFrame([{"thread_id": key[0], "ok": sum(1 for s in got.values() if s == "ok"),
-                                 "failed": sum(1 for s in got.values() if s == "failed"),
-                                 "skipped": len(EXPECTED_SOURCES) - len(got)
-                                 + sum(1 for s in got.values() if s == "skipped"), "fired": "timeout"}])
-            return
-        got = dict(zip(*state.get)) if state.exists else {}
-        latest = 0
-        for pdf in pdfs:
-            for _, r in pdf.sort_values("event_id").iterrows():
-                got[r["source"]] = r["state"]
-                latest = max(latest, int(r["event_ms"]))
-        if all(s in got for s in EXPECTED_SOURCES):
-            state.remove()
-            yield pd.DataFrame([{"thread_id": key[0], "ok": sum(1 for s in got.values() if s == "ok"),
-                                 "failed": sum(1 for s in got.values() if s == "failed"),
-                                 "skipped": sum(1 for s in got.values() if s == "skipped"), "fired": "complete"}])
+            if fired:
+                state.remove()
+                return
+            yield row(key, got, "timeout")
+            state.update((deadline, [], [], True))
+            state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
             return
-        state.update((list(got), [got[k] for k in got]))
-        state.setTimeoutTimestamp(max(latest + timeout_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(columns=["thread_id", "ok", "failed", "skipped", "fired"])
+        if fired:
+            for _ in pdfs:
+                pass
+        else:
+            # the arrivals of the batch in event order; those after the deadline only say that it has passed
+            rows = pd.concat(list(pdfs)).sort_values(["event_ms", "event_id"])
+            if deadline is None:
+                deadline = int(rows["event_ms"].iloc[0]) + timeout_ms
+                expiry = deadline - timeout_ms + keep_ms
+            late = bool((rows["event_ms"] > deadline).any())
+            rows = rows[rows["event_ms"] <= deadline]
+            for source, what in zip(rows["source"], rows["state"]):
+                got[source] = what
+                if len(got) == len(expected):
+                    break
+            if len(got) == len(expected) or late:
+                yield row(key, got, "complete" if len(got) == len(expected) else "timeout")
+                fired, got = True, {}
+        state.update((deadline, list(got), list(got.values()), fired))
+        state.setTimeoutTimestamp(max(expiry if fired else deadline + 1, state.getCurrentWatermarkMs() + 1))
     return fn
 
 
-def stream_barrier(arrivals: DataFrame, timeout_ms: int, delay: str) -> DataFrame:
-    """A merge fires when all expected sources arrived; when the event-time timer
-    runs out first, the missing sources count as skipped."""
-    a = arrivals.withWatermark("event_time", delay).withColumn(
-        "event_ms", (F.unix_micros("event_time") / 1000).cast("long"))
+def stream_barrier(arrivals: DataFrame, expected: Sequence[str], timeout_ms: int, keep_ms: int, delay: str) -> DataFrame:
+    """A merge fires once.  ``complete`` when the last expected source arrives within ``timeout_ms``
+    of the first arrival, with the state that each source had at that moment; otherwise ``timeout``, with
+    the arrivals up to then, missing sources counting as skipped.
+
+    ``arrivals``: thread_id, source, state, event_id, event_time; ``expected`` are the sources of the
+    merge's in-edges (``merge_sources``).  A key that has fired is remembered for ``keep_ms`` after its
+    first arrival, so that later arrivals do not fire it again.
+    """
+    a = arrivals.where(F.col("source").isin(*expected)).withWatermark("event_time", delay) \
+        .withColumn("event_ms", _millis("event_time"))
     return a.groupBy("thread_id").applyInPandasWithState(
-        _barrier_fn(timeout_ms), BARRIER_OUT, BARRIER_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        _barrier_fn(list(expected), timeout_ms, keep_ms), BARRIER_OUT, BARRIER_STATE, "append",
+        GroupStateTimeout.EventTimeTimeout)
+
+
+def merge_sources(edges: DataFrame, merge: str) -> list[str]:
+    """Declared sources of a merge node (a handful per graph)."""
+    return sorted(r[0] for r in edges.where(F.col("merge") == merge).select("source").distinct().collect())
 
 
 DEADLINE_OUT = "run_id string, started_ms long, deadline_ms long"
-DEADLINE_STATE = "started_ms long, done boolean"
+DEADLINE_STATE = "started_ms long, done_ms long, judged boolean"
 
 
-def _deadline_fn(deadline_ms: int, terminal: Sequence[str]):
+def _deadline_fn(deadline_ms: int, keep_ms: int, terminal: Sequence[str]):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        started, done, judged = state.get if state.exists else (None, None, False)
         if state.hasTimedOut:
-            started, done = state.get
-            state.remove()
-            if not done:
+            if judged:
+                state.remove()
+                return
+            # reaching the deadline trips, so a terminal event must come before it
+            if done is None or done >= started + deadline_ms:
                 yield pd.DataFrame([{"run_id": key[0], "started_ms": started, "deadline_ms": started + deadline_ms}])
-            return
-        started, done = state.get if state.exists else (None, False)
-        for pdf in pdfs:
-            lo = int(pdf["event_ms"].min())
-            started = lo if started is None else min(started, lo)
-            done = done or bool(pdf["event_type"].isin(list(terminal)).any())
-        state.update((started, done))
-        state.setTimeoutTimestamp(max(started + deadline_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(columns=["run_id", "started_ms", "deadline_ms"])
+            judged = True
+        for pdf in [] if state.hasTimedOut else pdfs:
+            first = int(pdf["event_ms"].min())
+            started = first if started is None else min(started, first)
+            ends = pdf.loc[pdf["event_type"].isin(list(terminal)), "event_ms"]
+            if len(ends):
+                done = int(ends.min()) if done is None else min(done, int(ends.min()))
+        state.update((started, done, judged))
+        state.setTimeoutTimestamp(max(started + (keep_ms if judged else deadline_ms), state.getCurrentWatermarkMs() + 1))
     return fn
 
 
-def deadline_monitor(events: DataFrame, deadline_ms: int, delay: str, terminal: Sequence[str]) -> DataFrame:
-    """Runs that have no terminal event when their elapsed event time reaches the deadline."""
-    e = with_event_time(events).withWatermark("event_time", delay).withColumn(
-        "event_ms", (F.unix_micros("event_time") / 1000).cast("long"))
+def deadline_monitor(events: DataFrame, deadline_ms: int, keep_ms: int, delay: str, terminal: Sequence[str]) -> DataFrame:
+    """Runs whose first terminal event does not come before start + deadline, told once, when the
+    watermark reaches the deadline.  What was told is remembered for ``keep_ms`` after the start."""
+    e = with_event_time(events).withWatermark("event_time", delay).withColumn("event_ms", _millis("event_time"))
     return e.groupBy("run_id").applyInPandasWithState(
-        _deadline_fn(deadline_ms, terminal), DEADLINE_OUT, DEADLINE_STATE, "append",
+        _deadline_fn(deadline_ms, keep_ms, terminal), DEADLINE_OUT, DEADLINE_STATE, "append",
         GroupStateTimeout.EventTimeTimeout)
-
-
-# ------------------------------------------------------------------ T9
-
-def resumable_ticks(df: DataFrame, order: str, n_batches: int, every: str = "15 minutes") -> DataFrame:
-    """The interval aggregate over input that arrives in ``n_batches`` file drops; the
-    query stops after each drop and restarts from its checkpoint.  The final
-    table equals one uninterrupted run over all of it."""
-    spark = df.sparkSession
-    path = scratch_path(spark, "resume-in")
-    checkpoint = scratch_path(spark, "resume-ckpt")
-    out = scratch_path(spark, "resume-out")
-    sliced = with_slice(df, order, slice_bounds(df, order, n_batches))
-    for i in range(n_batches):
-        # new data lands, then the (restarted) query catches up and stops
-        sliced.where(F.col("_rl_slice") == i).drop("_rl_slice").coalesce(1) \
-            .write.mode("overwrite").parquet(f"{path}/b{i:04d}")
-        s = spark.readStream.schema(df.schema).parquet(f"{path}/b*")
-        q = (interval_ticks(s, every).writeStream.outputMode("complete")
-             .foreachBatch(lambda b, _i: b.write.mode("overwrite").parquet(f"{out}/complete"))
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-        q.awaitTermination()
-    return spark.read.parquet(f"{out}/complete")

@@ -37,7 +37,13 @@ def test_map_items_skip_and_fail(spark):
 
 def test_resumed_stream_equals_batch(spark):
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    got = {(r.window_start, r.events) for r in T.resumable_ticks(ev, "event_id", 3).collect()}
+    landed = T.replay([T.drops(ev, "ts", 3)], T.interval_ticks, "update", "t")
+    got = {(r.window_start, r.events) for r in T.latest(landed, ["window_start", "window_end"]).collect()}
     batch = ev.groupBy(F.window(F.col("ts").cast("timestamp"), "15 minutes").alias("w")).count()
     exp = {(r.w.start, r["count"]) for r in batch.collect()}
     assert got == exp
+
+
+def test_drops_keep_rows_without_a_time(spark):
+    df = spark.createDataFrame([(i if i % 5 else None,) for i in range(40)], "ts long")
+    assert sum(d.count() for d in T.drops(df, "ts", 4)) == 40
