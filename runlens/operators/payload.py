@@ -133,7 +133,8 @@ def redact(df: DataFrame, key: str, col: str, values: DataFrame | None = None,
         for i in range(blocks):
             # a block holds about ``block`` values, whatever their number is in all
             some = [r[0] for r in vals.where(F.pmod(F.xxhash64("_v"), F.lit(blocks)) == i).collect()]
-            found.append(_value_spans(some)(F.col(col)))
+            if some:
+                found.append(_value_spans(some)(F.col(col)))
         spans = F.array_sort(F.flatten(F.array(*found)))
         out = df.withColumn("_spans", spans)
         out = out.withColumn(col, F.when(F.size("_spans") > 0, _cut_spans(F.col(col), F.col("_spans"), mask))
@@ -161,7 +162,7 @@ def _cut_spans(text: Column, spans: Column, mask: str) -> Column:
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
-        fresh = (s["a"] >= acc["at"]) if mask else F.lit(True)
+        fresh = s["a"] >= acc["at"]
         between = F.substring(text, acc["at"] + 1, F.greatest(s["a"] - acc["at"], F.lit(0)))
         return F.struct(F.when(fresh, F.concat(acc["out"], between, F.lit(mask))).otherwise(acc["out"]).alias("out"),
                         F.greatest(acc["at"], s["b"]).alias("at"))
