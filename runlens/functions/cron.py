@@ -8,6 +8,8 @@ minute-by-minute scan and no cross product with the trigger table.
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,19 @@ CRON_FIELDS = (("minute", 0, 59), ("hour", 0, 23), ("dom", 1, 31), ("month", 1,
 PART_PATTERN = r"^(\*|\d+|\d+-\d+)(/\d+)?$"
 
 
+# Names that may stand for numbers, and shorthands for whole texts.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+WEEKDAYS = ("sun", "mon", "tue", "wed", "thu", "fri", "sat")
+SHORTHANDS = {"@yearly": "0 0 1 1 *", "@annually": "0 0 1 1 *", "@monthly": "0 0 1 * *", "@weekly": "0 0 * * 0",
+              "@daily": "0 0 * * *", "@midnight": "0 0 * * *", "@hourly": "0 * * * *"}
+
+
+def _numbered(field: Column, names: tuple[str, ...], first: int) -> Column:
+    for n, name in enumerate(names, first):
+        field = F.regexp_replace(field, rf"\b{name}\b", str(n))
+    return field
+
+
 def _part_values(p: Column, lo: int, hi: int) -> Column:
     base = F.regexp_extract(p, r"^([^/]*)", 1)
     has_step = F.instr(p, "/") > 0
@@ -43,9 +58,13 @@ def field_values(text: Column, lo: int, hi: int) -> Column:
 
 def parse_cron(cron: Column) -> Column:
     """struct(minute, hour, dom, month, dow arrays, dom_star, dow_star, valid)."""
-    f = F.split(F.trim(cron), r"\s+")
+    text = F.lower(F.trim(cron))
+    whole = F.create_map(*[F.lit(x) for pair in SHORTHANDS.items() for x in pair])
+    f = F.split(F.coalesce(F.try_element_at(whole, text), text), r"\s+")
     n = F.size(f)
-    fields = {name: F.when(n == 5, field_values(F.get(f, i), lo, hi)) for i, (name, lo, hi) in enumerate(CRON_FIELDS)}
+    parts = [F.get(f, i) for i in range(5)]
+    parts[3], parts[4] = _numbered(parts[3], MONTHS, 1), _numbered(parts[4], WEEKDAYS, 0)
+    fields = {name: F.when(n == 5, field_values(parts[i], lo, hi)) for i, (name, lo, hi) in enumerate(CRON_FIELDS)}
     dow = F.array_distinct(F.transform(fields["dow"], lambda d: d % 7))
     valid = F.lit(True)
     for v in fields.values():
@@ -79,6 +98,27 @@ def cron_expand(triggers: DataFrame, key: str, cron: str, start: str, end: str)
     return fires, invalid
 
 
+# Days ahead that are looked at, one after the other: the last holds a 29 February across a century.
+HORIZONS = (8, 400, 3000)
+
+
+def next_fire(triggers: DataFrame, key: str, cron: str, now: str) -> DataFrame:
+    """(key, next_fire, delay_s) of every valid trigger, its first fire strictly after ``now``, however far.
+
+    Most triggers are done within days; only those without a fire there look
+    further.  One that never fires (30 February) has nulls.
+    """
+    rest = triggers.where(parse_cron(F.col(cron))["valid"]).select(key, cron)
+    found = None
+    for days in HORIZONS:
+        end = (datetime.fromisoformat(now) + timedelta(days=days)).isoformat(sep=" ")
+        got = next_delay(cron_expand(rest, key, cron, now, end)[0], key, now)
+        found = got if found is None else found.unionByName(got)
+        rest = rest.join(got.select(key), key, "left_anti")
+    never = rest.select(key, F.lit(None).cast("timestamp_ntz").alias("next_fire"), F.lit(None).cast("double").alias("delay_s"))
+    return found.unionByName(never)
+
+
 def next_delay(fires: DataFrame, key: str, now: str) -> DataFrame:
     """Seconds from ``now`` to each trigger's next fire time strictly after it."""
     nxt = fires.where(F.col("fire_at") > F.lit(now).cast("timestamp_ntz")).groupBy(key).agg(

@@ -608,8 +608,8 @@ CRON_SPARK = """CASE pmod(p_partkey, 8)
     WHEN 4 THEN concat(CAST(p_size % 60 AS STRING), ' ', CAST(p_partkey % 24 AS STRING), ' * * *')
     WHEN 1 THEN concat('*/15 ', CAST(p_partkey % 24 AS STRING), ' * * *')
     WHEN 5 THEN concat('*/15 ', CAST(p_partkey % 24 AS STRING), ' * * *')
-    WHEN 2 THEN '0 9 * * 1-5'
-    WHEN 6 THEN '30 6 1,15 * 0'
+    WHEN 2 THEN '0 9 * * MON-FRI'
+    WHEN 6 THEN '30 6 1,15 jan-dec Sun'
     ELSE concat('bad ', p_name) END"""
 CRON_START, CRON_END, CRON_NOW = "2024-01-01 00:00:00", "2024-01-08 00:00:00", "2024-01-03 10:20:00"
 
@@ -643,7 +643,8 @@ SELECT p_partkey, min(fire_at) AS next_fire,
 FROM f WHERE fire_at > TIMESTAMP '{CRON_NOW}' GROUP BY p_partkey""", "F18")
 def q_cron_next(spark, sf):
     from ..functions import cron as C
-    return C.next_delay(_cron(spark, sf)[0], "p_partkey", CRON_NOW)
+    p = table(spark, sf, "part").select("p_partkey", F.expr(CRON_SPARK).alias("cron"))
+    return C.next_fire(p, "p_partkey", "cron", CRON_NOW)
 
 
 @register("cron_invalid", "SELECT p_partkey, concat('bad ', p_name) AS cron FROM part WHERE p_partkey % 8 IN (3, 7)",

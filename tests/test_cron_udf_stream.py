@@ -19,6 +19,10 @@ def test_cron_fields_and_day_rule(spark):
     # day of month 1 or 15, or any Sunday (Jan 7, Jan 14)
     assert sorted(got[2]) == ["01 00:00", "07 00:00", "14 00:00", "15 00:00"]
     assert sorted(r.id for r in invalid.collect()) == [3, 4]
+    far = spark.createDataFrame([(1, "@daily"), (2, "0 12 29 FEB *"), (3, "0 0 30 2 *"), (4, "15 8 * * tue,sat"), (5, "bad")],
+                                "id int, cron string")
+    nxt = {r.id: r.next_fire and str(r.next_fire) for r in C.next_fire(far, "id", "cron", "2025-01-01 00:00:00").collect()}
+    assert nxt == {1: "2025-01-02 00:00:00", 2: "2028-02-29 12:00:00", 3: None, 4: "2025-01-04 08:15:00"}
     nxt = C.next_delay(fires, "id", "2024-01-01 09:10:00").where("id = 1").first()
     assert nxt.delay_s == 600.0
 
