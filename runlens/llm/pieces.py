@@ -28,7 +28,7 @@ from .charsmap import SPACE, CharsMap, load_spec, normalise
 from .common import Memo, slices
 
 _CUT = re.compile("(?<=[^ ▁]) ")
-_MEMO = 300_000       # words in each generation of a worker's memo
+_MEMO = 100_000       # words in each generation of a worker's memo
 _SLICE = 1_000_000
 _LOADED: dict[str, "Coder"] = {}
 

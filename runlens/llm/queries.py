@@ -105,4 +105,19 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_quality, op2_bm25, op3_ngram_join, op4_token_counts, op5_suffix_dedup, op6_private,
                                 op7_pieces, op8_reshard, op9_mixing,
                                 op10_embedding_dedup)}
-ORACLE: dict[str, str] = {}
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', " \
+    r"'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+ORACLE: dict[str, str] = {"op2_bm25": f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+s AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS mean FROM d),
+q AS (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark WHERE item_id % 20 = 0),
+qt AS (SELECT item_id, t, count(*) AS times FROM q GROUP BY item_id, t),
+p AS (SELECT doc_id, len(w) AS dl, unnest(w) AS t FROM d),
+tf AS (SELECT doc_id, dl, t, count(*) AS tf FROM p WHERE t IN (SELECT t FROM qt) GROUP BY doc_id, dl, t),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+sc AS (SELECT qt.item_id, tf.doc_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
+        / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
+    FROM qt JOIN tf ON qt.t = tf.t JOIN df ON qt.t = df.t CROSS JOIN s GROUP BY qt.item_id, tf.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM r WHERE rank <= 10"""}

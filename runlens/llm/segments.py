@@ -333,6 +333,30 @@ def spans(text: Column, model: str) -> Column:
     return run(F.coalesce(text, F.lit("")))
 
 
+def _masked(t: str, found) -> str:
+    parts, at = [], 0
+    for start, kind, end in found:
+        if start >= at:
+            parts += [t[at:start], f"[{KINDS[kind]}]"]
+        at = max(at, end)
+    return "".join([*parts, t[at:]])
+
+
+def masked(text: Column, model: str) -> Column:
+    """Each whole text with its spans masked, found and replaced in one pass; null stays null."""
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find = finder(model)
+        for texts in batches:
+            out = []
+            for t in texts:
+                base = rule_spans(t) if t else []
+                both = sorted(base + find.added(t, base)) if t else []
+                out.append(_masked(t, both) if both else t)
+            yield pd.Series(out, dtype=object)
+    return run(text)
+
+
 def mask(text: Column, found: Column) -> Column:
     """The text with every span replaced by its kind in brackets; overlapping spans become one, under the first's name."""
     @F.pandas_udf("string")
@@ -343,11 +367,6 @@ def mask(text: Column, found: Column) -> Column:
                 if t is None or spans_ is None or not len(spans_):
                     out.append(t)
                     continue
-                parts, at = [], 0
-                for s in spans_:
-                    if s["start"] >= at:
-                        parts += [t[at:s["start"]], f"[{s['kind']}]"]
-                    at = max(at, s["end"])
-                out.append("".join([*parts, t[at:]]))
+                out.append(_masked(t, [(s["start"], KINDS.index(s["kind"]), s["end"]) for s in spans_]))
             yield pd.Series(out, dtype=object)
     return run(text, found)

@@ -19,8 +19,18 @@ from .pieces import encode_decode
 from .queries import held_out, n_words
 
 
+# bytes of an Arrow batch: with whole texts in a batch, this is what bounds a Python worker
+BATCH_BYTES = "4m"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores 0.5 or more; it learns from labels outside the held-out third."""
+    _small_batches(spark)
     labels = table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", "quality")
     model = fit(docs.where(~held_out()), labels)
     return docs.where(model.score(F.col("text")) >= 0.5)
@@ -31,7 +41,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents without words are in no group and stay, and so do those without an id.
     """
-    classes = jaccard_classes(docs)
+    _small_batches(spark)
+    classes = jaccard_classes(docs, chunk_bytes=2 << 20)
     goes = classes.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(goes, "doc_id", "left_anti")
     twice = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
@@ -44,20 +55,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with every span of personal data replaced by its kind; n_chars follows the text."""
-    text = segments.mask(F.col("text"), segments.spans(F.col("text"), segments.fit(docs)))
-    out = docs.withColumn("text", text)
+    _small_batches(spark)
+    out = docs.withColumn("text", segments.masked(F.col("text"), segments.fit(docs)))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) \
         if "n_chars" in docs.columns else out
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
+    _small_batches(spark)
     taken = mix(docs, n_words(F.col("text")))
     return taken.where("copies > 0").withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).select(*docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, ids_sha256, decoded_sha256 of every document."""
+    _small_batches(spark)
     return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"),
                          outputs=("ids", "ids_sha256", "decoded_sha256"))
 
