@@ -127,3 +127,26 @@ def test_block_max_skips_but_loses_nothing():
             full[d] = full.get(d, 0.0) + v
     best = sorted(((-round(v, 6), d) for d, v in full.items()))[:5]
     assert sorted((-sc, d) for sc, d in s.search([(t, 1) for t in range(4)], 5, ids)) == best
+
+
+def test_search_by_every_twentieth_document(spark, tmp_path):
+    from runlens.llm.queries import op2_bm25
+    rng = np.random.default_rng(4)
+    docs = [(i, " ".join(f"w{x}" for x in rng.geometric(0.03, rng.integers(1, 60)))) for i in range(240)] + [(240, None), (260, "w1 w9")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    # the benchmark has no say in which queries are asked
+    spark.createDataFrame([(20, "w1")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in op2_bm25(spark, str(tmp_path)).collect())
+    want = _plain(docs, [(i, t) for i, t in docs if i % 20 == 0], 10)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and all(math.isclose(g[3], w[3], abs_tol=2e-6) for g, w in zip(got, want))
+
+
+def test_search_in_query_blocks_equals_search_in_one(spark):
+    rng = np.random.default_rng(6)
+    docs = [(i if i % 9 else None, " ".join(f"w{x}" for x in rng.geometric(0.02, rng.integers(1, 80)))) for i in range(400)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    q = d.where("doc_id % 5 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    q = q.unionByName(q.limit(2)).unionByName(q.limit(1).withColumn("query_id", F.lit(None).cast("long")))
+    one = search(d, q, 4).collect()
+    many = search(d, q, 4, shard_bytes=2000, query_bytes=900).collect()
+    assert len(one) == 4 * q.count() and sorted(map(str, one)) == sorted(map(str, many))
