@@ -8,15 +8,19 @@
    nearest.  Rounds end when few entries change.
 4. Pairs at or above the threshold are kept as edges; their components follow.
 5. A saturated list (all of it above the threshold) cannot hold a node's links.
-   It is enlarged to the node's whole component, which is counted exactly, block
-   of vectors against block, without making a row per pair.
-6. Recall is audited by brute force for a bounded sample of nodes against all;
-   below the target the rounds go on with longer lists.
+   Its node is compared with all nodes of its label outside its component, block
+   of vectors against block, and components that link are joined.  Components
+   are then counted exactly in the same way, without making a row per pair.
+6. Recall is audited by brute force against all nodes, for a sample of nodes with
+   links and one of all nodes, which grow with the root of the table.  Below the
+   target the rounds go on with longer lists, in the end with every node taken
+   as saturated, which is exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -27,7 +31,7 @@ from .common import Scratch, components
 
 _POOL = 64          # nodes of a pool at the start
 _BLOCK = 512        # nodes of a block when a component is counted
-_AUDIT = 256        # nodes whose links are counted by brute force
+_AUDIT = 256        # nodes of an audited sample, at least
 _TABLES, _BITS = 8, 24
 
 
@@ -95,9 +99,14 @@ def near_classes(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         size = neighbours << attempt
         graph = _descend(graph, nodes, scratch, threshold, size, rounds, attempt)
         edges = graph.where(F.col("s") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
-        found = _count(components(edges, scratch, f"cc-{attempt}"), nodes, scratch, threshold, attempt)
+        joined = components(edges, scratch, f"cc-{attempt}")
+        full = graph.groupBy("u").agg(F.count("*").alias("n"), F.min("s").alias("low")) \
+            .where((F.col("n") >= size) & (F.col("low") >= threshold)).select(F.col("u").alias("node"))
+        found = _widened(edges, joined, full, nodes, scratch, threshold, f"{attempt}")
         if _recall(nodes, found, threshold) >= target_recall:
             break
+    else:
+        found = _widened(edges, joined, nodes.select("node"), nodes, scratch, threshold, "all")
     part = nodes.select("node", "times", "least").join(found, "node", "left") \
         .withColumn("component", F.coalesce("component", "node"))
     low = part.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -181,7 +190,48 @@ def _descend(graph: DataFrame, nodes: DataFrame, scratch: Scratch, threshold: fl
     return graph
 
 
-def _count(joined: DataFrame, nodes: DataFrame, scratch: Scratch, threshold: float, attempt: int) -> DataFrame:
+def _widened(edges: DataFrame, joined: DataFrame, full: DataFrame, nodes: DataFrame, scratch: Scratch, threshold: float,
+             tag: str) -> DataFrame:
+    """Links counted in the components, after those that a node of ``full`` links with another have been joined."""
+    beyond = _beyond(joined, full, nodes, scratch, threshold, tag)
+    if not beyond.isEmpty():
+        joined = components(edges.unionByName(beyond), scratch, f"cc-wide-{tag}")
+    return _count(joined, nodes, scratch, threshold, tag)
+
+
+def _beyond(joined: DataFrame, full: DataFrame, nodes: DataFrame, scratch: Scratch, threshold: float,
+            tag: str) -> DataFrame:
+    """(a, b): pairs of components between which a node of ``full`` has a link."""
+    placed = nodes.select("node", "grp", "unit").join(joined.withColumnRenamed("id", "node"), "node", "left") \
+        .withColumn("component", F.coalesce("component", "node"))
+
+    def blocks(part: DataFrame, name: str) -> DataFrame:
+        room = part.groupBy("grp").agg(F.ceil(F.count("*") / _BLOCK).alias("parts"))
+        packed = part.join(room, "grp").groupBy("grp", F.pmod(F.xxhash64("node"), F.col("parts")).alias("block")).agg(
+            F.collect_list(F.struct("component", "unit")).alias(name))
+        return scratch.keep(packed.select("grp", name), f"{name}-{tag}")
+
+    asks = blocks(placed.join(full, "node", "left_semi"), "asks")
+    if asks.isEmpty():
+        return joined.select(F.col("id").alias("a"), F.col("component").alias("b")).limit(0)
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a, b in zip(pdf["asks"], pdf["told"]):
+                ca, cb = (np.array([r["component"] for r in m], dtype=np.int64) for m in (a, b))
+                hit = _matrix([r["unit"] for r in a]) @ _matrix([r["unit"] for r in b]).T >= threshold
+                i, j = np.nonzero(hit & (ca[:, None] != cb[None, :]))
+                if len(i):
+                    pairs = np.unique(np.stack((ca[i], cb[j]), 1), axis=0)
+                    yield pd.DataFrame(pairs, columns=["a", "b"])
+
+    # block against block of a label, partition by partition: nothing is shuffled by label
+    met = asks.join(blocks(placed, "told").withColumnRenamed("grp", "g").hint("shuffle_replicate_nl"),
+                    F.col("grp") == F.col("g"))
+    return scratch.keep(met.select("asks", "told").mapInPandas(meet, "a long, b long"), f"beyond-{tag}").distinct()
+
+
+def _count(joined: DataFrame, nodes: DataFrame, scratch: Scratch, threshold: float, tag: str) -> DataFrame:
     """(node, component, links) for the nodes of components of two or more, every pair inside a component compared."""
     inside = joined.withColumnRenamed("id", "node").join(nodes.select("node", "times", "unit"), "node")
     room = joined.groupBy("component").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("parts"))
@@ -207,15 +257,24 @@ def _count(joined: DataFrame, nodes: DataFrame, scratch: Scratch, threshold: flo
 
     got = tiles.groupBy("component", "i", "j").applyInPandas(count, "node long, component long, links long") \
         .groupBy("node", "component").agg(F.sum("links").alias("links"))
-    return scratch.keep(got, f"links-{attempt}")
+    return scratch.keep(got, f"links-{tag}")
 
 
 def _recall(nodes: DataFrame, found: DataFrame, threshold: float) -> float:
-    """Share of the true links of a bounded sample of nodes that were found; 1 where there are none."""
-    picked = nodes.select("node", "grp", "unit").orderBy(F.xxhash64("node", F.lit(3))).limit(_AUDIT).collect()
-    if not picked:
+    """Share of a node's true links that were found, as a mean over sampled nodes that have any; 1 where none has.
+
+    The lower of two means: over nodes with links found, and over any nodes,
+    which also tells of nodes whose links are all lost.
+    """
+    size = max(_AUDIT, isqrt(nodes.count()))
+    order = F.xxhash64("node", F.lit(3))
+    every = nodes.select("node", "grp", "unit")
+    linked = every.join(found.where("links > 0").select("node"), "node", "left_semi")
+    picked = [[(r["node"], r["grp"], bytes(r["unit"])) for r in part.orderBy(order).limit(size).collect()]
+              for part in (every, linked)]
+    ask = list({a[0]: a for part in picked for a in part}.values())
+    if not ask:
         return 1.0
-    ask = [(r["node"], r["grp"], bytes(r["unit"])) for r in picked]
 
     def true(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -229,5 +288,5 @@ def _recall(nodes: DataFrame, found: DataFrame, threshold: float) -> float:
     known = {r["node"]: r["n"] for r in nodes.select("node", "grp", "unit", "times").mapInPandas(true, "node long, n long")
              .groupBy("node").agg(F.sum("n").alias("n")).collect()}
     got = {r["node"]: r["links"] for r in found.where(F.col("node").isin([a[0] for a in ask])).collect()}
-    total = sum(known.values())
-    return sum(min(got.get(k, 0), n) for k, n in known.items()) / total if total else 1.0
+    shares = [[min(got.get(a[0], 0), known[a[0]]) / known[a[0]] for a in part if known.get(a[0])] for part in picked]
+    return min((sum(part) / len(part) for part in shares if part), default=1.0)

@@ -168,3 +168,19 @@ def test_chunks_keep_null_ids_and_whole_texts(spark):
     df = spark.createDataFrame([(2 ** 60 + 1, "abc"), (None, ""), (3, "x" * 50)], "id long, text string")
     rows = chunk_table(df.coalesce(1), Scratch(spark, "t"), 20).collect()
     assert sorted((i or 0, n) for r in rows for i, n in zip(r.ids, r.sizes)) == [(0, 0), (3, 50), (2 ** 60 + 1, 3)]
+
+
+def test_near_classes_of_two_groups_that_fill_their_lists(spark):
+    rng = np.random.default_rng(12)
+    n, dim = 250, 256
+    a, b = np.linalg.qr(rng.standard_normal((dim, 2)))[0].T
+    c = 0.985
+    centre = np.repeat([a, c * a + np.sqrt(1 - c * c) * b], n, axis=0)
+    x = centre + rng.standard_normal((2 * n, dim)) * np.sqrt(0.047 / dim)
+    x = np.concatenate((x, rng.standard_normal((300, dim))))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    links = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    assert links[:n].min() > n
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_classes(df).collect()}
+    assert got == {i: (links[i], 0 if i < 2 * n else i) for i in range(len(x))}
