@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from . import segments
+from .common import Scratch
 from .mixing import mix
 from .nbsvm import fit
 from .ngram_join import jaccard_classes
@@ -37,20 +38,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of linked documents, once.
+    """Of every group of linked rows the one with the smallest id; among equal ids, or without any, the first row.
 
-    Documents without words are in no group and stay, and so do those without an id.
+    Rows are told apart by a number of their own, not by their ids, which may
+    be null or repeat.  Rows without words are in no group and stay.
     """
     _small_batches(spark)
-    classes = jaccard_classes(docs, chunk_bytes=2 << 20)
-    goes = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(goes, "doc_id", "left_anti")
-    twice = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if twice.isEmpty():
-        return kept
-    # rows that share an id are one vertex; one of them stays
-    once = kept.join(twice, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    rows = Scratch(spark, "near").keep(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    classes = jaccard_classes(rows, id_col="__row", chunk_bytes=2 << 20).where("n_shingles > 0") \
+        .select("__row", "component_id")
+    stays = rows.select("__row", "doc_id").join(classes, "__row").groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("least"))
+    goes = classes.join(stays.select("least.__row"), "__row", "left_anti").select("__row")
+    return rows.join(goes, "__row", "left_anti").select(*docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

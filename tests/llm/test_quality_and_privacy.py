@@ -179,3 +179,15 @@ def test_pipeline_stages(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     for r in docs.limit(20).collect():
         assert hashlib.sha256(sp.decode(r.ids).encode()).hexdigest() == r.decoded_sha256
+
+
+def test_near_duplicates_decides_by_row(spark):
+    from runlens.llm.stages import near_duplicates
+    copy, near = "a b c d e f g h i j k l m n o p q r s t", "a b c d e f g h i j k l m n o p q r s z"
+    rows = [(3, copy), (7, near), (7, "one of a kind"), (8, "u v w x y z"), (8, "quite another text"), (8, "u v w x y z"),
+            (None, "nobody owns this text at all"), (None, "nobody owns this text at all"), (None, copy),
+            (9, ""), (9, None), (9, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(str, near_duplicates(spark, df, "").collect()))
+    want = [rows[i] for i in (0, 2, 3, 4, 6, 9, 10, 11)]
+    assert got == sorted(map(str, spark.createDataFrame(want, df.schema).collect()))
