@@ -155,7 +155,7 @@ SELECT r.run_id, thread_id, workflow, status, steps, duration_us,
 FROM run_report r LEFT JOIN cm ON r.run_id = cm.run_id""", "run_log", "checkpoints"), "J6")
 def q_metrics_override(spark, sf):
     log = _log(spark, sf)
-    # runs of which no checkpoint was kept have their event sums
+    # runs without any checkpoint have their event sums
     return R.metrics_override(R.run_report(log), R.checkpoint_metrics(fx.cumulative_checkpoints(log)))
 
 

@@ -83,3 +83,18 @@ def test_typed_literal_and_classify(spark):
                                (None, "KeyError")], "status int, etype string")
     kinds = [r[0] for r in e.select(W.classify_error(F.col("status"), F.col("etype"))).collect()]
     assert kinds == ["transient", "transient", "deterministic", "ok", "transient", "deterministic"]
+
+
+def test_checkpoints_of_every_run_are_used(spark):
+    from runlens.operators.reports import checkpoint_metrics, metrics_override
+    from runlens.sources.fixtures import cumulative_checkpoints
+    log = spark.createDataFrame(
+        [(f"t1-w{w}", "t1", 2 * s + 1, s, s, "node_finished", "n1", 10, 3, 100 * w + s) for w in range(5) for s in range(3)],
+        "run_id string, thread_id string, seq long, step int, ts long, type string, node_id string, tokens long, "
+        "cost_micros long, event_id long")
+    ck = checkpoint_metrics(cumulative_checkpoints(log))
+    assert sorted(r.run_id for r in ck.collect()) == [f"t1-w{w}" for w in range(5)]
+    report = spark.createDataFrame([("t1-w3", 1, 1, 1), ("none", 2, 2, 2)],
+                                   "run_id string, tokens long, cost_micros long, nodes_run long")
+    got = {r.run_id: (r.tokens, r.cost_micros, r.nodes_run) for r in metrics_override(report, ck).collect()}
+    assert got == {"t1-w3": (30, 9, 3), "none": (2, 2, 2)}
