@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from runlens.llm.bm25 import Shard, idf, search, terms
 from runlens.llm.mixing import flight, land, mix, water_fill
-from runlens.llm.reshard import even_capacity, min_cost_flow, reshard, rewrite_affected
+from runlens.llm.reshard import even_capacity, min_cost_flow, reshard, reshard_files, rewrite_affected
 
 
 def test_water_fill_reshares_what_is_above_the_ceiling():
@@ -150,3 +150,21 @@ def test_search_in_query_blocks_equals_search_in_one(spark):
     one = search(d, q, 4).collect()
     many = search(d, q, 4, shard_bytes=2000, query_bytes=900).collect()
     assert len(one) == 4 * q.count() and sorted(map(str, one)) == sorted(map(str, many))
+
+
+def test_reshard_of_a_hot_group_and_of_rows_without_ids_of_their_own(spark, tmp_path):
+    rows = [(i % 50 if i % 3 else None, f"text {i} " + "x" * (i % 40)) for i in range(2400)]
+    rows += [(7 if i % 2 else None, "the same text again and again") for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    old = F.pmod(F.hash("text"), F.lit(6))
+    got = reshard(df, old, 8).collect()
+    size = [sum(r["size"] for r in got if r.shard == s) for s in range(8)]
+    assert len(got) == len(rows) and max(size) <= 1.03 * sum(size) / 8 and min(size) >= 0.97 * sum(size) / 8
+    for s in range(8):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    with pytest.raises(ValueError):
+        rewrite_affected(df, reshard(df, old, 8), str(tmp_path / "refused"))
+    touched = reshard_files(df, old, 8, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert touched == list(range(8))
+    assert sorted(map(str, back.select("doc_id", "text").collect())) == sorted(map(str, df.collect()))
