@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bm25, segments
+from . import bm25, quality_rules, segments
 from .mixing import mix
 from .nbsvm import fit
 from .ngram_join import jaccard_classes
@@ -103,22 +103,64 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "embeddings"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), ["doc_id"]).withColumn(
+        "failed", F.array_join("failed", ","))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality, op2_bm25, op3_ngram_join, op4_token_counts, op5_suffix_dedup, op6_private,
                                 op7_pieces, op8_reshard, op9_mixing,
-                                op10_embedding_dedup)}
+                                op10_embedding_dedup, op11_quality_rules)}
+# SQL of the operators; DuckDB reads it
 _TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', " \
     r"'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 ORACLE: dict[str, str] = {"op2_bm25": f"""
 WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
 s AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS mean FROM d),
-q AS (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark WHERE item_id % 20 = 0),
-qt AS (SELECT item_id, t, count(*) AS times FROM q GROUP BY item_id, t),
+q AS (SELECT doc_id AS query_id, unnest({_TERMS}) AS t FROM documents WHERE doc_id % 20 = 0),
+qt AS (SELECT query_id, t, count(*) AS times FROM q GROUP BY query_id, t),
 p AS (SELECT doc_id, len(w) AS dl, unnest(w) AS t FROM d),
 tf AS (SELECT doc_id, dl, t, count(*) AS tf FROM p WHERE t IN (SELECT t FROM qt) GROUP BY doc_id, dl, t),
 df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
-sc AS (SELECT qt.item_id, tf.doc_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
+sc AS (SELECT qt.query_id, tf.doc_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
         / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
-    FROM qt JOIN tf ON qt.t = tf.t JOIN df ON qt.t = df.t CROSS JOIN s GROUP BY qt.item_id, tf.doc_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc)
-SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM r WHERE rank <= 10"""}
+    FROM qt JOIN tf ON qt.t = tf.t JOIN df ON qt.t = df.t CROSS JOIN s GROUP BY qt.query_id, tf.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc)
+SELECT query_id, CAST(rank AS INT) AS rank, doc_id, score FROM r WHERE rank <= 10""",
+    "op11_quality_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ln AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
+li AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln
+    WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+win AS (SELECT r, i, w[i:i + 7] AS ws FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, ws) AS n FROM win) WHERE n > 1),
+rep AS (SELECT r, sum(least(8, coalesce(nxt - i, 8))) AS n FROM
+    (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM twice) GROUP BY r),
+f AS (SELECT d.r, doc_id, lang, source, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+        length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_capitals,
+        coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines,
+        CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+    FROM d LEFT JOIN li ON d.r = li.r LEFT JOIN rep ON d.r = rep.r),
+m AS (SELECT r, lang, source, unnest([
+        {'k': 'symbols', 'v': 1000 * n_symbols // greatest(n_words, 1), 'slack': 50},
+        {'k': 'capitals', 'v': 1000 * n_capitals // greatest(word_chars, 1), 'slack': 150},
+        {'k': 'word_length', 'v': 100 * word_chars // greatest(n_words, 1), 'slack': 100},
+        {'k': 'repeat_words', 'v': 1000 * n_repeat_words // greatest(n_words, 1), 'slack': 200},
+        {'k': 'dup_lines', 'v': 1000 * n_dup_lines // greatest(n_lines, 1), 'slack': 300}]) AS s FROM f),
+v AS (SELECT r, lang, source, s.k AS k, s.v AS v, s.slack AS slack, greatest(length(bin(s.v)) - 6, 0) AS e FROM m),
+top AS (SELECT r, lang, source, k, v, slack, (((v >> e) + 1) << e) - 1 AS t FROM v),
+lv AS (SELECT 0 AS lv, lang, source, k, t FROM top UNION ALL SELECT 1, lang, NULL, k, t FROM top
+    UNION ALL SELECT 2, NULL, NULL, k, t FROM top),
+qs AS (SELECT lv, lang, source, k, count(*) AS rows, quantile_disc(t, 0.25) AS a, quantile_disc(t, 0.75) AS b FROM lv GROUP BY ALL),
+lim AS (SELECT o.lang, o.source, o.k, CASE WHEN o.rows >= 100 THEN o.a WHEN g.rows >= 100 THEN g.a ELSE x.a END AS a,
+        CASE WHEN o.rows >= 100 THEN o.b WHEN g.rows >= 100 THEN g.b ELSE x.b END AS b
+    FROM qs o JOIN qs g ON o.lv = 0 AND g.lv = 1 AND o.k = g.k AND o.lang IS NOT DISTINCT FROM g.lang
+    JOIN qs x ON x.lv = 2 AND x.k = o.k),
+bad AS (SELECT r, string_agg(top.k, ',' ORDER BY list_position(['symbols', 'capitals', 'word_length', 'repeat_words', 'dup_lines'], top.k)) AS failed
+    FROM top JOIN lim ON top.k = lim.k AND top.lang IS NOT DISTINCT FROM lim.lang AND top.source IS NOT DISTINCT FROM lim.source
+    WHERE v > b + 6 * (b - a) + slack OR (top.k = 'word_length' AND v < a - 6 * (b - a) - slack) GROUP BY r),
+o AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(failed, '') AS failed,
+    NOT base_failed AND failed IS NULL AS kept FROM o LEFT JOIN bad ON o.r = bad.r"""}
