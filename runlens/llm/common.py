@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,24 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, max_bytes: str = "4m", max_rows: int = 2000) -> Iterator[None]:
+    """Bound Arrow batches by bytes for the jobs run inside; the session's own settings come back after.
+
+    With whole texts in a batch, this is what bounds a Python worker.
+    """
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": max_bytes,
+              "spark.sql.execution.arrow.maxRecordsPerBatch": str(max_rows)}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def components(edges: DataFrame, scratch: Scratch, tag: str = "cc", max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b: long) by alternating large and small stars.
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bm25, quality_rules, segments
+from . import bm25, collocations, filter_audit, quality_rules, segments
 from .mixing import mix
 from .nbsvm import fit
 from .ngram_join import jaccard_classes
@@ -108,9 +108,18 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "failed", F.array_join("failed", ","))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.mask_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality, op2_bm25, op3_ngram_join, op4_token_counts, op5_suffix_dedup, op6_private,
                                 op7_pieces, op8_reshard, op9_mixing,
-                                op10_embedding_dedup, op11_quality_rules)}
+                                op10_embedding_dedup, op11_quality_rules, op12_collocations,
+                                op13_filter_audit)}
 # SQL of the operators; DuckDB reads it
 _TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', " \
     r"'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -163,4 +172,44 @@ bad AS (SELECT r, string_agg(top.k, ',' ORDER BY list_position(['symbols', 'capi
     WHERE v > b + 6 * (b - a) + slack OR (top.k = 'word_length' AND v < a - 6 * (b - a) - slack) GROUP BY r),
 o AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(failed, '') AS failed,
-    NOT base_failed AND failed IS NULL AS kept FROM o LEFT JOIN bad ON o.r = bad.r"""}
+    NOT base_failed AND failed IS NULL AS kept FROM o LEFT JOIN bad ON o.r = bad.r""",
+    "op13_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lb AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+         100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'),
+         coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)] AS f FROM d LEFT JOIN lb ON d.doc_id = lb.doc_id),
+c AS (SELECT part, f, count(*) AS n, count_if(good) AS g, count_if(toxic) AS x FROM m GROUP BY part, f),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k),
+o AS (SELECT [a.k, b.k, c.k, d.k, e.k] AS o FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+s AS (SELECT part, o, n, g, x, f, list_transform(o, lambda k: f[ascii(k) - 64]) AS ff FROM c, o),
+p AS (SELECT *, coalesce(list_position(ff, true), 6) AS goes, unnest([1, 2, 3, 4, 5]) AS step FROM s),
+r AS (SELECT part, array_to_string(o, '') AS filter_order, CAST(step AS INT) AS step, o[step] AS k,
+    sum(CASE WHEN goes > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN goes = step THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN ff[step] AND goes < step THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN ff[step] AND len(list_filter(ff, lambda y: y)) = 1 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN goes = step THEN g ELSE 0 END) AS good_lost, sum(CASE WHEN goes = step THEN x ELSE 0 END) AS toxic_lost
+    FROM p GROUP BY part, o, step)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+    CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+    CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, k) AS BIGINT) AS shapley FROM r""",
+    "op12_collocations": r"""
+WITH pc AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pc),
+g AS (SELECT lang, p, count(*) AS f FROM (SELECT lang, unnest(flatten(list_transform([1, 2, 3, 4], lambda k:
+        list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])))) AS p FROM w) GROUP BY lang, p HAVING count(*) >= 30),
+tot AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, p, f AS a, unnest(range(1, len(p))) AS k FROM g WHERE len(p) > 1),
+s AS (SELECT c.lang, c.p, a, k, x.f AS l, y.f AS r, CAST(2000000 * CAST(a AS HUGEINT) // (x.f + y.f) AS BIGINT) AS score
+    FROM c JOIN g x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN g y ON y.lang = c.lang AND y.p = c.p[k + 1:]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+lo AS (SELECT lang, q, max(f) AS f FROM (SELECT lang, f, unnest(flatten(list_transform(range(2, len(p)), lambda k:
+        list_transform(range(1, len(p) - k + 2), lambda i: p[i:i + k - 1])))) AS q FROM g WHERE len(p) > 2) GROUP BY lang, q),
+o AS (SELECT b.lang, array_to_string(b.p, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN lo ON lo.lang = b.lang AND lo.q = b.p
+    WHERE lo.f IS NULL OR 100 * CAST(lo.f AS HUGEINT) < 80 * CAST(a AS HUGEINT)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT rk.lang, rank, phrase, a, l, r, n, score FROM rk JOIN tot ON tot.lang = rk.lang WHERE rank <= 2000"""}
