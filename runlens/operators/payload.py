@@ -3,10 +3,9 @@ F8, F17, F19, F20, F22)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from datetime import datetime, timedelta
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
@@ -14,7 +13,7 @@ from pyspark.sql.types import ArrayType, DataType, StructType
 from ..functions import scalars as S
 from ..plans.broadcast import bounded_broadcast
 from ..plans.ordered import ordered_scan
-from ..session import cut_lineage
+from .redaction import MASK, REDACT_PATTERNS, redact, redact_patterns, secret_values  # noqa: F401
 
 
 def when_filter(df: DataFrame, pred: str | Column) -> DataFrame:
@@ -89,93 +88,6 @@ def events_after(events: DataFrame, cursors: DataFrame, thread: str = "thread_id
     return numbered.join(cursors, thread, "inner").where(F.col("position") > F.col("last_id"))
 
 
-# Patterns masked by ``redact`` (mail address, IPv4 address, 16-digit
-# number) and the mask text.  The mail pattern starts only at the beginning of a
-# run of address characters and never backtracks into it (same matches, linear time).
-REDACT_PATTERNS = (
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
-    r"\b\d{16}\b",
-)
-MASK = "[REDACTED]"
-
-
-def redact_patterns(text: Column, patterns: Sequence[str] = REDACT_PATTERNS, mask: str = MASK) -> Column:
-    out = text
-    for p in patterns:
-        out = F.regexp_replace(out, p, mask)
-    return out
-
-
-VALUE_BLOCK = 50_000   # known values that one automaton holds
-
-
-def redact(df: DataFrame, key: str, col: str, values: DataFrame | None = None,
-           patterns: Sequence[str] = REDACT_PATTERNS, mask: str = MASK, block: int = VALUE_BLOCK) -> DataFrame:
-    """Mask known sensitive values and patterns in a text column.
-
-    Every occurrence of every known value (a one-column DataFrame ``value``,
-    any characters, any number) is masked, inside longer words too; where
-    occurrences overlap, all their characters go under one mask.  Then the
-    patterns are replaced in what is left between the masks' texts.
-
-    The values are searched for together, by an automaton over at most
-    ``block`` of them.  A larger set is dealt into blocks by hash, and the spans
-    that the blocks find in a row's own text are joined before anything is cut.
-    """
-    vals = None if values is None else cut_lineage(values.select(F.col("value").cast("string").alias("_v"))
-                                                   .where(F.col("_v") != "").distinct())
-    n = 0 if vals is None else vals.count()
-    out = df
-    if n:
-        blocks = -(-n // block)
-        found = []
-        for i in range(blocks):
-            # a block holds about ``block`` values, whatever their number is in all
-            some = [r[0] for r in vals.where(F.pmod(F.xxhash64("_v"), F.lit(blocks)) == i).collect()]
-            if some:
-                found.append(_value_spans(some)(F.col(col)))
-        spans = F.array_sort(F.flatten(F.array(*found)))
-        out = df.withColumn("_spans", spans)
-        out = out.withColumn(col, F.when(F.size("_spans") > 0, _cut_spans(F.col(col), F.col("_spans"), mask))
-                             .otherwise(F.col(col))).drop("_spans")
-    return out.withColumn(col, redact_patterns(F.col(col), patterns, mask))
-
-
-def _value_spans(some: list[str]):
-    """Spans (start, end) of all occurrences of the values in a text; an Arrow-batched search."""
-    @F.pandas_udf("array<struct<a: int, b: int>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
-        search = ahocorasick.Automaton()
-        for v in some:
-            search.add_word(v, len(v))
-        search.make_automaton()
-        for texts in batches:
-            yield pd.Series([[{"a": end + 1 - k, "b": end + 1} for end, k in search.iter(t)] if t else []
-                             for t in texts], dtype=object)
-    return run
-
-
-def _cut_spans(text: Column, spans: Column, mask: str) -> Column:
-    """The text with the union of sorted spans masked: what lies between the spans, and a mask for each run."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["a"] >= acc["at"]
-        between = F.substring(text, acc["at"] + 1, F.greatest(s["a"] - acc["at"], F.lit(0)))
-        return F.struct(F.when(fresh, F.concat(acc["out"], between, F.lit(mask))).otherwise(acc["out"]).alias("out"),
-                        F.greatest(acc["at"], s["b"]).alias("at"))
-    return F.aggregate(spans, start, step, lambda acc: F.concat(
-        acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-
-
-def secret_values(df: DataFrame, col: str) -> DataFrame:
-    """Values assigned in ``token = "..."`` pairs anywhere in a text column (distinct)."""
-    return df.select(F.explode(F.regexp_extract_all(F.col(col), F.lit(r'token\s*=\s*"([^"]*)"'), 1))
-                     .alias("value")).where(F.col("value") != "").distinct()
-
-
 def review_pairs(conv: DataFrame, key: str = "conv_id") -> DataFrame:
     """Independent-review view: the criteria (first user turn) and the artifact
     (last assistant turn) only; both are algebraic ``min_by``/``max_by`` aggregates."""

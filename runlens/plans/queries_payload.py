@@ -224,13 +224,36 @@ def q_redact(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     # values with any characters, and one that stands inside longer words
     known = P.secret_values(d, "text").union(spark.createDataFrame([("a/b+c==",), ("thea",)], "value string"))
-    out = P.redact(d, "doc_id", "text", known)
+    out = P.redact(d, "text", known)
     t = F.col("text")
     return out.select("doc_id", F.sha2(t, 256).alias("text_sha"),
                       ((F.length(t) - F.length(F.replace(t, F.lit(P.MASK), F.lit("")))) / 10)
                       .cast("long").alias("masks"))
 
 
+# a million known values and more: 67 for every order
+REDACT_NESTED_SQL = """
+SELECT o_orderkey, t AS note, concat(t, '|', o_orderpriority) AS lines, t AS by_status, concat(o_orderstatus, ' [REDACTED]') AS host
+FROM (SELECT *, CASE WHEN o_orderkey % 100 < 67 THEN 'see [REDACTED] ok'
+    ELSE concat('see ord-', o_orderkey, '-', lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0'), '; ok') END AS t FROM orders)"""
+
+
+@register("redact_nested", REDACT_NESTED_SQL, "P11")
+def q_redact_nested(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    token = F.concat(F.lit("ord-"), F.col("o_orderkey").cast("string"), F.lit("-"))
+    note = F.concat(F.lit("see "), token, F.lpad((F.col("o_orderkey") % 100).cast("string"), 2, "0"), F.lit("; ok"))
+    known = o.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(66)), lambda i: F.concat(
+        token, F.lpad(i.cast("string"), 2, "0"), F.lit(";")))).alias("value"))
+    payload = F.struct(note.alias("note"), F.array(note, F.col("o_orderpriority")).alias("lines"),
+                       F.create_map("o_orderstatus", F.struct(note.alias("n"), F.concat(
+                           F.col("o_orderstatus"), F.lit(" 10.0.0.1")).alias("host"))).alias("by"))
+    out = P.redact(o.select("o_orderkey", "o_orderstatus", payload.alias("p")), "p", known)
+    one = F.col("p.by")[F.col("o_orderstatus")]
+    return out.select("o_orderkey", "p.note", F.array_join("p.lines", "|").alias("lines"), one["n"].alias("by_status"),
+                      one["host"].alias("host"))
+
+
 @register("review_pairs", """
 SELECT conv_id, arg_min(CASE WHEN role = 'user' THEN text END, CASE WHEN role = 'user' THEN turn END) AS criteria,
     arg_max(CASE WHEN role = 'assistant' THEN text END, CASE WHEN role = 'assistant' THEN turn END) AS artifact

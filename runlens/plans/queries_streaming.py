@@ -88,30 +88,39 @@ def q_dedup_replay(spark, sf):
 
 WRITES_SQL = f"""
 SELECT concat('t', CAST(user_id AS VARCHAR)) AS thread_id, concat('c', CAST(event_id % 4 AS VARCHAR)) AS channel,
-    event_id AS seq, CAST(k * 10 AS BIGINT) AS value, concat('n', CAST(event_id % 7 AS VARCHAR)) AS map_key,
-    CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END AS elements
+    ts, event_id AS seq, CAST(k * 10 AS BIGINT) AS value, concat('n', CAST(event_id % 7 AS VARCHAR)) AS map_key,
+    CASE WHEN event_id % 2 = 0 THEN [CAST(k * 10 AS BIGINT), CAST(k AS BIGINT)] ELSE [CAST(k * 10 AS BIGINT)] END AS elements
 FROM {EVENTS_K} e WHERE event_type IN ('click', 'purchase')"""
 
 
+def _writes(events):
+    """Channel writes of raw events, batch or stream."""
+    k = F.regexp_extract("props", r"([0-9]+)", 1).cast("long")
+    return events.where(F.col("event_type").isin("click", "purchase")).select(
+        F.col("ts").cast("timestamp").alias("event_time"), F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("thread_id"),
+        F.concat(F.lit("c"), (F.col("event_id") % 4).cast("string")).alias("channel"),
+        F.concat(F.lit("n"), (F.col("event_id") % 7).cast("string")).alias("map_key"), F.col("event_id").alias("seq"),
+        (k * 10).alias("value"), F.when(F.col("event_id") % 2 == 0, F.array(k * 10, k)).otherwise(F.array(k * 10)).alias("elements"))
+
+
+def fold(spark, sf, n_drops=N_DROPS):
+    ev = _events(spark, sf)
+    far = _closing(ev, event_type="click")
+    landed = T.replay([[*_drops(ev, n_drops), far]], lambda s: T.stateful_fold(_writes(s)), "append", "fold", keyed=True)
+    return T.folded_contents(landed, _writes(ev))
+
+
 @register("stateful_fold", f"""
 WITH w AS ({WRITES_SQL}),
-m AS (SELECT thread_id, channel, map_key, arg_max(value, seq) AS value FROM w GROUP BY ALL),
-c AS (SELECT thread_id, channel, count(*) AS merged, CAST(sum(value) AS BIGINT) AS merged_sum FROM m GROUP BY ALL)
-SELECT thread_id, channel, arg_max(value, seq) AS last_value, CAST(sum(value) AS BIGINT) AS total, count(*) AS n,
-    CAST(sum(elements) AS BIGINT) AS elements, any_value(merged) AS merged, any_value(merged_sum) AS merged_sum
-FROM w JOIN c USING (thread_id, channel) GROUP BY thread_id, channel""", "T5")
+x AS (SELECT thread_id, channel, ts, seq, unnest(elements) AS value, generate_subscripts(elements, 1) AS i FROM w)
+SELECT thread_id, channel, 'append' AS reducer, row_number() OVER (PARTITION BY thread_id, channel ORDER BY ts, seq) AS pos,
+    NULL AS map_key, value FROM w
+UNION ALL SELECT thread_id, channel, 'extend', row_number() OVER (PARTITION BY thread_id, channel ORDER BY ts, seq, i), NULL, value FROM x
+UNION ALL SELECT thread_id, channel, 'merge_dict', NULL, map_key, arg_max(value, (ts, seq)) FROM w GROUP BY thread_id, channel, map_key
+UNION ALL SELECT thread_id, channel, 'sum', NULL, NULL, CAST(sum(value) AS BIGINT) FROM w GROUP BY thread_id, channel
+UNION ALL SELECT thread_id, channel, 'last', NULL, NULL, arg_max(value, (ts, seq)) FROM w GROUP BY thread_id, channel""", "T5")
 def q_stateful_fold(spark, sf):
-    ev = _events(spark, sf).where(F.col("event_type").isin("click", "purchase"))
-
-    def fold(stream):
-        value = F.regexp_extract("props", r"([0-9]+)", 1).cast("long") * 10
-        return T.stateful_fold(stream.select(
-            F.col("ts").cast("timestamp").alias("event_time"), F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("thread_id"),
-            F.concat(F.lit("c"), (F.col("event_id") % 4).cast("string")).alias("channel"),
-            F.concat(F.lit("n"), (F.col("event_id") % 7).cast("string")).alias("map_key"), F.col("event_id").alias("seq"),
-            value.alias("value"), F.when(F.col("event_id") % 2 == 0, F.array(value, value)).otherwise(F.array(value)).alias("elements")))
-
-    return T.folded_state(T.replay([_drops(ev)], fold, "update", "fold"))
+    return fold(spark, sf)
 
 
 BARRIER_HOURS, RUN_DAYS = 6, 8
@@ -137,15 +146,15 @@ def barrier(spark, sf, n_drops=N_DROPS):
     edges = spark.createDataFrame([("n0", "m"), ("n1", "m"), ("n2", "m")], "source string, merge string")
     expected = T.merge_sources(edges, "m")
 
-    def build(stream):
-        arrivals = T.with_event_time(stream).select(
+    def arrivals(events):
+        return T.with_event_time(events).select(
             F.col("run_id").alias("thread_id"), F.concat(F.lit("n"), (F.col("event_id") % 7).cast("string")).alias("source"),
             F.when(F.col("event_type").isin("click", "purchase"), "ok")
              .when(F.col("event_type") == "error", "failed").otherwise("skipped").alias("state"), "event_id", "event_time")
-        return T.stream_barrier(arrivals, expected, BARRIER_HOURS * 3_600_000, RUN_DAYS * T.DAY_MS, "1 hour")
 
-    landed = T.replay([[*_drops(ev, n_drops), _closing(ev)]], build, "append", "barrier")
-    return landed.where(~F.col("thread_id").startswith("t-1")).drop("batch_id")
+    landed = T.replay([[*_drops(ev, n_drops), _closing(ev)]], lambda s: T.stream_barrier(
+        arrivals(s), expected, BARRIER_HOURS * T.HOUR_MS, RUN_DAYS * T.DAY_MS, "1 hour"), "append", "barrier", keyed=True)
+    return T.barrier_states(landed, arrivals(ev), expected)
 
 
 @register("stream_barrier", BARRIER_SQL.replace("{RUN_ID_SQL}", RUN_ID_SQL), "T6")
@@ -156,7 +165,7 @@ def q_stream_barrier(spark, sf):
 def deadlines(spark, sf, n_drops=N_DROPS):
     ev = _events(spark, sf)
     landed = T.replay([[*_drops(ev, n_drops), _closing(ev)]], lambda s: T.deadline_monitor(
-        s, 2 * T.DAY_MS, RUN_DAYS * T.DAY_MS, "1 hour", ["purchase"]), "append", "deadline")
+        s, 2 * T.DAY_MS, RUN_DAYS * T.DAY_MS, "1 hour", ["purchase"]), "append", "deadline", keyed=True)
     return landed.where(~F.col("run_id").startswith("t-1")).drop("batch_id")
 
 
@@ -169,39 +178,48 @@ def q_deadline_monitor(spark, sf):
     return deadlines(spark, sf)
 
 
-GATE_CHOICES = ["approve", "reject"]
+GATE_CHOICES, GATE_HOURS = ["approve", "reject"], 48
 
 
 @register("gate_join", f"""
-WITH g AS (SELECT event_id AS gate_id, concat('t', CAST(user_id AS VARCHAR)) AS thread_id, ts AS gate_time
-        FROM events WHERE event_type = 'signup'),
-a AS (SELECT event_id AS answer_id, concat('t', CAST(user_id AS VARCHAR)) AS answer_thread, ts AS answer_time,
-        CASE k % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' ELSE 'maybe' END AS answer
-        FROM {EVENTS_K} e WHERE event_type = 'view'),
-j AS (SELECT *, row_number() OVER (PARTITION BY gate_id ORDER BY answer_time, answer_id) AS r
-    FROM g LEFT JOIN a ON g.thread_id = a.answer_thread
-        AND a.answer_time >= g.gate_time AND a.answer_time <= g.gate_time + INTERVAL 48 HOUR)
+WITH RECURSIVE e AS (
+    SELECT concat('t', CAST(user_id AS VARCHAR)) AS thread_id, epoch_us(ts) // 1000 AS ms, event_type = 'view' AS answers,
+        event_id AS id, CASE k % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' ELSE 'maybe' END AS answer
+    FROM {EVENTS_K} x WHERE event_type IN ('signup', 'view')),
+n AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY ms, answers, id) AS no FROM e),
+s AS (SELECT DISTINCT thread_id, CAST(0 AS BIGINT) AS no, CAST([] AS STRUCT(ms BIGINT, id BIGINT)[]) AS queue,
+        CAST(NULL AS BIGINT) AS gate_id, CAST(NULL AS BIGINT) AS answer_id, CAST(NULL AS VARCHAR) AS answer FROM e
+    UNION ALL
+    SELECT thread_id, no, CASE WHEN answers THEN live[2:] ELSE list_append(live, {{'ms': ms, 'id': id}}) END,
+        CASE WHEN answers THEN live[1].id END, CASE WHEN answers THEN id END, CASE WHEN answers THEN answer END
+    FROM (SELECT n.*, list_filter(s.queue, lambda g: g.ms + 172800000 >= n.ms) AS live
+        FROM s JOIN n ON n.thread_id = s.thread_id AND n.no = s.no + 1) t),
+g AS (SELECT e.id AS gate_id, e.thread_id, s.answer_id, s.answer FROM e LEFT JOIN s ON s.gate_id = e.id WHERE NOT e.answers)
 SELECT gate_id, thread_id, answer_id,
     CASE WHEN answer IS NULL THEN 'open' WHEN answer IN ('approve', 'reject') THEN 'answered' ELSE 'error' END AS status,
     CASE WHEN answer IN ('approve', 'reject') THEN answer END AS answer,
     CASE WHEN answer IS NOT NULL AND answer NOT IN ('approve', 'reject')
-         THEN concat('answer ''', answer, ''' is not one of the allowed choices') END AS error
-FROM j WHERE r = 1""", "T8")
+         THEN concat('answer \'\'', answer, '\'\' is not one of the allowed choices') END AS error
+FROM g""", "T8")
 def q_gate_join(spark, sf):
+    return gates(spark, sf)
+
+
+def gates(spark, sf, n_drops=N_DROPS):
     ev = _events(spark, sf)
 
-    def build(gates, answers):
-        g = T.with_event_time(gates).select(F.col("event_id").alias("gate_id"), "thread_id", F.col("event_time").alias("gate_time"))
-        a = T.with_event_time(answers).select(
+    def build(asked, given):
+        g = T.with_event_time(asked).select(F.col("event_id").alias("gate_id"), "thread_id", F.col("event_time").alias("gate_time"))
+        a = T.with_event_time(given).select(
             F.col("event_id").alias("answer_id"), F.col("thread_id").alias("answer_thread"),
             F.col("event_time").alias("answer_time"), F.when(F.col("k") % 3 == 0, "approve")
             .when(F.col("k") % 3 == 1, "reject").otherwise("maybe").alias("answer"))
-        return T.gate_join(g, a, "48 hours", "1 hour")
+        return T.gate_join(g, a, GATE_HOURS * T.HOUR_MS, "1 hour")
 
     # both sources arrive by the same stretches of event time
-    parts = _drops(ev)
+    parts = _drops(ev, n_drops)
     sides = [[*[p.where(F.col("event_type") == t) for p in parts], _closing(ev, event_type=t)] for t in ("signup", "view")]
-    landed = T.replay(sides, build, "append", "gates").where(F.col("thread_id") != "t-1")
+    landed = T.replay(sides, build, "append", "gates", keyed=True).where(F.col("thread_id") != "t-1")
     return T.gate_results(landed, GATE_CHOICES)
 
 

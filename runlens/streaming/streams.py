@@ -5,26 +5,33 @@ checkpoint; sinks write a folder per batch id, overwritten if the batch is
 replayed, so a restarted query lands on the same table.  Event time is the
 event ``ts`` cast to TIMESTAMP (watermarks reject TIMESTAMP_NTZ).
 
-State is bounded by event time everywhere: totals are kept per key and day and
-leave the state once the watermark has passed the day; the batch step that
-goes with each operator folds the landed days of a key.  Timers keep what they
-have decided until a run cannot get any more events.
+State is bounded by event time everywhere: totals are kept per key and window
+and leave the state once the watermark has passed it; the batch step that goes
+with each operator folds what has landed.  Folds and timers (T5-T7) are two
+chained stateful operators: a streaming aggregate per key and window, combined
+map-side, and behind it a keyed processor that gets one row per window, source
+and key, however hot the key is.  Timers keep what they have decided until a run
+cannot get any more events.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager, nullcontext
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..plans.ordered import slice_bounds, with_slice
 from ..sources.sinks import outbox_payloads, scratch_path
 
 DAY_MS = 86_400_000
+HOUR_MS = 3_600_000
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 # ------------------------------------------------------------------ drops and tables
@@ -40,6 +47,17 @@ def file_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{path}/b*")
 
 
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Keyed processors need the RocksDB state store; the session's own choice comes back afterwards."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
+
+
 def run_to_table(df: DataFrame, mode: str, out: str, checkpoint: str) -> None:
     """Process everything that has arrived, then stop.  Each batch writes its own folder of the table."""
     def sink(batch: DataFrame, batch_id: int) -> None:
@@ -50,10 +68,11 @@ def run_to_table(df: DataFrame, mode: str, out: str, checkpoint: str) -> None:
     q.awaitTermination()
 
 
-def replay(inputs: Sequence[Sequence[DataFrame]], build: Callable[..., DataFrame], mode: str, name: str) -> DataFrame:
+def replay(inputs: Sequence[Sequence[DataFrame]], build: Callable[..., DataFrame], mode: str, name: str,
+           keyed: bool = False) -> DataFrame:
     """Input that arrives in drops; after each drop the query starts from its checkpoint, catches
     up and stops.  ``inputs`` holds the drops of every source, ``build`` makes the query from
-    one stream per source.  Returns the landed rows with their ``batch_id``.
+    one stream per source; ``keyed`` says that it has keyed state.  Returns the landed rows with their ``batch_id``.
     """
     spark = inputs[0][0].sparkSession
     paths = [scratch_path(spark, f"{name}-in{k}") for k in range(len(inputs))]
@@ -65,7 +84,8 @@ def replay(inputs: Sequence[Sequence[DataFrame]], build: Callable[..., DataFrame
                 some[i].write.mode("overwrite").parquet(f"{path}/b{i:04d}")
         df = build(*[file_stream(spark, p, some[0].schema) for p, some in zip(paths, inputs)])
         schema = StructType([*df.schema.fields, StructField("batch_id", IntegerType())])
-        run_to_table(df, mode, out, checkpoint)
+        with keyed_state(spark) if keyed else nullcontext():
+            run_to_table(df, mode, out, checkpoint)
     return spark.read.schema(schema).parquet(f"{out}/batch=*")
 
 
@@ -141,118 +161,245 @@ def dedup_replay(stream: DataFrame, keys: Sequence[str], delay: str) -> DataFram
     return e.dropDuplicatesWithinWatermark(list(keys))
 
 
-def gate_join(gates: DataFrame, answers: DataFrame, within: str, delay: str) -> DataFrame:
-    """Pending gates left-joined with the answers in the same thread within ``within`` of the gate;
-    a gate without an answer is emitted once the watermark has passed its window."""
-    g = gates.withWatermark("gate_time", delay).alias("g")
-    a = answers.withWatermark("answer_time", delay).alias("a")
-    cond = ((F.col("g.thread_id") == F.col("a.answer_thread"))
-            & (F.col("a.answer_time") >= F.col("g.gate_time"))
-            & (F.col("a.answer_time") <= F.col("g.gate_time") + F.expr(f"interval {within}")))
-    return g.join(a, cond, "leftOuter").select("gate_id", "thread_id", "answer_id", "answer_time", "answer")
+class _Gates(StatefulProcessor):
+    """Open gates of a thread as a queue.  Rows wait until the watermark has passed them, so that they are taken in
+    event order; an answer goes to the gate that has been open longest, and to no other."""
+
+    def __init__(self, within_ms: int):
+        self.within_ms = within_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ms long, kind int, id long, answer string")
+        self.open = handle.getListState("open", "ms long, id long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        latest = 0
+        for pdf in rows:
+            new = [(int(m), int(k), int(i), a) for m, k, i, a in zip(pdf["ms"], pdf["kind"], pdf["id"], pdf["answer"])]
+            self.waiting.appendList(new)
+            latest = max(latest, *(r[0] for r in new))
+        self.handle.registerTimer(max(latest, timerValues.getCurrentWatermarkInMs() + 1))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        upto = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+        ready, rest = [r for r in rows if r[0] <= upto], [r for r in rows if r[0] > upto]
+        queue = [tuple(g) for g in self.open.get()] if self.open.exists() else []
+        out, head = [], 0
+
+        def expire(before: int) -> None:
+            nonlocal head
+            while head < len(queue) and queue[head][0] + self.within_ms < before:
+                out.append((queue[head][1], key[0], None, None))
+                head += 1
+        for ms, kind, ident, answer in ready:
+            expire(ms)
+            if kind == 0:
+                queue.append((ms, ident))
+                self.handle.registerTimer(max(ms + self.within_ms, upto + 1))
+            elif head < len(queue):
+                out.append((queue[head][1], key[0], ident, answer))
+                head += 1
+        expire(upto + 1)
+        for state, left, known in ((self.waiting, rest, len(rest) < len(rows)), (self.open, queue[head:], ready or head)):
+            if known:
+                state.put(left) if left else state.clear()
+        if out:
+            made = pd.DataFrame(out, columns=["gate_id", "thread_id", "answer_id", "answer"])
+            yield made.astype({"answer_id": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def gate_join(gates: DataFrame, answers: DataFrame, within_ms: int, delay: str) -> DataFrame:
+    """Each answer is taken once, by the gate of its thread that has been open longest, within ``within_ms`` of it.
+
+    ``gates``: gate_id, thread_id, gate_time; ``answers``: answer_id, answer_thread, answer_time, answer.  Every gate
+    comes out once, when it is answered or when the watermark has passed its window (answer_id null).  Answers that
+    find no open gate are not used.  Of rows with one millisecond gates come first, then smaller ids.
+    """
+    none = F.lit(None).cast("string")
+    rows = gates.select("thread_id", F.col("gate_time").alias("at"), F.lit(0).alias("kind"), F.col("gate_id").alias("id"),
+                        none.alias("answer")).union(
+        answers.select("answer_thread", "answer_time", F.lit(1), "answer_id", "answer"))
+    return rows.withWatermark("at", delay).withColumn("ms", _millis("at")).groupBy("thread_id").transformWithStateInPandas(
+        _Gates(within_ms), "gate_id long, thread_id string, answer_id long, answer string", "append", "eventTime")
 
 
 def gate_results(landed: DataFrame, choices: Sequence[str]) -> DataFrame:
-    """The outcome of every landed gate: its first answer wins; one outside the choices is an error."""
-    first = F.min(F.when(F.col("answer_id").isNotNull(), F.struct("answer_time", "answer_id", "answer"))).alias("a")
-    g = landed.groupBy("gate_id", "thread_id").agg(first).select("gate_id", "thread_id", "a.answer_id", "a.answer")
+    """The outcome of every landed gate; an answer outside the choices is an error."""
     ok = F.col("answer").isin(*choices)
-    return g.select("gate_id", "thread_id", "answer_id",
-                    F.when(F.col("answer").isNull(), F.lit("open"))
-                     .when(ok, F.lit("answered")).otherwise(F.lit("error")).alias("status"),
-                    F.when(ok, F.col("answer")).alias("answer"),
-                    F.when(F.col("answer").isNotNull() & ~ok, F.concat(
-                        F.lit("answer '"), F.col("answer"), F.lit("' is not one of the allowed choices")))
-                     .alias("error"))
+    return landed.select("gate_id", "thread_id", "answer_id",
+                         F.when(F.col("answer").isNull(), F.lit("open"))
+                          .when(ok, F.lit("answered")).otherwise(F.lit("error")).alias("status"),
+                         F.when(ok, F.col("answer")).alias("answer"),
+                         F.when(F.col("answer").isNotNull() & ~ok, F.concat(
+                             F.lit("answer '"), F.col("answer"), F.lit("' is not one of the allowed choices")))
+                          .alias("error"))
 
 
 # ------------------------------------------------------------------ T5: reducers
 
+FOLD_OUT = ("thread_id string, channel string, part timestamp, writes_before long, elements_before long, "
+            "writes long, elements long, total long, last_value long")
+
+
+class _Offsets(StatefulProcessor):
+    """Running state of a channel: how many writes and elements its lists hold, its sum and its last value."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.so_far = handle.getValueState("so_far", "writes long, elements long, total long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        writes, elements, total = self.so_far.get() if self.so_far.exists() else (0, 0, 0)
+        windows = sorted((r for pdf in rows for r in zip(pdf["part"], pdf["n"], pdf["n_elements"], pdf["added"], pdf["last_value"])),
+                         key=lambda r: r[0])
+        out = []
+        for part, n, n_elements, added, last in windows:
+            out.append((*key, part, writes, elements, writes + int(n), elements + int(n_elements), total + int(added), last))
+            writes, elements, total = out[-1][5:8]
+        self.so_far.update((writes, elements, total))
+        made = pd.DataFrame(out, columns=[c.split()[0] for c in FOLD_OUT.split(", ")])
+        yield made.astype({"last_value": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
 def stateful_fold(writes: DataFrame, delay: str = "1 day") -> DataFrame:
-    """T5: the reducers of every (thread, channel, map key) per day as one streaming aggregate: last
-    write, sum, number of writes (append) and of elements (extend).  ``writes`` has event_time,
-    thread_id, channel, map_key, seq, value and elements."""
+    """T5: the reducers of every (thread, channel), carried on from batch to batch.
+
+    ``writes``: event_time, thread_id, channel, seq, value, elements.  A window of one hour is folded by a streaming
+    aggregate; the keyed state behind it holds the list offsets, the sum and the last value, and every window comes
+    out with the offsets at which its writes (append) and elements (extend) begin.
+    """
     w = writes.withWatermark("event_time", delay)
-    return w.groupBy("thread_id", "channel", "map_key", F.window("event_time", "1 day").alias("day")).agg(
-        F.max(F.struct("seq", "value")).alias("last"), F.sum(F.coalesce("value", F.lit(0))).alias("total"),
-        F.count(F.lit(1)).alias("n"), F.sum(F.size("elements")).alias("elements"))
+    per = w.groupBy("thread_id", "channel", F.window("event_time", "1 hour").alias("w")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.size("elements"), F.lit(0))).alias("n_elements"),
+        F.sum(F.coalesce("value", F.lit(0))).alias("added"), F.max(F.struct("event_time", "seq", "value")).alias("last"))
+    rows = per.select("thread_id", "channel", F.col("w.start").alias("part"), "n", "n_elements", "added",
+                      F.col("last.value").alias("last_value"), F.window_time("w").alias("at"))
+    return rows.groupBy("thread_id", "channel").transformWithStateInPandas(_Offsets(), FOLD_OUT, "append", "eventTime")
 
 
-def folded_state(landed: DataFrame) -> DataFrame:
-    """(thread, channel): last, sum, append, extend and merge_dict states so far, from the landed days of T5.
+def folded_contents(landed: DataFrame, writes: DataFrame) -> DataFrame:
+    """Contents of every channel under each reducer, in long form: thread_id, channel, reducer, pos, map_key, value.
 
-    ``merged`` is the number of keys of the merged map and ``merged_sum`` the sum of its values (later writes win)."""
-    d = latest(landed, ["thread_id", "channel", "map_key", "day"])
-    keys = d.groupBy("thread_id", "channel", "map_key").agg(
-        F.max("last").alias("last"), F.sum("total").alias("total"), F.sum("n").alias("n"),
-        F.sum("elements").alias("elements"))
-    return keys.groupBy("thread_id", "channel").agg(
-        F.max("last").getField("value").alias("last_value"), F.sum("total").cast("long").alias("total"),
-        F.sum("n").cast("long").alias("n"), F.sum("elements").cast("long").alias("elements"),
-        F.count("map_key").alias("merged"), F.sum("last.value").cast("long").alias("merged_sum"))
+    ``landed`` is T5's table, ``writes`` the writes that have landed (with map_key).  List positions are the
+    window's offset plus the place inside the window, so a hot channel is numbered window by window; the merged
+    map and the scalars are algebraic.
+    """
+    keys = ["thread_id", "channel"]
+    none = F.lit(None).cast("string").alias("map_key")
+    starts = landed.select(*keys, "part", "writes_before", "elements_before")
+    placed = writes.withColumn("part", F.date_trunc("hour", "event_time")).join(starts, [*keys, "part"])
+    order = Window.partitionBy(*keys, "part").orderBy("event_time", "seq")
+    before = F.coalesce(F.sum(F.coalesce(F.size("elements"), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = placed.select(*keys, "value", "elements", (F.col("writes_before") + F.row_number().over(order)).alias("pos"),
+                           (F.col("elements_before") + before).alias("first"))
+    append = placed.select(*keys, F.lit("append").alias("reducer"), "pos", none, "value")
+    extend = placed.select(*keys, "first", F.posexplode("elements").alias("i", "value")).select(
+        *keys, F.lit("extend").alias("reducer"), (F.col("first") + F.col("i") + 1).alias("pos"), none, "value")
+    merged = writes.groupBy(*keys, "map_key").agg(F.max_by("value", F.struct("event_time", "seq")).alias("value")).select(
+        *keys, F.lit("merge_dict").alias("reducer"), F.lit(None).cast("long").alias("pos"), "map_key", "value")
+    newest = landed.groupBy(*keys).agg(F.max_by(F.struct("total", "last_value"), "part").alias("s"))
+    scalars = newest.select(*keys, F.explode(F.array(
+        F.struct(F.lit("sum").alias("reducer"), F.col("s.total").alias("value")),
+        F.struct(F.lit("last").alias("reducer"), F.col("s.last_value").alias("value")))).alias("x")).select(
+        *keys, "x.reducer", F.lit(None).cast("long").alias("pos"), none, "x.value")
+    return append.unionByName(extend).unionByName(merged).unionByName(scalars)
 
 
 # ------------------------------------------------------------------ T6, T7: timers
 
-BARRIER_OUT = "thread_id string, ok long, failed long, skipped long, fired string"
-BARRIER_STATE = "deadline long, sources array<string>, states array<string>, fired boolean"
-
-
-def _barrier_fn(expected: Sequence[str], timeout_ms: int, keep_ms: int):
-    def row(key, got: dict[str, str], fired: str) -> pd.DataFrame:
-        states = [got.get(s, "skipped") for s in expected]
-        return pd.DataFrame([{"thread_id": key[0], **{k: states.count(k) for k in ("ok", "failed", "skipped")},
-                              "fired": fired}])
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        deadline, sources, states, fired = state.get if state.exists else (None, [], [], False)
-        got = dict(zip(sources, states))
-        expiry = None if deadline is None else deadline - timeout_ms + keep_ms
-        if state.hasTimedOut:
-            if fired:
-                state.remove()
-                return
-            yield row(key, got, "timeout")
-            state.update((deadline, [], [], True))
-            state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
+BARRIER_OUT = "thread_id string, fired string, upto_ms long, upto_id long"
+_ANY_ID = (1 << 63) - 1
+
+
+class _Barrier(StatefulProcessor):
+    """First arrival of every source; fires once, when all are there or the time is over."""
+
+    def __init__(self, n_expected: int, timeout_ms: int, keep_ms: int, window_ms: int):
+        self.n_expected, self.timeout_ms, self.keep_ms, self.window_ms = n_expected, timeout_ms, keep_ms, window_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.first = handle.getMapState("first", "source string", "ms long, id long")
+        self.fired = handle.getValueState("fired", "at long")
+
+    def _fire(self, key, what: str, upto: tuple[int, int], now: int) -> pd.DataFrame:
+        self.fired.update((upto[0],))
+        self.first.clear()
+        self.handle.registerTimer(max(upto[0] + self.keep_ms, now + 1))
+        return pd.DataFrame([(key[0], what, *upto)], columns=["thread_id", "fired", "upto_ms", "upto_id"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new: dict[str, tuple[int, int]] = {}
+        for pdf in rows:
+            for source, ms, ident in zip(pdf["source"], pdf["ms"], pdf["id"]):
+                new[source] = min(new.get(source, (int(ms), int(ident))), (int(ms), int(ident)))
+        if self.fired.exists():
             return
-        if fired:
-            for _ in pdfs:
-                pass
-        else:
-            # the arrivals of the batch in event order; those after the deadline only say that it has passed
-            rows = pd.concat(list(pdfs)).sort_values(["event_ms", "event_id"])
-            if deadline is None:
-                deadline = int(rows["event_ms"].iloc[0]) + timeout_ms
-                expiry = deadline - timeout_ms + keep_ms
-            late = bool((rows["event_ms"] > deadline).any())
-            rows = rows[rows["event_ms"] <= deadline]
-            for source, what in zip(rows["source"], rows["state"]):
-                got[source] = what
-                if len(got) == len(expected):
-                    break
-            if len(got) == len(expected) or late:
-                yield row(key, got, "complete" if len(got) == len(expected) else "timeout")
-                fired, got = True, {}
-        state.update((deadline, list(got), list(got.values()), fired))
-        state.setTimeoutTimestamp(max(expiry if fired else deadline + 1, state.getCurrentWatermarkMs() + 1))
-    return fn
-
-
-def stream_barrier(arrivals: DataFrame, expected: Sequence[str], timeout_ms: int, keep_ms: int, delay: str) -> DataFrame:
-    """A merge fires once.  ``complete`` when the last expected source arrives within ``timeout_ms``
-    of the first arrival, with the state that each source had at that moment; otherwise ``timeout``, with
-    the arrivals up to then, missing sources counting as skipped.
-
-    ``arrivals``: thread_id, source, state, event_id, event_time; ``expected`` are the sources of the
-    merge's in-edges (``merge_sources``).  A key that has fired is remembered for ``keep_ms`` after its
-    first arrival, so that later arrivals do not fire it again.
+        known = {k[0]: tuple(v) for k, v in self.first.iterator()} if self.first.exists() else {}
+        for source, at in new.items():
+            if source not in known or at < known[source]:
+                known[source] = at
+                self.first.updateValue((source,), at)
+        start, now = min(known.values())[0], timerValues.getCurrentWatermarkInMs()
+        in_time = [at for at in known.values() if at[0] <= start + self.timeout_ms]
+        if len(in_time) == self.n_expected:
+            yield self._fire(key, "complete", max(in_time), now)
+        elif now >= start + self.timeout_ms + self.window_ms:
+            yield self._fire(key, "timeout", (start + self.timeout_ms, _ANY_ID), now)
+        elif len(known) == len(new):
+            # a window that reaches over the deadline is complete one window later
+            self.handle.registerTimer(start + self.timeout_ms + self.window_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        if self.fired.exists():
+            # the timer of a barrier that was complete in time finds its decision; the last one ends it
+            if now >= self.fired.get()[0] + self.keep_ms:
+                self.fired.clear()
+        elif self.first.exists():
+            start = min(v[0] for v in self.first.values())
+            yield self._fire(key, "timeout", (start + self.timeout_ms, _ANY_ID), now)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_barrier(arrivals: DataFrame, expected: Sequence[str], timeout_ms: int, keep_ms: int, delay: str,
+                   window: str = "1 hour", window_ms: int = HOUR_MS) -> DataFrame:
+    """A merge fires once.  ``complete`` when the last expected source arrives within ``timeout_ms`` of the first
+    arrival; otherwise ``timeout``.  ``upto_ms``, ``upto_id`` say which arrivals count (``barrier_states``).
+
+    ``arrivals``: thread_id, source, event_id, event_time; ``expected`` are the sources of the merge's in-edges
+    (``merge_sources``).  A streaming aggregate keeps the first arrival per source and window, so a hot thread sends a
+    row per source and window to its timer.  A key that has fired is remembered for ``keep_ms``, so that later
+    arrivals do not fire it again.
     """
-    a = arrivals.where(F.col("source").isin(*expected)).withWatermark("event_time", delay) \
-        .withColumn("event_ms", _millis("event_time"))
-    return a.groupBy("thread_id").applyInPandasWithState(
-        _barrier_fn(list(expected), timeout_ms, keep_ms), BARRIER_OUT, BARRIER_STATE, "append",
-        GroupStateTimeout.EventTimeTimeout)
+    a = arrivals.where(F.col("source").isin(*expected)).withWatermark("event_time", delay)
+    firsts = a.groupBy("thread_id", "source", F.window("event_time", window).alias("w")).agg(
+        F.min(F.struct(_millis("event_time").alias("ms"), F.col("event_id").alias("id"))).alias("f"))
+    rows = firsts.select("thread_id", "source", "f.ms", "f.id", F.window_time("w").alias("at"))
+    return rows.groupBy("thread_id").transformWithStateInPandas(
+        _Barrier(len(expected), timeout_ms, keep_ms, window_ms), BARRIER_OUT, "append", "eventTime")
+
+
+def barrier_states(landed: DataFrame, arrivals: DataFrame, expected: Sequence[str]) -> DataFrame:
+    """What each fired merge has: the state of every source at that moment, missing sources counting as skipped."""
+    a = arrivals.where(F.col("source").isin(*expected)).withColumn("event_ms", _millis("event_time"))
+    at = F.struct("event_ms", "event_id")
+    had = a.join(landed.select("thread_id", "fired", "upto_ms", "upto_id"), "thread_id").where(
+        at <= F.struct(F.col("upto_ms").alias("event_ms"), F.col("upto_id").alias("event_id"))) \
+        .groupBy("thread_id", "fired", "source").agg(F.max_by("state", at).alias("state"))
+    return had.groupBy("thread_id", "fired").agg(
+        *[F.count_if(F.col("state") == s).alias(s) for s in ("ok", "failed")],
+        (F.count_if(F.col("state") == "skipped") + len(expected) - F.count(F.lit(1))).alias("skipped"))
 
 
 def merge_sources(edges: DataFrame, merge: str) -> list[str]:
@@ -261,35 +408,62 @@ def merge_sources(edges: DataFrame, merge: str) -> list[str]:
 
 
 DEADLINE_OUT = "run_id string, started_ms long, deadline_ms long"
-DEADLINE_STATE = "started_ms long, done_ms long, judged boolean"
-
-
-def _deadline_fn(deadline_ms: int, keep_ms: int, terminal: Sequence[str]):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        started, done, judged = state.get if state.exists else (None, None, False)
-        if state.hasTimedOut:
-            if judged:
-                state.remove()
-                return
-            # reaching the deadline trips, so a terminal event must come before it
-            if done is None or done >= started + deadline_ms:
-                yield pd.DataFrame([{"run_id": key[0], "started_ms": started, "deadline_ms": started + deadline_ms}])
-            judged = True
-        for pdf in [] if state.hasTimedOut else pdfs:
-            first = int(pdf["event_ms"].min())
-            started = first if started is None else min(started, first)
-            ends = pdf.loc[pdf["event_type"].isin(list(terminal)), "event_ms"]
+
+
+class _Deadline(StatefulProcessor):
+    """Start and first terminal event of a run; judged once, when all windows up to the deadline are complete."""
+
+    def __init__(self, deadline_ms: int, keep_ms: int, window_ms: int):
+        self.deadline_ms, self.keep_ms, self.window_ms = deadline_ms, keep_ms, window_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", "started long, done long, judged boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = self.run.get() if self.run.exists() else None
+        started, done, judged = known or (_ANY_ID, None, False)
+        for pdf in rows:
+            started = min(started, int(pdf["ms"].min()))
+            ends = pdf["done_ms"].dropna()
             if len(ends):
-                done = int(ends.min()) if done is None else min(done, int(ends.min()))
-        state.update((started, done, judged))
-        state.setTimeoutTimestamp(max(started + (keep_ms if judged else deadline_ms), state.getCurrentWatermarkMs() + 1))
-    return fn
-
-
-def deadline_monitor(events: DataFrame, deadline_ms: int, keep_ms: int, delay: str, terminal: Sequence[str]) -> DataFrame:
-    """Runs whose first terminal event does not come before start + deadline, told once, when the
-    watermark reaches the deadline.  What was told is remembered for ``keep_ms`` after the start."""
-    e = with_event_time(events).withWatermark("event_time", delay).withColumn("event_ms", _millis("event_time"))
-    return e.groupBy("run_id").applyInPandasWithState(
-        _deadline_fn(deadline_ms, keep_ms, terminal), DEADLINE_OUT, DEADLINE_STATE, "append",
-        GroupStateTimeout.EventTimeTimeout)
+                done = min(int(ends.min()), _ANY_ID if done is None else done)
+        self.run.update((started, done, judged))
+        due, now = started + self.deadline_ms + self.window_ms, timerValues.getCurrentWatermarkInMs()
+        if not judged and now >= due:
+            yield from self._judge(key, now)
+        elif known is None:
+            self.handle.registerTimer(due)
+
+    def _judge(self, key, now: int) -> Iterator[pd.DataFrame]:
+        started, done, _ = self.run.get()
+        self.run.update((started, done, True))
+        self.handle.registerTimer(max(started + self.keep_ms + self.window_ms, now + 1))
+        # reaching the deadline trips, so a terminal event must come before it
+        if done is None or done >= started + self.deadline_ms:
+            yield pd.DataFrame([(key[0], started, started + self.deadline_ms)], columns=["run_id", "started_ms", "deadline_ms"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        started, _, judged = self.run.get() if self.run.exists() else (0, None, None)
+        if judged is False:
+            yield from self._judge(key, now)
+        elif judged and now >= started + self.keep_ms:
+            self.run.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def deadline_monitor(events: DataFrame, deadline_ms: int, keep_ms: int, delay: str, terminal: Sequence[str],
+                     window: str = "1 hour", window_ms: int = HOUR_MS) -> DataFrame:
+    """Runs whose first terminal event does not come before start + deadline, told once, when the watermark has
+    passed the deadline's window.  A streaming aggregate sends one row per run and window to the timer.  What was told
+    is remembered for ``keep_ms`` after the start."""
+    e = with_event_time(events).withWatermark("event_time", delay)
+    per = e.groupBy("run_id", F.window("event_time", window).alias("w")).agg(
+        F.min(_millis("event_time")).alias("ms"),
+        F.min(F.when(F.col("event_type").isin(*terminal), _millis("event_time"))).alias("done_ms"))
+    rows = per.select("run_id", "ms", "done_ms", F.window_time("w").alias("at"))
+    return rows.groupBy("run_id").transformWithStateInPandas(
+        _Deadline(deadline_ms, keep_ms, window_ms), DEADLINE_OUT, "append", "eventTime")

@@ -104,8 +104,8 @@ def test_canonical_json_matches_python(spark):
 def test_redact_any_characters_and_blocks(spark):
     df = spark.createDataFrame([(1, "x ab/cd+ef== y"), (2, "pretokenXYZ9post tokenXYZ"), (3, "abcd")], "id int, text string")
     vals = spark.createDataFrame([("ab/cd+ef==",), ("tokenXYZ9",), ("abc",), ("bcd",)], "value string")
-    for block in (100, 1):
-        out = {r.id: r.text for r in P.redact(df, "id", "text", vals, block=block).collect()}
+    for some in (vals, vals.union(vals).repartition(3)):
+        out = {r.id: r.text for r in P.redact(df, "text", some).collect()}
         assert out == {1: "x [REDACTED] y", 2: "pre[REDACTED]post tokenXYZ", 3: "[REDACTED]"}
 
 
@@ -135,7 +135,7 @@ def test_redact_leaves_no_secret(spark):
     secret = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"
     df = spark.createDataFrame([(1, f'key token = "{secret}" mail me at a.b@example.com from 10.1.2.3'),
                                 (2, f"echo {secret} again")], "id long, text string")
-    out = P.redact(df, "id", "text", P.secret_values(df, "text"))
+    out = P.redact(df, "text", P.secret_values(df, "text"))
     texts = [r.text for r in out.orderBy("id").collect()]
     assert all(secret not in t for t in texts)
     assert "a.b@example.com" not in texts[0] and "10.1.2.3" not in texts[0]
@@ -145,6 +145,44 @@ def test_redact_leaves_no_secret(spark):
 def test_redact_masks_inside_longer_words(spark):
     df = spark.createDataFrame([(1, 'a token = "abc-123" b abc-123x abc-123'), (2, "no secrets")],
                                "id long, text string")
-    out = {r.id: r.text for r in P.redact(df, "id", "text", P.secret_values(df, "text")).collect()}
+    out = {r.id: r.text for r in P.redact(df, "text", P.secret_values(df, "text")).collect()}
     assert out[1] == 'a token = "[REDACTED]" b [REDACTED]x [REDACTED]'
     assert out[2] == "no secrets"
+
+
+def test_redact_nested_values_and_many_values(spark):
+    ddl = "id int, p struct<a: string, n: int, l: array<struct<k: string>>, m: map<string,string>, d: map<int,array<string>>>, t string"
+    rows = [(1, ("x s3cret-9 y", 5, [("s3cret-9",), None, (None,)], {"s3cret-9": "é s3cret-9é", "k": None}, {1: ["tok-00042", "ok"]}), "s3cret-9"),
+            (1, ("x s3cret-9 y", 5, [("s3cret-9",), None, (None,)], {"s3cret-9": "é s3cret-9é", "k": None}, {1: ["tok-00042", "ok"]}), None),
+            (None, None, "ß s3cret- tok-100001 tok-0004"), (3, ("a.b@example.com", 1, [], {}, {}), "")]
+    df = spark.createDataFrame(rows, ddl)
+    vals = spark.range(100_000).selectExpr("format_string('tok-%05d', id) AS value").union(
+        spark.createDataFrame([("s3cret-9",), ("",), (None,), ("x" * 5000,)], "value string"))
+    out = P.redact(df, ["p", "t"], vals).collect()
+    assert len(out) == 4 and not any(v in str(out) for v in ("s3cret-9", "tok-00042", "tok-10000"))
+    first = out[0] if out[0].t else out[1]
+    one = next(r for r in out if r.id == 1 and r.t)
+    assert first is not None and one.t == "[REDACTED]" and one.p.a == "x [REDACTED] y" and one.p.n == 5
+    assert [x and x.k for x in one.p.l] == ["[REDACTED]", None, None]
+    assert one.p.m == {"[REDACTED]": "é [REDACTED]é", "k": None} and one.p.d == {1: ["[REDACTED]", "ok"]}
+    none = next(r for r in out if r.id is None)
+    assert none.p is None and none.t == "ß s3cret- [REDACTED]1 tok-0004"
+    three = next(r for r in out if r.id == 3)
+    assert three.p.a == "[REDACTED]" and three.t == "" and three.p.m == {}
+
+
+def test_redact_against_brute_force(spark):
+    import random
+    rng = random.Random(8)
+    vals = ["".join(rng.choice("aßb") for _ in range(rng.choice([1, 2, 3, 5, 8, 17, 40]))) + rng.choice("xyz") for _ in range(300)]
+    texts = ["".join(rng.choice("aßb") for _ in range(rng.randrange(60))) + rng.choice(["", rng.choice(vals)]) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r.id: r.t for r in P.redact(df, "t", spark.createDataFrame([(v,) for v in vals], "v string"), patterns=()).collect()}
+    for i, t in enumerate(texts):
+        spans = sorted((a, a + len(v)) for v in set(vals) for a in range(len(t)) if t.startswith(v, a))
+        out, at = "", 0
+        for a, b in spans:
+            if a >= at:
+                out += t[at:a] + "[REDACTED]"
+            at = max(at, b)
+        assert got[i] == out + t[at:]
