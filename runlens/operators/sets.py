@@ -8,16 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..plans.ordered import ordered_scan
+from ..plans.ordered import _SLICE, concat_ordered, materialize_if_shuffled, ordered_scan, plan_slices, with_slice
 
 
 def dedup_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The first row per key in arrival order (``min_by`` over the whole row:
-    combined map-side, so a key with millions of copies costs one row per task)."""
-    cols = [c for c in df.columns if c not in keys]
-    g = df.groupBy(*keys).agg(F.min_by(F.struct(*cols), F.col(order)).alias("_r"),
-                              F.count(F.lit(1)).alias("copies"))
-    return g.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in cols], "copies")
+    combined map-side, so a key with millions of copies costs one row per task).
+
+    Rows are grouped by a 256-bit digest of the key columns, so long keys are
+    neither compared nor shuffled more than once per task and key."""
+    digest = F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256)
+    g = df.groupBy(digest.alias("_key")).agg(F.min_by(F.struct(*df.columns), F.col(order)).alias("_r"),
+                                             F.count(F.lit(1)).alias("copies"))
+    cols = [*keys, *[c for c in df.columns if c not in keys]]
+    return g.select(*[F.col(f"_r.{c}").alias(c) for c in cols], "copies")
 
 
 def implicit_edges(implied: DataFrame, declared: DataFrame) -> DataFrame:
@@ -48,8 +52,8 @@ def pick_preferred(df: DataFrame, group: str, prefs: Sequence[Column], has_model
 
 def preferred_order(df: DataFrame, local: Column, latency: str, tie: str, groups: Sequence[str]) -> DataFrame:
     """K2: the full ordering per group: local rows first, then by latency, ties by ``tie``; ``place`` from 1."""
-    w = Window.partitionBy(*groups).orderBy((~local).asc(), F.col(latency).asc(), F.col(tie).asc())
-    return df.withColumn("place", F.row_number().over(w))
+    far = df.withColumn("_far", F.coalesce((~local).cast("int"), F.lit(-1)))
+    return ordered_scan(far, list(groups), ["_far", latency, tie], index="place").drop("_far")
 
 
 def category_list(df: DataFrame, col: str) -> DataFrame:
@@ -79,8 +83,10 @@ def category_breakdown(df: DataFrame, batch: str, category: Column, priority: Co
 def first_valid_attempt(responses: DataFrame, keys: Sequence[str], order: str, valid: str, error: str,
                         reasks: int = 2) -> DataFrame:
     """Re-ask loop over recorded responses: the first valid one within ``reasks + 1``
-    attempts, else failed with the last error seen inside that budget."""
-    r = ordered_scan(responses, list(keys), [order], index="_try").where(F.col("_try") <= reasks + 1)
+    attempts, else failed with the last error seen inside that budget.  ``row_number() <= n``
+    plans a partial WindowGroupLimit: a task sends that many rows per key."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    r = responses.withColumn("_try", F.row_number().over(w)).where(F.col("_try") <= reasks + 1)
     g = r.groupBy(*keys).agg(
         F.min(F.when(F.col(valid), F.col("_try"))).alias("_first"),
         F.max("_try").alias("_tries"),
@@ -96,13 +102,9 @@ def concat_chunks(pieces: DataFrame, key: str, order: str, text: str, reported:
     """Streamed pieces joined in order per message; token usage as reported by the
     stream, estimated (max(1, chars div 4)) when it reports none.
 
-    A message is one output text, so its pieces are gathered per message --
-    bounded by the message itself."""
+    Pieces are joined slice by slice (``concat_ordered``), so no task sorts all pieces of a hot message."""
     rep = reported if reported is not None else F.lit(None).cast("long")
-    g = pieces.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(text)))),
-                                 lambda s: s[text]), "").alias("text"),
-        F.sum(rep).alias("_reported"))
+    g = concat_ordered(pieces, [key], [order], text, aggs={"_reported": rep})
     return g.select(key, "text", F.when(F.coalesce(F.col("_reported"), F.lit(0)) > 0, F.col("_reported"))
                     .otherwise(S.estimate_tokens(F.col("text"))).cast("long").alias("tokens"))
 
@@ -111,24 +113,35 @@ def coalesce_turns(conv: DataFrame, key: str = "conv_id", order: str = "turn", r
                    text: str = "text", merge_role: str = "assistant") -> tuple[DataFrame, DataFrame]:
     """(turns, system).
 
-    System messages are pulled out and joined by a blank line per
-    conversation.  Of the rest, consecutive messages with ``merge_role`` are
-    merged into one turn.  Gaps and islands: position (skew-safe), the
-    previous message by an equi-join on position - 1, a running count of
-    island starts, then one group per island.
+    System messages are pulled out and joined by a blank line per conversation.
+    Of the rest, consecutive messages with ``merge_role`` are merged into one
+    turn.  One ordered pass finds the islands: inside a (key, slice) group by the
+    previous message, between slices from each slice's first and last role, on a
+    table with one row per (key, slice).  Texts are joined slice by slice.
     """
-    system = conv.where(F.col(role) == "system").groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(text)))),
-                                 lambda s: s[text]), "\n\n").alias("system"))
-    rest = conv.where(F.col(role) != "system").select(key, order, role, text)
-    pos = ordered_scan(rest, [key], [order], index="_pos")
-    prev = pos.select(key, (F.col("_pos") + 1).alias("_pos"), F.col(role).alias("_prev_role"))
-    p = pos.join(prev, [key, "_pos"], "left")
-    start = ~((F.col(role) == merge_role) & (F.col("_prev_role") == merge_role))
-    p = p.withColumn("_start", start.cast("long"))
-    isl = ordered_scan(p, [key], ["_pos"], running={"island": "_start"})
-    turns = isl.groupBy(key, "island").agg(
-        F.first(role).alias(role), F.min(order).alias("first_turn"), F.count(F.lit(1)).alias("merged"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_pos"), F.col(text)))),
-                                 lambda s: s[text]), "\n").alias(text))
+    system = concat_ordered(conv.where(F.col(role) == "system"), [key], [order], text, "\n\n", out="system")
+    rest = materialize_if_shuffled(conv.where(F.col(role) != "system").select(key, order, role, text))
+    sliced = with_slice(rest, [order], plan_slices(rest, [order]))
+    here = Window.partitionBy(key, _SLICE).orderBy(order)
+    before = F.lag(role).over(here)
+    starts = F.when(F.row_number().over(here) > 1, (~((F.col(role) == merge_role) & (before == merge_role))).cast("long"))
+    local = sliced.withColumn("_start", F.coalesce(starts, F.lit(0))).withColumn(
+        "_in_slice", F.sum("_start").over(here.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ends = local.groupBy(key, _SLICE).agg(F.min_by(role, order).alias("_first"), F.max_by(role, order).alias("_last"),
+                                          F.sum("_start").alias("_starts"))
+    along = Window.partitionBy(key).orderBy(_SLICE)
+    opens = (~((F.col("_first") == merge_role) & (F.coalesce(F.lag("_last").over(along), F.lit("")) == merge_role))).cast("long")
+    ends = ends.withColumn("_opens", opens).withColumn(
+        "_before", F.col("_opens") + F.coalesce(F.sum(F.col("_opens") + F.col("_starts")).over(
+            along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = local.join(ends.select(F.col(key).alias("_k"), F.col(_SLICE).alias("_s"), "_before"),
+                        F.col(key).eqNullSafe(F.col("_k")) & (F.col(_SLICE) == F.col("_s")))
+    part = placed.withColumn("island", F.col("_before") + F.col("_in_slice")).groupBy(key, "island", _SLICE).agg(
+        F.min(role).alias(role), F.min(order).alias("first_turn"), F.count(F.lit(1)).alias("merged"), F.count(text).alias("_n"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))),
+                                 lambda s: s["t"]), "\n").alias("_text"))
+    turns = part.groupBy(key, "island").agg(
+        F.min(role).alias(role), F.min("first_turn").alias("first_turn"), F.sum("merged").alias("merged"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_n") > 0, F.struct(
+            F.col(_SLICE).alias("s"), F.col("_text").alias("t"))))), lambda s: s["t"]), "\n").alias(text))
     return turns, system

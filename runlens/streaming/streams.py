@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..plans.ordered import slice_bounds, with_slice
+from ..plans.ordered import _WITHIN, Slices, plan_slices, with_slice
 from ..sources.sinks import outbox_payloads, scratch_path
 
 DAY_MS = 86_400_000
@@ -38,9 +38,10 @@ _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 def drops(df: DataFrame, order: str, n: int) -> list[DataFrame]:
     """``df`` cut into ``n`` consecutive stretches of ``order``; rows without a value go last."""
-    sliced = with_slice(df, order, slice_bounds(df, order, n))
-    return [sliced.where(F.least(F.coalesce("_rl_slice", F.lit(n)), F.lit(n - 1)) == i).drop("_rl_slice")
-            for i in range(n)]
+    plan = Slices(plan_slices(df, [order], n).bounds)
+    no = F.when(F.col(order).isNull(), n - 1).otherwise(F.least(F.floor(F.col("_rl_slice") / _WITHIN), F.lit(n - 1)))
+    sliced = with_slice(df, [order], plan)
+    return [sliced.where(no == i).drop("_rl_slice") for i in range(n)]
 
 
 def file_stream(spark: SparkSession, path: str, schema) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from runlens.plans.ordered import asof_last, ordered_scan
+from runlens.plans.ordered import asof_last, concat_ordered, ordered_scan, plan_slices, with_slice
 
 
 def _hot(spark):
@@ -43,3 +43,33 @@ def test_asof_last_carries_across_slices(spark):
     for i in range(1, 400):
         exp = None if i < 10 else f"c{(i // 10) * 10}"
         assert res[i] == exp
+
+
+def test_ordered_scan_on_text_order_with_shared_prefixes_and_nulls(spark):
+    import random
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot", "hot", "cold"]), f"common-prefix-{i:05d}") for i in range(400)] + [("hot", None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, o string")
+    for down in (False, True):
+        got = ordered_scan(df, ["k"], ["o"], index="idx", slices=16, descending=down).collect()
+        for key in ("hot", "cold"):
+            mine = sorted((o for k, o in rows if k == key), key=lambda o: (o is not None, o or ""), reverse=down)
+            assert [r.o for r in sorted(got, key=lambda r: r.idx) if r.k == key] == mine
+
+
+def test_slices_are_cut_inside_a_hot_leading_value(spark):
+    df = spark.range(20_000).selectExpr("'k' AS k", "CAST(id % 3 AS INT) AS turn", "id * 7919 % 20011 AS pos")
+    sizes = [r["count"] for r in with_slice(df, ["turn", "pos"], plan_slices(df, ["turn", "pos"], 24)).groupBy("_rl_slice").count().collect()]
+    assert len(sizes) >= 18 and max(sizes) <= 2500
+    got = ordered_scan(df, ["k"], ["turn", "pos"], index="idx", slices=24).orderBy("idx").collect()
+    assert [(r.turn, r.pos) for r in got] == sorted((i % 3, i * 7919 % 20011) for i in range(20_000))
+    text = spark.range(20_000).selectExpr("concat('start-', format_string('%07d', id)) AS t")
+    sizes = [r["count"] for r in with_slice(text, ["t"], plan_slices(text, ["t"], 20)).groupBy("_rl_slice").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) <= 3000
+
+
+def test_concat_ordered_joins_slices_in_order(spark):
+    df = spark.range(3000).selectExpr("id % 2 AS k", "id AS o", "if(id % 7 = 0, null, CAST(id AS STRING)) AS t")
+    got = {r.k: r.text for r in concat_ordered(df, ["k"], ["o"], "t", "|", slices=12).collect()}
+    assert got == {k: "|".join(str(i) for i in range(k, 3000, 2) if i % 7) for k in (0, 1)}
