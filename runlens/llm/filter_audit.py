@@ -40,6 +40,7 @@ _CONTINUATION = bytes(range(0x80, 0xC0))
 _SIGNS = b"#$%&*|"
 _STEPS = (8, 32, 128, 512, 2048, 8192, 1 << 30)   # prefix lengths in bytes; the last is the whole text
 _HEAD = 32                                        # prefixes up to here have a column of their own
+_LEAST_KEY = 1 << 16                              # bytes of text that a key may stand for in any table
 _FAN_IN = 64                                      # rows of one text that a merge takes at least
 _LOCAL = "id long, part string, mask int, rows long, text binary, head binary, size long"
 _LOCAL_ARROW = pa.schema([("id", pa.int64()), ("part", pa.string()), ("mask", pa.int32()), ("rows", pa.int64()),
@@ -191,7 +192,7 @@ def prefix_keys(texts: DataFrame, scratch: Scratch, range_bytes: int) -> tuple[D
 
 
 def _thinned(texts: DataFrame, scratch: Scratch, range_bytes: int) -> DataFrame:
-    """Merge the rows of single texts that exceed a range, in dealt groups of ``_FAN_IN`` rows or more, until none does."""
+    """Merge the rows of single texts that exceed a range, in dealt groups of about ``_FAN_IN`` rows, until none does."""
     for k in range(60):
         heavy = texts.groupBy("key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")) \
             .where((F.col("bytes") > range_bytes) & (F.col("rows") > _FAN_IN)).select(
@@ -214,11 +215,12 @@ def first_rows(local: DataFrame, scratch: Scratch, range_bytes: int) -> DataFram
     """Of the locally distinct texts the rows that no smaller id precedes: id, part, mask, rows."""
     texts = local.where("text IS NOT NULL")
     total = texts.agg(F.sum("size")).first()[0] or 0
-    keyed, steps = prefix_keys(texts, scratch, range_bytes)
+    # keys are finer than ranges where the table is small, so that its ranges can still be even
+    keyed, steps = prefix_keys(texts, scratch, min(range_bytes, max(total // 256, _LEAST_KEY)))
     if steps == len(_STEPS):
-        keyed = _thinned(scratch.keep(keyed, "keyed"), scratch, range_bytes)
+        keyed = _thinned(keyed, scratch, range_bytes)
     # texts are spread over twice the ranges, so that unequal ones stay near the size
-    ranges = max(1, -(-2 * total // range_bytes))
+    ranges = max(-(-2 * total // range_bytes), int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return keyed.repartitionByRange(ranges, "key").select(*_LOCAL_ARROW.names).mapInArrow(_merged, _LOCAL) \
         .select("id", "part", "mask", "rows")
 
