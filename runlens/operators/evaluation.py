@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_ASSERT_TEXTS = 10_000
+from .assertions import NAME_PATTERN, checked
 
 
 def load_cases(df: DataFrame) -> DataFrame:
@@ -29,38 +27,32 @@ def load_cases(df: DataFrame) -> DataFrame:
                      asserts.alias("asserts"), budget.alias("budget"))
 
 
-def _compile_asserts(texts: Sequence[str], scope: DataFrame) -> tuple[dict[str, Column], dict[str, str]]:
-    """Compile assertion texts to Spark predicates over ``scope``'s columns.
+def named_values(cases: DataFrame, state: DataFrame | None, outputs: DataFrame | None) -> DataFrame:
+    """(name, names): for every case the values that its assertions name, as JSON texts; state hides node outputs.
 
-    A text that does not parse, or names a column the report lacks, becomes
-    an error entry (class name of the failure) instead of a predicate.
+    ``state`` and ``outputs`` are long: name, key, value (JSON text), a row per channel or node.  Only the
+    keys that stand in a case's assertions are joined, so a row holds no more than its assertions read.
     """
-    good: dict[str, Column] = {}
-    bad: dict[str, str] = {}
-    for t in texts:
-        try:
-            c = F.expr(t).cast("boolean")
-            scope.select(c).schema  # analysis happens here  # noqa: B018
-            good[t] = c
-        except Exception as e:  # noqa: BLE001 - parse and analysis errors differ by version
-            bad[t] = type(e).__name__
-    return good, bad
-
-
-def eval_cases(cases: DataFrame, reports: DataFrame) -> DataFrame:
+    asked = cases.select("name", F.explode("asserts").alias("t")).select(
+        "name", F.explode(F.regexp_extract_all("t", F.lit(f"({NAME_PATTERN})"), 1)).alias("key")).distinct()
+    parts = [df.select("name", "key", "value", F.lit(rank).alias("rank")) for rank, df in enumerate((state, outputs)) if df is not None]
+    if not parts:
+        return asked.select("name", F.create_map().cast("map<string,string>").alias("names")).limit(0)
+    given = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    one = given.join(asked, ["name", "key"]).groupBy("name", "key").agg(
+        F.min_by(F.struct("value"), "rank").getField("value").alias("value"))
+    return one.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("names"))
+
+
+def eval_cases(cases: DataFrame, reports: DataFrame, state: DataFrame | None = None,
+               outputs: DataFrame | None = None) -> DataFrame:
     """One row per check and case: (name, check_no, kind, detail, ok).
 
-    ``cases`` as from ``load_cases``; ``reports`` one row per case name with
-    ``status``, ``dead_letters``, ``tokens``, ``cost_usd`` and any columns the
-    assertions read.  Assertion texts are few distinct predicates; they are
-    compiled once on the driver (size checked) and evaluated as one CASE.
-    A text that fails to compile is a failed check, not a crash.
+    ``cases`` as from ``load_cases``; ``reports`` one row per case name with ``status``,
+    ``dead_letters``, ``tokens`` and ``cost_usd``; ``state`` and ``outputs`` the final state and
+    the node outputs in long form (``named_values``).  An assertion that does not
+    compile, names something unknown or fails is a failed check, not a crash.
     """
-    texts = [r[0] for r in cases.select(F.explode("asserts").alias("t")).distinct()
-             .limit(MAX_ASSERT_TEXTS + 1).collect()]
-    if len(texts) > MAX_ASSERT_TEXTS:
-        raise ValueError("too many distinct assertion texts to compile")
-    good, bad = _compile_asserts(sorted(texts), reports)
     status_chk = F.when(F.col("status_expected").isNotNull(), F.struct(
         F.lit("status").alias("kind"),
         F.concat(F.lit("status == "), F.col("status_expected")).alias("detail"),
@@ -69,19 +61,6 @@ def eval_cases(cases: DataFrame, reports: DataFrame) -> DataFrame:
         F.lit("dead_letters").alias("kind"), F.lit("no dead-letters").alias("detail"),
         F.coalesce(F.col("dead_letters") == 0, F.lit(False)).alias("ok")))
 
-    def assert_check(x: Column) -> Column:
-        ok = F.lit(False)
-        if good:
-            case = None
-            for t, c in good.items():
-                case = F.when(x == t, F.coalesce(c, F.lit(False))) if case is None \
-                    else case.when(x == t, F.coalesce(c, F.lit(False)))
-            ok = case.otherwise(F.lit(False))
-        detail = x
-        for t, err in bad.items():
-            detail = F.when(x == t, F.concat(x, F.lit(f"  ({err})"))).otherwise(detail)
-        return F.struct(F.lit("assert").alias("kind"), detail.alias("detail"), ok.alias("ok"))
-
     tok_b = F.col("budget")["tokens"]
     cost_b = F.col("budget")["cost_usd"]
     tok_chk = F.when(tok_b.isNotNull(), F.struct(
@@ -94,10 +73,14 @@ def eval_cases(cases: DataFrame, reports: DataFrame) -> DataFrame:
         F.concat(F.lit("cost "), F.col("cost_usd").cast("string"), F.lit(" <= "),
                  cost_b.cast("string")).alias("detail"),
         F.coalesce(F.col("cost_usd") <= cost_b, F.lit(False)).alias("ok")))
+    asserted = F.transform(F.arrays_zip("asserts", "_checked"), lambda x: F.struct(
+        F.lit("assert").alias("kind"),
+        F.concat(x["asserts"], F.coalesce(F.concat(F.lit("  ("), x["_checked"]["error"], F.lit(")")), F.lit(""))).alias("detail"),
+        F.coalesce(x["_checked"]["ok"], F.lit(False)).alias("ok")))
     # all checks of a case in the reference's order, exploded once
-    checks = F.concat(F.array_compact(F.array(status_chk, dl_chk)), F.transform("asserts", assert_check),
-                      F.array_compact(F.array(tok_chk, cost_chk)))
-    j = cases.withColumnRenamed("status", "status_expected").join(reports, "name", "left")
+    checks = F.concat(F.array_compact(F.array(status_chk, dl_chk)), asserted, F.array_compact(F.array(tok_chk, cost_chk)))
+    j = cases.withColumnRenamed("status", "status_expected").join(reports, "name", "left") \
+        .join(named_values(cases, state, outputs), "name", "left").withColumn("_checked", checked("asserts", "names"))
     return j.select("name", F.posexplode(checks).alias("check_no", "_c")).select(
         "name", "check_no", F.col("_c.kind").alias("kind"), F.col("_c.detail").alias("detail"),
         F.col("_c.ok").alias("ok"))

@@ -1,11 +1,13 @@
 """Graph operators over edge tables.
 
-Cycles are found without a transitive closure: nodes that cannot lie on a
-cycle are peeled off, then the smallest id that reaches each remaining node
-colours the graph, and the nodes of a colour that reach its root are one
-strongly connected component.  Every round is a join and an aggregate over the
-edge table, whose size bounds all tables in between; two rounds share one
-written table, and the driver reads only counts and check sums.
+Cycles are found without a transitive closure.  Chains of nodes with one in- and
+one out-edge become single edges first, by pointer doubling, so a long chain or
+a long simple cycle costs rounds by the logarithm of its length.  Of the rest, nodes that
+cannot lie on a cycle are peeled off (and new chains contracted), then the smallest
+id that reaches each remaining node colours the graph, and the nodes of a colour
+that reach its root are one strongly connected component.  Every round is a join
+and an aggregate over the edge table, whose size bounds all tables in between,
+and the driver reads only counts and check sums.
 """
 
 from __future__ import annotations
@@ -19,18 +21,59 @@ from ..session import cut_lineage
 ROUNDS_PER_TABLE = 2
 
 
-def peel(edges: DataFrame) -> DataFrame:
-    """Edges left when nodes without an in-edge or without an out-edge are taken away again and again."""
-    e = cut_lineage(edges.select("src", "dst").distinct())
-    n = e.count()
-    while True:
+PEELS_PER_CONTRACTION = 4
+
+
+def peel(edges: DataFrame, rounds: int) -> tuple[DataFrame, bool]:
+    """Edges left when nodes without an in-edge or without an out-edge are taken away, at most ``rounds`` times, and
+    whether none was left to take."""
+    e, n = edges, edges.count()
+    for _ in range(rounds):
         leads_on = e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
         e = cut_lineage(leads_on.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
                         .select("src", "dst"))
         m = e.count()
         if m == n:
-            return e
+            return e, True
         n = m
+    return e, False
+
+
+def _contract(e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Chains as single edges: (edges, chains, rings), or None where there is no chain.
+
+    ``chains`` (node, tail, head) names the nodes outside a chain that its edge now joins; ``rings`` (node, component)
+    are cycles of which no node has another edge.  A pointer doubles its length every round.
+    """
+    out = e.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("to")).where("n = 1")
+    into = e.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("node")
+    ptr = cut_lineage(out.join(into, "node", "left_semi").select(
+        "node", "to", F.col("node").alias("last"), F.col("node").alias("low")))
+    if ptr.isEmpty():
+        return None
+    inner = cut_lineage(ptr.select("node"))
+    mark = None
+    while True:
+        ahead = ptr.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("last").alias("last2"), F.col("low").alias("low2"))
+        j = ptr.join(ahead, "to", "left")
+        ptr = cut_lineage(j.select("node", F.coalesce("to2", "to").alias("to"), F.coalesce("last2", "last").alias("last"),
+                                   F.least("low", "low2").alias("low"), F.col("to2").isNotNull().alias("inside")))
+        seen = ptr.where("inside").agg(F.count(F.lit(1)), F.sum(F.col("low").cast("decimal(38,0)"))).first()
+        if seen[0] == 0 or seen == mark:
+            break
+        mark = seen
+    # pointers that never leave the chain's nodes run round a ring; a jump may have landed on a node outside just now
+    rings = ptr.join(inner.select(F.col("node").alias("to")), "to", "left_semi").select("node", F.col("low").alias("component"))
+    ends = ptr.join(inner.select(F.col("node").alias("to")), "to", "left_anti")
+    ids = inner.select(F.col("node").alias("id"))
+    outer = e.join(ids, F.col("src") == F.col("id"), "left_anti")
+    direct = outer.join(ids, F.col("dst") == F.col("id"), "left_anti").select("src", "dst")
+    entered = outer.join(ends, F.col("dst") == F.col("node")).select(F.col("src").alias("tail"), "last", F.col("to").alias("head"))
+    entered = cut_lineage(entered)
+    edges = cut_lineage(direct.union(entered.select("tail", "head")).distinct())
+    # chains that nothing enters start at a ring-free node without in-edge, which has been an outer node: all are entered
+    chains = cut_lineage(ends.select("node", "last").join(entered, "last").select("node", "tail", "head"))
+    return edges, chains, rings
 
 
 def _colours(e: DataFrame) -> DataFrame:
@@ -71,16 +114,35 @@ def cycle_components(edges: DataFrame) -> DataFrame:
     """(node, component): every node on a cycle with the smallest node of its strongly connected component."""
     loops = edges.where(F.col("src") == F.col("dst")).select(F.col("src").alias("node")).distinct()
     found = loops.select("node", F.col("node").alias("component"))
-    e = peel(edges.where(F.col("src") != F.col("dst")))
+    e = cut_lineage(edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct())
+    contracted: list[DataFrame] = []
     while not e.isEmpty():
+        e, settled = peel(e, PEELS_PER_CONTRACTION)
+        made = _contract(e)
+        if made is not None:
+            e, chains, rings = made
+            contracted.append(chains)
+            around = e.where(F.col("src") == F.col("dst")).select(F.col("src").alias("node"), F.col("src").alias("component"))
+            found = cut_lineage(found.unionByName(rings).unionByName(around))
+            e = cut_lineage(e.where(F.col("src") != F.col("dst")))
+            continue
+        if not settled:
+            continue
         done = _roots_reached(e, _colours(e))
         parts = done.groupBy("colour").agg(F.count(F.lit(1)).alias("n"))
         big = done.join(parts.where("n > 1"), "colour").select(F.col("id").alias("node"), F.col("colour").alias("component"))
-        found = found.unionByName(big)
+        found = cut_lineage(found.unionByName(big))
         ids = done.select("id")
-        e = peel(e.join(ids, e["src"] == ids["id"], "left_anti").join(ids, F.col("dst") == ids["id"], "left_anti"))
+        e = cut_lineage(e.join(ids, e["src"] == ids["id"], "left_anti").join(ids, F.col("dst") == ids["id"], "left_anti"))
     # a self-loop inside a larger component belongs to that component
-    return found.groupBy("node").agg(F.min("component").alias("component"))
+    found = found.groupBy("node").agg(F.min("component").alias("component"))
+    # a chain lies on a cycle when both its ends lie in one component; the last ones made are resolved first
+    for chains in reversed(contracted):
+        ends = chains.join(found.select(F.col("node").alias("tail"), F.col("component").alias("ct")), "tail") \
+            .join(found.select(F.col("node").alias("head"), F.col("component").alias("ch")), "head").where("ct = ch")
+        found = cut_lineage(found.union(ends.select("node", F.col("ct").alias("component"))))
+    least = found.groupBy("component").agg(F.min("node").alias("least"))
+    return found.join(least, "component").select("node", F.col("least").alias("component"))
 
 
 def find_cycles(edges: DataFrame) -> DataFrame:

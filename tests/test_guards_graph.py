@@ -48,3 +48,28 @@ def test_cycles_and_components(spark):
 def test_graph_without_cycles(spark):
     e = spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")
     assert G.find_cycles(e).count() == 0
+
+
+def test_long_chains_and_rings_take_few_rounds(spark, monkeypatch):
+    tables = []
+    real = G.cut_lineage
+    monkeypatch.setattr(G, "cut_lineage", lambda df: tables.append(1) or real(df))
+    chain = [(i, i + 1) for i in range(10_000)]
+    ring = [(20_000 + i, 20_000 + (i + 1) % 777) for i in range(777)]
+    tied = [(30_000 + i, 30_000 + i + 1) for i in range(300)] + [(30_300, 30_000), (30_100, 30_200), (30_300, 5)]
+    assert G.cycle_components(spark.createDataFrame(chain, "src long, dst long")).isEmpty() and len(tables) < 40
+    e = spark.createDataFrame(chain + ring + tied, "src long, dst long")
+    comp = {r.node: r.component for r in G.cycle_components(e).collect()}
+    assert comp == {**{20_000 + i: 20_000 for i in range(777)}, **{30_000 + i: 30_000 for i in range(301)}}
+
+
+def test_components_against_brute_force(spark):
+    import random
+    rng = random.Random(12)
+    edges = {(rng.randrange(60), rng.randrange(60)) for _ in range(70)} | {(i, i + 1) for i in range(60, 75)} | {(75, 62), (70, 3)}
+    reach = {a: {b for x, b in edges if x == a} for a in range(76)}
+    for _ in range(7):
+        reach = {a: r | {c for b in r for c in reach[b]} for a, r in reach.items()}
+    want = {a: min(b for b in reach[a] if a in reach[b]) for a in reach if a in reach[a]}
+    got = {r.node: r.component for r in G.cycle_components(spark.createDataFrame(list(edges), "src long, dst long")).collect()}
+    assert got == want
