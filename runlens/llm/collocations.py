@@ -1,8 +1,9 @@
 """Phrase collocations by HAT-trie counting.
 
-1. Texts become chunks of word numbers; a chunk lists its distinct words with
-   counts.  Words that are too rare for any candidate are left out from here on,
-   the others get global ids by which everything is ordered.
+1. Texts become chunks of word numbers; a chunk gives its distinct words with counts
+   as sorted runs, which are merged per partition of the words.  Words that are too
+   rare for any candidate are left out from here on, the others get global ids by
+   which everything is ordered; each chunk learns those of its own words.
 2. A task counts the pairs of frequent words of a chunk in a HAT-trie: a shallow
    trie over word ids whose leaves are hash containers of the remaining ids.  A
    container that grows beyond ``burst`` entries bursts into a trie node with one
@@ -28,9 +29,11 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,13 +43,15 @@ from .common import Scratch, arrow_batches
 
 # cutting characters become '.', tabs become spaces, A-Z become a-z
 _TABLE = bytes(0x2E if c in b".,;:!?\n\x0b\x0c\r" else 0x20 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
-_ENCODED = "chunk long, ids binary, lang string, word binary, local int, n long"
+_ENCODED = "chunk long, ids binary, bucket long, words array<binary>, packed binary"
+_WORDS = "chunk long, packed binary, gid long, lang string, word string, f long"
 _COUNTED = "chunk long, ids binary, gids binary, counts binary, bucket long, size int, packed binary"
 _MERGED = "chunk long, size int, packed binary, gram array<long>, f long"
 
 
 def _schema(ddl: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()),
+             "array<binary>": pa.list_(pa.binary())}
     return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
 
 
@@ -56,20 +61,20 @@ def _batch(schema: pa.Schema, rows: int, /, **columns) -> pa.RecordBatch:
 
 
 class _Numbers(dict):
-    """Words of a language to numbers of the chunk; all languages share ``names``."""
+    """Words of a language to numbers of the chunk; all languages share ``names``, a word's name being lang 0xFF word."""
 
     def __init__(self, lang: str, names: list):
         super().__init__({b".": 0})
-        self.lang, self.names = lang, names
+        self.lang, self.names = lang.encode() + b"\xff", names
 
     def __missing__(self, word: bytes) -> int:
-        self.names.append((self.lang, word))
+        self.names.append(self.lang + word)
         self[word] = n = len(self.names)
         return n
 
 
-def _encode(chunk_words: int):
-    """Chunks of word numbers (0 cuts), and one row per distinct (lang, word) of a chunk."""
+def _encode(chunk_words: int, buckets: int):
+    """Chunks of word numbers (0 cuts), and the distinct words of a chunk as one sorted run per partition of the words."""
     schema = _schema(_ENCODED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,12 +82,13 @@ def _encode(chunk_words: int):
 
         def done() -> Iterator[pa.RecordBatch]:
             ids = np.concatenate(parts)
-            counts = np.bincount(ids, minlength=len(names) + 1)[1:]
+            counts = np.bincount(ids, minlength=len(names) + 1)[1:].astype(np.int64)
             yield _batch(schema, 1, chunk=[no], ids=[ids.tobytes()])
-            if names:
-                langs, words = zip(*names)
-                yield _batch(schema, len(names), chunk=[no] * len(names), lang=langs, word=words,
-                             local=range(1, len(names) + 1), n=counts)
+            bucket = np.fromiter(map(crc32, names), np.int64, len(names)) % buckets
+            for b, at in _grouped(bucket):
+                at = np.array(sorted(at.tolist(), key=names.__getitem__))
+                yield _batch(schema, 1, chunk=[no], bucket=[b], words=[[names[i] for i in at.tolist()]],
+                             packed=[np.concatenate([at + 1, counts[at]]).tobytes()])
         for batch in batches:
             for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
                 tokens = text.translate(_TABLE).replace(b".", b" . ").split()
@@ -99,23 +105,63 @@ def _encode(chunk_words: int):
     return run
 
 
+def _grouped(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(group, positions) of every group."""
+    order = np.argsort(group, kind="stable")
+    found, at = np.unique(group[order], return_index=True)
+    return zip(found.tolist(), np.split(order, at[1:])) if len(group) else iter(())
+
+
+def _merge_words(least: int):
+    """Merge the words of one partition: frequent ones with their ids, all occurrences per language (word null), and for
+    each chunk the numbers, ids and counts of its frequent words."""
+    schema = _schema(_WORDS)
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        words = pa.chunked_array([c.flatten() for c in table.column("words").chunks])
+        packed = [_ints(x).reshape(2, -1) for x in table.column("packed").to_pylist()]
+        local, n = np.concatenate(packed, axis=1)
+        chunk = np.repeat(table.column("chunk").to_numpy(), [x.shape[1] for x in packed])
+        totals = pa.table({"w": words, "n": n}).group_by("w").aggregate([("n", "sum")]).sort_by("w")
+        per_lang: dict[str, int] = {}
+        names = totals.column("w").to_pylist()
+        sums = totals.column("n_sum").to_numpy()
+        for name, f in zip(names, sums.tolist()):
+            lang = name.partition(b"\xff")[0].decode()
+            per_lang[lang] = per_lang.get(lang, 0) + f
+        out = [_batch(schema, len(per_lang), lang=list(per_lang), f=list(per_lang.values()))]
+        rank = np.flatnonzero(sums >= least)
+        if len(rank):
+            split = [names[i].partition(b"\xff") for i in rank.tolist()]
+            ids = bucket << 32 | rank
+            out.append(_batch(schema, len(rank), gid=ids, lang=[x[0].decode() for x in split], word=[x[2].decode() for x in split],
+                              f=sums[rank]))
+            at = pc.index_in(words, totals.column("w").take(pa.array(rank)).combine_chunks()).to_numpy(zero_copy_only=False)
+            known = np.flatnonzero(~np.isnan(at.astype(float)))
+            which = at[known].astype(np.int64)
+            for c, some in _grouped(chunk[known]):
+                out.append(_batch(schema, 1, chunk=[c], packed=[np.concatenate(
+                    [local[known[some]], ids[which[some]], sums[rank[which[some]]]]).tobytes()]))
+        return pa.Table.from_batches(out, schema)
+    return run
+
+
 class HatTrie:
-    """Counts of id sequences (first id, rest as bytes of big-endian ids).
+    """Counts of id sequences of one width: first id, then the rest as bytes of big-endian ids; id 0 fills up shorter ones.
 
-    ``roots`` maps a first id to a container (Counter of the rest) or, once that
-    burst, to a node: a dict of next id to container, with the counts of rests
-    that end at that id under the empty rest.
+    ``roots`` maps a first id to a container (Counter of rests) or, once that burst, to a node: a dict of the next id
+    to a container of what follows it.
     """
 
-    def __init__(self, burst: int):
-        self.burst, self.roots, self.entries = burst, {}, {}
+    def __init__(self, width: int, burst: int):
+        self.width, self.burst, self.roots, self.entries = width, burst, {}, {}
         self.held = 0
 
     def add(self, grams: np.ndarray) -> None:
         """Count rows of ids; rows are put in order of their first two ids."""
-        width = grams.shape[1] - 1
         grams = grams[np.argsort(grams[:, 0].astype(np.int64) << 32 | grams[:, 1], kind="stable")]
-        rests = np.ascontiguousarray(grams[:, 1:].astype(">u4")).view(f"V{4 * width}").ravel().tolist()
+        rests = np.ascontiguousarray(grams[:, 1:].astype(">u4")).view(f"V{4 * (self.width - 1)}").ravel().tolist()
         firsts, at = np.unique(grams[:, 0], return_index=True)
         ends = [*at[1:].tolist(), len(grams)]
         for first, a, b in zip(firsts.tolist(), at.tolist(), ends):
@@ -123,11 +169,11 @@ class HatTrie:
             if root is None:
                 root = self.roots[first] = Counter()
             before = self.entries.get(first, 0)
-            if isinstance(root, Counter):
+            if type(root) is Counter:
                 root.update(rests[a:b])
                 size = len(root)
-                if size > self.burst and max(map(len, root)) > 4:
-                    root = self.roots[first] = self._burst(root)
+                if size > self.burst and self.width > 2:
+                    self.roots[first] = self._burst(root)
             else:
                 size = before
                 for next_id, i, j in self._runs(grams[a:b, 1], a):
@@ -153,22 +199,31 @@ class HatTrie:
 
     def spill(self, down_to: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Take out the largest subtrees until ``down_to`` entries are left: (rows of ids, counts), one pair per length."""
-        rows: dict[int, tuple[list, list, list]] = {}
+        firsts, sizes, keys, counts = [], [], [], []
         for first in sorted(self.entries, key=self.entries.__getitem__, reverse=True):
             if self.held <= down_to:
                 break
-            self.held -= self.entries.pop(first)
+            size = self.entries.pop(first)
+            self.held -= size
             root = self.roots.pop(first)
-            items = root.items() if isinstance(root, Counter) else \
-                ((head + rest, n) for head, leaf in root.items() for rest, n in leaf.items())
-            for rest, n in items:
-                ids, keys, counts = rows.setdefault(len(rest) // 4, ([], [], []))
-                ids.append(first)
-                keys.append(rest)
-                counts.append(n)
-        for width, (ids, keys, counts) in rows.items():
-            rest = np.frombuffer(b"".join(keys), ">u4").reshape(-1, width)
-            yield np.column_stack([np.array(ids, np.int64), rest.astype(np.int64)]), np.array(counts, np.int64)
+            firsts.append(first)
+            sizes.append(size)
+            if type(root) is Counter:
+                keys.extend(root)
+                counts.extend(root.values())
+            else:
+                for head, leaf in root.items():
+                    keys.extend(head + rest for rest in leaf)
+                    counts.extend(leaf.values())
+        if not firsts:
+            return
+        rest = np.frombuffer(b"".join(keys), ">u4").reshape(-1, self.width - 1)
+        n = np.array(counts, np.int64)
+        del keys, counts
+        rows = np.column_stack([np.repeat(np.array(firsts, np.int32), sizes), rest.astype(np.int32)])
+        length = (rows > 0).sum(axis=1)
+        for k in np.unique(length):
+            yield rows[length == k, :k], n[length == k]
 
 
 def _mix(h: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -224,30 +279,32 @@ def _count(sizes: tuple[int, ...], buckets: int, split: int, burst: int, held: i
     """Count the phrases of the given sizes of every chunk and give sorted runs; with size 2 also the chunk in frequent words."""
     schema = _schema(_COUNTED)
 
-    def frequent_words(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids, known = _ints(row["ids"], np.int32), row["answers"] or []
-        known = sorted((x["gid"], x["f"], x["local"]) for x in known)
-        gids = np.array([x[0] for x in known], np.int64)
+    def frequent_words(ids: np.ndarray, answers: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The chunk in numbers of its frequent words in the order of their global ids (0: a cut or a rare word)."""
+        local, gids, f = np.concatenate([np.zeros((3, 0), np.int64), *[_ints(a).reshape(3, -1) for a in answers]], axis=1)
+        order = np.argsort(gids)
         number = np.zeros(int(ids.max(initial=0)) + 1, np.int32)
-        number[[x[2] for x in known]] = np.arange(1, len(known) + 1, dtype=np.int32)
-        return number[ids], gids, np.array([x[1] for x in known], np.int64)
+        number[local[order]] = np.arange(1, len(gids) + 1, dtype=np.int32)
+        return number[ids], gids[order], f[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 row = {f.name: b.column(k)[i].as_py() for k, f in enumerate(b.schema)}
-                chunk, pairs = row["chunk"], None
+                chunk, pairs, ids = row["chunk"], None, _ints(row["ids"], np.int32)
                 if sizes == (2,):
-                    ids, gids, counts = frequent_words(row)
+                    ids, gids, counts = frequent_words(ids, row["answers"] or [])
                     yield _batch(schema, 1, chunk=[chunk], ids=[ids.tobytes()], gids=[gids.tobytes()], counts=[counts.tobytes()])
                 else:
-                    ids, gids, counts = _ints(row["ids"], np.int32), _ints(row["gids"]), _ints(row["counts"])
+                    gids, counts = _ints(row["gids"]), _ints(row["counts"])
                     pairs = _Pairs(gids, row["answers"] or [])
+                del row
                 good = (ids[:-1] > 0) & (ids[1:] > 0)
                 if pairs is not None:
                     at = np.flatnonzero(good)
                     good[at] = pairs.counts(ids[at], ids[at + 1]) > 0
-                trie = HatTrie(burst)
+                width = max(sizes)
+                trie = HatTrie(width, burst)
 
                 def runs(down_to: int) -> Iterator[pa.RecordBatch]:
                     for grams, n in trie.spill(down_to):
@@ -259,7 +316,9 @@ def _count(sizes: tuple[int, ...], buckets: int, split: int, burst: int, held: i
                     if size in sizes:
                         starts = np.flatnonzero(alive)
                         for a in range(0, len(starts), batch):
-                            trie.add(np.column_stack([ids[starts[a:a + batch] + k] for k in range(size)]))
+                            some = starts[a:a + batch]
+                            trie.add(np.column_stack([ids[some + k] if k < size else np.zeros(len(some), np.int32)
+                                                      for k in range(width)]))
                             if trie.held > held:
                                 yield from runs(held // 2)
                 yield from runs(-1)
@@ -302,25 +361,25 @@ def _merge(least: int, reply: bool):
 
 
 def frequent_phrases(docs: DataFrame, scratch: Scratch, least: int, lang_col: str = "lang", text_col: str = "text",
-                     chunk_words: int = 2 << 20, split: int = 1 << 20, bucket_words: int = 4 << 20, burst: int = 4096,
-                     held: int = 1 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+                     chunk_words: int = 1 << 20, split: int = 1 << 20, bucket_words: int = 2 << 20, word_bytes: int = 16 << 20, burst: int = 4096,
+                     held: int = 1 << 19) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Words (gid, lang, word, f) and phrases of 2 to 4 words (gram: list of gid, f) found ``least`` times per language,
     and all word occurrences per language (lang, n)."""
     spark = docs.sparkSession
     read = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"),
                        F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     with arrow_batches(spark):
-        encoded = scratch.keep(read.mapInArrow(_encode(chunk_words), _ENCODED), "encoded")
-        listed = encoded.where("ids IS NULL")
-        all_words = scratch.keep(listed.groupBy("lang", "word").agg(F.sum("n").alias("f")), "all-words")
-        totals = scratch.keep(all_words.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
-        words = scratch.keep(all_words.where(F.col("f") >= least).withColumn("gid", F.monotonically_increasing_id()), "words")
+        n_bytes = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        encoded = scratch.keep(read.mapInArrow(_encode(chunk_words, max(1, -(-n_bytes // word_bytes))), _ENCODED), "encoded")
+        listed = encoded.where("bucket IS NOT NULL").select("chunk", "bucket", "words", "packed")
+        counted = scratch.keep(listed.groupBy("bucket").applyInArrow(_merge_words(least), _WORDS), "words")
+        totals = counted.where("lang IS NOT NULL AND gid IS NULL").groupBy("lang").agg(F.sum("f").alias("n"))
+        words = counted.where("gid IS NOT NULL").select("gid", "lang", "word", "f")
         buckets = max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // bucket_words))
-        known = listed.select("chunk", "local", "lang", "word").join(words, ["lang", "word"]).groupBy("chunk").agg(
-            F.collect_list(F.struct("local", "gid", "f")).alias("answers"))
+        known = counted.where("packed IS NOT NULL").groupBy("chunk").agg(F.collect_list("packed").alias("answers"))
         chunks = encoded.where("ids IS NOT NULL").select("chunk", "ids").join(known, "chunk", "left")
         pairs = scratch.keep(chunks.mapInArrow(_count((2,), buckets, split, burst, held), _COUNTED), "pairs")
-        scratch.drop("encoded", "all-words")
+        scratch.drop("encoded")
         runs = pairs.where("bucket IS NOT NULL").select("chunk", "bucket", "size", "packed")
         merged = scratch.keep(runs.groupBy("bucket").applyInArrow(_merge(least, True), _MERGED), "pairs-merged")
         told = merged.where("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list("packed").alias("answers"))
@@ -331,7 +390,7 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, least: int, lang_col: st
         more = scratch.keep(runs.groupBy("bucket").applyInArrow(_merge(least, False), _MERGED), "longer-merged")
         scratch.drop("longer")
     grams = merged.where("gram IS NOT NULL").select("gram", "f").union(more.select("gram", "f"))
-    return words.withColumn("word", F.col("word").cast("string")), grams, totals
+    return words, grams, totals
 
 
 def collocations(docs: DataFrame, least: int = 30, top: int = 2000, swallow_percent: int = 80, **options) -> DataFrame:

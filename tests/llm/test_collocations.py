@@ -13,11 +13,11 @@ from runlens.llm.collocations import HatTrie, collocations
 @pytest.mark.parametrize("burst", [3, 1000])
 def test_trie_counts_bursts_and_spills(burst):
     rng = np.random.default_rng(burst)
-    trie, want, got = HatTrie(burst), Counter(), Counter()
+    trie, want, got = HatTrie(4, burst), Counter(), Counter()
     for size in (3, 4, 3):
         grams = rng.integers(1, 7, (800, size)).astype(np.int32)
         want.update(map(tuple, grams.tolist()))
-        trie.add(grams)
+        trie.add(np.pad(grams, ((0, 0), (0, 4 - size))))
         for rows, n in trie.spill(100):
             for k, v in zip(map(tuple, rows.tolist()), n.tolist()):
                 got[k] += v
@@ -66,7 +66,7 @@ def _rows():
     return rows + [("aa", None), (None, ""), ("cc", "...!?"), ("dd", "once"), ("aa", "new york city " * 300), ("bb", "hot pair " * 200)]
 
 
-@pytest.mark.parametrize("options", [{}, {"chunk_words": 50, "split": 20, "bucket_words": 100, "burst": 4, "held": 30}])
+@pytest.mark.parametrize("options", [{}, {"chunk_words": 50, "split": 20, "bucket_words": 100, "word_bytes": 200, "burst": 4, "held": 30}])
 def test_collocations_against_brute_force(spark, options):
     rows = _rows()
     df = spark.createDataFrame([(t, la, 1) for la, t in rows], "text string, lang string, word int").repartition(4)
