@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import (ArrayType, BooleanType, DataType, DoubleType, FloatType, IntegralType, MapType, NullType,
+                               StructType, VariantType)
 
 # ---------------------------------------------------------------- fixed values
 # Reference tag grammar: <head.part[.part...]>
@@ -267,25 +269,81 @@ def ascii_json(text: Column) -> Column:
         .otherwise(text)
 
 
-def canonical_json(struct_col: Column) -> Column:
-    """Canonical JSON text: keys of structs and maps sorted at every level, no spaces, nulls kept, ASCII only.
-
-    Read back as a variant, whose objects hold their keys in order.  Matches
-    Python's ``json.dumps(sort_keys=True, separators=(',', ':'))`` for texts,
-    integers, booleans and nulls.
-    """
-    return ascii_json(F.to_json(F.parse_json(F.to_json(struct_col, {"ignoreNullFields": "false"}))))
-
-
-def canonical_struct(fields: dict[str, Column]) -> Column:
-    return F.struct(*[fields[k].alias(k) for k in sorted(fields)])
-
-
-def canonical_hash(node_type: str | Column, config: dict[str, Column], item: Column) -> Column:
+def float_text(x: Column) -> Column:
+    """A double as Python writes it: the shortest digits that read back as the same number, with ``.0`` for whole
+    numbers, an exponent below 1e-04 and from 1e+16, and NaN, Infinity, -Infinity as ``json.dumps`` has them."""
+    size = F.abs(x)
+
+    def shortest(places: Sequence[int]) -> list[Column]:
+        texts = [F.format_string(f"%.{p}e", size) for p in places]
+        return [F.when(t.try_cast("double") == size, t) for t in texts]
+    # 15 digits hold any shorter text that reads back; numbers near zero have fewer digits than that
+    text = F.when(size < 2.3e-308, F.coalesce(*shortest(range(17)))).otherwise(F.coalesce(*shortest((14, 15, 16)), size.cast("string")))
+    mantissa = F.regexp_extract(text, r"^([0-9]+)(?:\.([0-9]+))?(?:[eE]([+-]?[0-9]+))?$", 1)
+    part = F.regexp_extract(text, r"^([0-9]+)(?:\.([0-9]+))?(?:[eE]([+-]?[0-9]+))?$", 2)
+    power = F.coalesce(F.regexp_extract(text, r"[eE]([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    both = F.concat(mantissa, part)
+    digits = F.regexp_replace(both, r"^0+|0+$", "")
+    # decimal exponent of the first digit that counts
+    lead = F.length(both) - F.length(F.regexp_replace(both, r"^0+", ""))
+    e = power + F.length(mantissa) - 1 - lead
+    n = F.length(digits)
+    fixed = F.when(e < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)) \
+        .when(n <= e + 1, F.concat(F.rpad(digits, e + 1, F.lit("0")), F.lit(".0"))) \
+        .otherwise(F.concat(F.substring(digits, F.lit(1), e + 1), F.lit("."), F.substring(digits, e + 2, n)))
+    tail = F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(F.lit(""))
+    sci = F.concat(F.substring(digits, 1, 1), tail, F.when(e < 0, F.lit("e-")).otherwise(F.lit("e+")),
+                   F.lpad(F.abs(e).cast("string"), F.greatest(F.length(F.abs(e).cast("string")), F.lit(2)), F.lit("0")))
+    sign = F.when(F.startswith(x.cast("string"), F.lit("-")), F.lit("-")).otherwise(F.lit(""))
+    number = F.when(x == 0, F.lit("0.0")).when((e < -4) | (e >= 16), sci).otherwise(fixed)
+    return F.when(F.isnan(x), F.lit("NaN")).when(F.abs(x) == float("inf"), F.concat(sign, F.lit("Infinity"))) \
+        .otherwise(F.concat(sign, number))
+
+
+def _json_string(text: Column) -> Column:
+    """A JSON string, quotes included, ASCII only."""
+    listed = F.to_json(F.array(text))
+    return ascii_json(F.substring(listed, F.lit(2), F.length(listed) - 2))
+
+
+def canonical_text(value: Column, dtype: DataType) -> Column:
+    """Canonical JSON text of a value of the given type: keys of structs and maps sorted at every level, no spaces, nulls
+    kept, ASCII only.  Equals Python's ``json.dumps(sort_keys=True, separators=(',', ':'))`` for texts, whole
+    numbers, floats, booleans, nulls, lists and maps; other types count as their text."""
+    if isinstance(dtype, StructType):
+        fields = sorted(dtype.fields, key=lambda f: f.name)
+        parts = [F.concat(_json_string(F.lit(f.name)), F.lit(":"), canonical_text(value.getField(f.name), f.dataType)) for f in fields]
+        text = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    elif isinstance(dtype, ArrayType):
+        text = F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: canonical_text(x, dtype.elementType)), ","), F.lit("]"))
+    elif isinstance(dtype, MapType):
+        entries = F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(
+            e["key"].cast("string").alias("k"), canonical_text(e["value"], dtype.valueType).alias("v"))))
+        text = F.concat(F.lit("{"), F.array_join(F.transform(
+            entries, lambda e: F.concat(_json_string(e["k"]), F.lit(":"), e["v"])), ","), F.lit("}"))
+    elif isinstance(dtype, (DoubleType, FloatType)):
+        text = float_text(value.cast("double"))
+    elif isinstance(dtype, (BooleanType, IntegralType)):
+        text = value.cast("string")
+    elif isinstance(dtype, NullType):
+        return F.lit("null")
+    elif isinstance(dtype, VariantType):
+        text = ascii_json(F.to_json(value))
+    else:
+        text = _json_string(value.cast("string"))
+    return F.coalesce(text, F.lit("null"))
+
+
+def canonical_json(df: DataFrame, value: Column) -> Column:
+    """Canonical JSON text of a column expression over ``df``, whose types it takes from there."""
+    return canonical_text(value, df.select(value.alias("v")).schema["v"].dataType)
+
+
+def canonical_hash(df: DataFrame, node_type: str | Column, config: dict[str, Column], item: Column) -> Column:
     """SHA-256 hex of the canonical JSON of {config, item, type}."""
     nt = F.lit(node_type) if isinstance(node_type, str) else node_type
-    payload = canonical_struct({"type": nt, "config": canonical_struct(config), "item": item})
-    return F.sha2(canonical_json(payload), 256)
+    packed = F.struct(*[c.alias(k) for k, c in config.items()]) if config else F.create_map().cast("map<string,string>")
+    return F.sha2(canonical_json(df, F.struct(nt.alias("type"), packed.alias("config"), item.alias("item"))), 256)
 
 
 def parse_duration(text: str | Column) -> Column:
@@ -450,11 +508,14 @@ def falsy(c: Column, kind: str) -> Column:
 
 
 def missing_fields(values: dict[str, tuple[Column, str]],
-                   spec: Sequence[tuple[str, bool, object]]) -> Column:
-    """P10: names of required fields that are falsy and have no default, in spec order."""
+                   spec: Sequence[tuple[str, bool, object]]) -> tuple[Column, dict[str, Column]]:
+    """P10: (names, filled): names of required fields that are falsy and have no default, in spec order, and every
+    field with its default in place of a falsy value."""
     names = [F.when(falsy(values[n][0], values[n][1]), F.lit(n)) for n, req, default in spec
              if req and default is None]
-    return F.array_compact(F.array(*names)) if names else F.array().cast("array<string>")
+    filled = {n: values[n][0] if default is None else F.when(falsy(*values[n]), F.lit(default)).otherwise(values[n][0])
+              for n, _, default in spec}
+    return F.array_compact(F.array(*names)) if names else F.array().cast("array<string>"), filled
 
 
 def text_of(value: str | Column, limit: int = 8000, is_text: bool = True) -> Column:
@@ -486,19 +547,26 @@ def words(text: str | Column) -> Column:
 def floordiv(a: Column, b: Column, kind: str = "int") -> Column:
     """``a // b``: floor of the quotient; null for a zero divisor (an error in Python).
 
-    ``kind='int'`` divides whole numbers exactly, ``'float'`` goes through double.
+    ``kind='int'`` divides whole numbers exactly; the one quotient beyond 64 bits, the smallest number
+    over -1, is null.  ``'float'`` stays in doubles, of any size, and divides as Python does:
+    what the remainder leaves is divided, so that 1.0 // 0.1 is 9.0.
     """
     if kind == "float":
-        return F.when(b != 0, F.floor(a / b).cast("double"))
-    q = F.call_function("div", a, b)
-    down = (a % b != 0) & ((a % b < 0) != (b < 0))
-    return F.when(b != 0, q - F.when(down, 1).otherwise(0))
+        a, b = a.cast("double"), F.nullif(b.cast("double"), F.lit(0.0))
+        rest = a % b
+        q = (a - rest) / b - F.when((rest != 0) & ((b < 0) != (rest < 0)), 1.0).otherwise(0.0)
+        whole = F.when(F.abs(q) < float(1 << 52), F.floor(q).cast("double")).otherwise(q)
+        return F.when(q - whole > 0.5, whole + 1.0).otherwise(whole)
+    b = F.nullif(b, F.lit(0))
+    by = F.when(b != -1, b)
+    down = (a % by != 0) & ((a % by < 0) != (by < 0))
+    return F.coalesce(F.call_function("div", a, by) - F.when(down, 1).otherwise(0), F.when(b == -1, F.try_subtract(F.lit(0), a)))
 
 
 def pymod(a: Column, b: Column) -> Column:
     """``a % b`` with the sign of the divisor; null for a zero divisor."""
-    r = a % b
-    return F.when(b != 0, F.when((r != 0) & ((r < 0) != (b < 0)), r + b).otherwise(r))
+    r = a % F.nullif(b, F.lit(0))
+    return F.when((r != 0) & ((r < 0) != (b < 0)), r + b).otherwise(r)
 
 
 def round_even(a: Column, digits: int = 0) -> Column:

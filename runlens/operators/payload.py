@@ -8,12 +8,12 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StructType
+from pyspark.sql.types import ArrayType, DataType, StructType, VariantType
 
 from ..functions import scalars as S
 from ..plans.broadcast import bounded_broadcast
 from ..plans.ordered import ordered_scan
-from .redaction import MASK, REDACT_PATTERNS, redact, redact_patterns, secret_values  # noqa: F401
+from .redaction import MASK, REDACT_PATTERNS, redact, redact_patterns, secret_values, text_leaves  # noqa: F401
 
 
 def when_filter(df: DataFrame, pred: str | Column) -> DataFrame:
@@ -40,9 +40,27 @@ def resolve_name(state: Column, outputs: Column, name: str | Column) -> Column:
             .when(F.map_contains_key(outputs, n), F.element_at(outputs, n)))
 
 
-def find_refs(df: DataFrame, col: str, keys: Sequence[str]) -> DataFrame:
-    """One row per distinct placeholder of each row."""
-    return df.select(*keys, F.explode(S.refs_in(col)).alias("ref"))
+# a JSON string with the colon that makes it a key
+_JSON_STRING = r'"(?:[^"\\]|\\.)*+"\s*:?'
+
+
+def find_refs(df: DataFrame, col: str, keys: Sequence[str], is_json: bool = False) -> DataFrame:
+    """One row per distinct placeholder of each row.
+
+    ``col`` is a text, a struct, list or map at any depth (their texts are searched, map keys are not), a variant,
+    or with ``is_json`` a JSON text, whose strings are searched wherever they stand, keys left out.
+    """
+    dtype = df.schema[col].dataType
+    if is_json or isinstance(dtype, VariantType):
+        # written anew by the parser, so that escapes are plain; a text that is no JSON has no strings
+        text = F.to_json(F.try_parse_json(col) if is_json else F.col(col))
+        texts = F.filter(F.regexp_extract_all(text, F.lit(_JSON_STRING), 0), lambda t: ~t.endswith(":"))
+    else:
+        texts = text_leaves(F.col(col), dtype, keys=False)
+    if texts is None:
+        return df.select(*keys, F.lit(None).cast("string").alias("ref")).limit(0)
+    refs = F.array_distinct(F.flatten(F.transform(F.filter(texts, lambda t: t.isNotNull()), S.refs_in)))
+    return df.select(*keys, F.explode(refs).alias("ref"))
 
 
 def env_refs(df: DataFrame, col: str, keys: Sequence[str]) -> DataFrame:
@@ -109,20 +127,21 @@ def fresh_only(df: DataFrame, ts: str, now: str, ttl_s: float = 86400.0) -> Data
     return df.where(F.col(ts) >= F.lit(cutoff.isoformat(sep=" ")).cast(dtype))
 
 
-def fill_env(df: DataFrame, key: str, col: str, env: DataFrame) -> DataFrame:
+def fill_env(df: DataFrame, col: str, env: DataFrame) -> DataFrame:
     """F8: ``${NAME}`` replaced from an (name, value) table, in one pass; unknown names stay as they are.
 
-    The names of each row are exploded, joined to the env table (broadcast
-    after a size check) and come back as the row's map of values; a value
-    that looks like a placeholder is not filled again.
+    The names of each distinct text are exploded, joined to the env table (broadcast
+    after a size check) and come back by the text's digest as its map of values, so rows
+    need no key; a value that looks like a placeholder is not filled again.
     """
-    names = df.select(key, F.explode(S.env_names(col)).alias("name"))
+    digest = F.md5(F.col(col).cast("binary"))
+    names = df.select(digest.alias("_text"), F.explode(S.env_names(col)).alias("name")).distinct()
     known = env.groupBy("name").agg(F.max("value").alias("value"))
-    hit = names.join(bounded_broadcast(known), "name", "inner").distinct()
-    pairs = hit.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("_values"))
+    hit = names.join(bounded_broadcast(known), "name", "inner")
+    pairs = hit.groupBy("_text").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("_values"))
     values = F.coalesce(F.col("_values"), F.create_map().cast("map<string,string>"))
-    return df.join(pairs, key, "left").withColumn(
-        col, S.fill_once(F.col(col), S.ENV_PATTERN, "${", "}", values)).drop("_values")
+    return df.withColumn("_digest", digest).join(pairs, F.col("_digest") == F.col("_text"), "left").withColumn(
+        col, S.fill_once(F.col(col), S.ENV_PATTERN, "${", "}", values)).drop("_values", "_text", "_digest")
 
 
 def leaf_paths(schema: DataType) -> list[tuple[tuple[str | int, ...], tuple[int, ...]]]:

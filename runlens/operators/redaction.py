@@ -53,27 +53,30 @@ def secret_values(df: DataFrame, col: str) -> DataFrame:
 
 # ------------------------------------------------------------------ text leaves of a column
 
-def text_leaves(value: Column, dtype: DataType) -> Column | None:
-    """All texts inside a value (struct fields, list elements, map keys and values) as one array."""
+def text_leaves(value: Column, dtype: DataType, keys: bool = True) -> Column | None:
+    """All texts inside a value (struct fields, list elements, map values and, with ``keys``, map keys) as one array."""
     if isinstance(dtype, StringType):
         return F.array(value)
     parts: list[Column] = []
     if isinstance(dtype, StructType):
-        parts = [x for f in dtype.fields if (x := text_leaves(value.getField(f.name), f.dataType)) is not None]
+        parts = [x for f in dtype.fields if (x := text_leaves(value.getField(f.name), f.dataType, keys)) is not None]
         parts = [F.coalesce(p, F.array().cast("array<string>")) for p in parts]
     elif isinstance(dtype, ArrayType) and _has_text(dtype.elementType):
-        parts = [_all_leaves(value, dtype.elementType)]
+        parts = [_all_leaves(value, dtype.elementType, keys)]
     elif isinstance(dtype, MapType):
-        for side, t in ((F.map_keys(value), dtype.keyType), (F.map_values(value), dtype.valueType)):
+        for side, t in ((F.map_keys(value), dtype.keyType), (F.map_values(value), dtype.valueType))[0 if keys else 1:]:
             if _has_text(t):
-                parts.append(_all_leaves(side, t))
+                parts.append(_all_leaves(side, t, keys))
+    parts = [p for p in parts if p is not None]
     if not parts:
         return None
     return parts[0] if len(parts) == 1 else F.concat(*[_full(p) for p in parts])
 
 
-def _all_leaves(items: Column, dtype: DataType) -> Column:
-    return F.flatten(F.transform(items, lambda x: _full(text_leaves(x, dtype))))
+def _all_leaves(items: Column, dtype: DataType, keys: bool) -> Column | None:
+    if not keys and text_leaves(F.lit(None), dtype, keys) is None:
+        return None
+    return F.flatten(F.transform(items, lambda x: _full(text_leaves(x, dtype, keys))))
 
 
 def _full(c: Column) -> Column:

@@ -162,12 +162,13 @@ def recent_runs(events: DataFrame, limit: int = 50, workflow: str | None = None)
 
 
 def dead_letters(events: DataFrame) -> DataFrame:
-    """One dead-letter row per failed node event."""
+    """One dead-letter row per failed node event, with the error and its type as the log recorded them; a failure
+    without one is an unknown error of the configuration."""
     return events.where(F.col("type") == "node_failed").select(
-        "run_id", "thread_id", "node_id", "step", "seq", "attempts",
-        F.concat(F.lit("failed at step "), F.col("step").cast("string")).alias("error"),
-        F.lit("NodeError").alias("error_type"))
+        "run_id", "thread_id", "node_id", "step", "seq", F.coalesce("attempts", F.lit(0)).alias("attempts"),
+        F.coalesce("error", F.lit("unknown error")).alias("error"),
+        F.coalesce("error_type", F.lit("ConfigError")).alias("error_type"))
 
 
 def dead_letter_counts(events: DataFrame) -> DataFrame:
-    return dead_letters(events).groupBy("run_id").agg(F.count(F.lit(1)).alias("dead_letters"))
+    return events.where(F.col("type") == "node_failed").groupBy("run_id").agg(F.count(F.lit(1)).alias("dead_letters"))

@@ -156,10 +156,10 @@ def thread_status(ckpts: DataFrame) -> DataFrame:
 
 def frontier_order(done: DataFrame, frontier: DataFrame, keys: Sequence[str],
                    frontier_col: str = "frontier", task: str = "node_id") -> DataFrame:
-    """K3: completed tasks put back in the frontier's declared order.
+    """K3: completed tasks with their place ``pos`` (from 0) in the frontier's declared order.
 
     ``frontier`` holds one declared task list per key (bounded by the graph's
     concurrency); it is exploded with positions and joined to the completions.
     """
     pos = frontier.select(*keys, F.posexplode(frontier_col).alias("pos", task))
-    return done.join(pos, [*keys, task], "inner").sortWithinPartitions(*keys, "pos")
+    return done.join(pos, [*keys, task], "inner")

@@ -120,6 +120,29 @@ def q_json_path(spark, sf):
                     F.col("c.error").alias("e_tags5"), F.col("d.error").alias("e_x"), F.col("e.error").alias("e_k0"))
 
 
+NESTED_REFS_SQL = """
+SELECT DISTINCT id, unnest(['nation.name', 'region.name', 'a.b', concat('n', id, '.k'), 'deep.x.y']) AS ref FROM templates"""
+
+
+def _configs(spark, sf):
+    """Templates inside nested values; the keys look like placeholders but are none."""
+    t = fx.templates(spark, sf)
+    own = F.concat(F.lit("<n"), F.col("id").cast("string"), F.lit(".k>"))
+    return t.select("id", F.struct(F.array(F.col("template"), F.lit(None).cast("string"), F.lit("<a.b> <a.b>")).alias("list"),
+                                   F.create_map(F.lit("<key.no>"), F.struct(own.alias("in"), F.lit(7).alias("n"))).alias("map"),
+                                   F.lit('say "<deep.x.y>":').alias("text")).alias("config"))
+
+
+@register("find_refs_nested", with_views(NESTED_REFS_SQL, "templates"), "P6")
+def q_find_refs_nested(spark, sf):
+    return P.find_refs(_configs(spark, sf), "config", ["id"])
+
+
+@register("find_refs_json", with_views(NESTED_REFS_SQL, "templates"), "P6")
+def q_find_refs_json(spark, sf):
+    return P.find_refs(_configs(spark, sf).withColumn("config", F.to_json("config")), "config", ["id"], is_json=True)
+
+
 @register("find_refs", with_views("""
 SELECT DISTINCT id, unnest(regexp_extract_all(template, '<([A-Za-z_][A-Za-z0-9_]*(?:\\.[A-Za-z0-9_]+)+)>', 1)) AS ref
 FROM templates""", "templates"), "P6")
@@ -201,8 +224,8 @@ def q_missing_fields(spark, sf):
     values = {"text": (F.col("text"), "str"), "source": (src, "str"), "lang": (lang, "str"),
               "n_chars": (nch, "num")}
     spec = [("text", True, None), ("source", True, None), ("lang", True, "en"), ("n_chars", True, None)]
-    return d.select("doc_id", F.array_join(S.missing_fields(values, spec), ",").alias("missing"),
-                    F.coalesce(lang, F.lit("en")).alias("lang_filled"))
+    missing, filled = S.missing_fields(values, spec)
+    return d.select("doc_id", F.array_join(missing, ",").alias("missing"), filled["lang"].alias("lang_filled"))
 
 
 REDACT_SQL = """
@@ -322,17 +345,25 @@ def q_estimate_tokens(spark, sf):
     return d.select("doc_id", S.estimate_tokens("text").alias("tokens"))
 
 
-@register("canonical_hash", """
-SELECT o_orderkey, sha256(concat('{"config":{"custkey":', CAST(o_custkey AS VARCHAR), ',"date":"',
-    strftime(o_orderdate, '%Y-%m-%d'), '","priority":"', o_orderpriority, '","status":"', o_orderstatus,
-    '","tags":{"a":"caf\\u00e9 \\ud83d\\ude00","z":"', o_orderstatus, '"}},"item":', CAST(o_orderkey AS VARCHAR), ',"type":"orders"}')) AS input_hash
+# powers of ten, halves and whole numbers: what a float looks like when it is written out
+FLOAT_SQL = """CASE o_orderkey % 6 WHEN 0 THEN '1e+20' WHEN 1 THEN '1.0' WHEN 2 THEN '1.5e-07' WHEN 3 THEN '-0.0001'
+    WHEN 4 THEN concat(CAST(o_custkey AS VARCHAR), '.5') ELSE '1234567890123456.0' END"""
+
+
+@register("canonical_hash", f"""
+SELECT o_orderkey, sha256(concat('{{"config":{{"custkey":', CAST(o_custkey AS VARCHAR), ',"date":"',
+    strftime(o_orderdate, '%Y-%m-%d'), '","floats":[', {FLOAT_SQL}, ',null],"priority":"', o_orderpriority, '","status":"', o_orderstatus,
+    '","tags":{{"a":"caf\\u00e9 \\ud83d\\ude00","z":"', o_orderstatus, '"}}}},"item":', CAST(o_orderkey AS VARCHAR), ',"type":"orders"}}')) AS input_hash
 FROM orders""", "F6")
 def q_canonical_hash(spark, sf):
     o = table(spark, sf, "orders")
+    k = F.col("o_orderkey") % 6
+    x = F.when(k == 0, 1e20).when(k == 1, 1.0).when(k == 2, 1.5e-7).when(k == 3, -1e-4) \
+        .when(k == 4, F.col("o_custkey") + 0.5).otherwise(1234567890123456.0)
     cfg = {"status": F.col("o_orderstatus"), "priority": F.col("o_orderpriority"), "custkey": F.col("o_custkey"),
-           "date": F.date_format("o_orderdate", "yyyy-MM-dd"),
+           "date": F.date_format("o_orderdate", "yyyy-MM-dd"), "floats": F.array(x, F.lit(None)),
            "tags": F.create_map(F.lit("z"), F.col("o_orderstatus"), F.lit("a"), F.lit("caf\u00e9 \U0001f600"))}
-    return o.select("o_orderkey", S.canonical_hash("orders", cfg, F.col("o_orderkey")).alias("input_hash"))
+    return o.select("o_orderkey", S.canonical_hash(o, "orders", cfg, F.col("o_orderkey")).alias("input_hash"))
 
 
 DURATION_TXT_SQL = """CASE WHEN event_id % 17 = 0 THEN CAST(k AS VARCHAR)
@@ -367,14 +398,16 @@ ENV_ROWS = [("HOME_DIR", "${WORK_DIR}/runner"), ("WORK_DIR", "/srv/work")]
 
 
 @register("fill_env", with_views("""
-SELECT id, replace(CASE WHEN id % 3 = 0 THEN concat(template, ' $', '{MISSING_VAR}') ELSE template END,
+SELECT CASE WHEN id % 2 = 0 THEN id END AS key, replace(CASE WHEN id % 3 = 0 THEN concat(template, ' $', '{MISSING_VAR}') ELSE template END,
     concat('$', '{HOME_DIR}'), concat('$', '{WORK_DIR}/runner')) AS filled FROM templates""", "templates"), "F8")
 def q_fill_env(spark, sf):
     t = fx.templates(spark, sf).withColumn(
         "template", F.when(F.col("id") % 3 == 0, F.concat("template", F.lit(" $"), F.lit("{MISSING_VAR}")))
         .otherwise(F.col("template")))
     env = spark.createDataFrame(ENV_ROWS, "name string, value string")
-    return P.fill_env(t, "id", "template", env).select("id", F.col("template").alias("filled"))
+    # every other row has no key
+    out = P.fill_env(t.withColumn("key", F.when(F.col("id") % 2 == 0, F.col("id"))), "template", env)
+    return out.select("key", F.col("template").alias("filled"))
 
 
 LITERAL_SQL = """CASE WHEN event_id % 19 = 0 THEN event_type ELSE concat(event_type, '=', CASE k % 6
@@ -483,7 +516,9 @@ SELECT l_orderkey, l_linenumber,
     l_discount <> 0 AS discount_truthy,
     CAST(length(l_returnflag || l_linestatus) AS BIGINT) AS flags_len,
     contains(l_returnflag || l_linestatus, 'A') AS has_a,
-    least(l_tax, l_discount) AS min_rate, abs(l_quantity - 25) AS qty_dev
+    least(l_tax, l_discount) AS min_rate, abs(l_quantity - 25) AS qty_dev,
+    CASE WHEN l_linenumber = 1 THEN NULL ELSE 9223372036854775807 END AS least_floordiv,
+    l_quantity * 1e300 AS huge_floordiv, 9.0::DOUBLE AS tenth_floordiv
 FROM lineitem""", "F13")
 def q_safe_ops(spark, sf):
     li = table(spark, sf, "lineitem")
@@ -501,7 +536,11 @@ def q_safe_ops(spark, sf):
         S.py_len(flags).cast("long").alias("flags_len"),
         S.py_in(F.lit("A"), flags).alias("has_a"),
         F.least("l_tax", "l_discount").alias("min_rate"),
-        F.abs(F.col("l_quantity") - 25).alias("qty_dev"))
+        F.abs(F.col("l_quantity") - 25).alias("qty_dev"),
+        # the smallest long over -1 has no answer in 64 bits; the next one has
+        S.floordiv(F.lit(-(1 << 63)) + F.when(ln == 1, 0).otherwise(1), F.lit(-1)).cast("long").alias("least_floordiv"),
+        S.floordiv(F.col("l_quantity") * 1e300, F.lit(1.0), "float").alias("huge_floordiv"),
+        S.floordiv(F.lit(1.0), F.lit(0.1), "float").alias("tenth_floordiv"))
 
 
 TS_TXT_SQL = """CASE WHEN event_id % 13 = 0 THEN 'garbage'

@@ -126,10 +126,17 @@ def q_recent_runs_workflow(spark, sf):
 
 @register("dead_letters", with_views("""
 SELECT run_id, thread_id, node_id, step, seq, attempts,
-    concat('failed at step ', CAST(step AS VARCHAR)) AS error, 'NodeError' AS error_type
+    CASE WHEN tokens % 3 = 0 THEN concat('HTTP ', CAST(500 + tokens % 4 AS VARCHAR), ' after ', CAST(duration_ms AS VARCHAR), ' ms')
+         WHEN tokens % 3 = 1 THEN concat('bad field ', node_id) ELSE 'unknown error' END AS error,
+    CASE tokens % 3 WHEN 0 THEN 'TransientError' WHEN 1 THEN 'SchemaError' ELSE 'ConfigError' END AS error_type
 FROM run_log WHERE type = 'node_failed'""", "run_log"), "A12")
 def q_dead_letters(spark, sf):
-    return R.dead_letters(_log(spark, sf))
+    kind = F.col("tokens") % 3
+    log = _log(spark, sf).withColumn("error", F.when(kind == 0, F.concat(
+        F.lit("HTTP "), (500 + F.col("tokens") % 4).cast("string"), F.lit(" after "), F.col("duration_ms").cast("string"), F.lit(" ms")))
+        .when(kind == 1, F.concat(F.lit("bad field "), "node_id"))) \
+        .withColumn("error_type", F.when(kind == 0, "TransientError").when(kind == 1, "SchemaError"))
+    return R.dead_letters(log)
 
 
 @register("dead_letter_counts", with_views("""
@@ -143,8 +150,7 @@ def q_dead_letter_counts(spark, sf):
 n AS (SELECT run_id, step, ckpt_id, sum(step_tokens) OVER w AS tok, sum(step_cost_micros) OVER w AS cost,
         sum((SELECT count(*) FROM run_log l WHERE l.run_id = c.run_id AND l.step = c.step AND l.type = 'node_finished'))
             OVER w AS nodes, row_number() OVER (PARTITION BY run_id ORDER BY ckpt_id DESC) AS newest
-    FROM checkpoints c WHERE substr(run_id, -1) <> '3'
-    WINDOW w AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    FROM checkpoints c WINDOW w AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 cm AS (SELECT run_id, step AS ckpt_step, CAST(tok AS BIGINT) AS ckpt_tokens, CAST(cost AS BIGINT) AS ckpt_cost_micros,
     CAST(nodes AS BIGINT) AS ckpt_nodes_run FROM n WHERE newest = 1)
 SELECT r.run_id, thread_id, workflow, status, steps, duration_us,

@@ -135,7 +135,7 @@ def q_read_checkpoints(spark, sf):
 
 
 @register("latest_checkpoint", with_views("""
-SELECT thread_id, run_id, step, ckpt_id, saved_at, step_tokens, pending_node, frontier_size FROM (
+SELECT thread_id, run_id, step, ckpt_id, saved_at, step_tokens, step_cost_micros, pending_node, frontier_size FROM (
     SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY ckpt_id DESC) AS r FROM checkpoints) x
 WHERE r = 1""", "checkpoints"), "W2")
 def q_latest_checkpoint(spark, sf):

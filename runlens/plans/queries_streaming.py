@@ -7,8 +7,10 @@ stops.  The result is the landed table, folded by the operator's batch step.
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from ..sources import sinks as K
 from ..sources.tables import table
 from ..streaming import streams as T
 from .registry import register
@@ -228,3 +230,30 @@ def q_resumable_run(spark, sf):
     """The intervals of T2 over input in twice as many drops: restarts do not show in the result."""
     landed = T.replay([_drops(_events(spark, sf), 2 * N_DROPS)], T.interval_ticks, "update", "resume")
     return _ntz(T.latest(landed, ["window_start", "window_end"]), "window_start", "window_end")
+
+
+@register("append_events_stream", "SELECT event_id, user_id, event_type, ts, CAST(ts AS DATE) AS event_date FROM events", "S3")
+def q_append_events_stream(spark, sf):
+    return append_stream(spark, sf)
+
+
+def append_stream(spark, sf, fail_at=None):
+    """The events in drops, appended by a stream that starts anew for each; one that fails is started again."""
+    ev = _events(spark, sf).select("event_id", "user_id", "event_type", "ts")
+    source, path, checkpoint = (K.scratch_path(spark, f"append-{k}") for k in ("in", "out", "ckpt"))
+    left = [fail_at]
+
+    def crash(batch_id: int) -> None:
+        if batch_id == left[0]:
+            left[0] = None
+            raise RuntimeError("lost between data and ledger")
+    for i, part in enumerate(_drops(ev)):
+        part.write.mode("overwrite").parquet(f"{source}/b{i:04d}")
+        while True:
+            try:
+                K.append_stream(T.file_stream(spark, source, ev.schema), path, checkpoint, before_commit=crash).awaitTermination()
+                break
+            except StreamingQueryException:
+                if fail_at is None:
+                    raise
+    return K.read_appended(spark, path, ev.schema)

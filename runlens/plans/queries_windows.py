@@ -132,14 +132,22 @@ def q_retry_schedule(spark, sf):
 
 
 @register("node_status", with_views("""
-WITH s AS (SELECT run_id, node_id, seq, CASE type WHEN 'node_finished' THEN CASE WHEN cached THEN 'cached' ELSE 'ok' END
-    WHEN 'node_started' THEN 'running' WHEN 'node_failed' THEN 'failed' WHEN 'interrupt_raised' THEN 'waiting' END AS st
-  FROM run_log WHERE node_id IS NOT NULL)
-SELECT run_id, node_id, arg_max(st, CASE WHEN st IS NOT NULL THEN seq END) AS status FROM s GROUP BY run_id, node_id""",
-                                     "run_log"), "W9")
+WITH e AS (SELECT run_id, node_id, seq, CASE WHEN type = 'node_retrying' THEN 'superstep_started'
+        WHEN type = 'node_fallback' THEN 'node_started' ELSE type END AS type, cached, tokens % 40 = 10 AS degraded FROM run_log
+    WHERE node_id IS NOT NULL),
+s AS (SELECT run_id, node_id, seq, CASE type WHEN 'node_finished' THEN CASE WHEN degraded THEN 'degraded' WHEN cached THEN 'cached'
+        ELSE 'ok' END WHEN 'node_started' THEN 'running' WHEN 'node_failed' THEN 'failed'
+        WHEN 'interrupt_raised' THEN 'waiting' WHEN 'superstep_started' THEN 'queued' END AS st FROM e),
+f AS (SELECT run_id, node_id, arg_max(st, CASE WHEN st <> 'queued' THEN seq END) FILTER (st <> 'queued') AS st,
+    max(CASE WHEN st <> 'queued' THEN seq END) AS told, max(CASE WHEN st = 'queued' THEN seq END) AS queued
+  FROM s GROUP BY run_id, node_id)
+SELECT run_id, node_id, CASE WHEN queued IS NOT NULL AND (st IS NULL OR queued > told AND st <> 'running') THEN 'queued' ELSE st END
+    AS status FROM f""", "run_log"), "W9")
 def q_node_status(spark, sf):
-    ev = fx.run_log(spark, sf).withColumn("degraded", F.lit(False))
-    return G.node_status(ev)
+    # retries stand for supersteps that queue a node, fallbacks for started nodes
+    ev = fx.run_log(spark, sf).withColumn("type", F.when(F.col("type") == "node_retrying", "superstep_started")
+                                          .when(F.col("type") == "node_fallback", "node_started").otherwise(F.col("type")))
+    return G.node_status(ev.withColumn("degraded", F.col("tokens") % 40 == 10))
 
 
 REPLAY_SQL = """

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 # Schema of one event line in a JSONL event log.
 EVENT_SCHEMA = ("seq long, ts string, run_id string, thread_id string, step int, type string, "
@@ -50,6 +53,52 @@ def append_events(df: DataFrame, path: str, date_col: str = "ts") -> None:
        .write.mode("append").partitionBy("event_date").parquet(path))
 
 
+def append_stream(stream: DataFrame, path: str, checkpoint: str, date_col: str = "ts",
+                  before_commit: Callable[[int], None] | None = None) -> StreamingQuery:
+    """S3 as a stream: batches are appended by event date, and a batch that is replayed after a crash is not written twice.
+
+    A batch lands in a folder of its own (overwritten when it is written again) and counts once it stands in
+    the ledger beside the data, one small file per batch; a batch that the ledger has is skipped.
+    ``read_appended`` reads what the ledger has.  ``before_commit`` is called between the two writes.
+    """
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if batch_id in _committed(spark, path):
+            return
+        batch.withColumn("event_date", F.to_date(F.col(date_col))).hint("rebalance", "event_date") \
+            .write.mode("overwrite").partitionBy("event_date").parquet(f"{path}/data/batch={batch_id}")
+        if before_commit is not None:
+            before_commit(batch_id)
+        spark.createDataFrame([(batch_id,)], _LEDGER).coalesce(1).write.mode("overwrite").parquet(f"{path}/ledger/entry={batch_id}")
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+_LEDGER = "batch long"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def _committed(spark: SparkSession, path: str) -> set[int]:
+    """Batches in the ledger; a number per batch, dropped by the user together with batches that are compacted."""
+    if not _exists(spark, f"{path}/ledger"):
+        return set()
+    return {r.batch for r in spark.read.schema(_LEDGER).parquet(f"{path}/ledger/entry=*").collect()}
+
+
+def read_appended(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The rows of all batches in the ledger, with event_date; ``schema`` is that of the stream."""
+    done = sorted(_committed(spark, path))
+    if not done:
+        return spark.createDataFrame([], schema).withColumn("event_date", F.lit(None).cast("date"))
+    full = spark.createDataFrame([], schema).withColumn("event_date", F.lit(None).cast("date")).schema
+    return spark.read.schema(full).option("basePath", f"{path}/data").parquet(*[f"{path}/data/batch={b}" for b in done]) \
+        .select(*full.names)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder."""
     from ..session import ensure_checkpoint_dir

@@ -51,3 +51,11 @@ def test_resumed_stream_equals_batch(spark):
 def test_drops_keep_rows_without_a_time(spark):
     df = spark.createDataFrame([(i if i % 5 else None,) for i in range(40)], "ts long")
     assert sum(d.count() for d in T.drops(df, "ts", 4)) == 40
+
+
+def test_appended_stream_survives_a_crash_between_data_and_ledger(spark):
+    from runlens.plans.queries_streaming import append_stream
+    want = sorted(r.event_id for r in spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id").collect())
+    for fail_at in (None, 2):
+        rows = append_stream(spark, "/root/testdata/sf0.001", fail_at).collect()
+        assert sorted(r.event_id for r in rows) == want and all(r.event_date == r.ts.date() for r in rows)

@@ -90,17 +90,49 @@ def test_placeholders_are_filled_once(spark):
     r = df.select(S.interpolate("t", {"n.a": F.lit("<n.b>"), "n.b": F.lit("V")}).alias("i")).first().i
     assert r.text == "<n.b> V <n.c>" and r.unresolved == ["n.c"]
     env = spark.createDataFrame([("A", "${B}"), ("B", "x")], "name string, value string")
-    assert P.fill_env(df, "id", "e", env).first().e == "${B} ${C} x"
+    assert P.fill_env(df, "e", env).first().e == "${B} ${C} x"
+
+
+def test_fill_env_without_keys(spark):
+    df = spark.createDataFrame([(None, "null ${A}"), (None, "null ${A}"), (1, None), (2, "no")], "id int, e string")
+    env = spark.createDataFrame([("A", "x"), (None, "y")], "name string, value string")
+    assert sorted(str(r.e) for r in P.fill_env(df, "e", env).collect()) == ["None", "no", "null x", "null x"]
 
 
 def test_canonical_json_matches_python(spark):
     import json
-    value = {"b": 1, "a": {"z": "caf\u00e9 \U0001f600", "y": None}}
-    df = spark.createDataFrame([(1, {"z": value["a"]["z"], "y": None})], "b int, a map<string,string>")
-    got = df.select(S.canonical_json(F.struct("b", "a")).alias("j")).first().j
+    rows = [({"z": "caf\u00e9 \U0001f600 \"q\" \\ \n", "y": None}, [True, None], {"b": 1, "a": [1.5, None]}, None)]
+    df = spark.createDataFrame(rows, "m map<string,string>, l array<boolean>, s struct<b: int, a: array<double>>, n string")
+    got = df.select(S.canonical_json(df, F.struct("n", "m", "l", "s")).alias("j")).first().j
+    value = dict(zip(("m", "l", "s", "n"), rows[0]))
     assert got == json.dumps(value, sort_keys=True, separators=(",", ":"))
 
 
+def test_float_text_matches_python(spark):
+    import json
+    import random
+    import struct
+    rng = random.Random(1)
+    xs = [0.0, -0.0, 1.0, 1e20, 1e16, 1e15, 123456789012345680.0, 1e-4, 1e-5, 0.1, 1 / 3, 2 / 3, 5e-324, 1.7976931348623157e308,
+          2.0 ** -44, 2e-3, 1e23, 2 ** 53 + 2.0, 9007199254740993.0, 100.0, 1.5e-7, float("inf"), float("-inf"), float("nan"), 4.35, 2.2e-322]
+    xs += [struct.unpack("d", rng.randbytes(8))[0] for _ in range(3000)] + [round(rng.uniform(-1e6, 1e6), rng.randrange(6)) for _ in range(1000)]
+    xs += [float(rng.randrange(10 ** 17)) for _ in range(500)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double")
+    got = {r.i: r.t for r in df.select("i", S.float_text(F.col("x")).alias("t")).collect()}
+    bad = [(x, got[i], json.dumps(x)) for i, x in enumerate(xs) if got[i] != json.dumps(x)]
+    assert not bad, bad[:5]
+
+
+def test_find_refs_in_nested_values_and_json(spark):
+    df = spark.createDataFrame([(1, ([{"<k.no>": "<a.b> <a.b>", "y": None}], ["<c.d>"], "x"), '{"<k.no>": ["<a.b>", ":\\"<e.f>", {"u": "\\u003cg.h>"}]}'),
+                                (2, None, "no json <a.b>"), (3, ([], None, "<z.9>"), "null")],
+                               "id int, v struct<a: array<map<string,string>>, b: array<string>, c: string>, j string")
+    assert sorted(tuple(r) for r in P.find_refs(df, "v", ["id"]).collect()) == [(1, "a.b"), (1, "c.d"), (3, "z.9")]
+    assert sorted(tuple(r) for r in P.find_refs(df, "j", ["id"], is_json=True).collect()) == [(1, "a.b"), (1, "e.f"), (1, "g.h")]
+    var = df.select("id", F.try_parse_json("j").alias("j"))
+    assert sorted(tuple(r) for r in P.find_refs(var, "j", ["id"]).collect()) == [(1, "a.b"), (1, "e.f"), (1, "g.h")]
+
+
 def test_redact_any_characters_and_blocks(spark):
     df = spark.createDataFrame([(1, "x ab/cd+ef== y"), (2, "pretokenXYZ9post tokenXYZ"), (3, "abcd")], "id int, text string")
     vals = spark.createDataFrame([("ab/cd+ef==",), ("tokenXYZ9",), ("abc",), ("bcd",)], "value string")
@@ -122,6 +154,13 @@ def test_python_arithmetic(spark):
     got = df.select(S.floordiv(F.col("a"), F.col("b")).alias("fd"), S.pymod(F.col("a"), F.col("b")).alias("m"),
                     S.round_even(F.col("r")).alias("re")).collect()
     assert [(r.fd, r.m, r.re) for r in got] == [(-4, 1, 2.0), (-3, -2, 4.0)]
+    pairs = [(1e300, 1.0), (-1e300, 3.0), (1.0, 0.1), (-7.5, 2.0), (7.5, -2.0), (5.0, 0.0), (0.0, -3.0), (-1.0, 1e300), (6.0, 3.0)]
+    f = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a double, b double")
+    got = {r.i: r.q for r in f.select("i", S.floordiv(F.col("a"), F.col("b"), "float").alias("q")).collect()}
+    assert got == {i: (a // b if b else None) for i, (a, b) in enumerate(pairs)}
+    least = spark.createDataFrame([(-2 ** 63, -1), (-2 ** 63, 2), (-2 ** 63 + 1, -1)], "a long, b long")
+    got = least.select(S.floordiv(F.col("a"), F.col("b")).alias("q"), S.pymod(F.col("a"), F.col("b")).alias("m")).collect()
+    assert [(r.q, r.m) for r in got] == [(None, 0), (-2 ** 62, 0), (2 ** 63 - 1, 0)]
 
 
 def test_summarize_and_interpolate(spark):

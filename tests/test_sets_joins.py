@@ -31,7 +31,7 @@ def test_upsert_keep_last_and_cache_probe(spark):
 def test_frontier_order_restores_declared_order(spark):
     done = spark.createDataFrame([("r", 0, "c"), ("r", 0, "a"), ("r", 0, "b")], "run string, step int, node_id string")
     frontier = spark.createDataFrame([("r", 0, ["b", "c", "a"])], "run string, step int, frontier array<string>")
-    got = [(r.pos, r.node_id) for r in S.frontier_order(done, frontier, ["run", "step"]).collect()]
+    got = sorted((r.pos, r.node_id) for r in S.frontier_order(done, frontier, ["run", "step"]).collect())
     assert got == [(0, "b"), (1, "c"), (2, "a")]
 
 
