@@ -113,24 +113,27 @@ def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "
     added = ["size", "source_size", "target", "copies", "taken"]
     scratch = Scratch(df.sparkSession, "mix")
     keep = [c for c in df.columns if c not in added]
-    rows = df.select(*[F.col(c) for c in keep], F.coalesce(size, F.lit(0)).cast("long").alias("size"))
-    goal = source_targets(rows, source_col, F.col("size"), weights, share, ceiling)
+    # the caller's columns stay inside one struct, where their names clash with nothing
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col(source_col).alias("_of"),
+                     F.col(id_col).alias("_ident"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
+    goal = source_targets(rows, "_of", F.col("size"), weights, share, ceiling)
     count = sum(r["n"] for r in goal.collect())
     limit = min(block_rows, max(256, count // 4096))
     blocks = F.ceil(F.col("n") / limit)
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(ceiling))) \
         .otherwise(F.lit(0.0))
-    base = rows.join(goal, rows[source_col].eqNullSafe(goal["source"])).select(
-        *[rows[c] for c in keep], "size", "source_size", "target",
+    no = F.monotonically_increasing_id()
+    base = rows.withColumn("_id", no).join(goal, rows["_of"].eqNullSafe(goal["source"])).select(
+        "_id", "_row", "size", "source_size", "target",
         F.floor(rate).cast("long").alias("_whole"), (rate - F.floor(rate)).alias("_prob"),
-        F.xxhash64(F.lit(seed), rows[id_col]).alias("_order"), goal["source"].alias("_source"),
-        blocks.alias("_blocks"))
+        # rows without an id are told apart by their number, rows with one id by their size
+        F.xxhash64(F.lit(seed), "_ident", "size", F.when(F.col("_ident").isNull(), F.col("_id"))).alias("_order"),
+        goal["source"].alias("_source"), blocks.alias("_blocks"))
     small = ["_id", "_source", "_order", "size", "_whole", "_prob", "_blocks"]
-    slim = base.select(F.monotonically_increasing_id().alias("_id"), "*")
     # written once, so that the row numbers stay; only slim rows fly
-    held = scratch.keep(slim, "held")
+    held = scratch.keep(base, "held")
     done = _fly(held.select(*small, "source_size", "target"), scratch, seed, limit).select("_id", "copies")
-    return held.join(done, "_id").select(*keep, "size", "source_size", "target", "copies",
+    return held.join(done, "_id").select("_row.*", "size", "source_size", "target", "copies",
                                          (F.col("copies") * F.col("size")).alias("taken"))
 
 

@@ -85,7 +85,7 @@ def near_classes(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         for pdf in batches:
             for _, part in pdf.groupby(pdf["v"].map(len)):
                 x, _ = _unit(part["v"])
-                yield pd.DataFrame({"node": part["node"], "times": part["times"], "least": part["least"].astype(str),
+                yield pd.DataFrame({"node": part["node"], "times": part["times"], "least": part["least"].astype(object).where(part["least"].notna(), None),
                                     "grp": part["grp"], "unit": [u.tobytes() for u in x],
                                     "codes": list(_codes(x, seed))})
 

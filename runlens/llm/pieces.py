@@ -113,11 +113,11 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     the spans cover.  A null text counts as empty; null and repeated ids are
     kept; other columns are not read.
     """
-    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # ids travel as text, so that a null does not turn whole numbers into floats
+    docs = df.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kinds = {"ids": "array<int>", "starts": "array<long>", "ends": "array<long>", "decoded": "string",
              "ids_sha256": "string", "decoded_sha256": "string", "span_bytes": "long"}
-    schema = f"id {docs.schema['id'].dataType.simpleString()}, n_tokens long, " + \
-        ", ".join(f"{c} {kinds[c]}" for c in outputs)
+    schema = "id string, n_tokens long, " + ", ".join(f"{c} {kinds[c]}" for c in outputs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = coder(path)
@@ -149,4 +149,4 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                         cols[k].append(put[k])
                 yield pd.DataFrame({"id": pdf["id"].iloc[lo:hi].reset_index(drop=True), **cols})
 
-    return docs.mapInPandas(run, schema).withColumnRenamed("id", id_col)
+    return docs.mapInPandas(run, schema).select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), "n_tokens", *outputs)

@@ -44,13 +44,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     be null or repeat.  Rows without words are in no group and stay.
     """
     _small_batches(spark)
-    rows = Scratch(spark, "near").keep(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    classes = jaccard_classes(rows, id_col="__row", chunk_bytes=2 << 20).where("n_shingles > 0") \
-        .select("__row", "component_id")
-    stays = rows.select("__row", "doc_id").join(classes, "__row").groupBy("component_id").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("least"))
-    goes = classes.join(stays.select("least.__row"), "__row", "left_anti").select("__row")
-    return rows.join(goes, "__row", "left_anti").select(*docs.columns)
+    no = "__row"
+    while no in docs.columns:
+        no += "_"
+    rows = Scratch(spark, "near").keep(docs.withColumn(no, F.monotonically_increasing_id()), "rows")
+    classes = jaccard_classes(rows, id_col=no, chunk_bytes=2 << 20).where("n_shingles > 0").select(no, "component_id")
+    stays = rows.select(no, "doc_id").join(classes, no).groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", no)).alias("least"))
+    goes = classes.join(stays.select(F.col("least").getField(no).alias(no)), no, "left_anti").select(no)
+    return rows.join(goes, no, "left_anti").select(*docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

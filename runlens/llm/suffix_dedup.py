@@ -200,7 +200,7 @@ class _Settled:
         self.chunk = Chunk(row.body, row.sizes, min_len)
         names, back, here = self.chunk.names(buckets)
         tied = (_bits(row.answers, 0, "ties", len(names)) | here)[back]
-        u, bucket, place, here = _digestpacked_rows(self.chunk.digests(), buckets)
+        u, bucket, place, here = _digest_names(self.chunk.digests(), buckets)
         ties, first = _bits(row.answers, 1, "ties", len(u)), _bits(row.answers, 1, "first", len(u))
         seen, opens = set(), []
         for k in place.tolist():
@@ -212,7 +212,7 @@ class _Settled:
         self.at = self.chunk.suffixes(tied, self.skip)
 
 
-def _digestpacked_rows(digests: np.ndarray, buckets: int):
+def _digest_names(digests: np.ndarray, buckets: int):
     u, back, n = np.unique(digests, return_inverse=True, return_counts=True)
     bucket = (_mix(u) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
@@ -234,7 +234,6 @@ def remove_repeats(df: DataFrame, min_len: int = 200, id_col: str = "doc_id", te
     spark = df.sparkSession
     scratch = Scratch(spark, "suffix")
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    id_type = docs.schema["id"].dataType.simpleString()
 
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = chunk_table(docs, scratch, chunk_bytes)
@@ -250,7 +249,7 @@ def remove_repeats(df: DataFrame, min_len: int = 200, id_col: str = "doc_id", te
                 c = Chunk(row.body, row.sizes, min_len)
                 u, _, _ = c.names(few)
                 yield from packed_rows(row.chunk, 0, u >> np.uint64(32), (u & _U32).astype("<u4"))
-                u, bucket, _, _ = _digestpacked_rows(c.digests(), few)
+                u, bucket, _, _ = _digest_names(c.digests(), few)
                 yield from packed_rows(row.chunk, 1, bucket, u)
 
     first = scratch.keep(chunks.select("chunk", "sizes", "body").mapInPandas(sample, PACKED)
@@ -270,7 +269,7 @@ def remove_repeats(df: DataFrame, min_len: int = 200, id_col: str = "doc_id", te
                           .groupBy("kind", "bucket").applyInPandas(_answer, answer), "answers-2")
 
     kinds = {"spans": "array<struct<start: long, end: long>>", "kept": "binary"}
-    schema = f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + \
+    schema = "id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + \
         "".join(f", {o} {kinds[o]}" for o in outputs)
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -293,5 +292,7 @@ def remove_repeats(df: DataFrame, min_len: int = 200, id_col: str = "doc_id", te
                 ids = pd.Series(list(row.ids), dtype=object)
                 yield pd.DataFrame({"id": ids, **cols})
 
-    return told(first.unionByName(second)).select("ids", "sizes", "body", "answers") \
-        .mapInPandas(finish, schema).withColumnRenamed("id", id_col)
+    # ids travel as text, so that a null does not turn whole numbers into floats
+    out = told(first.unionByName(second)).select(F.col("ids").cast("array<string>").alias("ids"), "sizes", "body", "answers") \
+        .mapInPandas(finish, schema)
+    return out.withColumn("id", F.col("id").cast(df.schema[id_col].dataType)).withColumnRenamed("id", id_col)

@@ -136,9 +136,10 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     if overlap * 2 > chunk_chars or overlap <= _MARGIN:
         raise ValueError("overlap must exceed the margin and be at most half a chunk")
     spark = df.sparkSession
-    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    id_type = docs.schema["id"].dataType.simpleString()
-    out = f"id {id_type}, n_bytes long, n_tokens long"
+    # ids travel as text, so that a null does not turn whole numbers into floats
+    docs = df.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    id_type = df.schema[id_col].dataType
+    out = "id string, n_bytes long, n_tokens long"
 
     def small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -153,7 +154,7 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     scratch = Scratch(spark, "tokens")
     parts, wide, chunk = [], overlap, chunk_chars
     for k in range(64):
-        got = scratch.keep(_count_chunked(todo, key, path, chunk, wide, id_type), f"round-{k}")
+        got = scratch.keep(_count_chunked(todo, key, path, chunk, wide), f"round-{k}")
         parts.append(got.where("n_tokens is not null"))
         failed = got.where("n_tokens is null").select(*key).distinct()
         if failed.isEmpty():
@@ -164,12 +165,12 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         chunk = max(chunk, 4 * wide)
     for p in parts:
         done = done.unionByName(p.select("id", "n_bytes", "n_tokens"))
-    return done.select(F.col("id").alias(id_col), "n_bytes", "n_tokens",
+    return done.select(F.col("id").cast(id_type).alias(id_col), "n_bytes", "n_tokens",
                        (F.col("n_tokens") > max_tokens).alias("over_limit"))
 
 
-def _count_chunked(todo: DataFrame, key: list[str], path: str, chunk: int, overlap: int, id_type: str) -> DataFrame:
-    keys = f"id {id_type}, digest long, n_bytes long"
+def _count_chunked(todo: DataFrame, key: list[str], path: str, chunk: int, overlap: int) -> DataFrame:
+    keys = "id string, digest long, n_bytes long"
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
