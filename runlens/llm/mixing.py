@@ -122,12 +122,11 @@ def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "
     blocks = F.ceil(F.col("n") / limit)
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(ceiling))) \
         .otherwise(F.lit(0.0))
-    no = F.monotonically_increasing_id()
-    base = rows.withColumn("_id", no).join(goal, rows["_of"].eqNullSafe(goal["source"])).select(
+    base = rows.withColumn("_id", F.monotonically_increasing_id()).join(goal, rows["_of"].eqNullSafe(goal["source"])).select(
         "_id", "_row", "size", "source_size", "target",
         F.floor(rate).cast("long").alias("_whole"), (rate - F.floor(rate)).alias("_prob"),
-        # rows without an id are told apart by their number, rows with one id by their size
-        F.xxhash64(F.lit(seed), "_ident", "size", F.when(F.col("_ident").isNull(), F.col("_id"))).alias("_order"),
+        # rows of one id are told apart by their size, rows without an id by all they hold
+        F.xxhash64(F.lit(seed), "_ident", "size", F.when(F.col("_ident").isNull(), F.to_json("_row"))).alias("_order"),
         goal["source"].alias("_source"), blocks.alias("_blocks"))
     small = ["_id", "_source", "_order", "size", "_whole", "_prob", "_blocks"]
     # written once, so that the row numbers stay; only slim rows fly
