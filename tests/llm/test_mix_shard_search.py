@@ -115,18 +115,31 @@ def test_search_equals_scoring_every_document(spark):
     assert search(d.limit(0), q).count() == 0
 
 
-def test_block_max_skips_but_loses_nothing():
+def test_bounds_skip_documents_but_lose_nothing():
     rng = np.random.default_rng(8)
-    texts = [" ".join(rng.choice(["a", "b", "c", "d"], p=[0.6, 0.3, 0.08, 0.02], size=rng.integers(1, 30))) for _ in range(800)]
-    wanted = {b"a": 0, b"b": 1, b"c": 2, b"d": 3}
-    s = Shard(texts, wanted, np.array([0.1, 0.4, 1.5, 3.0]), 15.0)
-    ids = list(range(800))
-    full = {}
-    for t in wanted.values():
-        for d, v in zip(s.docs[t], s.value[t]):
-            full[d] = full.get(d, 0.0) + v
-    best = sorted(((-round(v, 6), d) for d, v in full.items()))[:5]
-    assert sorted((-sc, d) for sc, d in s.search([(t, 1) for t in range(4)], 5, ids)) == best
+    words = [f"w{i}" for i in range(400)]
+    p = 1.0 / np.arange(1, 401)
+    texts = [" ".join(rng.choice(words, p=p / p.sum(), size=rng.integers(1, 60))).encode() for _ in range(1500)] + [b"", b"w399 w398"]
+    s = Shard(texts, 30.0)
+    assert 0 < s.matrix.shape[1] < len(s.terms) and s.block_max.shape[0] == -(-len(texts) // 64)
+    having = {t: sum(t in set(terms(x.decode())) for x in texts) for t in s.terms}
+    queries, want = [], []
+    for text in [*texts[:70], b"w399 w398", b"w1", b""]:
+        times = [(t, text.split().count(t)) for t in sorted(set(text.split()))]
+        weight = {t: n * idf(len(texts), having[t]) for t, n in times}
+        queries.append((np.array([s.terms[t] for t in weight], dtype=np.int64), np.array(list(weight.values()))))
+        full = []
+        for d, x in enumerate(texts):
+            mine = x.split()
+            score = sum(w * mine.count(t) * 2.2 / (mine.count(t) + 1.2 * (0.25 + 0.75 * len(mine) / 30.0)) for t, w in weight.items())
+            if score > 0:
+                full.append((-round(score, 6), d))
+        want.append(sorted(full)[:5])
+    for limits in (np.full(len(queries), -1.0), np.array([-w[-1][0] - 1e-6 if len(w) == 5 else -1.0 for w in want])):
+        got = dict(s.search(queries, 5, limits))
+        assert [[(-x, d) for x, d in got.get(j, [])] for j in range(len(queries))] == want
+    # with the k-th best score known, fewer documents are scored in full
+    assert s.scored < 0.9 * len(queries) * len(texts)
 
 
 def test_search_by_every_twentieth_document(spark, tmp_path):
