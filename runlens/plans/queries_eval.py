@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
 from ..operators import reports as R
+from ..session import cut_lineage
 from ..sources import fixtures as fx
 from .fixture_sql import with_views
 from .queries_reports import RUN_REPORT_BODY
@@ -17,14 +18,19 @@ ASSERTS = ["c0 >= 100 or not c1", "len(c2) >= 2 and c2[0] > 50", "n3.tokens >= 2
            "c1 // 100 % 2 == 0", "nosuch > 1", "n3.color == 'red'", "c0 >= "]
 
 
-def _reports(spark, sf):
-    rep = R.run_report(fx.run_log(spark, sf))
+def _log(spark, sf):
+    """The event log, written once: cases, reports, state and outputs all read it."""
+    return cut_lineage(fx.run_log(spark, sf))
+
+
+def _reports(log):
+    rep = R.run_report(log)
     return rep.select(F.col("run_id").alias("name"), "*").drop("run_id").withColumn(
         "cost_usd", F.col("cost_micros") / 1e6)
 
 
-def _cases(spark, sf):
-    c = fx.cases(fx.run_log(spark, sf)).withColumn("asserts", F.array(*[F.lit(a) for a in ASSERTS]))
+def _cases(log):
+    c = fx.cases(log).withColumn("asserts", F.array(*[F.lit(a) for a in ASSERTS]))
     return E.load_cases(c)
 
 
@@ -51,7 +57,7 @@ def node_outputs(log):
 SELECT name, coalesce(expect_status, 'finished') AS status, true AS no_dead_letters,
     7 AS n_asserts, CAST(token_budget AS DOUBLE) AS budget_tokens FROM cases""", "cases"), "S5")
 def q_load_cases(spark, sf):
-    c = _cases(spark, sf)
+    c = _cases(fx.run_log(spark, sf))
     return c.select("name", "status", "no_dead_letters", F.size("asserts").alias("n_asserts"),
                     F.col("budget")["tokens"].alias("budget_tokens"))
 
@@ -89,8 +95,8 @@ checks AS (
 
 @register("eval_cases", with_views("WITH " + EVAL_BODY + "SELECT * FROM checks", "run_log", "cases", "writes"), "A6")
 def q_eval_cases(spark, sf):
-    log = fx.run_log(spark, sf)
-    return E.eval_cases(_cases(spark, sf), _reports(spark, sf), final_state(log), node_outputs(log)).withColumn("check_no", F.col("check_no").cast("int"))
+    log = _log(spark, sf)
+    return E.eval_cases(_cases(log), _reports(log), final_state(log), node_outputs(log)).withColumn("check_no", F.col("check_no").cast("int"))
 
 
 @register("eval_summary", with_views("WITH " + EVAL_BODY + """,
@@ -100,9 +106,8 @@ SELECT CAST(sum(CASE WHEN p.passed THEN 1 ELSE 0 END) AS BIGINT) AS passed,
     CAST(sum(r.tokens) AS BIGINT) AS total_tokens, sum(r.cost_micros) / 1e6 AS total_cost_usd
 FROM per p JOIN run_report r ON p.name = r.run_id""", "run_log", "cases", "writes"), "A5")
 def q_eval_summary(spark, sf):
-    cases = _cases(spark, sf)
-    reports = _reports(spark, sf)
-    log = fx.run_log(spark, sf)
+    log = _log(spark, sf)
+    cases, reports = _cases(log), _reports(log)
     checks = E.eval_cases(cases, reports, final_state(log), node_outputs(log))
     return E.eval_summary(E.case_results(checks, reports, cases))
 
