@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import reports as R
-from ..operators import windows as W
 from ..sources import fixtures as fx
 from ..sources.tables import table
 from .fixture_sql import with_views
+from .ordered import ordered_scan
 from .registry import register
 
 TERMS = "('run_finished', 'run_failed', 'run_interrupted', 'run_cancelled')"
@@ -170,4 +170,4 @@ SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY
 FROM events""", "W1")
 def q_assign_seq(spark, sf):
     ev = table(spark, sf, "events").select("event_id", "user_id", "ts")
-    return W.assign_seq(ev, ["user_id"], ["ts", "event_id"]).select("event_id", "user_id", "seq")
+    return ordered_scan(ev, ["user_id"], ["ts", "event_id"], index="seq").select("event_id", "user_id", "seq")
