@@ -40,3 +40,15 @@ def test_set_gap_and_union(spark):
     have = spark.createDataFrame([(2,)], "k long")
     assert [r.k for r in U.set_gap(want, have, "k").collect()] == [1, 3]
     assert sorted(r.k for r in U.ref_union(want, have, "k").collect()) == [1, 2, 3]
+
+
+def test_broadcast_is_bounded_in_rows_and_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from runlens.plans.broadcast import bounded_broadcast
+    df = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("t"), F.array(F.lit("yy")).alias("a"))
+
+    def hinted(d):
+        return "broadcast" in d._jdf.queryExecution().logical().toString().lower()
+    assert hinted(bounded_broadcast(df)) and not hinted(bounded_broadcast(df, max_rows=99))
+    assert not hinted(bounded_broadcast(df, max_bytes=50_000)) and hinted(bounded_broadcast(df.limit(0), max_bytes=1))
