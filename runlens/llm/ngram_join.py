@@ -13,9 +13,9 @@ the join is the part of A times its transpose that reaches the threshold.
    common becomes one tile.
 3. A tile multiplies the whole incidence rows of its two blocks, accumulates the
    overlap counts and discards pairs below the bound that follows from the two
-   set sizes.  Of the links it keeps a spanning forest, so that a group of many
-   near copies leaves as many rows as it has documents, not pairs.
-4. The forests are joined to components.
+   set sizes.  Of the links it keeps a spanning forest and each row's number, so that a
+   group of many near copies leaves as many rows as it has documents, not pairs.
+4. The forests are joined to components, the numbers of links are added up.
 
 Nothing is approximate: prefix and tiles only leave out pairs that cannot
 reach the threshold.
@@ -132,14 +132,16 @@ def _count(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75,
                     chunk_bytes: int = 4 << 20) -> DataFrame:
-    """One row per row of ``df``: id, n_shingles, component_id.
+    """One row per row of ``df``: id, n_shingles, component_id, n_links.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their
     n-gram sets; ``component_id`` is the smallest id reachable by links, itself
     included.  Documents without words (null texts too) have no set and link
     with nothing.  Rows with the same id are one vertex.  A row with a null id
     links like any other but cannot name a component; where no row of a
-    component has an id, component_id is null.  Other columns are not read.
+    component has an id, component_id is null.  ``n_links`` counts the other rows
+    that a row's set links with directly, rows with equal sets included; rows are
+    counted one by one also where ids repeat.  Other columns are not read.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -188,26 +190,41 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .withColumn("ids", F.col("ids").cast("array<string>"))
     described = told.select("chunk", "ids", "sizes", "body", "answers").mapInPandas(
         describe, "id string, n long, cls long, check long, chunk long, pos int, ties array<long>")
-    sets = scratch.keep(described.withColumn("id", F.col("id").cast(id_type)), "sets")
+    sets = _told_apart(scratch.keep(described.withColumn("id", F.col("id").cast(id_type)), "sets"), scratch)
     links = _links(sets, chunks, scratch, width, percent, shards)
 
     # rows with one id are one vertex, whatever their sets
     same = sets.where("n > 0 and id is not null").groupBy("id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")) \
         .where("a <> z").select("id", "a")
     same = sets.where("n > 0").join(same, "id").select(F.col("cls").alias("a"), F.col("a").alias("b")).where("a <> b")
-    joined = components(links.unionByName(same), scratch)
-    classes = sets.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"))
-    named = classes.join(joined, classes["cls"] == joined["id"], "left") \
-        .select("cls", "least", F.coalesce("component", "cls").alias("component"))
+    joined = components(links.select("a", "b").unionByName(same), scratch)
+    degree = links.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
+    classes = sets.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"), F.count("*").alias("copies")) \
+        .join(degree, "cls", "left")
+    named = classes.join(joined, classes["cls"] == joined["id"], "left").select(
+        "cls", "least", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        F.coalesce("component", "cls").alias("component"))
     lowest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(lowest, "component").select("cls", "component_id")
+    named = named.join(lowest, "component").select("cls", "component_id", "n_links")
+    some = F.col("n") > 0
     return sets.join(named, "cls", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+        F.when(some, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        F.when(some, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
+
+
+def _told_apart(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Sets are equal where both 64-bit sums are: where a first sum is shared, the class takes in the second one too."""
+    shared = sets.where("n > 0").groupBy("cls").agg(F.min("check").alias("first"), F.max("check").alias("last")) \
+        .where("first <> last").select("cls", "first")
+    if shared.isEmpty():
+        return sets
+    own = F.when((F.col("n") > 0) & (F.col("check") != F.col("first")), F.xxhash64("cls", "check")).otherwise(F.col("cls"))
+    return scratch.keep(sets.join(shared, "cls", "left").withColumn("cls", own).drop("first"), "apart")
 
 
 def _links(sets: DataFrame, chunks: DataFrame, scratch: Scratch, width: int, percent: int, shards: int) -> DataFrame:
-    """A spanning forest, tile by tile, of the links between different sets: (a, b) by class."""
+    """Links between different sets, tile by tile: (class a, least class b of its tree there, links of a in rows)."""
     entry = sets.select(F.explode("ties").alias("name"), "cls")
     lists = entry.groupBy("name").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high")
     rows = scratch.keep(entry.join(lists.select("name", "low"), "name").select("name", "cls", "low").distinct(), "rows")
@@ -215,13 +232,14 @@ def _links(sets: DataFrame, chunks: DataFrame, scratch: Scratch, width: int, per
     root = rows.groupBy("cls").agg(F.min("low").alias("root"))
     near = rows.join(root, "cls").groupBy("name").agg(F.min("root").alias("root"))
     root = rows.select("name", "cls").join(near, "name").groupBy("cls").agg(F.min("root").alias("root"))
-    where = sets.where("n > 0").groupBy("cls").agg(F.min(F.struct("chunk", "pos", "n")).alias("at")) \
-        .select("cls", "at.chunk", "at.pos", "at.n")
+    where = sets.where("n > 0").groupBy("cls").agg(F.min(F.struct("chunk", "pos", "n")).alias("at"),
+                                                   F.count("*").alias("copies")) \
+        .select("cls", "at.chunk", "at.pos", "at.n", "copies")
     placed = scratch.keep(root.join(where, "cls"), "placed")
     room = placed.groupBy("root").agg(F.ceil(F.greatest(
         F.count("*") / _BLOCK_ROWS, F.sum("n") / _BLOCK_NAMES)).alias("parts"))
     placed = scratch.keep(placed.join(room, "root").select(
-        "cls", "chunk", "pos", "n",
+        "cls", "chunk", "pos", "n", "copies",
         F.xxhash64("root", F.pmod(F.xxhash64("cls"), F.col("parts"))).alias("block")), "blocks")
     met = rows.select("name", "cls").join(placed.select("cls", "block"), "cls").select("name", "block").distinct()
     tiles = met.join(met.select("name", F.col("block").alias("other")), "name").where("block <= other") \
@@ -231,7 +249,7 @@ def _links(sets: DataFrame, chunks: DataFrame, scratch: Scratch, width: int, per
         tiles.where("block <> other").select("tile", "other", F.lit(1)))
 
     # the whole sets of the rows that may link, read again from their chunks
-    ask = placed.groupBy("chunk").agg(F.collect_list(F.struct("pos", "cls", "block")).alias("asked"))
+    ask = placed.groupBy("chunk").agg(F.collect_list(F.struct("pos", "cls", "copies", "block")).alias("asked"))
     told = chunks.join(ask.hint("shuffle_hash"), "chunk").select("sizes", "body", "asked")
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -243,27 +261,34 @@ def _links(sets: DataFrame, chunks: DataFrame, scratch: Scratch, width: int, per
                 body = b"".join(row.body[starts[r["pos"]]:starts[r["pos"]] + sizes[r["pos"]]] for r in asked)
                 h, owner = shingle_sets(body, [sizes[r["pos"]] for r in asked], width)
                 cut = np.searchsorted(owner, np.arange(1, len(asked)))
-                yield pd.DataFrame({"cls": [r["cls"] for r in asked], "block": [r["block"] for r in asked],
-                                    "names": [x.tobytes() for x in np.split(h, cut)]})
+                yield pd.DataFrame({"cls": [r["cls"] for r in asked], "copies": [r["copies"] for r in asked],
+                                    "block": [r["block"] for r in asked], "names": [x.tobytes() for x in np.split(h, cut)]})
 
-    full = told.mapInPandas(whole, "cls long, block long, names binary")
-    links = full.join(parts, "block").select("tile", "side", "cls", "names").groupBy("tile") \
-        .applyInPandas(_tile(percent), "a long, b long")
+    full = told.mapInPandas(whole, "cls long, copies long, block long, names binary")
+    links = full.join(parts, "block").select("tile", "side", "cls", "copies", "names").groupBy("tile") \
+        .applyInPandas(_tile(percent), "a long, b long, links long")
     return scratch.keep(links, "links")
 
 
 def _tile(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if not len(right):
+        alone = not len(right)
+        if alone:
             right = left
         a, b = ([np.frombuffer(x, "<u8") for x in side["names"]] for side in (left, right))
         over = overlaps(a, b)
         union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - over
         link = (over > 0) & (100 * over >= percent * union)
         ids, other = left["cls"].to_numpy(), right["cls"].to_numpy()
-        label = _forest(link, ids, other)
-        return pd.DataFrame(label, columns=["a", "b"])
+        copies, others = left["copies"].to_numpy(), right["copies"].to_numpy()
+        la, lb = _forest(link, ids, other)
+        weight = link.astype(np.int64)
+        # the copies of a set itself are counted outside the tiles
+        out = np.stack((ids, la, weight @ others - copies * alone), 1)
+        if not alone:
+            out = np.concatenate((out, np.stack((other, lb, copies @ weight), 1)))
+        return pd.DataFrame(out[out[:, 2] > 0], columns=["a", "b", "links"])
     return run
 
 
@@ -296,16 +321,13 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray], columns: int = 2048) -> n
     return out.reshape(len(a), len(b))
 
 
-def _forest(link: np.ndarray, ids: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Pairs (row, least row reachable) over the links of a tile."""
+def _forest(link: np.ndarray, ids: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the rows of both sides the least row reachable over the links of a tile."""
     la, lb = ids.copy(), other.copy()
     top = np.iinfo(np.int64).max
     while True:
         nb = np.minimum(lb, np.where(link, la[:, None], top).min(axis=0))
         na = np.minimum(la, np.where(link, nb[None, :], top).min(axis=1))
         if (na == la).all() and (nb == lb).all():
-            break
+            return la, lb
         la, lb = na, nb
-    pairs = np.concatenate((np.stack((ids, la), 1), np.stack((other, lb), 1)))
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    return np.unique(pairs, axis=0) if len(pairs) else pairs

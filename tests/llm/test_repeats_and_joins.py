@@ -3,13 +3,14 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from runlens.llm.chunks import chunk_table
 from runlens.llm.common import Scratch, components
-from runlens.llm.ngram_join import jaccard_classes, overlaps, shingle_sets
+from runlens.llm.ngram_join import _told_apart, jaccard_classes, overlaps, shingle_sets
 from runlens.llm.nn_descent import near_classes
 from runlens.llm.suffix_dedup import difference_cover, fingerprints, remove_repeats
 
@@ -116,11 +117,28 @@ def test_jaccard_classes(spark):
             w[rng.randrange(len(w))] = rng.choice("abcdefghABCD")
         texts.append(" ".join(w) if k % 50 else ["", " \n", None][k // 50 % 3])
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, component_id string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_classes(df.repartition(3), chunk_bytes=500).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links)
+           for r in jaccard_classes(df.repartition(3), chunk_bytes=500).collect()}
     sets = [_set(t) for t in texts]
     links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and
              100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
-    assert links and got == {i: (len(sets[i]), c) for i, c in _components(range(len(sets)), links).items()}
+    degree = Counter(x for pair in links for x in pair)
+    assert links and got == {i: (len(sets[i]), c, degree[i]) for i, c in _components(range(len(sets)), links).items()}
+
+
+def test_links_across_blocks_and_second_sums(spark, monkeypatch):
+    monkeypatch.setattr("runlens.llm.ngram_join._BLOCK_ROWS", 8)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words[:k % 30 + 30]) for k in range(90)]
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_classes(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), chunk_bytes=900).collect()}
+    sets = [_set(t) for t in texts]
+    assert got == {i: (0, sum(100 * len(s & o) >= 75 * len(s | o) for o in sets) - 1) for i, s in enumerate(sets)}
+
+    rows = [(1, 3, 10, 5), (2, 3, 10, 5), (3, 3, 10, 6), (4, 2, 11, 7), (5, 0, 0, 0)]
+    sums = spark.createDataFrame(rows, "id long, n long, cls long, check long")
+    apart = {r.id: r.cls for r in _told_apart(sums, Scratch(spark, "t")).collect()}
+    assert apart[1] == apart[2] == 10 and apart[4] == 11 and apart[5] == 0 and apart[3] not in (10, 11)
 
 
 def test_jaccard_null_and_repeated_ids(spark):
