@@ -10,15 +10,20 @@ the corpus.  Spans that the model is sure of and the rules lack are added; the
 rules' spans always stay.
 
 Only places with a digit or an at sign can be in an entity, so the programme
-runs over regions around those; outside them every token is a non-entity.
+runs over regions around those; outside them every token is a non-entity.  A
+region of more than ``_LONG`` characters is worked through in blocks of tokens:
+candidates and features live for one block, and only sums, best scores and best
+candidates stay, about 60 bytes a token.  The result is that of one lattice.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
+from math import exp, inf, log1p
 
 import numpy as np
 import pandas as pd
@@ -31,6 +36,9 @@ KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 16
 _REACH = 40            # characters that a region extends beyond a digit or at sign
 _SURE = 0.95           # posterior that an added span needs
+_PRIOR = 2.0           # taken from the score of every candidate
+_LONG = 1 << 14        # characters of a region that one lattice takes
+_STEP = 1 << 11        # tokens of a block of a longer one
 
 # fixed patterns of the rules; look-behind and possessive repeats only spare work inside long runs
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -131,9 +139,15 @@ def span_features(text: str, start: int, end: int, before: str, after: str) -> l
 def candidates(text: str, lo: int, hi: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Tokens of a region (start, end), and the token ranges that may be an entity."""
     toks = [m.span() for m in _TOKEN.finditer(text, lo, hi)]
+    return toks, token_ranges(text, toks, 0, len(toks))
+
+
+def token_ranges(text: str, toks: list[tuple[int, int]], first: int, last: int) -> list[tuple[int, int]]:
+    """The token ranges that may be an entity and begin at the tokens from ``first`` up to ``last``."""
     hot = np.cumsum([0, *(text[a] in "0123456789@" for a, _ in toks)])
     spans = []
-    for i, (a, _) in enumerate(toks):
+    for i in range(first, last):
+        a = toks[i][0]
         if not (text[a].isalnum() or text[a] in "+("):
             continue
         for j in range(i + 1, min(len(toks), i + MAX_TOKENS) + 1):
@@ -142,7 +156,7 @@ def candidates(text: str, lo: int, hi: int) -> tuple[list[tuple[int, int]], list
                 break
             if hot[j] > hot[i] and text[toks[j - 1][0]].isalnum():
                 spans.append((i, j))
-    return toks, spans
+    return spans
 
 
 def _context(text: str, toks: list[tuple[int, int]], i: int, j: int) -> tuple[str, str]:
@@ -158,8 +172,9 @@ def _context(text: str, toks: list[tuple[int, int]], i: int, j: int) -> tuple[st
 class Lattice:
     """Candidate segments of one region with their features as weight numbers."""
 
-    def __init__(self, text: str, lo: int, hi: int, index: dict[str, int], learn: bool = False):
-        self.toks, self.spans = candidates(text, lo, hi)
+    def __init__(self, text: str, lo: int, hi: int, index: dict[str, int], learn: bool = False,
+                 part: tuple[list[tuple[int, int]], list[tuple[int, int]]] | None = None):
+        self.toks, self.spans = part or candidates(text, lo, hi)
         self.rows: list[list[int]] = []
         for i, j in self.spans:
             before, after = _context(text, self.toks, i, j)
@@ -217,6 +232,85 @@ class Lattice:
         return np.exp(np.minimum(0.0, s + outer[:, None]))
 
 
+def _either(x: float, y: float) -> float:
+    """The logarithm of exp(x) + exp(y)."""
+    if x < y:
+        x, y = y, x
+    return x if y == -inf else x + log1p(exp(y - x))
+
+
+class Chain:
+    """The programme over a region of any length, block of tokens by block."""
+
+    def __init__(self, text: str, lo: int, hi: int, index: dict[str, int], w: np.ndarray):
+        self.text, self.lo, self.hi, self.index, self.w = text, lo, hi, index, w
+        self.begin, self.end = array("q"), array("q")
+        for m in _TOKEN.finditer(text, lo, hi):
+            self.begin.append(m.start())
+            self.end.append(m.end())
+
+    def _block(self, first: int, last: int) -> dict[int, list[tuple[int, float, int, float]]]:
+        """Per first token of a candidate: end, score as any kind, best kind and its score."""
+        base = max(0, first - 1)
+        toks = list(zip(self.begin[base:last + MAX_TOKENS], self.end[base:last + MAX_TOKENS]))
+        spans = token_ranges(self.text, toks, first - base, last - base)
+        out: dict[int, list[tuple[int, float, int, float]]] = {}
+        if spans:
+            s = Lattice(self.text, self.lo, self.hi, self.index, part=(toks, spans)).scores(self.w) - _PRIOR
+            each = zip(spans, np.logaddexp.reduce(s, axis=1).tolist(), s.argmax(axis=1).tolist(), s.max(axis=1).tolist())
+            for (i, j), every, kind, top in each:
+                out.setdefault(i + base, []).append((j + base, every, kind, top))
+        return out
+
+    def chosen(self) -> list[tuple[int, int, int, float]]:
+        """(start, kind, end, posterior) of the best segmentation's spans, in order."""
+        n = len(self.begin)
+        alpha, v = array("d", [-inf]) * (n + 1), array("d", [-inf]) * (n + 1)
+        back, kind, gain = array("q", [-1]) * (n + 1), array("b", [0]) * (n + 1), array("d", [0.0]) * (n + 1)
+        alpha[0] = v[0] = 0.0
+
+        def step(i: int) -> None:
+            # the token before is outside all entities
+            alpha[i] = _either(alpha[i - 1], alpha[i])
+            if v[i - 1] >= v[i]:
+                v[i], back[i] = v[i - 1], -1
+
+        for first in range(0, n, _STEP):
+            last = min(n, first + _STEP)
+            block = self._block(first, last)
+            for i in range(first, last):
+                if i:
+                    step(i)
+                for j, every, k, top in block.get(i, ()):
+                    alpha[j] = _either(alpha[j], alpha[i] + every)
+                    if v[i] + top > v[j]:
+                        v[j], back[j], kind[j], gain[j] = v[i] + top, i, k, top
+        if n:
+            step(n)
+        picked, j = [], n
+        while j:
+            if back[j] < 0:
+                j -= 1
+            else:
+                picked.append((back[j], j))
+                j = back[j]
+        if not picked:
+            return []
+        beta = array("d", [-inf]) * (n + 1)
+        beta[n] = 0.0
+        for first in range((n - 1) // _STEP * _STEP, -1, -_STEP):
+            if first + _STEP <= picked[-1][1]:
+                break
+            last = min(n, first + _STEP)
+            block = self._block(first, last)
+            for i in range(last - 1, first - 1, -1):
+                beta[i] = beta[i + 1]
+                for j, every, _, _ in block.get(i, ()):
+                    beta[i] = _either(beta[i], beta[j] + every)
+        return [(self.begin[i], kind[j], self.end[j - 1], exp(min(0.0, gain[j] + alpha[i] + beta[j] - alpha[n])))
+                for i, j in reversed(picked)]
+
+
 def train(samples: list[str], epochs: int = 8, rate: float = 0.3, l2: float = 1e-3) -> tuple[dict[str, int], np.ndarray]:
     """Weights by stochastic gradient (scaled by past squares) of the conditional log-likelihood of the rules' spans."""
     index: dict[str, int] = {}
@@ -239,7 +333,7 @@ def train(samples: list[str], epochs: int = 8, rate: float = 0.3, l2: float = 1e
         for n in rng.permutation(len(made)).tolist():
             lat, want = made[n]
             # segments that are far too unlikely or already right to the last digit are left out
-            g = want - lat.marginals(lat.scores(w) - 2.0)
+            g = want - lat.marginals(lat.scores(w) - _PRIOR)
             for k in np.flatnonzero(np.abs(g).max(axis=1) > 1e-4).tolist():
                 r = lat.rows[k]
                 step = g[k] - l2 * w[r]
@@ -263,8 +357,12 @@ class Finder:
             near = base[bisect_left(starts, lo - widest):bisect_left(starts, hi)]
             if self.w.size == 0:
                 continue
+            if hi - lo > _LONG:
+                out += [(a, k, b) for a, k, b, p in Chain(text, lo, hi, self.index, self.w).chosen()
+                        if p >= _SURE and self._free(near, widest, a, b)]
+                continue
             lat = Lattice(text, lo, hi, self.index)
-            s = lat.scores(self.w) - 2.0
+            s = lat.scores(self.w) - _PRIOR
             chosen = lat.best(s)
             if not chosen:
                 continue
@@ -276,10 +374,18 @@ class Finder:
                     out.append((a, k, b))
         return out
 
+    @staticmethod
+    def _free(near: list[tuple[int, int, int]], widest: int, a: int, b: int) -> bool:
+        """No span of ``near`` (by start, none wider than ``widest``) touches a to b."""
+        return all(y <= a for _, _, y in near[bisect_left(near, (a - widest,)):bisect_left(near, (b,))])
+
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = 4000,
-        fit_regions: int = 600) -> str:
-    """Train on a sample of at most ``fit_docs`` documents and ``fit_regions`` stretches of them; the model as JSON."""
+        fit_regions: int = 600, fit_chars: int = 400) -> str:
+    """Train on a sample of at most ``fit_docs`` documents and ``fit_regions`` stretches of them; the model as JSON.
+
+    Stretches of more than ``fit_chars`` characters are left out of the fit (not of the search).
+    """
     count = docs.count()
     step = max(1, count // fit_docs)
     some = docs.where(F.pmod(F.xxhash64(id_col), F.lit(step)) == 0) \
@@ -289,7 +395,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_doc
         for pdf in batches:
             out = []
             for text in pdf["text"]:
-                out += [text[max(0, a - 20):b + 20] for a, b in regions(text) if b - a <= 400]
+                out += [text[max(0, a - 20):b + 20] for a, b in regions(text) if b - a <= fit_chars]
             if out:
                 yield pd.DataFrame({"text": out})
 

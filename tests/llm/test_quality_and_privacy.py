@@ -141,6 +141,44 @@ def test_segment_model_learns_the_rules_spans():
     assert hit >= 80 and miss <= 0.05 * hit
 
 
+def test_blocks_of_tokens_equal_one_lattice(monkeypatch):
+    index, w = segments.train(_private_texts(250, 1))
+    monkeypatch.setattr(segments, "_STEP", 7)
+    rng = random.Random(8)
+    parts = ["+49 30 1234567", "10.0.0.1", "a.b@c.de", "4111 1111 1111 1111", "12", "5a", "(7)", "x", "@", "3.14", "+1 (555) 010-2233"]
+    some = 0
+    for n in [1, 2, 3, 6, 7, 8, *range(20, 70)]:
+        t = rng.choice([" ", "  ", "\n"]).join(rng.choice(parts) for _ in range(n))
+        lat = segments.Lattice(t, 0, len(t), index)
+        s = lat.scores(w) - segments._PRIOR
+        sure, want = lat.marginals(s), []
+        for c, k in lat.best(s):
+            i, j = lat.spans[c]
+            want.append((lat.toks[i][0], k, lat.toks[j - 1][1], sure[c, k]))
+        got = segments.Chain(t, 0, len(t), index, w).chosen()
+        assert [g[:3] for g in got] == [x[:3] for x in want]
+        assert np.allclose([g[3] for g in got], [x[3] for x in want], atol=1e-9)
+        some += len(got)
+    assert some > 100
+    assert segments.Chain("", 0, 0, index, w).chosen() == []
+
+
+def test_long_stretches_are_found_alike_in_bounded_memory(monkeypatch):
+    index, w = segments.train(_private_texts(250, 1))
+    find = segments.Finder(index, w)
+    t = " ".join(["12 34 5a mail bob@example.org or +49 30 1234567 now 10.0.0.300"] * 60)
+    base = segments.rule_spans(t)
+    plain = find.added(t, base), find.added(t, [])
+    monkeypatch.setattr(segments, "_LONG", 100)
+    monkeypatch.setattr(segments, "_STEP", 64)
+    held = []
+    made = segments.Lattice.scores
+    monkeypatch.setattr(segments.Lattice, "scores", lambda self, w: held.append(len(self.spans)) or made(self, w))
+    assert (find.added(t, base), find.added(t, [])) == plain and plain[1]
+    find.added("12 34 5a " * 400, [])
+    assert max(held) <= 64 * segments.MAX_TOKENS
+
+
 def test_private_query_equals_the_rules(spark):
     rows = QUERIES["op6_private"](spark, "/root/testdata/sf0.01").collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
