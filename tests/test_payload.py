@@ -225,3 +225,16 @@ def test_redact_against_brute_force(spark):
                 out += t[at:a] + "[REDACTED]"
             at = max(at, b)
         assert got[i] == out + t[at:]
+
+
+def test_float_text_is_worked_out_step_by_step(spark):
+    # each step used to stand in the next one several times over: thousands of copies of the first in one expression
+    df = spark.createDataFrame([(1.5,), (None,)], "x double")
+    out = df.select(S.float_text(F.col("x")).alias("t"))
+    assert out._jdf.queryExecution().analyzed().toString().count("format_string") <= 40
+    assert [r.t for r in out.collect()] == ["1.5", None]
+    one = df.select(S.canonical_hash(df, "t", {"aé\"": F.array("x"), "b": F.lit(None)}, F.lit("é")).alias("h")).first().h
+    import hashlib
+    import json
+    want = json.dumps({"config": {"aé\"": [1.5], "b": None}, "item": "é", "type": "t"}, sort_keys=True, separators=(",", ":"))
+    assert one == hashlib.sha256(want.encode()).hexdigest()
