@@ -238,3 +238,13 @@ def test_float_text_is_worked_out_step_by_step(spark):
     import json
     want = json.dumps({"config": {"aé\"": [1.5], "b": None}, "item": "é", "type": "t"}, sort_keys=True, separators=(",", ":"))
     assert one == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_json_paths_parse_a_text_once(spark):
+    df = spark.createDataFrame([('{"a": [1, {"b": "x"}], "k": 3}',), ("no",), (None,)], "j string")
+    out = S.json_paths(df, "j", {"p": "$.a[1].b", "q": "$.k[0]", "r": "$"})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert sum(line.count("parseJson") for line in plan.splitlines() if " AS _" in line and "parseJson" in line) == 1
+    got = [(r.p.value, r.p.error, r.q.error, r.r.value) for r in out.collect()]
+    assert got[0] == ('"x"', None, "$.k[0]: cannot resolve '0' in int", '{"a":[1,{"b":"x"}],"k":3}')
+    assert got[1][:3] == (None, "$.a[1].b: input is not JSON", "$.k[0]: input is not JSON") and got[2][1] == got[1][1]
