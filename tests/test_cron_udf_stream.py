@@ -59,3 +59,23 @@ def test_appended_stream_survives_a_crash_between_data_and_ledger(spark):
     for fail_at in (None, 2):
         rows = append_stream(spark, "/root/testdata/sf0.001", fail_at).collect()
         assert sorted(r.event_id for r in rows) == want and all(r.event_date == r.ts.date() for r in rows)
+
+
+def test_cron_text_is_parsed_once_in_few_steps(spark):
+    t = spark.createDataFrame([(1, "*/20 9 * * *"), (1, "5 8 * * *"), (2, "0 0 30 2 *"), (2, "0 0 31 4 *"), (3, "x"), (4, None),
+                               (5, "5-1 * * * *"), (6, "1-9/4,3 0 * * *"), (7, "7/20 0 * * *"), (8, "0/0 * * * *"), (9, "99999999999 * * * *"),
+                               (10, "59 23 3 1 *")], "id int, cron string")
+    # the parts of a field used to be cut again for every use, the field for every use of its set
+    plan = t.select(C.parse_cron(F.col("cron")).alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("rlike") + plan.count("RLIKE") + plan.count("regexp") <= 60
+    fires, invalid = C.cron_expand(t, "id", "cron", "2024-01-01 00:00:00", "2024-01-02 00:00:00")
+    got = {}
+    for r in fires.collect():
+        got.setdefault(r.id, set()).add(r.fire_at.strftime("%d %H:%M"))
+    assert got == {1: {"01 09:00", "01 09:20", "01 09:40", "01 08:05"}, 6: {"01 00:01", "01 00:03", "01 00:05", "01 00:09"},
+                   7: {"01 00:07", "01 00:27", "01 00:47"}}
+    assert sorted(r.id for r in invalid.collect()) == [3, 4, 5, 8, 9]
+    nxt = sorted((r.id, str(r.next_fire), r.delay_s) for r in C.next_fire(t, "id", "cron", "2024-01-03 23:58:30").collect())
+    # one row for a key that fires, rows that never fire stay apart
+    assert nxt == [(1, "2024-01-04 08:05:00", 29190.0), (2, "None", None), (2, "None", None), (6, "2024-01-04 00:01:00", 150.0),
+                   (7, "2024-01-04 00:07:00", 510.0), (10, "2024-01-03 23:59:00", 30.0)]
