@@ -8,12 +8,17 @@ partitioned; everything around it -- ordering, joins, aggregation -- is built-in
 from __future__ import annotations
 
 import importlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from ..plans.ordered import ordered_scan
 from .judging import verdict
@@ -40,6 +45,44 @@ def _guarded(fn: Callable, rtype: str):
     return run
 
 
+MAP_ITEMS = 50_000    # items of a batch that goes back, about
+
+
+def _row_slices(batch: pa.RecordBatch, lists: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in stretches of about ``MAP_ITEMS`` list items; a row stays whole."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(lists)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        done = ends[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(ends, done + MAP_ITEMS, "right")))
+        upto = min(upto, at + MAP_ITEMS)
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
+def _mapped(part: pa.RecordBatch, fn: Callable, value_type: pa.DataType) -> pa.RecordBatch:
+    """Key and per item (idx, value, error, error_type), built column by column."""
+    lists = part.column(1)
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    vals, errs, types = [], [], []
+    for item in pc.list_flatten(lists).to_pylist():
+        try:
+            vals.append(fn(item))
+            errs.append(None)
+            types.append(None)
+        except Exception as exc:  # noqa: BLE001 - a user function's failure is data
+            vals.append(None)
+            errs.append(str(exc))
+            types.append(type(exc).__name__)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    idx = np.arange(len(vals)) - np.repeat(offsets[:-1], sizes)
+    flat = pa.StructArray.from_arrays(
+        [pa.array(idx.astype(np.int32)), pa.array(vals, value_type), pa.array(errs, pa.string()), pa.array(types, pa.string())],
+        names=["idx", "value", "error", "error_type"])
+    return pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), flat)],
+                                      names=[part.schema.names[0], "_r"])
+
+
 def map_items(df: DataFrame, key: str, items: str, fn: Callable, rtype: str = "long",
               on_error: str = "skip") -> DataFrame:
     """Apply ``fn`` to every item of a list column; results and errors keep the items' order.
@@ -49,25 +92,22 @@ def map_items(df: DataFrame, key: str, items: str, fn: Callable, rtype: str = "l
     ``on_error='skip'`` records failed items as (index, error, type);
     ``on_error='fail'`` fails the row with its first error.  The function runs
     over the row's own list inside Arrow batches, so nothing is shuffled and
-    rows with the same key stay rows of their own.
+    rows with the same key stay rows of their own; results go back in batches
+    of about ``MAP_ITEMS`` items.
     """
     if on_error not in ("skip", "fail"):
         raise ValueError("on_error must be 'skip' or 'fail'")
 
-    @pandas_udf(f"array<struct<idx: int, value: {rtype}, error: string, error_type: string>>")
-    def run(lists: pd.Series) -> pd.Series:
-        out = []
-        for row in lists:
-            got = []
-            for idx, item in enumerate(row if row is not None else []):
-                try:
-                    got.append({"idx": idx, "value": fn(item), "error": None, "error_type": None})
-                except Exception as exc:  # noqa: BLE001 - a user function's failure is data
-                    got.append({"idx": idx, "value": None, "error": str(exc), "error_type": type(exc).__name__})
-            out.append(got)
-        return pd.Series(out, dtype=object)
-
-    done = df.select(key, run(F.col(items)).alias("_r"))
+    value_type = to_arrow_type(_parse_datatype_string(rtype))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _row_slices(batch, 1):
+                yield _mapped(part, fn, value_type)
+
+    key_type = df.schema[key].dataType.simpleString()
+    done = df.select(F.col(key).alias(key), F.col(items).alias("_items")).mapInArrow(
+        run, f"`{key}` {key_type}, _r array<struct<idx: int, value: {rtype}, error: string, error_type: string>>")
     good = F.filter("_r", lambda r: r["error_type"].isNull())
     bad = F.filter("_r", lambda r: r["error_type"].isNotNull())
     g = done.select(key, F.transform(good, lambda r: r["value"]).alias("results"),
