@@ -33,6 +33,9 @@ REDACT_PATTERNS = (
 MASK = "[REDACTED]"
 
 MAX_FILTER_BITS = 1 << 27      # 16 MB; with more values only more places are verified in vain
+SAMPLE_BYTES = 1 << 24         # bytes of values whose grams are counted, about
+_CELL_BITS = 20                # cells that grams are counted in
+_RUN = 1 << 20                 # bytes of texts or values that are hashed at once
 _PAGE = 1 << 15                # bits of one bitmap row
 _ANCHORS = "value binary, kind int, gram long, before int"
 _PLACES = "row_key string, leaf string, kind int, gram long, start int, at int, near binary"
@@ -135,47 +138,86 @@ def _grams(data: np.ndarray, kinds: Sequence[int]) -> Iterator[tuple[int, np.nda
         yield kind, _mix(by_size[min(16, 1 << kind)] + np.uint64(kind * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.int64)
 
 
-def _value_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All grams of every value; the values of a batch and kind are hashed as one run of bytes."""
-    schema = pa.schema([("value", pa.binary()), ("kind", pa.int32()), ("gram", pa.int64()), ("before", pa.int32())])
+def _by_kind(values: list[bytes]) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+    """Values of each kind in runs of about ``_RUN`` bytes: kind, values, where each starts, its number of grams, all grams."""
+    by_kind: dict[int, list[bytes]] = {}
+    for value in values:
+        by_kind.setdefault(len(value).bit_length() - 1, []).append(value)
+    for kind, some in by_kind.items():
+        step = max(1, _RUN >> kind + 1)
+        for k in range(0, len(some), step):
+            run = some[k:k + step]
+            _, grams = next(_grams(np.frombuffer(b"".join(run), np.uint8), [kind]))
+            sizes = np.array([len(v) for v in run])
+            yield kind, run, np.cumsum(sizes) - sizes, sizes - min(16, 1 << kind) + 1, grams    # grams that lie inside the value
+
+
+def _places_in_run(starts: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first gram of every value among all that lie inside values, and the position in the run of each of those."""
+    first = np.cumsum(per) - per
+    return first, np.repeat(starts - first, per) + np.arange(per.sum())
+
+
+def _cells(grams: np.ndarray) -> np.ndarray:
+    return (grams.view(np.uint64) >> np.uint64(64 - _CELL_BITS)).astype(np.int64)
+
+
+def _gram_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many grams of the values fall into each cell."""
     for batch in batches:
-        by_kind: dict[int, list[bytes]] = {}
-        for value in batch.column(0).to_pylist():
-            by_kind.setdefault(len(value).bit_length() - 1, []).append(value)
-        for kind, values in by_kind.items():
-            _, grams = next(_grams(np.frombuffer(b"".join(values), np.uint8), [kind]))
-            sizes = np.array([len(v) for v in values])
-            starts = np.cumsum(sizes) - sizes
-            per = sizes - min(16, 1 << kind) + 1     # grams that lie inside the value
-            before = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-            at = np.repeat(starts, per) + before
-            yield pa.RecordBatch.from_arrays([
-                pa.array(values, pa.binary()).take(pa.array(np.repeat(np.arange(len(values)), per))),
-                pa.array(np.full(len(at), kind, np.int32)), pa.array(grams[at]), pa.array(before.astype(np.int32))], schema=schema)
+        for _, _, starts, per, grams in _by_kind(batch.column(0).to_pylist()):
+            cells, n = np.unique(_cells(grams[_places_in_run(starts, per)[1]]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n.astype(np.int64))], names=["cell", "n"])
 
 
-def anchor_index(values: DataFrame) -> DataFrame:
-    """One row per distinct value: value (bytes), kind, gram (its rarest one among all values) and the bytes before it."""
-    v = values.select(F.col(values.columns[0]).cast("string").cast("binary").alias("value")).where("octet_length(value) > 0") \
-        .distinct()
-    grams = cut_lineage(v.mapInArrow(_value_grams, _ANCHORS))
-    shared = grams.groupBy("kind", "gram").agg(F.count(F.lit(1)).alias("n"))
-    best = F.min(F.struct("n", "before", "gram", "kind")).alias("a")
-    return cut_lineage(grams.join(shared, ["kind", "gram"]).groupBy("value").agg(best)
-                       .select("value", "a.kind", "a.gram", "a.before"))
+def _anchored(shared: np.ndarray):
+    """Every value with the gram whose cell is shared least, the first of several."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, values, starts, per, grams in _by_kind(batch.column(0).to_pylist()):
+                first, at = _places_in_run(starts, per)
+                before = at - np.repeat(starts, per)
+                best = np.minimum.reduceat(shared[_cells(grams[at])] << 32 | before, first) & (1 << 32) - 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(values, pa.binary()), pa.array(np.full(len(values), kind, np.int32)), pa.array(grams[starts + best]),
+                     pa.array(best.astype(np.int32))], names=["value", "kind", "gram", "before"])
+    return run
 
 
-def _bits(gram: Column, bits: int) -> list[Column]:
-    """Two bit positions of a gram."""
-    return [F.pmod(gram, F.lit(bits)), F.pmod(F.shiftrightunsigned(gram, 32), F.lit(bits))]
+def anchor_index(values: DataFrame) -> DataFrame:
+    """One row per distinct value: value (bytes), kind, gram (about its rarest one among all values) and the bytes before it.
+
+    How rare a gram is, is counted in ``1 << _CELL_BITS`` cells over a sample of at most about ``SAMPLE_BYTES`` of values; it
+    decides how many places are verified in vain, not what is found.  So grams are neither shuffled nor written.
+    """
+    v = cut_lineage(values.select(F.col(values.columns[0]).cast("string").cast("binary").alias("value"))
+                    .where("octet_length(value) > 0").distinct())
+    size = v.agg(F.sum(F.octet_length("value").cast("long"))).first()[0] or 0
+    some = v.where(F.pmod(F.xxhash64("value"), F.lit(1 + size // SAMPLE_BYTES)) == 0)
+    cells = some.mapInArrow(_gram_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    shared = np.zeros(1 << _CELL_BITS, np.int64)
+    shared[cells["cell"].to_numpy(np.int64)] = np.minimum(cells["n"].to_numpy(np.int64), (1 << 30) - 1)
+    return cut_lineage(v.mapInArrow(_anchored(shared), _ANCHORS))
+
+
+def _bitmaps(bits: int):
+    """The bits of a task's anchors, as bitmaps of ``_PAGE`` bits."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            grams = batch.column(0).to_numpy().view(np.uint64)
+            for at in (grams % np.uint64(bits), (grams >> np.uint64(32)) % np.uint64(bits)):
+                np.bitwise_or.at(mine, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        rows = mine.reshape(-1, _PAGE // 8)
+        held = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array([rows[i].tobytes() for i in held], pa.binary())], names=["page", "b"])
+    return run
 
 
 def _filter_pages(anchors: DataFrame, bits: int) -> np.ndarray:
     """The Bloom filter of the anchors, at most ``MAX_FILTER_BITS`` bits whatever the number of values."""
     out = np.zeros(bits // 8, np.uint8)
-    at = anchors.select(F.explode(F.array(*_bits(F.col("gram"), bits))).alias("bit"))
-    pages = at.groupBy(F.floor(F.col("bit") / _PAGE).alias("page")).agg(
-        F.bitmap_construct_agg((F.col("bit") % _PAGE)).alias("b"))
+    pages = anchors.select("gram").mapInArrow(_bitmaps(bits), "page long, b binary").groupBy("page").agg(F.bitmap_or_agg("b").alias("b"))
     for page, bitmap in pages.collect():
         part = np.frombuffer(bitmap, np.uint8)[:_PAGE // 8]
         out[page * (_PAGE // 8):page * (_PAGE // 8) + len(part)] = part
@@ -194,21 +236,27 @@ def _places(pages: np.ndarray, kinds: Sequence[int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in _PLACES.split(", ")]
-        types = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
-            row_keys, leaves, texts = (c.to_pylist() for c in batch.columns)
-            data = b"".join(texts)
-            starts = np.cumsum([0, *map(len, texts)])
-            for kind, grams in _grams(np.frombuffer(data, np.uint8), kinds):
-                hits, reach = held(grams), 2 << kind
-                for k in range(0, len(hits), 10_000):
-                    some = hits[k:k + 10_000]
-                    row = np.searchsorted(starts, some, "right") - 1
-                    lo, hi = np.maximum(some - reach, starts[row]), np.minimum(some + reach, starts[row + 1])
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((
-                        [row_keys[r] for r in row], [leaves[r] for r in row], np.full(len(some), kind, np.int32), grams[some],
-                        (lo - starts[row]).astype(np.int32), (some - lo).astype(np.int32),
-                        [data[a:b] for a, b in zip(lo.tolist(), hi.tolist())]), types)], names=names)
+            # the texts of a batch are one run of bytes; it is hashed stretch by stretch
+            row_keys, leaves, texts = batch.columns
+            starts = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+            end = int(starts[-1])
+            for begin in range(int(starts[0]), end, _RUN):
+                for kind, grams in _grams(data[begin:min(end, begin + _RUN + 15)], kinds):
+                    grams = grams[:_RUN]
+                    hits, reach = held(grams) + begin, 2 << kind
+                    step = max(1, min(10_000, _RUN // reach))
+                    for k in range(0, len(hits), step):
+                        some = hits[k:k + step]
+                        row = np.searchsorted(starts, some, "right") - 1
+                        lo, hi = np.maximum(some - reach, starts[row]), np.minimum(some + reach, starts[row + 1])
+                        rows = pa.array(row)
+                        yield pa.RecordBatch.from_arrays([row_keys.take(rows), leaves.take(rows), *(pa.array(c, t) for c, t in zip((
+                            np.full(len(some), kind, np.int32), grams[some - begin], (lo - starts[row]).astype(np.int32),
+                            (some - lo).astype(np.int32), [data[x:y].tobytes() for x, y in zip(lo.tolist(), hi.tolist())]), types))],
+                            names=names)
     return run
 
 
