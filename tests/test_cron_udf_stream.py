@@ -79,3 +79,14 @@ def test_cron_text_is_parsed_once_in_few_steps(spark):
     # one row for a key that fires, rows that never fire stay apart
     assert nxt == [(1, "2024-01-04 08:05:00", 29190.0), (2, "None", None), (2, "None", None), (6, "2024-01-04 00:01:00", 150.0),
                    (7, "2024-01-04 00:07:00", 510.0), (10, "2024-01-03 23:59:00", 30.0)]
+
+
+def test_map_items_gives_results_back_in_stretches(spark, monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(X, "MAP_ITEMS", 4)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([["a"] * 3, ["b"], None, ["c"] * 9, [], ["d"]])], names=["k", "l"])
+    assert [p.num_rows for p in X._row_slices(batch, 1)] == [3, 1, 2]
+    assert [p.column(0).to_pylist() for p in X._row_slices(batch.slice(1), 1)] == [[1, 2], [3], [4, 5]]
+    df = spark.createDataFrame([(i, ["w" * (i % 5 + 1)] * (i % 7)) for i in range(60)], "id int, items array<string>")
+    got = {r.id: (r["items"], r["count"], r.results) for r in X.map_items(df, "id", "items", samples.word_len, "long").collect()}
+    assert got == {i: (i % 7, i % 7, [None if i % 5 == 0 else i % 5 + 1] * (i % 7)) for i in range(60)}

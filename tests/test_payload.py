@@ -248,3 +248,29 @@ def test_json_paths_parse_a_text_once(spark):
     got = [(r.p.value, r.p.error, r.q.error, r.r.value) for r in out.collect()]
     assert got[0] == ('"x"', None, "$.k[0]: cannot resolve '0' in int", '{"a":[1,{"b":"x"}],"k":3}')
     assert got[1][:3] == (None, "$.a[1].b: input is not JSON", "$.k[0]: input is not JSON") and got[2][1] == got[1][1]
+
+
+def test_word_fanout_does_not_sort_all_words(spark, tmp_path):
+    from runlens.plans.queries_payload import q_word_fanout
+    rows = [(1, "one two  three"), (1, "x"), (2, " solo "), (3, ""), (None, "a b")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = q_word_fanout(spark, str(tmp_path))
+    got = {r.doc_id: (r.n_words, r.chars, r.last_word) for r in out.collect()}
+    assert got == {1: (4, 12, "three"), 2: (1, 4, "solo"), None: (2, 2, "b")}
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    near = [line for line in plan.split("Generate")[0].splitlines() if "Aggregate" in line][-1]
+    assert "HashAggregate" in near and "SortAggregate" not in near   # the one next to the words
+
+
+def test_redact_hashes_long_texts_by_stretches(spark, monkeypatch):
+    from runlens.operators import redaction
+    monkeypatch.setattr(redaction, "SAMPLE_BYTES", 8)
+    texts = [("x" * 7 + s) * k for s, k in (("key-123456", 9), ("ab", 40), ("é" * 30 + "key-99", 3), ("nothing", 5))]
+    texts.append("p" * ((1 << 20) - 5) + "key-123456" + "q" * 30 + "key-99")     # over the end of a stretch
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    values = spark.createDataFrame([("key-123456",), ("key-99",), ("ab",), ("é" * 20,), ("", ), (None,)], "v string")
+    got = {r.id: r.text for r in P.redact(df, "text", values, patterns=()).collect()}
+    assert not any("key-" in t or "ab" in t for t in got.values()) and got[3] == texts[3]
+    assert got[0] == ("x" * 7 + P.MASK) * 9 and got[4] == "p" * ((1 << 20) - 5) + P.MASK + "q" * 30 + P.MASK
+    # grams of the values are counted in cells, not sent about one by one
+    assert not hasattr(redaction, "_value_grams")
