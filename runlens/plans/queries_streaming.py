@@ -107,8 +107,8 @@ def _writes(events):
 
 def fold(spark, sf, n_drops=N_DROPS):
     ev = _events(spark, sf)
-    far = _closing(ev, event_type="click")
-    landed = T.replay([[*_drops(ev, n_drops), far]], lambda s: T.stateful_fold(_writes(s)), "append", "fold", keyed=True)
+    far, n = _closing(ev, event_type="click"), T.bucket_count(ev)
+    landed = T.replay([[*_drops(ev, n_drops), far]], lambda s: T.stateful_fold(_writes(s), buckets=n), "append", "fold", keyed=True)
     return T.folded_contents(landed, _writes(ev))
 
 
