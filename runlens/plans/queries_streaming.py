@@ -166,8 +166,9 @@ def q_stream_barrier(spark, sf):
 
 def deadlines(spark, sf, n_drops=N_DROPS):
     ev = _events(spark, sf)
+    n = T.bucket_count(ev)
     landed = T.replay([[*_drops(ev, n_drops), _closing(ev)]], lambda s: T.deadline_monitor(
-        s, 2 * T.DAY_MS, RUN_DAYS * T.DAY_MS, "1 hour", ["purchase"]), "append", "deadline", keyed=True)
+        s, 2 * T.DAY_MS, RUN_DAYS * T.DAY_MS, "1 hour", ["purchase"], buckets=n), "append", "deadline", keyed=True)
     return landed.where(~F.col("run_id").startswith("t-1")).drop("batch_id")
 
 

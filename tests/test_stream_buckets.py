@@ -24,6 +24,22 @@ def _ms(ts):
     return MS0 + (ts - START) // dt.timedelta(milliseconds=1)
 
 
+def test_deadlines_of_all_runs_of_a_bucket(spark):
+    rows, ev = _events(spark, ["view", "purchase"])
+    landed = T.replay([[*Q._drops(ev, 2), Q._closing(ev)]], lambda s: T.deadline_monitor(
+        s, T.DAY_MS, 30 * T.DAY_MS, "1 hour", ["purchase"], buckets=3), "append", "t", keyed=True)
+    runs = {}
+    for _, ts, user, kind, *_ in rows:
+        runs.setdefault(f"t{user}-w{(ts.day - 1) // 7}", []).append((_ms(ts), kind))
+    want = {}
+    for run, got in runs.items():
+        start, ends = min(got)[0], [m for m, kind in got if kind == "purchase"]
+        if not ends or min(ends) >= start + T.DAY_MS:
+            want[run] = start
+    got = landed.where("run_id NOT LIKE 't-1%'").collect()
+    assert {r.run_id: r.started_ms for r in got} == want and len(got) == len(want) > 10
+
+
 def test_offsets_of_all_channels_of_a_bucket(spark):
     rows, ev = _events(spark, ["click", "purchase"], users=12)
     landed = T.replay([[*Q._drops(ev, 3), Q._closing(ev, event_type="click")]], lambda s: T.stateful_fold(
