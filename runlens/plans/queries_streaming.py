@@ -154,8 +154,9 @@ def barrier(spark, sf, n_drops=N_DROPS):
             F.when(F.col("event_type").isin("click", "purchase"), "ok")
              .when(F.col("event_type") == "error", "failed").otherwise("skipped").alias("state"), "event_id", "event_time")
 
+    n = T.bucket_count(ev)
     landed = T.replay([[*_drops(ev, n_drops), _closing(ev)]], lambda s: T.stream_barrier(
-        arrivals(s), expected, BARRIER_HOURS * T.HOUR_MS, RUN_DAYS * T.DAY_MS, "1 hour"), "append", "barrier", keyed=True)
+        arrivals(s), expected, BARRIER_HOURS * T.HOUR_MS, RUN_DAYS * T.DAY_MS, "1 hour", buckets=n), "append", "barrier", keyed=True)
     return T.barrier_states(landed, arrivals(ev), expected)
 
 

@@ -54,6 +54,28 @@ def test_offsets_of_all_channels_of_a_bucket(spark):
     assert all(r.n == r.s.writes for r in got)
 
 
+def test_barriers_of_all_threads_of_a_bucket(spark):
+    rows, ev = _events(spark, ["view"], n=300, users=40)
+    rows = [r for r in rows if r[0] % 4 < 2]
+
+    def arrivals(e):
+        return T.with_event_time(e).select("thread_id", F.concat(F.lit("n"), (F.col("event_id") % 4).cast("string")).alias("source"),
+                                           "event_id", "event_time")
+    landed = T.replay([[*Q._drops(ev, 2), Q._closing(ev)]], lambda s: T.stream_barrier(
+        arrivals(s), ["n0", "n1"], T.DAY_MS, 30 * T.DAY_MS, "1 hour", buckets=3), "append", "t", keyed=True)
+    threads = {}
+    for i, ts, user, *_ in rows:
+        threads.setdefault(f"t{user}", []).append((_ms(ts), i))
+    want = {}
+    for thread, got in threads.items():
+        start = min(got)[0]
+        firsts = [min((a for a in got if a[1] % 4 == k and a[0] <= start + T.DAY_MS), default=None) for k in (0, 1)]
+        want[thread] = ("timeout", start + T.DAY_MS) if None in firsts else ("complete", max(firsts)[0])
+    got = landed.where("thread_id != 't-1'").collect()
+    assert {r.thread_id: (r.fired, r.upto_ms) for r in got} == want and len(got) == len(want)
+    assert {w[0] for w in want.values()} == {"complete", "timeout"}
+
+
 def test_the_number_of_buckets_follows_the_events(spark):
     assert T.bucket_count(spark.range(10)) == T.BUCKETS
     assert T.bucket_count(spark.range(T.BUCKET_ROWS * 100 + 1)) == 101
