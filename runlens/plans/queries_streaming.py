@@ -211,6 +211,7 @@ def q_gate_join(spark, sf):
 
 def gates(spark, sf, n_drops=N_DROPS):
     ev = _events(spark, sf)
+    n = T.bucket_count(ev)
 
     def build(asked, given):
         g = T.with_event_time(asked).select(F.col("event_id").alias("gate_id"), "thread_id", F.col("event_time").alias("gate_time"))
@@ -218,7 +219,7 @@ def gates(spark, sf, n_drops=N_DROPS):
             F.col("event_id").alias("answer_id"), F.col("thread_id").alias("answer_thread"),
             F.col("event_time").alias("answer_time"), F.when(F.col("k") % 3 == 0, "approve")
             .when(F.col("k") % 3 == 1, "reject").otherwise("maybe").alias("answer"))
-        return T.gate_join(g, a, GATE_HOURS * T.HOUR_MS, "1 hour")
+        return T.gate_join(g, a, GATE_HOURS * T.HOUR_MS, "1 hour", n)
 
     # both sources arrive by the same stretches of event time
     parts = _drops(ev, n_drops)

@@ -40,6 +40,34 @@ def test_deadlines_of_all_runs_of_a_bucket(spark):
     assert {r.run_id: r.started_ms for r in got} == want and len(got) == len(want) > 10
 
 
+def test_gates_of_all_threads_of_a_bucket(spark):
+    rows, ev = _events(spark, ["signup", "view"], users=30)
+
+    def side(stream, kind, names):
+        e = T.with_event_time(stream).where(F.col("event_type") == kind)
+        return e.select(F.col("event_id").alias(names[0]), F.col("thread_id").alias(names[1]), F.col("event_time").alias(names[2]),
+                        *([F.lit("yes").alias("answer")] if kind == "view" else []))
+    parts = Q._drops(ev, 2)
+    landed = T.replay(
+        [[*parts, Q._closing(ev, event_type="signup")], [*parts, Q._closing(ev, event_type="view")]],
+        lambda g, a: T.gate_join(side(g, "signup", ["gate_id", "thread_id", "gate_time"]),
+                                 side(a, "view", ["answer_id", "answer_thread", "answer_time"]), T.DAY_MS, "1 hour", 3),
+        "append", "t", keyed=True)
+    want, queues = {}, {}
+    for ms, kind, ident, user in sorted((_ms(r[1]), r[3] == "view", r[0], r[2]) for r in rows):
+        queue = queues.setdefault(user, [])
+        while queue and queue[0][0] + T.DAY_MS < ms:
+            queue.pop(0)
+        if not kind:
+            want[ident] = None
+            queue.append((ms, ident))
+        elif queue:
+            want[queue.pop(0)[1]] = ident
+    got = landed.where("thread_id != 't-1'").collect()
+    assert {r.gate_id: r.answer_id for r in got} == want and len(got) == len(want)
+    assert any(want.values()) and None in want.values()
+
+
 def test_offsets_of_all_channels_of_a_bucket(spark):
     rows, ev = _events(spark, ["click", "purchase"], users=12)
     landed = T.replay([[*Q._drops(ev, 3), Q._closing(ev, event_type="click")]], lambda s: T.stateful_fold(
