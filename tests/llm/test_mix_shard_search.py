@@ -165,6 +165,31 @@ def test_search_in_query_blocks_equals_search_in_one(spark):
     assert len(one) == 4 * q.count() and sorted(map(str, one)) == sorted(map(str, many))
 
 
+def test_answers_handed_on_do_not_grow_with_the_shards(spark, monkeypatch):
+    from runlens.llm import bm25
+    kept = {}
+    plain = bm25.Scratch.keep
+    monkeypatch.setattr(bm25.Scratch, "keep", lambda self, df, name, *a: kept.setdefault(name, plain(self, df, name, *a)))
+    monkeypatch.setattr(bm25, "_TASKS", 1 / spark.sparkContext.defaultParallelism, raising=False)
+    rng = np.random.default_rng(9)
+    docs = [(i, " ".join(f"w{x}" for x in rng.geometric(0.05, rng.integers(5, 60)))) for i in range(600)]
+    queries = [docs[i] for i in range(0, 600, 40)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    q = spark.createDataFrame(queries, "query_id long, query string")
+    got = sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in search(d, q, 5, shard_bytes=2000).collect())
+    assert [g[:3] for g in got] == [w[:3] for w in _plain(docs, queries, 5)]
+    # one task meets some fifty shards and hands on one list of five for every query
+    assert kept["found"].count() == 5 * len(queries)
+
+
+def test_words_are_split_as_bytes_split_them():
+    from runlens.llm.bm25 import _words
+    texts = ["A b\ta  b\u00a0c\r\n".encode(), b"", b" \x0b\x0c ", "\u0085\u2003x \x1cy z".encode(), b"a"]
+    words, term, length = _words(texts)
+    assert [words[t].as_py() for t in term.tolist()] == [w for t in texts for w in terms(t.decode())]
+    assert length.tolist() == [len(terms(t.decode())) for t in texts]
+
+
 def test_reshard_of_a_hot_group_and_of_rows_without_ids_of_their_own(spark, tmp_path):
     rows = [(i % 50 if i % 3 else None, f"text {i} " + "x" * (i % 40)) for i in range(2400)]
     rows += [(7 if i % 2 else None, "the same text again and again") for i in range(1200)]
