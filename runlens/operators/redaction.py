@@ -1,12 +1,14 @@
 """Masking of known values and patterns in text and nested columns.
 
-Known values are rows of a table, however many.  Each has an anchor: the piece
-of 1, 2, 4, 8 or 16 bytes (as its length allows) that the fewest values share.
-A fixed-size Bloom filter over the anchors goes to the tasks, which look up every
-position of every text and send on only the places that pass, with the bytes
-around them.  Those are joined to the anchors and verified, which gives the spans
-of each text; the text itself is never shuffled for the search, and neither
-values nor spans reach the driver.
+Known values are rows of a table, however many.  They are written once and read
+three times, not shuffled.  A Bloom filter of bounded size over their first and
+last bytes (1, 2, 4, 8 or 16 of each, the most that the filter can hold) goes to
+the tasks, which look up every position of every text and send on only the pieces
+that have the length, the first and the last bytes of values.  A second filter,
+over those pieces, goes to the values; those that pass are joined to the pieces,
+byte for byte, which gives the spans of each text.  So what is shuffled grows with
+the places in the texts, not with the values; neither texts, values nor spans
+reach the driver.
 """
 
 from __future__ import annotations
@@ -32,13 +34,13 @@ REDACT_PATTERNS = (
 )
 MASK = "[REDACTED]"
 
-MAX_FILTER_BITS = 1 << 27      # 16 MB; with more values only more places are verified in vain
-SAMPLE_BYTES = 1 << 24         # bytes of values whose grams are counted, about
-_CELL_BITS = 20                # cells that grams are counted in
-_RUN = 1 << 20                 # bytes of texts or values that are hashed at once
-_PAGE = 1 << 15                # bits of one bitmap row
-_ANCHORS = "value binary, kind int, gram long, before int"
-_PLACES = "row_key string, leaf string, kind int, gram long, start int, at int, near binary"
+MAX_FILTER_BITS = 1 << 28      # 32 MB; with more in a filter only more places or values are compared in vain
+SAMPLE_BYTES = 1 << 24         # with fewer bytes of values than this, their ends fit into the filter and need not be counted
+_SIZES = (1, 2, 4, 8, 16)      # bytes of an end
+_RUN = 1 << 20                 # bytes of texts that are hashed at once
+_PAGE, _LOOKS = 1 << 15, 4     # bits of one bitmap row, and bits that stand for a hash in its row
+_BITMAPS = "page long, b binary"
+_PLACES = "row_key binary, leaf binary, start int, value binary"
 
 
 def redact_patterns(text: Column, patterns: Sequence[str] = REDACT_PATTERNS, mask: str = MASK) -> Column:
@@ -117,7 +119,7 @@ def map_texts(value: Column, dtype: DataType, fn: Callable[[Column], Column]) ->
         .otherwise(value)
 
 
-# ------------------------------------------------------------------ anchors
+# ------------------------------------------------------------------ known values
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
@@ -125,158 +127,180 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _grams(data: np.ndarray, kinds: Sequence[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """For every kind (a value's length in powers of two) the hashed gram that starts at each byte."""
-    wide = data.astype(np.uint64)
-    by_size = {1: wide}
-    for size in (2, 4, 8):
-        half = by_size[size // 2]
-        by_size[size] = half[:max(0, len(half) - size // 2)] << np.uint64(4 * size) | half[size // 2:]
-    eight = by_size[8]
-    by_size[16] = _mix(eight[:max(0, len(eight) - 8)]) ^ eight[8:]
-    for kind in kinds:
-        yield kind, _mix(by_size[min(16, 1 << kind)] + np.uint64(kind * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.int64)
+def _grams(data: np.ndarray, at: np.ndarray | slice, size: int, family: int) -> np.ndarray:
+    """The hashed ``size`` bytes from each of some places on; ``family`` tells kinds and ends of values apart."""
+    if len(data) < size:
+        return np.zeros(0, np.uint64)
+    some = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, size)[at])
+    wide = some.view(f">u{min(size, 8)}").astype(np.uint64)
+    gram = _mix(wide[:, 0]) ^ wide[:, 1] if size == 16 else wide[:, 0]
+    return _mix(gram + np.uint64(family * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
 
 
-def _by_kind(values: list[bytes]) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
-    """Values of each kind in runs of about ``_RUN`` bytes: kind, values, where each starts, its number of grams, all grams."""
-    by_kind: dict[int, list[bytes]] = {}
-    for value in values:
-        by_kind.setdefault(len(value).bit_length() - 1, []).append(value)
-    for kind, some in by_kind.items():
-        step = max(1, _RUN >> kind + 1)
-        for k in range(0, len(some), step):
-            run = some[k:k + step]
-            _, grams = next(_grams(np.frombuffer(b"".join(run), np.uint8), [kind]))
-            sizes = np.array([len(v) for v in run])
-            yield kind, run, np.cumsum(sizes) - sizes, sizes - min(16, 1 << kind) + 1, grams    # grams that lie inside the value
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text of a column starts and the last one ends, and the bytes that these count."""
+    starts = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    return starts, np.frombuffer(column.buffers()[2] or b"", np.uint8)
 
 
-def _places_in_run(starts: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first gram of every value among all that lie inside values, and the position in the run of each of those."""
-    first = np.cumsum(per) - per
-    return first, np.repeat(starts - first, per) + np.arange(per.sum())
+def _bit(hashes: np.ndarray, nth: int, bits: int) -> np.ndarray:
+    """One of the ``_LOOKS`` bits that stand for each hash; all lie in one page, so that a page can be made by one task."""
+    inside = _mix(hashes) >> np.uint64(15 * nth) & np.uint64(_PAGE - 1)
+    return (hashes & np.uint64(bits // _PAGE - 1)) * np.uint64(_PAGE) + inside
 
 
-def _cells(grams: np.ndarray) -> np.ndarray:
-    return (grams.view(np.uint64) >> np.uint64(64 - _CELL_BITS)).astype(np.int64)
+def _set_bits(pages: np.ndarray, hashes: np.ndarray) -> None:
+    for nth in range(_LOOKS):
+        at = _bit(hashes, nth, len(pages) * 8)
+        np.bitwise_or.at(pages, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
 
-def _gram_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many grams of the values fall into each cell."""
-    for batch in batches:
-        for _, _, starts, per, grams in _by_kind(batch.column(0).to_pylist()):
-            cells, n = np.unique(_cells(grams[_places_in_run(starts, per)[1]]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n.astype(np.int64))], names=["cell", "n"])
+def _held(pages: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The places of the hashes that may be in the filter: all that are, and few others."""
+    found = np.arange(len(hashes))
+    for nth in range(_LOOKS):
+        at = _bit(hashes[found] if nth else hashes, nth, len(pages) * 8)
+        found = found[(pages[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+    return found
 
 
-def _anchored(shared: np.ndarray):
-    """Every value with the gram whose cell is shared least, the first of several."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for kind, values, starts, per, grams in _by_kind(batch.column(0).to_pylist()):
-                first, at = _places_in_run(starts, per)
-                before = at - np.repeat(starts, per)
-                best = np.minimum.reduceat(shared[_cells(grams[at])] << 32 | before, first) & (1 << 32) - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(values, pa.binary()), pa.array(np.full(len(values), kind, np.int32)), pa.array(grams[starts + best]),
-                     pa.array(best.astype(np.int32))], names=["value", "kind", "gram", "before"])
-    return run
-
-
-def anchor_index(values: DataFrame) -> DataFrame:
-    """One row per distinct value: value (bytes), kind, gram (about its rarest one among all values) and the bytes before it.
-
-    How rare a gram is, is counted in ``1 << _CELL_BITS`` cells over a sample of at most about ``SAMPLE_BYTES`` of values; it
-    decides how many places are verified in vain, not what is found.  So grams are neither shuffled nor written.
-    """
-    v = cut_lineage(values.select(F.col(values.columns[0]).cast("string").cast("binary").alias("value"))
-                    .where("octet_length(value) > 0").distinct())
-    size = v.agg(F.sum(F.octet_length("value").cast("long"))).first()[0] or 0
-    some = v.where(F.pmod(F.xxhash64("value"), F.lit(1 + size // SAMPLE_BYTES)) == 0)
-    cells = some.mapInArrow(_gram_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    shared = np.zeros(1 << _CELL_BITS, np.int64)
-    shared[cells["cell"].to_numpy(np.int64)] = np.minimum(cells["n"].to_numpy(np.int64), (1 << 30) - 1)
-    return cut_lineage(v.mapInArrow(_anchored(shared), _ANCHORS))
-
-
-def _bitmaps(bits: int):
-    """The bits of a task's anchors, as bitmaps of ``_PAGE`` bits."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            grams = batch.column(0).to_numpy().view(np.uint64)
-            for at in (grams % np.uint64(bits), (grams >> np.uint64(32)) % np.uint64(bits)):
-                np.bitwise_or.at(mine, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        rows = mine.reshape(-1, _PAGE // 8)
-        held = np.flatnonzero(rows.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array([rows[i].tobytes() for i in held], pa.binary())], names=["page", "b"])
-    return run
+def _pages_of(pages: np.ndarray) -> pa.RecordBatch:
+    rows = pages.reshape(-1, _PAGE // 8)
+    held = np.flatnonzero(rows.any(axis=1))
+    return pa.RecordBatch.from_arrays([pa.array(held), pa.array([rows[i].tobytes() for i in held], pa.binary())], names=["page", "b"])
 
 
-def _filter_pages(anchors: DataFrame, bits: int) -> np.ndarray:
-    """The Bloom filter of the anchors, at most ``MAX_FILTER_BITS`` bits whatever the number of values."""
+def _filter(pages: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter from the pages that tasks made of it, at most ``MAX_FILTER_BITS`` bits whatever it stands for."""
     out = np.zeros(bits // 8, np.uint8)
-    pages = anchors.select("gram").mapInArrow(_bitmaps(bits), "page long, b binary").groupBy("page").agg(F.bitmap_or_agg("b").alias("b"))
-    for page, bitmap in pages.collect():
+    for page, bitmap in pages.groupBy("page").agg(F.bitmap_or_agg("b").alias("b")).collect():
         part = np.frombuffer(bitmap, np.uint8)[:_PAGE // 8]
         out[page * (_PAGE // 8):page * (_PAGE // 8) + len(part)] = part
     return out
 
 
-def _places(pages: np.ndarray, kinds: Sequence[int]):
-    """Places in texts where an anchor may stand, with as many bytes around them as a value of that kind can have."""
-    bits = np.uint64(len(pages) * 8)
+def _filter_bits(n: int) -> int:
+    return min(MAX_FILTER_BITS, max(_PAGE, 1 << (16 * n).bit_length()))
+
+
+def _ends(values: DataFrame) -> tuple[dict[int, tuple[list[int], int, int]], int]:
+    """By kind (its length in powers of two), the lengths of the values and how many of their first and last bytes go into
+    the filter; and how many different such ends there are, about.
+
+    Longer ends are left out where there are too many different ones for the filter; then more places are compared in vain.
+    """
+    kind, size = F.expr("length(bin(octet_length(value))) - 1").alias("kind"), F.octet_length("value")
+    seen = values.groupBy(kind).agg(F.count(F.lit(1)).alias("n"), F.sum(size.cast("long")).alias("bytes"),
+                                    F.collect_set(size).alias("sizes")).collect()
+    fit, some = MAX_FILTER_BITS // 4, {}
+    # (kind, last, size): how many different ones; a byte has 256 values
+    many = {(r.kind, last, s): min(r.n, 256 ** s) for r in seen for last in (0, 1) for s in _SIZES if s <= 1 << r.kind}
+    if sum(r.bytes for r in seen) > SAMPLE_BYTES:
+        parts = {(last, s): F.approx_count_distinct(F.expr(f"substring(value, {-s if last else 1}, {s})")).alias(f"n{last}_{s}")
+                 for last in (0, 1) for s in _SIZES if s > 2}
+        for r in values.groupBy(kind).agg(*parts.values()).collect():
+            many |= {(r.kind, last, s): r[f"n{last}_{s}"] for last, s in parts if (r.kind, last, s) in many}
+    for (k, last, s), n in sorted(many.items(), key=lambda x: (x[1], x[0])):
+        held = some.get((k, last), (0, 0))
+        if s > held[0] and (s == 1 or sum(n for _, n in some.values()) - held[1] + n <= fit):
+            some[k, last] = s, n
+    return {r.kind: (sorted(r.sizes), some[r.kind, 0][0], some[r.kind, 1][0]) for r in seen}, sum(n for _, n in some.values())
+
+
+def _end_pages(kinds: dict[int, tuple[list[int], int, int]], bits: int):
+    """The pages of the filter of the first and last bytes of a task's values."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pages = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            starts, data = _bytes_of(batch.column(0))
+            kind = np.frexp(np.diff(starts).astype(float))[1] - 1
+            for k, (_, first, last) in kinds.items():
+                mine = np.flatnonzero(kind == k)
+                for family, size, at in ((2 * k, first, starts[mine]), (2 * k + 1, last, starts[mine + 1] - last)):
+                    if len(mine):
+                        _set_bits(pages, np.unique(_grams(data, at, size, family)))
+        yield _pages_of(pages)
+    return run
 
-    def held(grams: np.ndarray) -> np.ndarray:
-        found = np.ones(len(grams), bool)
-        for at in (grams.view(np.uint64) % bits, (grams.view(np.uint64) >> np.uint64(32)) % bits):
-            found &= (pages[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-        return np.flatnonzero(found)
 
+def _places(pages: np.ndarray, kinds: dict[int, tuple[list[int], int, int]]):
+    """Pieces of texts that have the length, the first and the last bytes of values."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in _PLACES.split(", ")]
-        types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
             # the texts of a batch are one run of bytes; it is hashed stretch by stretch
             row_keys, leaves, texts = batch.columns
-            starts = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
-            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-            end = int(starts[-1])
-            for begin in range(int(starts[0]), end, _RUN):
-                for kind, grams in _grams(data[begin:min(end, begin + _RUN + 15)], kinds):
-                    grams = grams[:_RUN]
-                    hits, reach = held(grams) + begin, 2 << kind
-                    step = max(1, min(10_000, _RUN // reach))
-                    for k in range(0, len(hits), step):
-                        some = hits[k:k + step]
-                        row = np.searchsorted(starts, some, "right") - 1
-                        lo, hi = np.maximum(some - reach, starts[row]), np.minimum(some + reach, starts[row + 1])
-                        rows = pa.array(row)
-                        yield pa.RecordBatch.from_arrays([row_keys.take(rows), leaves.take(rows), *(pa.array(c, t) for c, t in zip((
-                            np.full(len(some), kind, np.int32), grams[some - begin], (lo - starts[row]).astype(np.int32),
-                            (some - lo).astype(np.int32), [data[x:y].tobytes() for x, y in zip(lo.tolist(), hi.tolist())]), types))],
-                            names=names)
+            starts, data = _bytes_of(texts)
+            data = data[:starts[-1]]
+            for begin in range(int(starts[0]), len(data), _RUN):
+                for kind, (sizes, first, last) in kinds.items():
+                    at = _held(pages, _grams(data, slice(begin, begin + _RUN), first, 2 * kind)) + begin
+                    row = np.searchsorted(starts, at, "right") - 1
+                    left = starts[row + 1] - at
+                    for size in sizes:
+                        fit = np.flatnonzero(left >= size)
+                        fit = fit[_held(pages, _grams(data, at[fit] + (size - last), last, 2 * kind + 1))]
+                        step = max(1, min(10_000, _RUN // size))
+                        for k in range(0, len(fit), step):
+                            a, rows = at[fit[k:k + step]], row[fit[k:k + step]]
+                            pieces = [data[x:x + size].tobytes() for x in a.tolist()]
+                            yield pa.RecordBatch.from_arrays(
+                                [row_keys.take(pa.array(rows)), leaves.take(pa.array(rows)),
+                                 pa.array((a - starts[rows]).astype(np.int32)), pa.array(pieces, pa.binary())], names=names)
+    return run
+
+
+def _hash_pages(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pages = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            _set_bits(pages, batch.column(0).to_numpy().view(np.uint64))
+        yield _pages_of(pages)
+    return run
+
+
+def _in_filter(pages: np.ndarray):
+    """The values whose hash may be in the filter."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _held(pages, batch.column(1).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found))], names=["value"])
     return run
 
 
+def value_places(leaves: DataFrame, values: DataFrame) -> DataFrame | None:
+    """Where values stand in texts: row_key, leaf, start (byte), value.  None where there are no values.
+
+    ``leaves``: row_key, leaf, text (bytes).  What is joined grows with the places where values may stand: a value that
+    stands nowhere is read, but not sent on, unless the filter of those places takes it for another.
+    """
+    values = cut_lineage(values.select(F.col(values.columns[0]).cast("string").cast("binary").alias("value"))
+                         .where("octet_length(value) > 0"), "zstd")
+    kinds, n = _ends(values)
+    if not kinds:
+        return None
+    bits = _filter_bits(n)
+    ends = _filter(values.mapInArrow(_end_pages(kinds, bits), _BITMAPS), bits)
+    places = cut_lineage(leaves.select("row_key", "leaf", "text").mapInArrow(_places(ends, kinds), _PLACES), "zstd")
+    bits = _filter_bits(places.count())
+    hashed = F.xxhash64("value").alias("h")
+    # a page is made by one task
+    pages = places.select(hashed).distinct().repartition(F.pmod("h", F.lit(bits // _PAGE)))
+    found = _filter(pages.mapInArrow(_hash_pages(bits), _BITMAPS), bits)
+    return places.join(values.select("value", hashed).mapInArrow(_in_filter(found), "value binary"), "value", "left_semi")
+
+
 def value_spans(leaves: DataFrame, values: DataFrame) -> DataFrame | None:
     """What is left between the values of every text that holds any: row_key, leaf, gaps (from, upto), tail; in bytes.
 
     ``leaves``: row_key, leaf, text (bytes).  None where there are no values.
     """
-    anchors = anchor_index(values)
-    seen = anchors.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()   # a row per power of two
-    if not seen:
+    places = value_places(leaves, values)
+    if places is None:
         return None
-    bits = min(MAX_FILTER_BITS, max(_PAGE, 1 << (32 * sum(r.n for r in seen)).bit_length()))
-    places = leaves.select("row_key", "leaf", "text").mapInArrow(
-        _places(_filter_pages(anchors, bits), sorted(r.kind for r in seen)), _PLACES)
-    hits = places.join(anchors, ["kind", "gram"]).where(
-        (F.col("at") >= F.col("before"))
-        & (F.expr("substring(near, at - before + 1, octet_length(value))") == F.col("value")))
-    start = (F.col("start") + F.col("at") - F.col("before")).cast("int")
-    spans = hits.select("row_key", "leaf", start.alias("a"), (start + F.octet_length("value")).alias("b")).distinct()
+    # equal rows have equal places; what follows needs them by row
+    spans = places.select("row_key", "leaf", F.col("start").alias("a"), (F.col("start") + F.octet_length("value")).alias("b")) \
+        .distinct().repartition("row_key")
     before = Window.partitionBy("row_key", "leaf").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
     upto = F.coalesce(F.max("b").over(before), F.lit(0))
     fresh = F.when(F.col("a") >= F.col("upto"), F.struct(F.col("upto").alias("from"), F.col("a").alias("upto")))
@@ -312,7 +336,7 @@ def redact(df: DataFrame, cols: str | Sequence[str], values: DataFrame | None =
             continue
         cut = None
         if values is not None:
-            key = F.md5(F.concat_ws(",", F.transform(texts, _digest)))
+            key = F.unhex(F.md5(F.concat_ws(",", F.transform(texts, lambda x: F.md5(x.cast("binary"))))))
             leaves = df.select(key.alias("row_key"), F.explode(F.array_distinct(texts)).alias("t")).where("t IS NOT NULL") \
                 .select("row_key", _digest(F.col("t")).alias("leaf"), F.col("t").cast("binary").alias("text"))
             cut = value_spans(leaves, values)
@@ -334,4 +358,4 @@ def redact(df: DataFrame, cols: str | Sequence[str], values: DataFrame | None =
 
 
 def _digest(text: Column) -> Column:
-    return F.md5(text.cast("binary"))
+    return F.unhex(F.md5(text.cast("binary")))

@@ -274,3 +274,23 @@ def test_redact_hashes_long_texts_by_stretches(spark, monkeypatch):
     assert got[0] == ("x" * 7 + P.MASK) * 9 and got[4] == "p" * ((1 << 20) - 5) + P.MASK + "q" * 30 + P.MASK
     # grams of the values are counted in cells, not sent about one by one
     assert not hasattr(redaction, "_value_grams")
+
+
+def test_redact_sends_on_what_stands_in_texts(spark, monkeypatch):
+    from runlens.operators import redaction
+    # a filter much too small for the values: every place of every text used to be joined to all values
+    monkeypatch.setattr(redaction, "MAX_FILTER_BITS", redaction._PAGE)
+    texts = [f"see ord-{i}-{i % 100:02d}; ok" for i in range(2000)] + ["none"] * 5
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    values = spark.sql("SELECT concat('ord-', o.id, '-', lpad(v.id, 2, '0'), ';') AS value FROM range(2000) o, range(67) v")
+    joined, plain = [], type(df).join
+
+    def join(self, other, on=None, how=None):
+        if {"start", "at"} & set(self.columns):
+            joined.append((self.count(), other.count()))
+        return plain(self, other, on, how)
+    monkeypatch.setattr(type(df), "join", join)
+    got = {r.id: r.text for r in P.redact(df, "text", values, patterns=()).collect()}
+    assert all(got[i] == (f"see {P.MASK} ok" if i % 100 < 67 else texts[i]) for i in range(2000)) and got[2000] == "none"
+    hits = sum(i % 100 < 67 for i in range(2000))
+    assert [hits <= places <= 2 * hits and hits <= kept < 10 * hits for places, kept in joined] == [True]
