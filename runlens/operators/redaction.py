@@ -260,11 +260,11 @@ def _hash_pages(bits: int):
 
 
 def _in_filter(pages: np.ndarray):
-    """The values whose hash may be in the filter."""
+    """The values whose hash may be in the filter, once for a batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = _held(pages, batch.column(1).to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found))], names=["value"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found)).unique()], names=["value"])
     return run
 
 
